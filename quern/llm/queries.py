@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from quern.llm.near import op7_dart_minhash
 from quern.llm.packing import op1_packing
 
-QUERIES = {"op1_packing": op1_packing}
+QUERIES = {"op1_packing": op1_packing, "op7_dart_minhash": op7_dart_minhash}
 ORACLE_SQL: dict[str, str] = {}
