@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm.near import op7_dart_minhash
 from quern.llm.packing import op1_packing
+from quern.llm.substring import op2_suffix_array
 
-QUERIES = {"op1_packing": op1_packing, "op7_dart_minhash": op7_dart_minhash}
+QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op7_dart_minhash": op7_dart_minhash}
 ORACLE_SQL: dict[str, str] = {}
