@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from quern.llm.near import op7_dart_minhash
 from quern.llm.packing import op1_packing
+from quern.llm.pii import op6_surrogates
 from quern.llm.substring import op2_suffix_array
 from quern.llm.toxicity import op4_classifier_chain
 
-QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op4_classifier_chain": op4_classifier_chain, "op7_dart_minhash": op7_dart_minhash}
+QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op4_classifier_chain": op4_classifier_chain, "op6_surrogates": op6_surrogates, "op7_dart_minhash": op7_dart_minhash}
 ORACLE_SQL: dict[str, str] = {}
