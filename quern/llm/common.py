@@ -11,15 +11,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and return the written copy.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder is used instead.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share. Only where none is set (tests on one machine), a
+    temporary folder is set first."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="quern-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and return the written copy, whose lineage starts there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
