@@ -164,6 +164,7 @@ def repeated_windows(docs: DataFrame, *, least: int = 400, most: int = 1024) ->
     """Windows of (d, x, text) that occur elsewhere too: (d, x, s, m), m windows from byte s."""
     every = cut(contexts(docs, least))
     seen = every.groupBy("a").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("all > 1")
+    seen = cut(seen)  # as a table of its own, so that the join can split an anchor that many contexts share
     shared = cut(every.join(seen, "a").select("d", "x", "s", "n", "p", "a", "c", (F.col("lo") == F.col("hi")).alias("same")))
     whole = shared.where("same").select("d", "x", "s", F.col("n").alias("m"))
     mixed = shared.where("not same")
