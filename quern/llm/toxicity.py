@@ -90,21 +90,29 @@ class Linear:
 
 def _fit(owner: np.ndarray, bucket: np.ndarray, rows: np.ndarray, y: np.ndarray, before: np.ndarray, most: int, penalty: float) -> Linear:
     """A linear model from the texts `rows`: the `most` most associated n-grams and the earlier categories."""
-    place = np.full(len(y), -1)
+    place = np.full(len(y), -1, dtype=np.int32)
     place[rows] = np.arange(len(rows))
-    mine = place[owner] >= 0
-    o, b = place[owner[mine]], bucket[mine]
     label = y[rows]
     n1, n0 = max(1, label.sum()), max(1, len(label) - label.sum())
-    c1, c = np.bincount(b, label[o], 1 << BITS), np.bincount(b, minlength=1 << BITS)
+    c1, c = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    chunks = range(0, len(owner), 1 << 20)
+    for at in chunks:
+        o, b = place[owner[at : at + (1 << 20)]], bucket[at : at + (1 << 20)]
+        c += np.bincount(b[o >= 0], minlength=1 << BITS)
+        c1 += np.bincount(b[o >= 0], label[o[o >= 0]], 1 << BITS)
     score = (c1 / n1 - (c - c1) / n0) ** 2 / (c + 3.0)
     score[c < 3] = 0
     chosen = np.sort(np.argsort(-score, kind="stable")[:most])
     chosen = chosen[score[chosen] > 0]
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, dtype=np.int32)
     column[chosen] = np.arange(len(chosen))
-    hit = column[b] >= 0
-    w, chain, bias = _logistic(o[hit], column[b[hit]], len(chosen), before[rows] / 4, label, penalty)
+    ones = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32))]
+    for at in chunks:
+        o, k = place[owner[at : at + (1 << 20)]], column[bucket[at : at + (1 << 20)]]
+        hit = (o >= 0) & (k >= 0)
+        ones.append((o[hit], k[hit]))
+    o, k = (np.concatenate(x) for x in zip(*ones, strict=True))
+    w, chain, bias = _logistic(o, k, len(chosen), before[rows] / 4, label, penalty)
     return Linear(chosen, w, chain / 4, bias)
 
 
@@ -136,15 +144,17 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
     """A chain over the columns of `labels` (rows by categories, 0 or 1), in their order."""
     chain = Chain(categories)
     n = len(texts)
-    owner, bucket = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for at in range(0, n, 200):
-        o, b = features(texts[at : at + 200])
-        owner.append(o + at)
-        bucket.append(b)
-    owner, bucket = np.concatenate(owner), np.concatenate(bucket)
-    count = np.bincount(bucket, minlength=1 << BITS)
+    count = np.zeros(1 << BITS, dtype=np.int64)
+    for at in range(0, n, 100):
+        count += np.bincount(features(texts[at : at + 100])[1], minlength=1 << BITS)
     kept = (count >= 3) & (count <= max(10, n // 5))  # what nearly every text has tells nothing
-    owner, bucket = owner[kept[bucket]], bucket[kept[bucket]]
+    owner, bucket = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    for at in range(0, n, 100):
+        o, b = features(texts[at : at + 100])
+        mine = kept[b]
+        owner.append((o[mine] + at).astype(np.int32))
+        bucket.append(b[mine].astype(np.int32))
+    owner, bucket = np.concatenate(owner), np.concatenate(bucket)
     fold = np.random.default_rng(11).permutation(n) % folds
     before = np.zeros((n, 0))
     out = np.zeros(n)
@@ -172,7 +182,7 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1500, negatives: int = 3000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1200, negatives: int = 2400) -> Chain:
     """The chain low quality -> toxic from documents and labels (doc_id, quality, toxic); rows with nulls don't count."""
     known = need(labels, doc_id="long", quality="int", toxic="int").dropna().where("quality in (0, 1) and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
