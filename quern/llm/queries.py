@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from quern.llm.ann import op10_learned_partitions
 from quern.llm.near import op7_dart_minhash
+from quern.llm.nndescent import op3_nn_descent
 from quern.llm.packing import op1_packing
 from quern.llm.paragraphs import op5_paragraph_minhash
 from quern.llm.pii import op6_surrogates
 from quern.llm.substring import op2_suffix_array
 from quern.llm.toxicity import op4_classifier_chain
 
-QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op4_classifier_chain": op4_classifier_chain, "op5_paragraph_minhash": op5_paragraph_minhash, "op6_surrogates": op6_surrogates, "op7_dart_minhash": op7_dart_minhash,
+QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op3_nn_descent": op3_nn_descent, "op4_classifier_chain": op4_classifier_chain, "op5_paragraph_minhash": op5_paragraph_minhash, "op6_surrogates": op6_surrogates, "op7_dart_minhash": op7_dart_minhash,
     "op10_learned_partitions": op10_learned_partitions,
 }
 ORACLE_SQL: dict[str, str] = {}
