@@ -10,8 +10,10 @@ from quern.llm.paragraphs import op5_paragraph_minhash
 from quern.llm.pii import op6_surrogates
 from quern.llm.substring import op2_suffix_array
 from quern.llm.toxicity import op4_classifier_chain
+from quern.llm.unigram import op9_shared_viterbi
+from quern.llm.warc import OP8_SQL, op8_revisits
 
 QUERIES = {"op1_packing": op1_packing, "op2_suffix_array": op2_suffix_array, "op3_nn_descent": op3_nn_descent, "op4_classifier_chain": op4_classifier_chain, "op5_paragraph_minhash": op5_paragraph_minhash, "op6_surrogates": op6_surrogates, "op7_dart_minhash": op7_dart_minhash,
-    "op10_learned_partitions": op10_learned_partitions,
+    "op8_revisits": op8_revisits, "op9_shared_viterbi": op9_shared_viterbi, "op10_learned_partitions": op10_learned_partitions,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_revisits": OP8_SQL}
