@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import compliance, events, texts, urls
+from quern.plans import compliance, crawl, events, texts, urls
 
-MODULES = (urls, texts, compliance, events)
+MODULES = (urls, texts, compliance, events, crawl)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
