@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder. Arrow batches are made small for the session, as texts can be long: a worker then holds
+    some MB of texts, not ten thousand rows whatever their size."""
+    for key, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(16 << 20))):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -28,7 +28,7 @@ SEED = 128
 #: Windows whose anchors are found at once.
 STEP = 1 << 18
 #: Bytes of contexts in one transform.
-BATCH = 1 << 21
+BATCH = 1 << 20
 
 
 def _anchors(text: bytes, least: int) -> Iterator[tuple[int, int, int, int]]:
