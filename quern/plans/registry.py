@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quern.plans import compliance, crawl, events, pages, texts, urls
+from quern.plans import compliance, crawl, events, learned, pages, stores, texts, urls
 
-MODULES = (urls, texts, compliance, events, crawl, pages)
+MODULES = (urls, texts, compliance, events, crawl, pages, learned, stores)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
