@@ -11,6 +11,7 @@ category, least hash of doc_id first); scoring is one pass over the documents wi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -147,14 +148,15 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
     count = np.zeros(1 << BITS, dtype=np.int64)
     for at in range(0, n, 100):
         count += np.bincount(features(texts[at : at + 100])[1], minlength=1 << BITS)
-    kept = (count >= 3) & (count <= max(10, n // 5))  # what nearly every text has tells nothing
-    owner, bucket = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+    kept = (count >= 3) & (count <= max(10, n * 9 // 20))  # what nearly every text has tells nothing
+    total = int(count[kept].sum())
+    owner, bucket, end = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32), 0
     for at in range(0, n, 100):
         o, b = features(texts[at : at + 100])
         mine = kept[b]
-        owner.append((o[mine] + at).astype(np.int32))
-        bucket.append(b[mine].astype(np.int32))
-    owner, bucket = np.concatenate(owner), np.concatenate(bucket)
+        size = int(mine.sum())
+        owner[end : end + size], bucket[end : end + size] = o[mine] + at, b[mine]
+        end += size
     fold = np.random.default_rng(11).permutation(n) % folds
     before = np.zeros((n, 0))
     out = np.zeros(n)
@@ -182,7 +184,7 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1200, negatives: int = 2400) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1000, negatives: int = 2000) -> Chain:
     """The chain low quality -> toxic from documents and labels (doc_id, quality, toxic); rows with nulls don't count."""
     known = need(labels, doc_id="long", quality="int", toxic="int").dropna().where("quality in (0, 1) and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
@@ -192,7 +194,13 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1200, negative
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("low").alias("low"), F.max("toxic").alias("toxic"))
     rows = sorted(rows.select("doc_id", normal("text").alias("words"), "low", "toxic").collect(), key=lambda r: r["doc_id"])
     label = np.array([[r["low"], r["toxic"]] for r in rows]).reshape(len(rows), 2)
-    return fit([r["words"].encode() for r in rows], label, ("low_quality", "toxic"))
+    texts = [r["words"].encode() for r in rows]
+    del rows
+    chain = fit(texts, label, ("low_quality", "toxic"))
+    del texts
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)  # the driver lives on; what training has used goes back
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, *, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
