@@ -25,9 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and return the written copy, whose lineage starts there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to the shared checkpoint folder and return the written copy, whose lineage starts there.
+
+    The copy would also take over the constraints that the optimizer has inferred so far, which grow with every round of
+    a loop; they are left out.
+    """
+    spark, key = df.sparkSession, "spark.sql.constraintPropagation.enabled"
+    shared_folder(spark)
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, was)
 
 
 def need(df: DataFrame, **types: str) -> DataFrame:
@@ -38,9 +48,9 @@ def need(df: DataFrame, **types: str) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (a, b): returns (id, component), component the least id.
 
-    Every round hooks each vertex to its least neighbour, jumps one pointer further and contracts the
-    edges; the number of rounds is logarithmic in practice. Hub vertices only meet combinable minima and
-    joins whose other side is unique per key, which adaptive execution splits. Only vertices with an edge
+    Every round hooks each vertex to its least neighbour, doubles pointers until they reach roots and contracts
+    the edges, so that each round at least halves the vertices left. Hub vertices only meet combinable minima
+    and joins whose other side is unique per key, which adaptive execution splits. Only vertices with an edge
     are returned.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -50,9 +60,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = live.union(live.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        hook = cut(hook)
-        jump = hook.join(hook.select(F.col("v").alias("p"), F.col("p").alias("q")), "p").select("v", F.col("q").alias("p"))
-        jump = cut(jump)
+        jump, more = cut(hook), True
+        while more:
+            step = jump.join(jump.select(F.col("v").alias("p"), F.col("p").alias("q")), "p")
+            jump = cut(step.select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            more = not jump.where("moved").isEmpty()
+            jump = jump.select("v", "p")
         if label is None:
             label = jump.select(F.col("v").alias("id"), F.col("p").alias("component"))
         else:

@@ -222,7 +222,7 @@ def labelled(n):
 
 def test_toxicity(spark):
     rows, labels = labelled(400)
-    docs = frame(spark, [*rows, (1000, None), (1001, ""), (1002, "Grobian9 " + prose(5, 3000)), (None, "x")])
+    docs = frame(spark, [*rows, (1000, None), (1001, ""), (1002, "Grobian9 " + prose(5, 150)), (None, "x")])
     chain = toxicity.train(docs, spark.createDataFrame([*labels, (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
     assert chain.f1 > 0.95 and chain.models[1].chain.shape == (1,)
     got = toxicity.score(docs, chain).collect()
