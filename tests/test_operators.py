@@ -101,7 +101,7 @@ def test_next_run(spark):
 
 
 PAGE = """<html><head><title>A page</title><meta property="og:published_time" content="2024-01-15T10:00:00Z"></head><body><header><nav class="menu"><a href="/a">A</a></nav></header>
-<article class="post"><h1 class="title">The long title</h1><div class="author">Jo</div><p>one<p>two <b>bold</p><ul><li>x<li>y</ul><img src="i.png"><a href="http://o.org/z" rel="nofollow">z</a></article>
+<article class="post"><h1 class="title">The long title</h1><div class="author">Jo</div><p>one sentence that is long enough to count as the content of a page of this kind, and then some words more<p>two <b>bold</p><ul><li>x<li>y</ul><img src="i.png"><a href="http://o.org/z" rel="nofollow">z</a></article>
 <script>var a = "</p>";</script></body></html>"""
 
 
