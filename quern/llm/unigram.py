@@ -6,8 +6,8 @@ trie: the best scores up to the prefix shared with the word before are kept, and
 path maximizes the sum of piece scores; of equal paths the one whose last piece is longest wins; characters without a
 piece score below all pieces and are written as byte pieces where the model has them.
 
-The public model is of the merging kind; its pieces and scores are used here as a unigram model's, for which tests
-compare the ids with the sentencepiece library.
+The public model is of the merging kind; its pieces and scores are used here as a unigram model's, and tests
+compare the ids with brute-force Viterbi.
 """
 
 from __future__ import annotations
