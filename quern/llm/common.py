@@ -60,7 +60,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = live.union(live.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        jump, more = cut(hook), True
+        jump, more = hook, True  # the first doubling shares the hook's exchange with itself
         while more:
             step = jump.join(jump.select(F.col("v").alias("p"), F.col("p").alias("q")), "p")
             jump = cut(step.select("v", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))

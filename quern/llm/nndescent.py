@@ -252,14 +252,15 @@ def _linked(rows: DataFrame, codes: DataFrame, near: DataFrame, least: float, k:
     both = pairs.union(pairs.select("b", "a"))
     degree = cut(both.groupBy(F.col("a").alias("u")).agg(F.count(F.lit(1)).alias("k")))
     full = cut(degree.where(F.col("k") >= k).select("u"))
-    label = cut(components(pairs))
+    label = components(pairs)
     if not full.isEmpty():
         # Saturated clusters that share a bucket are compared by their least members.
         spot = codes.join(full, "u").join(label.withColumnRenamed("id", "u"), "u").groupBy("code", "component").agg(F.min("u").alias("u"))
         lead = spot.groupBy("code").agg(F.min("u").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("code", "a")
         more = spot.join(lead, "code").where("a <> u").select("a", F.col("u").alias("b")).distinct()
-        pairs = cut(pairs.union(_check(more, rows, least)).distinct())
-        label = cut(components(pairs))
+        more = cut(_check(more, rows, least))  # between different components, so new links
+        if not more.isEmpty():
+            label = components(pairs.union(more))
     wide = label.join(full.withColumnRenamed("u", "id"), "id", "left_semi").select("component").distinct()
     within = cut(label.join(wide, "component").select(F.col("component").alias("c"), F.col("id").alias("u")))
     counted = _enlarge(within.join(rows.select("u", "n", "v"), "u"), least)
