@@ -6,8 +6,9 @@ about k (ln k + 3) of them, whatever its size; a hash deals darts to k coordinat
 is the signature. Bands of the signature join candidates, exact Jaccard on five-word shingles decides, and links
 are closed into classes.
 
-Skew: equal texts collapse to one representative before anything is banded, a bucket of n texts is compared as
-stars around leaders (n comparisons, never n^2), and classes come from contraction rounds.
+Skew: equal texts collapse to one representative before anything is banded, a bucket of n texts is first compared as
+stars around leaders (n comparisons), what stars leave in several components is compared block by block over many
+tasks, and classes come from contraction rounds.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quern.llm.common import components, cut, need, read
 from quern.llm.text import mix, normal, parts, shingles
 
+#: Texts in a block of a bucket that stars leave in several components.
+BLOCK = 256
+
 #: Cumulative Poisson(1) probabilities: a cell has as many darts as bounds lie below its uniform number.
 POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
 
@@ -127,11 +131,106 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     return joined.select("a", "b", "wa", "wb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _bridges(sets: list[np.ndarray], labels: list, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between texts of different labels that join all that any such links would join, as places in `sets`.
+
+    Texts are compared with one another, or where `right` marks some of them, the others with those.
+    """
+    n = np.array([len(x) for x in sets])
+    owner, item = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    _, column, count = np.unique(item, return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # an element of one text alone is in no intersection
+    place = np.cumsum(count > 1) - 1
+    owner, column = owner[shared], place[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    two = bool(right.any())
+    i, j = (np.flatnonzero(~right), np.flatnonzero(right)) if two else (np.arange(len(sets)),) * 2
+    both = np.zeros((len(i), len(j)), dtype=np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        ones = np.zeros((len(sets), int(column[b - 1]) + 1 - at), dtype=np.float32)
+        ones[owner[a:b], column[a:b] - at] = 1
+        both += ones[i] @ ones[j].T
+    code = {c: k for k, c in enumerate(dict.fromkeys(labels))}
+    label = np.array([code[c] for c in labels])
+    hit = (both > 0) & (both >= threshold * (n[i][:, None] + n[j][None, :] - both.astype(np.float64))) & (label[i][:, None] != label[j][None, :])
+    x, y = np.nonzero(hit)
+    _, first = np.unique(label[i[x]] * len(code) + label[j[y]], return_index=True)
+    root, out = list(range(len(code))), []
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for u, v in zip(i[x[first]].tolist(), j[y[first]].tolist(), strict=True):
+        a, b = find(int(label[u])), find(int(label[v]))
+        if a != b:
+            root[a] = b
+            out.append((u, v))
+    return out
+
+
+def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) that join whatever pairs of (bucket, h, c) with a bucket in common and different c join.
+
+    The texts of a bucket are dealt to blocks and blocks compared with blocks, each pair of blocks in a task of its own
+    choice; components that fill blocks get blocks of their own, so that they aren't compared with themselves.
+    """
+    open_ = named.groupBy("bucket").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("h").alias("first"), F.max("h").alias("last"), F.bit_xor(F.xxhash64("h")).alias("all"),
+    ).where("lo <> hi and n > 2")  # the star of two texts is all their pairs
+    open_ = open_.groupBy("n", "first", "last", "all").agg(F.min("bucket").alias("bucket"))  # bands that hold the same texts
+    rows = cut(named.join(open_.select("bucket"), "bucket"))
+    part = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c")))
+    rows = rows.join(part.select("bucket", "c", "own"), ["bucket", "c"])
+    pool = part.groupBy("bucket", "own").agg(F.sum("m").alias("m"))
+    same = rows.select("bucket", "h", "c", "own").alias("r").join(pool.alias("p"), F.expr("r.bucket = p.bucket and r.own <=> p.own"))
+    block = F.xxhash64("r.bucket", "r.own", F.pmod(F.xxhash64("h"), F.ceil(F.col("m") / BLOCK)))
+    dealt = cut(same.select("r.bucket", "h", "c", "r.own", block.alias("block")))
+    heads = cut(dealt.select("bucket", "own", "block").distinct())
+    other = heads.select("bucket", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    cells = heads.join(other, "bucket").where("block <= block2 and (own is null or own2 is null or own <> own2)")
+    cells = cut(cells.select("bucket", "block", "block2", F.xxhash64("bucket", "block", "block2").alias("g")))
+    sides = cells.select("bucket", "block", "g", F.lit(False).alias("side"))
+    sides = sides.union(cells.where("block <> block2").select("bucket", "block2", "g", F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, held, sets = None, [], []
+
+        def links() -> list[tuple]:
+            pairs = _bridges(sets, [x[1] for x in held], np.array([x[2] for x in held]), threshold) if len({x[1] for x in held}) > 1 else []
+            return [(held[u][0], held[v][0]) for u, v in pairs]
+
+        for batch in batches:
+            found: list[tuple] = []
+            rest = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+            for first, words in parts(batch.column(4)):
+                doc, item = shingles(words, width)
+                edge = np.searchsorted(doc, np.arange(len(words) + 1))
+                for k in range(len(words)):
+                    if rest[first + k][0] != g:
+                        found += links()
+                        g, held, sets = rest[first + k][0], [], []
+                    held.append(rest[first + k][1:])
+                    sets.append(item[edge[k] : edge[k + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.types[1]) for k in range(2)], ["a", "b"])
+            kind = batch.schema.types[1]
+        if held and (found := links()):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in range(2)], ["a", "b"])
+
+    kind = dict(named.dtypes)["h"]
+    full = dealt.join(sides, ["bucket", "block"]).select("g", "h", "c", "side").join(texts.select("h", "words"), "h")
+    return full.select("g", "h", "c", "side", "words").repartition("g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def link_buckets(buckets: DataFrame, texts: DataFrame, threshold: float, width: int, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) that join the texts of each bucket (bucket, h) as far as their similarity allows.
+    """Verified links (a, b) that join all texts of each bucket (bucket, h) that links between its texts would join.
 
     Round one compares every text of a bucket with its least; later rounds take the buckets that still hold several
-    components and compare two leaders of different components with the members of all others.
+    components and compare two leaders of different components with the members of all others. What is still open
+    after `rounds` is compared pair by pair, in blocks.
     """
     size = buckets.groupBy("bucket").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = cut(buckets.join(size.select("bucket", "a"), "bucket"))
@@ -155,7 +254,9 @@ def link_buckets(buckets: DataFrame, texts: DataFrame, threshold: float, width:
         if more.isEmpty():
             break
         links, tested = cut(links.union(verify(more, texts, threshold, width))), tested.union(more)
-    return links
+    label = components(links)
+    named = buckets.select("bucket", "h").join(label.withColumnRenamed("id", "h"), "h", "left")
+    return cut(links.union(across(named.select("bucket", "h", F.coalesce("component", "h").alias("c")), texts, threshold, width)))
 
 
 def near_duplicates(

@@ -174,6 +174,16 @@ def test_near_duplicates(spark):
     assert {(r["doc_id"], r["class_id"], r["kept"]) for r in near.near_duplicates(frame(spark, [(None, "a b"), (5, "a b")])).collect()} == {(None, 5, False), (5, 5, True)}
 
 
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    """Variants of a passage that is not there itself: most pairs that link hold no leader of a bucket."""
+    monkeypatch.setattr(near, "BLOCK", 64)  # several blocks in a bucket
+    base = prose(700, 100, 5000)
+    rows = [(j, edited(base, j, 2 + j % 3)) for j in range(400)]
+    classes = jaccard_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: rows[c][0] for (i, _), c in zip(rows, classes)}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     item = text.mix(np.arange(400, dtype=np.uint64))
