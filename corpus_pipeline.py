@@ -49,7 +49,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; ids as in the operator."""
-    return packing.pack(_documents(docs))
+    return packing.pack(_documents(docs), special=True)
 
 
 STAGES = [

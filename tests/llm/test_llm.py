@@ -83,6 +83,17 @@ def test_packing(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_added_tokens():
+    """The ids of the tokenizer as loaded, with default settings."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.encoder(special=True)
+    for x in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny", " <|endoftext", "<|EndOfText|> é 日本", "", prose(1, 300)):
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids, x
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_long_text_parts():
     encode, whole = packing.encoder(), prose(3, 60_000)
     assert len(whole) > packing.PART_CHARS
