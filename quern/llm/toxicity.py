@@ -3,7 +3,8 @@
 Categories are predicted in a fixed order by logistic models over the presence of hashed character n-grams; every
 later model also reads the log odds of the categories before it. For training those log odds come from models that
 did not see the row (k folds, feature choice included), as they will at prediction. The threshold of the last
-category is the one with the best F1 among such out-of-fold predictions.
+category is the one with the best F1 among such out-of-fold predictions, each counted as often as the sample stands
+for labelled rows of its class.
 
 The models are fitted on the driver from a bounded sample of labelled rows (`positives` and `negatives` of the last
 category, least hash of doc_id first); scoring is one pass over the documents without a shuffle.
@@ -141,8 +142,9 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *, folds: int = 4, most: int = 1500, penalty: float = 2e-4) -> Chain:
-    """A chain over the columns of `labels` (rows by categories, 0 or 1), in their order."""
+def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *, folds: int = 4, most: int = 1500, penalty: float = 2e-4, share: tuple[float, float] = (1.0, 1.0)) -> Chain:
+    """A chain over the columns of `labels` (rows by categories, 0 or 1), in their order. `share` is how many labelled rows
+    a row without and a row with the last category stands for; the threshold counts rows so."""
     chain = Chain(categories)
     n = len(texts)
     count = np.zeros(1 << BITS, dtype=np.int64)
@@ -176,8 +178,9 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
         before = np.column_stack([before, np.clip(out, -8, 8)])
     if chain.models and isinstance(chain.models[-1], Linear):
         order = np.argsort(-out)
-        hits = np.cumsum(labels[order, -1])
-        f1 = 2 * hits / (np.arange(1, n + 1) + labels[:, -1].sum())
+        weight = np.where(labels[order, -1] == 1, share[1], share[0])
+        hits = np.cumsum(weight * labels[order, -1])
+        f1 = 2 * hits / (np.cumsum(weight) + hits[-1])
         best = int(np.argmax(f1))
         cut = out[order[best]] if best + 1 == n else (out[order[best]] + out[order[best + 1]]) / 2
         chain.threshold, chain.f1 = float(1 / (1 + np.exp(-cut))), float(f1[best])
@@ -188,6 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1000, negative
     """The chain low quality -> toxic from documents and labels (doc_id, quality, toxic); rows with nulls don't count."""
     known = need(labels, doc_id="long", quality="int", toxic="int").dropna().where("quality in (0, 1) and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
+    size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = (max(1.0, size.get(0, 0) / negatives), max(1.0, size.get(1, 0) / positives))
     rank = known.withColumn("k", F.xxhash64("doc_id"))
     picked = rank.where("toxic = 1").orderBy("k", "doc_id").limit(positives).union(rank.where("toxic = 0").orderBy("k", "doc_id").limit(negatives))
     texts = need(docs, doc_id="long", text="string").dropna(subset=["doc_id"])
@@ -196,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1000, negative
     label = np.array([[r["low"], r["toxic"]] for r in rows]).reshape(len(rows), 2)
     texts = [r["words"].encode() for r in rows]
     del rows
-    chain = fit(texts, label, ("low_quality", "toxic"))
+    chain = fit(texts, label, ("low_quality", "toxic"), share=share)
     del texts
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)  # the driver lives on; what training has used goes back

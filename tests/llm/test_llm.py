@@ -256,6 +256,16 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, []), chain).count() == 0
 
 
+def test_threshold_stands_for_all_labels():
+    """The threshold has the best F1 over all labelled rows, of which the sample holds a tenth of the clean ones."""
+    r = random.Random(3)
+    y = np.array([i % 3 == 0 for i in range(600)]).astype(int)
+    texts = [" ".join([prose(i, 12, 80), *(f"grobian{r.randrange(5)}" for _ in range(r.random() < (0.7 if bad else 0.15)))]).encode() for i, bad in enumerate(y)]
+    label = np.column_stack([np.arange(600) % 2, y])
+    even, ten = (toxicity.fit(texts, label, ("low", "toxic"), share=s) for s in ((1.0, 1.0), (10.0, 1.0)))
+    assert ten.threshold > even.threshold and ten.f1 < even.f1
+
+
 # --- personal data
 
 
