@@ -42,7 +42,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data."""
+    """Texts with surrogates for personal data. Collisions are warned of."""
+    pii.report(_documents(docs))
     done = pii.surrogates(_documents(docs), carry=("doc_id", "lang", "source"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

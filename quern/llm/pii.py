@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -195,11 +196,25 @@ def _names(key: bytes, words: list[str]) -> list[str]:
             where, i = _FIRST[word]
             out.append(GIVEN[where][permute(key, f"given|{where}", [len(GIVEN[where])], [i])[0]])
         else:
-            tail = next((len(e) for e in ENDINGS if word.lower().endswith(e) and len(word) > len(e) + 2), 0)
-            out.append(_letters(key, "family", word, lambda i, n=len(word), t=tail: i >= n - t))
+            out.append(_family(key, word))
     return out
 
 
+def _tail(word: str) -> int:
+    return next((len(e) for e in ENDINGS if word.lower().endswith(e) and len(word) > len(e) + 2), 0)
+
+
+def _family(key: bytes, word: str) -> str:
+    """A word that is no listed given name, permuted among such words of its pattern and its ending: the permutation of all
+    words of the pattern is applied again until it is back among them."""
+    tail, new = _tail(word), "".join(c.lower() if len(c.lower()) == 1 else c for c in word)
+    while True:
+        new = _letters(key, "family", new, lambda i, n=len(word), t=tail: i >= n - t)
+        out = "".join(c.upper() if was.isupper() and len(c.upper()) == 1 else c for c, was in zip(new, word, strict=True))
+        if out not in _FIRST and _tail(out) == tail:
+            return out
+
+
 def canonical(kind: str, text: str) -> str:
     """The form in which two mentions of one entity agree: letter case and punctuation don't count, nor a name's title."""
     if kind == "email":
@@ -294,9 +309,20 @@ def collisions(docs: DataFrame, *, key: str = "quern") -> DataFrame:
     return count.where("n_values > 1 or same").select("kind", "surrogate", "n_values")
 
 
+def report(docs: DataFrame, *, key: str = "quern") -> int:
+    """The number of rows of `collisions`, over all documents; where there are any, a warning names them by kind."""
+    found = collisions(docs, key=key).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_values") > 1).cast("int")).alias("shared")).collect()
+    if found:
+        kinds = ", ".join(f"{r['kind']}: {r['shared']} surrogates of several values, {r['n'] - r['shared']} values that kept themselves" for r in found)
+        warnings.warn(f"surrogates are not distinct or not replaced ({kinds}); another key gives others", RuntimeWarning, stacklevel=2)
+    return sum(r["n"] for r in found)
+
+
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with surrogates: the new text and the number of entities by kind."""
-    done = surrogates(need(read(spark, sf_dir, "documents"), doc_id="long", text="string"))
+    """All documents with surrogates: the new text and the number of entities by kind. Collisions are warned of."""
+    docs = need(read(spark, sf_dir, "documents"), doc_id="long", text="string")
+    report(docs)
+    done = surrogates(docs)
     kinds = F.transform("spans", lambda s: s["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "phone", "card", "ip", "ssn", "iban", "name")]
     return done.select("doc_id", F.size("spans").alias("n_entities"), *count, "text")

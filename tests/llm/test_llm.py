@@ -278,6 +278,21 @@ def test_permutation():
         assert len({tuple(pii.permute(key, "t", sizes, list(v))) for v in every}) == len(every)
 
 
+def test_names_are_a_bijection():
+    """All words of listed names' patterns, listed ones among them, get different names of their own kind."""
+    import itertools
+
+    key = b"k" * 32
+    for name in ("Lisa", "Juan"):
+        letters = [pii.ALPHABETS[pii._CLASS[c][0]] for c in name.lower()]
+        words = ["".join(w).capitalize() for w in itertools.product(*letters)]
+        new = {w: pii._name(key, w) for w in words}
+        others = [w for w in words if w not in pii._FIRST]
+        assert name in words and len({new[w] for w in others}) == len(others) and not any(new[w] in pii._FIRST for w in others)
+    ends = [a + b + e for x, y, z in (("BDG", "aeiou", ("rska", "rová")), ("БВГ", "аеиоу", ("рова", "рина"))) for a in x for b in y for e in z]
+    assert all(pii._name(key, w)[-3:] == w[-3:] for w in ends) and len({pii._name(key, w) for w in ends}) == len(ends)
+
+
 def test_surrogates(spark):
     text_ = "Mr. John Smith, BOB.x@Mail.com bob.x@mail.com, +1 (988) 555-2485 or 988-555-2485, 4111 1111 1111 1111, 10.1.2.3, 123-45-6789, DE89370400440532013000. Анна Петрова"
     docs = frame(spark, [(1, text_), (2, text_), (2, text_), (3, None), (4, ""), (None, "a@b.com"), (5, prose(1, 5000))])
