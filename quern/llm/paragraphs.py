@@ -56,7 +56,7 @@ def _sketch(lines: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """The lines of at least `least` words of (d, x, text): d, x, pos, words."""
     rows = docs.select("d", "x", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    return rows.select("d", "x", "pos", normal("line").alias("words")).where(F.size(F.split("words", " ")) >= least)
+    return rows.select("d", "x", "pos", normal("line").alias("words")).where((F.col("words") != "") & (F.size(F.split("words", " ")) >= least))
 
 
 def paragraph_classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, least: int = 5, recall: float = 0.995, rounds: int = 2) -> DataFrame:
@@ -93,7 +93,8 @@ def near_paragraphs(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_repeated (paragraphs whose class has others), n_removed, removed (their places,
     from 0) and classes (of the repeated ones, as doc_id:place of the class's first paragraph).
 
-    Lines of fewer than five words, and so null and empty texts, are never repeated. Rows equal in doc_id and text count
+    Lines of fewer than `least` words (five, and one in the query), and so null and empty texts, are never repeated; a line
+    shorter than a shingle is one shingle, so that equal ones are a class. Rows equal in doc_id and text count
     as one document's copies: their paragraphs repeat each other and all but the first stay removed alike. A null doc_id
     comes before all others. An empty table gives no rows; other columns are ignored.
     """
@@ -122,4 +123,5 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_paragraphs(read(spark, sf_dir, "documents"))
+    """All lines that have a word take part."""
+    return near_paragraphs(read(spark, sf_dir, "documents"), least=1)

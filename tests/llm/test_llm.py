@@ -230,6 +230,13 @@ def test_paragraphs(spark):
     assert 1 - (1 - 0.8**r) ** bands >= 0.995
 
 
+def test_short_paragraphs(spark, tmp_path):
+    rows = [(1, "Read more\n\n今日は天気がいい"), (2, "other\nread  more"), (3, "今日は天気がいい"), (4, "\n"), (5, "once only")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_repeated"], r["removed"]) for r in paragraphs.op5_paragraph_minhash(spark, str(tmp_path)).collect()}
+    assert got == {1: (2, []), 2: (1, [1]), 3: (1, [0]), 4: (0, []), 5: (0, [])}
+
+
 # --- toxicity
 
 
