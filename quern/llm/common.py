@@ -1,9 +1,11 @@
-"""Helpers shared by the training-data operators: checkpoints, row keys and connected components."""
+"""Helpers shared by the training-data operators: checkpoints, size-checked joins and connected components."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -45,19 +47,83 @@ def need(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in types.items()])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task finishes: a fixed bound, whatever the input; above it, rounds over all tasks come first.
+SMALL = 1 << 18
+#: Rows that may be broadcast, of keys and a few numbers each. A table is counted before it is.
+BROADCAST_ROWS = 1 << 18
+
+
+def few(table: DataFrame, most: int | None = None) -> DataFrame:
+    """`table`, written down and counted, and marked for broadcast if it has at most `most` rows (BROADCAST_ROWS)."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= (BROADCAST_ROWS if most is None else most) else table
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, n: str = "n") -> DataFrame:
+    """Left join of `rows` to `table`, unique in `key`; its column named by `n`, the rows of a key (or more), isn't returned.
+
+    Keys of more than a `share`-th of the rows are `share` at most, so these are broadcast and no task gets such
+    a key's rows; the others are joined by a shuffle, or broadcast too where the whole table is counted to be small.
+    """
+    table = cut(table)
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(n)), key, "left")
+    most = rows.count() // share
+    hot = table.where(F.col(n) > most).drop(n)
+    cold = table.where(F.col(n) <= most).drop(n)
+    other = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(other)
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """(id, component) of at most SMALL edges, in one task."""
+    kind = dict(edges.dtypes)["a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            top = x
+            while (up := root.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                root[x], x = top, root[x]
+            return top
+
+        types = None
+        for batch in batches:
+            types = batch.schema.types[0]
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        if root:
+            ids = list(root)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, types), pa.array([find(x) for x in ids], types)], ["id", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, f"id {kind}, component {kind}")
+
+
+def components(edges: DataFrame, rounds: int = 60, small: int | None = None) -> DataFrame:
     """Connected components of an undirected edge list (a, b): returns (id, component), component the least id.
 
     Every round hooks each vertex to its least neighbour, doubles pointers until they reach roots and contracts
-    the edges, so that each round at least halves the vertices left. Hub vertices only meet combinable minima
-    and joins whose other side is unique per key, which adaptive execution splits. Only vertices with an edge
-    are returned.
+    the edges, so that each round at least halves the vertices left; what is left of at most `small` edges (SMALL) is
+    finished in one task. Hub vertices only meet combinable minima and joins whose other side is unique per key, which
+    adaptive execution splits. Only vertices with an edge are returned.
     """
     live = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     label = None
     for _ in range(rounds):
-        if live.isEmpty():
+        left = live.count()
+        if not left:
             break
+        if left <= (SMALL if small is None else small):
+            done = _finish(live)
+            if label is None:
+                return cut(done)
+            to = done.select(F.col("id").alias("component"), F.col("component").alias("p"))
+            return cut(label.join(to, "component", "left").select("id", F.coalesce("p", "component").alias("component")))
         both = live.union(live.select("b", "a"))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
         jump, more = hook, True  # the first doubling shares the hook's exchange with itself

@@ -6,9 +6,9 @@ about k (ln k + 3) of them, whatever its size; a hash deals darts to k coordinat
 is the signature. Bands of the signature join candidates, exact Jaccard on five-word shingles decides, and links
 are closed into classes.
 
-Skew: equal texts collapse to one representative before anything is banded, a bucket of n texts is first compared as
-stars around leaders (n comparisons), what stars leave in several components is compared block by block over many
-tasks, and classes come from contraction rounds.
+Skew: equal texts collapse to one representative before anything is banded; a bucket of few texts is compared pair by
+pair in one task; a larger one is first compared as a star around its least text (n comparisons), and what that leaves
+in several components is compared block by block over many tasks; classes come from contraction rounds.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm.common import components, cut, need, read
+from quern.llm.common import components, cut, few, lookup, need, read
 from quern.llm.text import mix, normal, parts, shingles
 
-#: Texts in a block of a bucket that stars leave in several components.
-BLOCK = 256
+#: Texts in a block of a bucket, and their bytes (a longer text is a block of its own).
+BLOCK, BYTES = 256, 1 << 23
 
 #: Cumulative Poisson(1) probabilities: a cell has as many darts as bounds lie below its uniform number.
 POISSON = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320, 362880], dtype=float))
@@ -172,39 +172,25 @@ def _bridges(sets: list[np.ndarray], labels: list, right: np.ndarray, threshold:
     return out
 
 
-def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links (a, b) that join whatever pairs of (bucket, h, c) with a bucket in common and different c join.
-
-    The texts of a bucket are dealt to blocks and blocks compared with blocks, each pair of blocks in a task of its own
-    choice; components that fill blocks get blocks of their own, so that they aren't compared with themselves.
-    """
-    open_ = named.groupBy("bucket").agg(
-        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("h").alias("first"), F.max("h").alias("last"), F.bit_xor(F.xxhash64("h")).alias("all"),
-    ).where("lo <> hi and n > 2")  # the star of two texts is all their pairs
-    open_ = open_.groupBy("n", "first", "last", "all").agg(F.min("bucket").alias("bucket"))  # bands that hold the same texts
-    rows = cut(named.join(open_.select("bucket"), "bucket"))
-    part = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= BLOCK, F.col("c")))
-    rows = rows.join(part.select("bucket", "c", "own"), ["bucket", "c"])
-    pool = part.groupBy("bucket", "own").agg(F.sum("m").alias("m"))
-    same = rows.select("bucket", "h", "c", "own").alias("r").join(pool.alias("p"), F.expr("r.bucket = p.bucket and r.own <=> p.own"))
-    block = F.xxhash64("r.bucket", "r.own", F.pmod(F.xxhash64("h"), F.ceil(F.col("m") / BLOCK)))
-    dealt = cut(same.select("r.bucket", "h", "c", "r.own", block.alias("block")))
-    heads = cut(dealt.select("bucket", "own", "block").distinct())
-    other = heads.select("bucket", F.col("own").alias("own2"), F.col("block").alias("block2"))
-    cells = heads.join(other, "bucket").where("block <= block2 and (own is null or own2 is null or own <> own2)")
-    cells = cut(cells.select("bucket", "block", "block2", F.xxhash64("bucket", "block", "block2").alias("g")))
-    sides = cells.select("bucket", "block", "g", F.lit(False).alias("side"))
-    sides = sides.union(cells.where("block <> block2").select("bucket", "block2", "g", F.lit(True)))
+def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) within the groups g of (g, h, c, side, words) that join what any links between texts of different c would
+    join. Texts of a group are compared with one another, or where `side` marks some, the others with those. Groups are
+    of bounded size, by the caller."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, held, sets = None, [], []
+        g, held, sets, kind = None, [], [], None
 
         def links() -> list[tuple]:
-            pairs = _bridges(sets, [x[1] for x in held], np.array([x[2] for x in held]), threshold) if len({x[1] for x in held}) > 1 else []
-            return [(held[u][0], held[v][0]) for u, v in pairs]
+            if len(held) == 2 and held[0][1] != held[1][1]:
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                good = both > 0 and both >= threshold * (len(sets[0]) + len(sets[1]) - both)
+                return [(held[0][0], held[1][0])] if good else []
+            if len({x[1] for x in held}) < 2:
+                return []
+            return [(held[u][0], held[v][0]) for u, v in _bridges(sets, [x[1] for x in held], np.array([x[2] for x in held]), threshold)]
 
         for batch in batches:
-            found: list[tuple] = []
+            kind, found = batch.schema.types[1], []
             rest = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
             for first, words in parts(batch.column(4)):
                 doc, item = shingles(words, width)
@@ -215,74 +201,98 @@ def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) ->
                         g, held, sets = rest[first + k][0], [], []
                     held.append(rest[first + k][1:])
                     sets.append(item[edge[k] : edge[k + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], batch.schema.types[1]) for k in range(2)], ["a", "b"])
-            kind = batch.schema.types[1]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in range(2)], ["a", "b"])
         if held and (found := links()):
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k in range(2)], ["a", "b"])
 
-    kind = dict(named.dtypes)["h"]
-    full = dealt.join(sides, ["bucket", "block"]).select("g", "h", "c", "side").join(texts.select("h", "words"), "h")
-    return full.select("g", "h", "c", "side", "words").repartition("g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    kind = dict(rows.dtypes)["h"]
+    rows = rows.select("g", "h", "c", "side", "words").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) that join whatever pairs of (bucket, h, size, c) with a bucket in common and different c join.
+
+    The texts of a bucket are dealt to blocks and blocks compared with blocks, each pair of blocks in a task of its own
+    choice; components that fill blocks get blocks of their own, so that they aren't compared with themselves.
+    """
+    open_ = named.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    rows = cut(named.join(open_, "bucket"))
+    part = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
+    part = part.withColumn("own", F.when((F.col("m") >= BLOCK) | (F.col("bytes") >= BYTES), F.col("c")))
+    rows = rows.join(part.select("bucket", "c", "own"), ["bucket", "c"])
+    pool = part.groupBy("bucket", "own").agg(F.ceil(F.greatest(F.sum("m") / BLOCK, F.sum("bytes") / BYTES)).alias("blocks"))
+    same = rows.select("bucket", "h", "c", "own").alias("r").join(pool.alias("p"), F.expr("r.bucket = p.bucket and r.own <=> p.own"))
+    block = F.xxhash64("r.bucket", "r.own", F.pmod(F.xxhash64("h"), "blocks"))
+    dealt = cut(same.select("r.bucket", "h", "c", "r.own", block.alias("block")))
+    heads = cut(dealt.select("bucket", "own", "block").distinct())
+    other = heads.select("bucket", F.col("own").alias("own2"), F.col("block").alias("block2"))
+    cells = heads.join(other, "bucket").where("block <= block2 and (own is null or own2 is null or own <> own2)")
+    cells = cut(cells.select("bucket", "block", "block2", F.xxhash64("bucket", "block", "block2").alias("g")))
+    sides = cells.select("bucket", "block", "g", F.lit(False).alias("side"))
+    sides = sides.union(cells.where("block <> block2").select("bucket", "block2", "g", F.lit(True)))
+    return _compare(dealt.join(sides, ["bucket", "block"]).select("g", "h", "c", "side").join(texts.select("h", "words"), "h"), threshold, width)
+
+
+def open_buckets(keys: DataFrame) -> DataFrame:
+    """Of the buckets (bucket, h, size) those of several h, and of buckets with the same h one: bucket, h, size, n, bytes."""
+    info = keys.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("h").alias("a"), F.max("h").alias("z"), F.bit_xor(F.xxhash64("h")).alias("all"),
+    ).where("n > 1")
+    one = info.groupBy("n", "a", "z", "all").agg(F.min(F.struct("bucket", "bytes")).alias("b")).select("b.bucket", "n", "b.bytes")
+    return cut(keys.join(one, "bucket"))
 
 
-def link_buckets(buckets: DataFrame, texts: DataFrame, threshold: float, width: int, rounds: int = 2) -> DataFrame:
-    """Verified links (a, b) that join all texts of each bucket (bucket, h) that links between its texts would join.
+def link_buckets(members: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Verified links (a, b) that join all texts of each bucket that links between its texts would join.
 
-    Round one compares every text of a bucket with its least; later rounds take the buckets that still hold several
-    components and compare two leaders of different components with the members of all others. What is still open
-    after `rounds` is compared pair by pair, in blocks.
+    `members` are as `open_buckets` gives them; `texts` has (h, words) of all their h. A bucket of at most BLOCK texts and
+    BYTES bytes is compared pair by pair in one task. A larger one is compared with its least text first; where that leaves
+    several components, blocks of its texts are compared with one another, save texts of one component.
     """
-    size = buckets.groupBy("bucket").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = cut(buckets.join(size.select("bucket", "a"), "bucket"))
-    texts = cut(texts.join(buckets.select("h").distinct(), "h"))
-    pairs = cut(buckets.where("a <> h").select("a", F.col("h").alias("b")).distinct())
-    links, tested = cut(verify(pairs, texts, threshold, width)), pairs
-    for _ in range(rounds - 1):
-        label = components(links)
-        named = buckets.select("bucket", "h").join(label.withColumnRenamed("id", "h"), "h", "left")
-        named = named.select("bucket", "h", F.coalesce("component", "h").alias("c"))
-        open_ = named.groupBy("bucket").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"),
-            F.max(F.struct("c", F.xxhash64("h"), "h")).alias("top"), F.max(F.struct(F.xxhash64("c", "h"), "h", "c")).alias("any"),
-        ).where("lo <> hi")
-        leads = open_.select("bucket", F.explode(F.array(
-            F.struct(F.col("top.h").alias("a"), F.col("top.c").alias("ca")), F.struct(F.col("any.h").alias("a"), F.col("any.c").alias("ca")),
-        )).alias("l")).select("bucket", "l.a", "l.ca")
-        more = named.join(leads, "bucket").where("c <> ca").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = cut(more.distinct().join(done, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links, tested = cut(links.union(verify(more, texts, threshold, width))), tested.union(more)
-    label = components(links)
-    named = buckets.select("bucket", "h").join(label.withColumnRenamed("id", "h"), "h", "left")
-    return cut(links.union(across(named.select("bucket", "h", F.coalesce("component", "h").alias("c")), texts, threshold, width)))
-
-
-def near_duplicates(
-    docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, rounds: int = 2,
-) -> DataFrame:
+    small = (F.col("n") <= BLOCK) & (F.col("bytes") <= BYTES)
+    groups = members.where(small).select(F.xxhash64("bucket").alias("g"), "h", F.col("h").alias("c"), F.lit(False).alias("side"))
+    links = cut(_compare(groups.join(texts.select("h", "words"), "h"), threshold, width))
+    large = cut(members.where(~small).select("bucket", "h", "size"))
+    if large.isEmpty():
+        return links
+    least = large.groupBy("bucket").agg(F.min("h").alias("a"))
+    pairs = large.join(least, "bucket").where("a <> h").select("a", F.col("h").alias("b")).distinct()
+    links = cut(links.union(verify(pairs, texts, threshold, width)))
+    named = large.join(components(links).withColumnRenamed("id", "h"), "h", "left")
+    named = named.select("bucket", "h", "size", F.coalesce("component", "h").alias("c"))
+    return cut(links.union(across(named, texts, threshold, width)))
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (it is that document).
 
-    Two texts link at a Jaccard similarity of `threshold` or more on `width`-word shingles of their lower-case words.
-    Texts equal in words always share a class, save texts without words: each of those is a class of its own. A null
-    text has no words. A null doc_id is kept as a row, never leads a class that has another id, and shares its text's
-    class. Repeated rows stay rows. Shorter texts are one shingle. Other columns are ignored.
+    Two texts link at a Jaccard similarity of `threshold` or more (0.8 itself included) on `width`-word shingles of their
+    lower-case words. Texts equal in words always share a class, save texts without words: each of those is a class of its
+    own. A null text has no words. A null doc_id is kept as a row, never leads a class that has another id, and shares its
+    text's class. Repeated rows stay rows. Shorter texts are one shingle; very long ones are hashed whole, in parts of
+    2 MB at a time. An empty table gives no rows. Other columns are ignored.
     """
     docs = need(docs, doc_id="long", text="string").select("doc_id", normal("text").alias("words"))
-    keyed = docs.select("doc_id", F.unhex(F.md5("words")).alias("h"), "words")
-    names = cut(sketch(keyed, bands, rows, width, "doc_id", "h"))
-    one = names.where("some").groupBy("h").agg(F.first("keys").alias("keys"))
-    buckets = one.select("h", F.posexplode("keys").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "h")
-    texts = keyed.groupBy("h").agg(F.first("words").alias("words"))
-    links = link_buckets(buckets, texts, threshold, width, rounds)
-    label = components(links).withColumnRenamed("id", "h")
-    rows_ = names.select("doc_id", "h", "some").join(label, "h", "left")
-    alone = F.struct(F.lit(False), F.encode(F.col("doc_id").cast("string"), "utf-8"))
-    rows_ = rows_.select("doc_id", F.when(F.col("some"), F.struct(F.lit(True), F.coalesce("component", "h"))).otherwise(alone).alias("c"))
-    head = rows_.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = rows_.join(head, "c").select("doc_id", "class_id", "class_size")
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    keyed = docs.select("doc_id", F.unhex(F.md5("words")).alias("h"), F.length("words").alias("size"), "words")
+    names = cut(sketch(keyed, bands, rows, width, "doc_id", "h", "size"))
+    some = names.where("some")
+    one = some.groupBy("h").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
+    keys = one.select("h", "size", F.posexplode("keys").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "h", "size")
+    members = open_buckets(keys)
+    texts = cut(keyed.join(few(members.select("h").distinct()), "h").dropDuplicates(["h"]).select("h", "words"))
+    label = components(link_buckets(members, texts, threshold, width))
+    # Per text first, so that no class and no text's copies have to meet in one task.
+    per = some.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    linked = per.join(label.withColumnRenamed("id", "h"), "h", "left").select("h", "least", "n", F.coalesce("component", "h").alias("c"))
+    linked = cut(linked)
+    classes = linked.groupBy("c").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n")).where("class_size > 1")
+    sizes = linked.withColumnRenamed("n", "copies")
+    table = lookup(sizes, classes, "c").where("class_size is not null").select("h", F.col("copies").alias("n"), "class_id", "class_size")
+    rows_ = some.select("doc_id", "h")
+    out = lookup(rows_, table, "h").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    alone = names.where("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.bwt import repeated
-from quern.llm.common import cut, need, read
+from quern.llm.common import cut, lookup, need, read
 from quern.llm.text import _BYTES, mix, powers
 
+#: Bytes of an anchor, at most; a third of the windows' length where that is less.
 SEED = 128
 #: Windows whose anchors are found at once.
 STEP = 1 << 18
@@ -33,7 +34,8 @@ BATCH = 1 << 20
 
 def _anchors(text: bytes, least: int) -> Iterator[tuple[int, int, int, int]]:
     """(first window, number of windows, anchor position, anchor hash) for all windows of `least` bytes, in order."""
-    total, wide = len(text) - least + 1, least - SEED + 1
+    seed = min(SEED, least // 3)
+    total, wide = len(text) - least + 1, least - seed + 1
     raw = np.frombuffer(text, dtype=np.uint8)
     for base in range(0, total, STEP):
         n = min(STEP, total - base)
@@ -41,7 +43,7 @@ def _anchors(text: bytes, least: int) -> Iterator[tuple[int, int, int, int]]:
         up, down = powers(len(buf))
         prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
         np.cumsum(_BYTES[buf] * up, out=prefix[1:])
-        value = mix((prefix[SEED:] - prefix[:-SEED]) * down[: len(buf) - SEED + 1])
+        value = mix((prefix[seed:] - prefix[:-seed]) * down[: len(buf) - seed + 1])
         low = (value & ~np.uint64(0xFFFFF)) | np.arange(len(value), dtype=np.uint64)  # ties go to the left
         span = 1
         while span * 2 <= wide:
@@ -139,15 +141,15 @@ def _split(rows: DataFrame, least: int, width: int) -> DataFrame:
 
 def _settle(rows: DataFrame, least: int, most: int, widths: tuple[int, ...]) -> DataFrame:
     """Repeated windows (g, c, j, m) of the different contexts (g, c, cnt, n, p, body), cnt their number of occurrences."""
-    many = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k"))
-    rows = rows.join(many, "g")
+    many = rows.groupBy("g").agg(F.count(F.lit(1)).alias("k")).withColumn("n_rows", F.col("k"))
+    rows = cut(lookup(rows, many, "g", n="n_rows"))
     cold = _transform(rows.where(F.col("k") <= most), least)
     hot = cut(rows.where(F.col("k") > most).drop("k"))
     if hot.isEmpty():
         return cold
     pieces = cut(_split(hot, least, widths[0]).join(hot.select(F.col("g").alias("og"), F.col("c").alias("oc"), "cnt"), ["og", "oc"]))
     total = pieces.groupBy("g").agg(F.sum("cnt").alias("all"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("all > 1")
-    pieces = pieces.join(total, "g")
+    pieces = lookup(pieces, total.withColumn("n_rows", F.col("all")), "g", n="n_rows").where("all is not null")
     whole = pieces.where("lo = hi").select("og", "oc", "oj", F.col("n").alias("m"))
     if len(widths) > 1:
         open_ = cut(pieces.where("lo <> hi").drop("all", "lo", "hi"))
@@ -164,8 +166,8 @@ def repeated_windows(docs: DataFrame, *, least: int = 400, most: int = 1024) ->
     """Windows of (d, x, text) that occur elsewhere too: (d, x, s, m), m windows from byte s."""
     every = cut(contexts(docs, least))
     seen = every.groupBy("a").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("all > 1")
-    seen = cut(seen)  # as a table of its own, so that the join can split an anchor that many contexts share
-    shared = cut(every.join(seen, "a").select("d", "x", "s", "n", "p", "a", "c", (F.col("lo") == F.col("hi")).alias("same")))
+    shared = lookup(every, seen.withColumn("n_rows", F.col("all")), "a", n="n_rows").where("all is not null")
+    shared = cut(shared.select("d", "x", "s", "n", "p", "a", "c", (F.col("lo") == F.col("hi")).alias("same")))
     whole = shared.where("same").select("d", "x", "s", F.col("n").alias("m"))
     mixed = shared.where("not same")
     one = mixed.groupBy("a", "c").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("d", "x", "s", "n", "p")).alias("r"))

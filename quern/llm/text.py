@@ -37,37 +37,84 @@ def normal(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"\s+", " "))
 
 
+class Words:
+    """The words of texts in the form that `normal` gives, all in one buffer: `begin` and `end` of each word, its text
+    (`owner`) and one past the last word of each text (`last`)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+        up, self.down = powers(len(self.buf))
+        self.prefix = np.zeros(len(self.buf) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[self.buf] * up, out=self.prefix[1:])
+        gap = self.buf == 32
+        self.begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        self.end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        first = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1] + 1
+        self.owner = np.searchsorted(first, self.begin, side="right") - 1
+        self.count = np.bincount(self.owner, minlength=len(texts))
+        self.last = np.cumsum(self.count)
+
+    def hashes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes of the strings from word i to word j, both included."""
+        b, e = self.begin[i], self.end[j]
+        return mix(((self.prefix[e] - self.prefix[b]) * self.down[b]) ^ ((e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of `width`-word shingles, as (index of the text, hash), ascending by both.
 
     Texts are in the form that `normal` gives. A text of fewer words has one shingle of all its words;
     a text without words has none.
     """
-    buf = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-    up, down = powers(len(buf))
-    prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[buf] * up, out=prefix[1:])
-    gap = buf == 32
-    begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
-    end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    if not len(begin):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    first = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1] + 1
-    owner = np.searchsorted(first, begin, side="right") - 1
-    count = np.bincount(owner, minlength=len(texts))
-    last = np.cumsum(count)  # one past the last word of each text
-    i = np.arange(len(begin))
-    full = i + width <= last[owner]
-    short = (count[owner] < width) & (i == last[owner] - count[owner])
+    doc, value, _ = weighted_shingles(texts, width)
+    return doc, value
+
+
+def weighted_shingles(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`shingles`, and how often each occurs in its text."""
+    w = Words(texts)
+    if not len(w.begin):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    i = np.arange(len(w.begin))
+    full = i + width <= w.last[w.owner]
+    short = (w.count[w.owner] < width) & (i == w.last[w.owner] - w.count[w.owner])
     pick = np.flatnonzero(full | short)
-    stop = np.where(full[pick], pick + width - 1, last[owner[pick]] - 1)
-    b, e = begin[pick], end[stop]
-    value = mix(((prefix[e] - prefix[b]) * down[b]) ^ ((e - b).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    order = np.lexsort((value, owner[pick]))
-    doc, value = owner[pick][order], value[order]
+    value = w.hashes(pick, np.where(full[pick], pick + width - 1, w.last[w.owner[pick]] - 1))
+    order = np.lexsort((value, w.owner[pick]))
+    doc, value = w.owner[pick][order], value[order]
     keep = np.ones(len(doc), dtype=bool)
     keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return doc[keep], value[keep]
+    at = np.flatnonzero(keep)
+    return doc[at], value[at], np.diff(np.append(at, len(doc)))
+
+
+def passages(w: Words, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (one past) of content-defined runs of words that cover all texts.
+
+    A run starts at each word whose hash with its next word is the least of the `reach` words before and after it, so
+    that a passage is cut alike wherever it stands; runs have more than `reach` words, and those at the ends of a text twice
+    as many, save where the text has fewer.
+    """
+    n = len(w.begin)
+    if not n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    i = np.arange(n)
+    value = w.hashes(i, np.minimum(i + 1, w.last[w.owner] - 1)) >> np.uint64(1)
+    place = i + reach * (w.owner + 1)  # gaps between texts
+    wide = np.full(place[-1] + reach + 1, np.uint64(1 << 63))
+    wide[place] = value
+    view = np.lib.stride_tricks.sliding_window_view(wide, reach)
+    before, after = view[place - reach].min(axis=1), view[place + 1].min(axis=1)
+    first = i == w.last[w.owner] - w.count[w.owner]
+    start = np.flatnonzero(first | ((value < before) & (value <= after)))
+    size = np.diff(np.append(start, n))
+    # At an end of its text a run may be no more than a stock phrase: a short first run joins the next, a short last one
+    # the one before.
+    short, head = size < 2 * (reach + 1), first[start]
+    tail = np.append(head[1:], True)
+    drop = ~head & ((tail & short) | np.append(False, (head & short)[:-1]))
+    start = start[~drop]
+    return start, np.append(start[1:], n)
 
 
 def parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:

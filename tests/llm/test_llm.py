@@ -34,6 +34,7 @@ def collected(df, key):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
+    """Against union-find: rounds alone, rounds until few edges are left, and one task alone."""
     r = random.Random(seed)
     edges = [(r.randrange(40), r.randrange(40)) for _ in range(25)] + [(100 + i, 101 + i) for i in range(30)] + [(500, 500 + i) for i in range(1, 20)]
     parent = {}
@@ -45,10 +46,20 @@ def test_components(spark, seed):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["id"]: x["component"] for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame_ = spark.createDataFrame(edges, "a long, b long")
+    got = {x["id"]: x["component"] for x in common.components(frame_, small=(0, 12, None)[seed]).collect()}
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_lookup(spark, monkeypatch):
+    """A hot key is joined apart from the others, with the same rows."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    rows = spark.createDataFrame([(i, 0 if i % 2 else i) for i in range(200)], "i long, k long")
+    table = spark.createDataFrame([(0, 101, "hot"), (2, 1, "a"), (4, 1, "b"), (999, 1, "none")], "k long, n long, v string")
+    got = {r["i"]: r["v"] for r in common.lookup(rows, table, "k", share=4).collect()}
+    assert got == {i: {0: "hot", 2: "a", 4: "b"}.get(0 if i % 2 else i) for i in range(200)}
+
+
 # --- packing
 
 
@@ -217,24 +228,57 @@ def test_shingles():
 # --- paragraphs
 
 
+def brute_units(t, reach=7):
+    """Paragraphs as lists of words, by the definition in words: runs start where a word pair's hash is least nearby."""
+    w = paragraphs.words(t or "")
+    if not w:
+        return []
+    x = text.Words([" ".join(w).encode()])
+    i = np.arange(len(w))
+    v = (x.hashes(i, np.minimum(i + 1, len(w) - 1)) >> np.uint64(1)).tolist()
+    start = [0, *(k for k in range(1, len(w)) if v[k] < min(v[max(0, k - reach) : k]) and v[k] <= min([*v[k + 1 : k + 1 + reach], 1 << 63]))]
+    if len(start) > 1 and start[1] < 2 * (reach + 1):
+        del start[1]
+    if len(start) > 1 and len(w) - start[-1] < 2 * (reach + 1):
+        del start[-1]
+    return [(a, b - a, " ".join(w[a:b])) for a, b in zip(start, [*start[1:], len(w)])]
+
+
 def test_paragraphs(spark):
-    p = [prose(i, 60) for i in range(4)]
-    rows = [(1, f"{p[0]}\n{p[1]}"), (2, f"{prose(9, 30)}\n{edited(p[0], 1, 1)}"), (3, f"{p[0]}\nshort line\n{p[2]}"), (4, "short line"), (5, None), (6, ""), (7, p[3]), (None, p[3]), (8, prose(8, 3000))]
-    got = {r["doc_id"]: r for r in paragraphs.near_paragraphs(frame(spark, rows)).collect()}
-    assert got[1]["removed"] == [] and got[1]["n_repeated"] == 1 and got[2]["removed"] == [1] and got[3]["removed"] == [0] and got[7]["removed"] == [0]
-    assert [got[i]["n_repeated"] for i in (4, 5, 6, 8)] == [0] * 4 and got[None]["removed"] == [] and got[2]["classes"] == ["1:0"]
+    """Against all pairs of paragraphs: passages inside lines, edited ones, short texts, scripts without blanks."""
+    passage, cjk = prose(70, 60), "今日は天気がいいので公園まで歩いて行きました"
+    rows = [(i, f"{prose(100 + i, 40, 5000)} {passage if i % 2 else edited(passage, i, 1)}\n{prose(200 + i, 30, 5000)}") for i in range(30)]
+    rows += [(40, "Read more"), (41, "read  MORE"), (42, None), (43, ""), (44, cjk), (45, cjk[:-1] + "よ"), (None, passage), (46, passage), (46, passage), (47, prose(8, 3000, 5000)), (48, f"{passage} {passage}"), (49, "\n")]
+    units = sorted({(-(1 << 63) if i is None else i, p, n, u) for i, t in rows for p, n, u in brute_units(t)})
+    kinds = sorted({u for *_, u in units})
+    of = dict(zip(kinds, jaccard_classes(list(enumerate(kinds)))))
+    first, many = {}, Counter(of[u] for i, t in rows for _, _, u in brute_units(t))
+    for d, p, _, u in units:
+        first.setdefault(of[u], (d, p))
+    want = {}
+    for i, t in rows:
+        d = -(1 << 63) if i is None else i
+        mine = [(p, n, of[u]) for p, n, u in brute_units(t) if many[of[u]] > 1]
+        want[i] = (len(mine), sorted((p, n) for p, n, c in mine if first[c] != (d, p)), sorted({"%d:%d" % first[c] for *_, c in mine}))
+    got = paragraphs.near_paragraphs(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: (r["n_repeated"], [tuple(x) for x in r["removed"]], r["classes"]) for r in got} == want
+    assert all(r["n_removed"] == len(r["removed"]) for r in got) and want[41] == (1, [(0, 2)], ["40:0"]) and want[45][1] and all(want[i][0] for i in range(30))
     kept = {r["doc_id"]: r["text"] for r in paragraphs.without_repeats(frame(spark, rows)).collect()}
-    assert kept[3] == f"short line\n{p[2]}" and kept[1] == rows[0][1]
-    assert paragraphs.near_paragraphs(frame(spark, [])).count() == 0
+    for i, t in rows:
+        gone = {k for p, n in want[i][1] for k in range(p, p + n)}
+        assert (kept[i] is None) == (t is None) and paragraphs.words(kept[i] or "") == [w for k, w in enumerate(paragraphs.words(t or "")) if k not in gone]
+    assert paragraphs.near_paragraphs(frame(spark, [])).count() == 0 and paragraphs.without_repeats(frame(spark, [])).count() == 0
     bands, r = paragraphs.tune(0.8, 0.995)
     assert 1 - (1 - 0.8**r) ** bands >= 0.995
 
 
-def test_short_paragraphs(spark, tmp_path):
-    rows = [(1, "Read more\n\n今日は天気がいい"), (2, "other\nread  more"), (3, "今日は天気がいい"), (4, "\n"), (5, "once only")]
-    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["n_repeated"], r["removed"]) for r in paragraphs.op5_paragraph_minhash(spark, str(tmp_path)).collect()}
-    assert got == {1: (2, []), 2: (1, [1]), 3: (1, [0]), 4: (0, []), 5: (0, [])}
+def test_passages_are_found_inside_lines(spark):
+    """Passages of fifty words or more of the benchmark, put into other prose, are found wherever they stand."""
+    rows = [(i, f"{prose(3000 + i, 25 + i % 9, 9000)} {prose(900 + i % 20, 52, 9000)} {prose(4000 + i, 35, 9000)}") for i in range(200)]
+    rows += [(1000 + i, prose(5000 + i, 90, 9000)) for i in range(100)]
+    got = {r["doc_id"]: r["n_repeated"] for r in paragraphs.near_paragraphs(frame(spark, rows)).collect()}
+    assert np.mean([got[i] > 0 for i in range(200)]) >= 0.9 and not any(got[1000 + i] for i in range(100))
 
 
 # --- toxicity
