@@ -34,10 +34,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+#: Bytes of a repeated string. A passage of over fifty words is longer (fifty words of four letters have 250 bytes); lines of
+#: boilerplate are shorter. op2 has its contract's 400.
+REPEAT_BYTES = 240
+
+
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that the remaining corpus repeats, narrowed to whole characters."""
+    """Texts without the strings of REPEAT_BYTES bytes that the remaining corpus repeats, narrowed to whole characters.
+
+    Null texts become empty, as empty ones stay; repeated rows that earlier stages left lose what they share; a long text
+    is treated like any other; an empty table gives no rows; columns besides those of `documents` are dropped.
+    """
     rest = tuple(c for c in COLUMNS if c not in ("doc_id", "text", "n_chars"))
-    done = substring.remove_repeats(_documents(docs), carry=rest)
+    done = substring.remove_repeats(_documents(docs), least=REPEAT_BYTES, carry=rest)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
