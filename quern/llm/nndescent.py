@@ -1,14 +1,16 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors are one vertex. A first neighbour graph comes from buckets of equal sign patterns under random
-directions; then rounds join each vertex's neighbours and reverse neighbours with one another, and pairs nearer than
-what a list holds replace its last entries, until few entries change. Near pairs are checked in double precision.
-
-A list whose every entry is over the threshold is saturated: it may be too short. Such vertices are enlarged to their
-whole cluster: the clusters of saturated vertices are joined through shared buckets, dealt to blocks, and blocks
-compared with blocks, where centres and radii often settle a whole block (angles obey the triangle inequality) and
-counts, not pairs, are returned. An audit compares a bounded set of vertices with all others and asks for further
-rounds if too few of their links were found.
+directions, in so many tables that a pair at the threshold shares a bucket with a fixed probability at every size; then
+rounds join each vertex's neighbours and reverse neighbours with one another, and pairs nearer than what a list holds
+replace its last entries, until few entries change. Near pairs are checked in double precision.
+
+A list whose every entry is over the threshold is saturated: it may be too short. The components of saturated vertices
+are enlarged to whole clusters: each is dealt to blocks, and its blocks, also those of two such components that share a
+bucket, are compared with one another. Centres and radii settle most block pairs (angles obey the triangle inequality),
+first for groups of blocks, then for blocks; the rest is counted by matrix products. Counts, not pairs, are returned,
+and a link between two components merges them. An audit compares a bounded set of vertices with all others, vertex by
+vertex; while it finds too little, the work is repeated with more tables and longer lists, and at last refused.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quern.llm.common import components, cut, read
+from quern.llm.common import components, cut, few, lookup, read
 from quern.llm.vectors import distinct, lists, matrix, valid
 
-#: Vertices in a bucket block of the first graph, and in a block of a cluster.
-BLOCK, CLUSTER = 256, 1024
+#: Vertices in a bucket block of the first graph, in a block of a cluster, and blocks in a group.
+BLOCK, CLUSTER, GROUP = 256, 1024, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,32 +100,35 @@ def _best(rows: DataFrame, near: int) -> DataFrame:
 
 
 def _lists(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each u among (u, v, s) as `near` array<struct<s, v>>, nearest first; a vertex has few proposals."""
+    """The k nearest of each u among (u, v, s) as `near` array<struct<s, v>>, nearest first. A vertex is in a bounded number of
+    groups, each of which proposes k at most, so it has few proposals."""
     top = F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, k)
     return pairs.groupBy("u").agg(top.alias("near"))
 
 
 def neighbour_lists(points: DataFrame, codes: DataFrame, *, k: int, rounds: int, settled: float = 0.01) -> DataFrame:
-    """NN-descent over (u, w), w unit vectors: (u, near)."""
+    """NN-descent over (u, w), w unit vectors: (u, near). Of a vertex that more than 4 k lists hold, 4 k by hash count."""
     total = points.count()
     size = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block = codes.join(cut(size), "code").select(F.xxhash64("code", F.pmod(F.xxhash64("u", "code"), F.ceil(F.col("n") / BLOCK))).alias("g"), "u")
+    block = lookup(codes, size.withColumn("many", F.col("n")), "code", n="many").where("n is not null")
+    block = block.select(F.xxhash64("code", F.pmod(F.xxhash64("u", "code"), F.ceil(F.col("n") / BLOCK))).alias("g"), "u")
     first = block.join(points, "u").select("g", "u", "w", F.lit(-1.0).alias("least")).repartition("g")
     near = cut(_lists(_best(first, k), k))
     for r in range(rounds):
         edges = near.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"))
         order = Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(r)))
-        back = edges.withColumn("i", F.row_number().over(order)).where(F.col("i") <= k).select(F.col("v").alias("g"), "u")
-        own = near.select(F.col("u").alias("g"), "u")
-        member = edges.select(F.col("u").alias("g"), F.col("v").alias("u")).union(back).union(own).distinct()
+        both = edges.withColumn("i", F.row_number().over(order)).where(F.col("i") <= 4 * k)
+        join = F.explode(F.when(F.col("i") <= k, F.array(F.struct(F.col("u").alias("g"), F.col("v").alias("u")), F.struct(F.col("v").alias("g"), F.col("u").alias("u"))))
+                         .otherwise(F.array(F.struct(F.col("u").alias("g"), F.col("v").alias("u")))))
+        member = both.select(join.alias("m")).select("m.g", "m.u").union(near.select(F.col("u").alias("g"), "u")).distinct()
         least = F.when(F.size("near") >= k, F.element_at("near", -1)["s"]).otherwise(F.lit(-1.0)).cast("double")
         known = points.join(near.select("u", least.alias("least")), "u", "left").select("u", "w", F.coalesce("least", F.lit(-1.0)).alias("least"))
         found = _best(member.join(known, "u").select("g", "u", "w", "least").repartition("g"), k)
         old = near.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s"))
-        after = cut(_lists(found.union(old), k))
-        same = near.select("u", F.col("near").alias("was")).join(after, "u")
-        changed = same.select(F.sum(F.size(F.array_except("near", "was"))).alias("n")).first()["n"] or 0
-        near = after
+        was = near.select("u", F.col("near").alias("was"))
+        after = cut(_lists(found.union(old), k).join(was, "u", "left"))
+        changed = after.select(F.sum(F.size(F.array_except("near", F.coalesce("was", F.array().cast("array<struct<s:float,v:bigint>>"))))).alias("n")).first()["n"] or 0
+        near = after.select("u", "near")
         if changed < settled * k * total:
             break
     return near
@@ -142,47 +147,98 @@ def _check(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def _enlarge(members: DataFrame, least: float) -> DataFrame:
-    """(u, links) over whole clusters: `members` has (c, u, n, v), n the rows of a vertex; links counts rows, not u's own."""
-    theta = float(np.arccos(least))
-    size = cut(members.groupBy("c").agg(F.count(F.lit(1)).alias("k")))
-    dealt = cut(members.join(size, "c").withColumn("block", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / CLUSTER))).drop("k"))
+def _ball(x: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, float]:
+    """A centre of unit vectors and the angle from it within which all lie, each reaching `far` further."""
+    middle = x.mean(axis=0, keepdims=True)
+    middle = _unit(middle) if np.linalg.norm(middle) > 1e-9 else x[:1]
+    return middle, float((np.arccos(np.clip(x @ middle[0], -1, 1)) + far).max())
+
+
+HEAD = "c long, block long, m array<double>, far double, n long"
+
+
+def _settled(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs of balls (m, far and m2, far2) with `all` (every pair of their vectors links) and `none`."""
+    theta, slack = float(np.arccos(least)), 1e-7
+    dot = F.aggregate(F.zip_with("m", "m2", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    angle = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))
+    return pairs.withColumn("angle", angle).select(
+        "c", "block", "c2", "block2", "n", "n2", (F.col("angle") + F.col("far") + F.col("far2") < theta - slack).alias("all"),
+        (F.col("angle") - F.col("far") - F.col("far2") > theta + slack).alias("none"))
+
+
+def _second(heads: DataFrame) -> DataFrame:
+    return heads.select(F.col("c").alias("c2"), F.col("block").alias("block2"), F.col("m").alias("m2"), F.col("far").alias("far2"), F.col("n").alias("n2"))
+
+
+def enlarge(members: DataFrame, between: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(u, links) over whole clusters, and the pairs (a, b) of clusters that a link joins.
+
+    `members` has (c, u, n, v), n the rows of a vertex; `between` has pairs (c, c2), c < c2, of clusters to compare besides
+    each with itself. links counts the rows linked with u, without u's own one.
+    """
+    size = cut(members.groupBy("c").agg(F.count(F.lit(1)).alias("k")).withColumn("blocks", F.ceil(F.col("k") / CLUSTER)))
+    dealt = cut(lookup(members, size, "c", n="k").withColumn("block", F.pmod(F.xxhash64("u"), "blocks")).drop("blocks"))
 
     def summary(t: pa.Table) -> pa.Table:
         x = _unit(matrix(t["v"]))
-        middle = x.mean(axis=0, keepdims=True)
-        middle = _unit(middle) if np.linalg.norm(middle) > 1e-9 else x[:1]
-        far = float(np.arccos(np.clip(x @ middle[0], -1, 1)).max())
+        middle, far = _ball(x, np.zeros(len(x)))
         return pa.table([t["c"][:1], t["block"][:1], lists(middle), pa.array([far]), pa.array([int(np.sum(t["n"].to_numpy()))])], ["c", "block", "m", "far", "n"])
 
-    heads = cut(dealt.groupBy("c", "block").applyInArrow(summary, "c long, block long, m array<double>, far double, n long"))
-    right = heads.select("c", F.col("block").alias("other"), F.col("m").alias("m2"), F.col("far").alias("far2"), F.col("n").alias("n2"))
-    both = heads.join(right, "c")  # blocks of one cluster, each a thousand vertices
-    dot = F.aggregate(F.zip_with("m", "m2", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    angle = F.acos(F.greatest(F.least(dot, F.lit(1.0)), F.lit(-1.0)))
-    slack = 1e-7
-    both = cut(both.select("c", "block", "other", "n2", (angle + F.col("far") + F.col("far2") < theta - slack).alias("all"), (angle - F.col("far") - F.col("far2") > theta + slack).alias("none")))
-    whole = both.where(F.col("all")).groupBy("c", "block").agg(F.sum("n2").alias("links"))
-    sure = dealt.join(whole, ["c", "block"]).select("u", "links")
-    cells = both.where("not all and not none").select("c", "block", "other")
+    def group(t: pa.Table) -> pa.Table:
+        middle, far = _ball(matrix(t["m"]), t["far"].to_numpy())
+        return pa.table([t["c"][:1], t["g"][:1], lists(middle), pa.array([far]), pa.array([int(np.sum(t["n"].to_numpy()))])], ["c", "block", "m", "far", "n"])
+
+    heads = cut(dealt.groupBy("c", "block").applyInArrow(summary, HEAD))
+    wide = cut(heads.withColumn("g", F.floor(F.col("block") / GROUP)).groupBy("c", "g").applyInArrow(group, HEAD))
+    groups = size.select(F.col("c").alias("c2"), F.ceil(F.col("blocks") / GROUP).alias("groups"))
+    whole = cut(between.select("c", "c2").union(size.select("c", F.col("c").alias("c2"))))
+    # The group of the other side is part of the key, so that no cluster is one key of a join.
+    first = wide.join(whole, "c").join(groups, "c2").withColumn("block2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    first = cut(_settled(first.join(_second(wide), ["c2", "block2"]).where("c < c2 or block <= block2"), least).where("not none"))
+    parted = heads.withColumn("g", F.floor(F.col("block") / GROUP))
+    open_ = first.where("not all").select("c", F.col("block").alias("g"), "c2", F.col("block2").alias("g2"))
+    second = open_.join(parted, ["c", "g"]).join(_second(heads).withColumn("g2", F.floor(F.col("block2") / GROUP)), ["c2", "g2"])
+    second = cut(_settled(second.where("c < c2 or block <= block2"), least).where("not none"))
+
+    def sums(pairs: DataFrame) -> DataFrame:
+        """Rows linked with all of a block, from pairs of blocks where all link; a pair counts for both of its sides."""
+        other = pairs.where("c < c2 or block < block2").select(F.col("c2").alias("c"), F.col("block2").alias("block"), F.col("n").alias("n2"))
+        return pairs.select("c", "block", "n2").union(other).groupBy("c", "block").agg(F.sum("n2").alias("links"))
+
+    by_group = dealt.withColumn("g", F.floor(F.col("block") / GROUP)).join(sums(first.where("all")).withColumnRenamed("block", "g"), ["c", "g"]).select("u", "links")
+    by_block = dealt.join(sums(second.where("all")), ["c", "block"]).select("u", "links")
+    cells = second.where("not all").select("c", "block", "c2", "block2")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 2, ["u", "links"])
-        x, y, n = _unit(matrix(left["va"])), _unit(matrix(right["vb"])), right["nb"].to_numpy()
-        return pa.table([left["ua"], pa.array(((x @ y.T >= least) @ n).astype(np.int64))], ["u", "links"])
+            return pa.table([pa.array([], pa.int64())] * 4, ["u", "links", "a", "b"])
+        one = left["ca"][0].as_py(), left["ba"][0].as_py()
+        two = left["c2"][0].as_py(), left["o2"][0].as_py()
+        hit = _unit(matrix(left["va"])) @ _unit(matrix(right["vb"])).T >= least
+        u, links = left["ua"].to_numpy(), hit @ right["nb"].to_numpy()
+        if one != two:
+            u, links = np.concatenate([u, right["ub"].to_numpy()]), np.concatenate([links, hit.T @ left["na"].to_numpy()])
+        a = np.full(len(u), one[0])
+        return pa.table([pa.array(u), pa.array(links.astype(np.int64)), pa.array(a), pa.array(np.full(len(u), two[0] if hit.any() else one[0]))], ["u", "links", "a", "b"])
 
     # Fresh names: the two sides come from the same table.
-    a = dealt.join(cells, ["c", "block"]).select(F.col("c").alias("ca"), F.col("block").alias("ba"), F.col("other").alias("oa"), F.col("u").alias("ua"), F.col("v").alias("va"))
-    b = dealt.withColumnRenamed("block", "other").join(cells, ["c", "other"])
-    b = b.select(F.col("c").alias("cb"), F.col("block").alias("bb"), F.col("other").alias("ob"), F.col("n").alias("nb"), F.col("v").alias("vb"))
-    rest = a.groupBy("ca", "ba", "oa").cogroup(b.groupBy("cb", "bb", "ob")).applyInArrow(count, "u long, links long")
-    links = sure.union(rest).groupBy("u").agg(F.sum("links").alias("links"))
-    return links.select("u", (F.col("links") - 1).alias("links"))
+    a = dealt.join(cells, ["c", "block"]).select(F.col("c").alias("ca"), F.col("block").alias("ba"), "c2", F.col("block2").alias("o2"), F.col("u").alias("ua"), F.col("n").alias("na"), F.col("v").alias("va"))
+    b = _renamed(dealt).join(cells.select(F.col("c").alias("cb"), F.col("block").alias("bb"), F.col("c2").alias("c"), F.col("block2").alias("block")), ["c", "block"])
+    b = b.select("cb", "bb", F.col("c").alias("c3"), F.col("block").alias("o3"), "ub", "nb", "vb")
+    rest = cut(a.groupBy("ca", "ba", "c2", "o2").cogroup(b.groupBy("cb", "bb", "c3", "o3")).applyInArrow(count, "u long, links long, a long, b long"))
+    links = by_group.union(by_block).union(rest.select("u", "links")).groupBy("u").agg(F.sum("links").alias("links"))
+    merged = rest.select("a", "b").union(first.where("all").select("c", "c2")).union(second.where("all").select("c", "c2")).where("a <> b").distinct()
+    return links.select("u", (F.col("links") - 1).alias("links")), merged
+
 
+def _renamed(dealt: DataFrame) -> DataFrame:
+    return dealt.select("c", "block", F.col("u").alias("ub"), F.col("n").alias("nb"), F.col("v").alias("vb"))
 
-def audit(rows: DataFrame, least: float, some: int) -> DataFrame:
-    """The true number of linked rows of the `some` vertices of least hash, each compared with all: (u, truth)."""
+
+def audit(rows: DataFrame, links: DataFrame, least: float, some: int, short: int) -> float:
+    """The recall of `links` (u, far) over the `some` vertices of least hash, each compared with all rows: the mean over
+    vertices that have links of the share found, or that mean over those of at most `short` links, if it is less."""
     asked = rows.select("u", "v").orderBy(F.xxhash64("u", F.lit(1)), "u").limit(some).collect()
     names, q = np.array([r["u"] for r in asked], dtype=np.int64), _unit(np.array([r["v"] for r in asked]))
 
@@ -193,80 +249,102 @@ def audit(rows: DataFrame, least: float, some: int) -> DataFrame:
                 hits += (_unit(matrix(b.column(0))) @ q.T >= least).T @ b.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(hits)], ["u", "truth"])
 
-    return rows.select("v", "n").mapInArrow(run, "u long, truth long").groupBy("u").agg((F.sum("truth") - 1).alias("truth"))
+    truth = rows.select("v", "n").mapInArrow(run, "u long, truth long").groupBy("u").agg(F.sum("truth").alias("truth"))
+    both = truth.join(rows.select("u", "n"), "u").join(links.select("u", "far"), "u", "left").select((F.col("truth") - F.col("n")).alias("truth"), F.coalesce("far", F.lit(0)).alias("far"))
+    share = F.when(F.col("truth") > 0, F.least(F.col("far") / F.col("truth"), F.lit(1.0)))
+    got = both.select(F.avg(share).alias("every"), F.avg(F.when(F.col("truth") <= short, share)).alias("low")).first()
+    return min(x for x in (got["every"], got["low"], 1.0) if x is not None)
 
 
 def near_vectors(
-    vectors: DataFrame, *, least: float = 0.95, k: int = 8, tables: int = 6, rounds: int = 3, audited: int = 200, recall: float = 0.98, attempts: int = 2,
+    vectors: DataFrame, *, least: float = 0.95, k: int = 8, collide: float = 0.95, rounds: int = 3, audited: int = 1000, recall: float = 0.98, attempts: int = 4,
 ) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links (other rows of cosine `least` or more), component_id (least vec_id
     reachable over links) and kept (vec_id is it).
 
+    `collide` is the probability that a pair at the threshold shares a bucket of the first graph. The audit compares
+    `audited` vertices with all; where less than `recall` of their links was found, the next attempt has twice the tables
+    and lists. After `attempts` the result is refused with an error. A pair is linked if its cosine in double precision
+    is `least` or more, `least` itself included.
+
     Null or zero vectors, null or non-finite components and vectors of another length than most link with nothing and
     are components of their own. Rows equal in id and vector are one vector, each returned; an id with several vectors is
     given the links of all of them. A null id is returned with no links and a null component. An empty table gives no
     rows; other columns are ignored.
     """
     base = valid(vectors)
-    classes = distinct(base, 1).select("v", "id", "n")
+    both = F.struct(F.xxhash64("v").alias("x"), F.xxhash64(F.lit(1), "v").alias("y"))  # 128 bits stand for a vector
+    base = cut(base.select("vec_id", "v", both.alias("h")))
     # An id with several vectors leads at most one vertex by its id, so vertices are numbered by id and vector.
-    rows = cut(classes.select(F.xxhash64("id", "v").alias("u"), "id", "n", "v"))
+    rows = cut(distinct(base.select("vec_id", "v"), 1).select(F.xxhash64("id", "v").alias("u"), both.alias("h"), "id", "n", "v"))
     top = rows.select(F.size("v").alias("d")).first()
     total = rows.count()
     if top is None or total < 2:
         links = rows.select("u", F.lit(0).cast("long").alias("far"))
-        label = components(rows.select(F.col("u").alias("a"), F.col("u").alias("b")))
+        label = rows.select(F.col("u").alias("id"), F.col("u").alias("component")).limit(0)
     else:
         norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
         big = F.array_max(F.transform("v", F.abs))
         scaled = rows.select("u", F.transform("v", lambda x: x / big).alias("v"))
         points = cut(scaled.select("u", F.transform("v", lambda x: (x / norm).cast("float")).alias("w")))
         bits = int(np.clip(np.ceil(np.log2(max(2, total) / 24)), 2, 30))
+        tables = int(np.ceil(np.log(1 - collide) / np.log(1 - (1 - np.arccos(least) / np.pi) ** bits)))
         for attempt in range(attempts):
-            codes = cut(_codes(points, top["d"], bits, tables * (attempt + 1)))
+            codes = cut(_codes(points, top["d"], bits, tables << attempt))
             near = neighbour_lists(points, codes, k=k << attempt, rounds=rounds + attempt)
             links, label = _linked(rows, codes, near, least, k << attempt)
-            sample = audit(rows, least, audited).join(links.select("u", F.col("far")), "u", "left").join(rows.select("u", "n"), "u")
-            seen = sample.select(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("far", F.lit(0)) + F.col("n") - 1)).alias("f")).first()
-            if (seen["f"] or 0) >= recall * (seen["t"] or 0):
+            found = audit(rows, links, least, audited, k << attempt)
+            if found >= recall:
                 break
-    named = rows.join(label.select(F.col("id").alias("u"), "component"), "u", "left").select("u", "id", "n", "v", F.coalesce("component", "u").alias("c"))
-    named = named.join(links, "u", "left").select("v", "n", "c", F.coalesce("far", F.lit(0)).alias("far"))
-    ids = cut(base.join(named, "v").select("vec_id", "c", (F.col("far") + F.col("n") - 1).alias("n_links")))
+        else:
+            raise RuntimeError(f"the audit found {found:.3f} of the links, under {recall}; raise k, collide or rounds")
+    named = rows.select("u", "h", "n").join(label.select(F.col("id").alias("u"), "component"), "u", "left").join(links, "u", "left")
+    table = named.select("h", "n", F.col("n").alias("copies"), F.coalesce("component", "u").alias("c"), F.coalesce("far", F.lit(0)).alias("far"))
+    ids = lookup(base.select("vec_id", "h"), table, "h")
+    ids = cut(ids.select("vec_id", "c", (F.col("far") + F.col("copies") - 1).alias("n_links")))
     # Vertices that share an id are one row's links, hence one component.
-    multi = ids.groupBy("vec_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("a", "b")
-    joined = components(multi).withColumnRenamed("id", "c").withColumnRenamed("component", "c2")
-    ids = ids.join(joined, "c", "left").select("vec_id", F.coalesce("c2", "c").alias("c"), "n_links")
-    head = ids.groupBy("c").agg(F.min("vec_id").alias("component_id"))
-    per = ids.join(head, "c").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    multi = cut(ids.groupBy("vec_id").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "b"))
+    if not multi.isEmpty():
+        joined = components(multi).withColumnRenamed("id", "c").withColumnRenamed("component", "c2")
+        ids = ids.join(few(joined), "c", "left").select("vec_id", F.coalesce("c2", "c").alias("c"), "n_links")
+    head = ids.groupBy("c").agg(F.min("vec_id").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    per = lookup(ids, head, "c").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min(F.coalesce("component_id", "vec_id")).alias("component_id"))
     out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(per, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def _between(codes: DataFrame, within: DataFrame) -> DataFrame:
+    """Pairs (c, c2) of different clusters of `within` (c, u) that share a bucket; buckets of many clusters are dealt to
+    groups of about 32."""
+    spot = cut(codes.join(within, "u").select("code", "c").distinct())
+    many = spot.groupBy("code").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("n", F.col("m"))
+    spot = lookup(spot, many, "code").where("m is not null").withColumn("g", F.pmod(F.xxhash64("c", "code"), F.ceil(F.col("m") / 32)))
+    sets = spot.groupBy("code", "g").agg(F.collect_set("c").alias("cs"))
+    pairs = F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: y > x), lambda y: F.struct(x.alias("c"), y.alias("c2")))))
+    return sets.select(F.explode(pairs).alias("p")).select("p.c", "p.c2").distinct()
+
+
 def _linked(rows: DataFrame, codes: DataFrame, near: DataFrame, least: float, k: int) -> tuple[DataFrame, DataFrame]:
     """(u, far): rows linked to u besides its own; and (id, component) of vertices with links."""
     edges = near.select("u", F.explode("near").alias("e")).where(F.col("e.s") >= least - 0.001)
     pairs = edges.select(F.least("u", F.col("e.v")).alias("a"), F.greatest("u", F.col("e.v")).alias("b")).distinct()
     pairs = cut(_check(pairs, rows, least))
     both = pairs.union(pairs.select("b", "a"))
-    degree = cut(both.groupBy(F.col("a").alias("u")).agg(F.count(F.lit(1)).alias("k")))
-    full = cut(degree.where(F.col("k") >= k).select("u"))
+    full = both.groupBy(F.col("a").alias("u")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= k).select("u")
     label = components(pairs)
-    if not full.isEmpty():
-        # Saturated clusters that share a bucket are compared by their least members.
-        spot = codes.join(full, "u").join(label.withColumnRenamed("id", "u"), "u").groupBy("code", "component").agg(F.min("u").alias("u"))
-        lead = spot.groupBy("code").agg(F.min("u").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("code", "a")
-        more = spot.join(lead, "code").where("a <> u").select("a", F.col("u").alias("b")).distinct()
-        more = cut(_check(more, rows, least))  # between different components, so new links
-        if not more.isEmpty():
-            label = components(pairs.union(more))
-    wide = label.join(full.withColumnRenamed("u", "id"), "id", "left_semi").select("component").distinct()
+    wide = few(label.join(full.withColumnRenamed("u", "id"), "id", "left_semi").select("component").distinct())
     within = cut(label.join(wide, "component").select(F.col("component").alias("c"), F.col("id").alias("u")))
-    counted = _enlarge(within.join(rows.select("u", "n", "v"), "u"), least)
+    far = both.join(rows.select(F.col("u").alias("b"), "n"), "b").groupBy(F.col("a").alias("u")).agg(F.sum("n").alias("far"))
+    if within.isEmpty():
+        return cut(far), label
+    counted, merged = enlarge(within.join(rows.select("u", "n", "v"), "u"), _between(codes, within), least)
+    merged = cut(merged)
+    if not merged.isEmpty():
+        joined = components(merged).select(F.col("id").alias("component"), F.col("component").alias("c2"))
+        label = cut(label.join(few(joined), "component", "left").select("id", F.coalesce("c2", "component").alias("component")))
     counted = counted.join(rows.select("u", "n"), "u").select("u", (F.col("links") - F.col("n") + 1).alias("far"))
-    rest = both.join(within.select(F.col("u").alias("a")), "a", "left_anti").join(rows.select(F.col("u").alias("b"), "n"), "b")
-    rest = rest.groupBy(F.col("a").alias("u")).agg(F.sum("n").alias("far"))
+    rest = far.join(within.select("u"), "u", "left_anti")
     return cut(counted.union(rest)), label
 
 

@@ -7,8 +7,8 @@ groups of equal token counts. All of it happens inside a partition and in bounde
 a partition's last windows are cut along powers of two and nothing is ever padded.
 
 Ids come from the byte-level vocabulary `byte_bpe_50k`; its rank file run by tiktoken gives the ids that the
-tokenizers library gives for the JSON file (tests hold the two together) at several times the speed. With `special`,
-as in the queries, the JSON file's added tokens are one id each, as that library has it by default.
+tokenizers library gives for the JSON file (tests hold the two together) at several times the speed. The JSON file's
+added tokens are one id each, as that library has it by default.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ SCHEMA = (
 PART_CHARS = 1 << 17
 
 
-def encoder(vocabulary: str | None = None, special: bool = False):
-    """A function text -> list of ids. `vocabulary` is the path of a rank file; by default the public byte-level one.
-    With `special`, the public vocabulary's added tokens get their own ids; else they are text like any other."""
+def encoder(vocabulary: str | None = None, special: bool = True):
+    """A function text -> list of ids. `vocabulary` is the path of a rank file; by default the public byte-level one, whose
+    added tokens get their own ids unless `special` is off; then they are text like any other."""
     import public_tokenizers
     import tiktoken
 
@@ -156,14 +156,15 @@ class Packer:
 
 def pack(
     docs: DataFrame, *, window: int = 2048, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1,
-    pool: int = 1024, step_tokens: int = 32768, vocabulary: str | None = None, special: bool = False,
+    pool: int = 1024, step_tokens: int = 32768, vocabulary: str | None = None, special: bool = True,
 ) -> DataFrame:
     """Pack (doc_id, text) into sequences of at most `window` tokens; one row per piece of a document.
 
     Columns: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with the end id), sequence_id,
     offset in the sequence, tier (the sequence's length) and step_group (sequences of one tier, `step_tokens` ids).
     A null text counts as empty and yields the end id alone; a null doc_id is kept; repeated rows are packed as
-    often as they occur; an empty table gives no rows; other columns are ignored. `special` is as in `encoder`.
+    often as they occur; a text of any length is encoded whole, in parts that its own split pattern separates; an empty
+    table gives no rows; other columns are ignored. `special` is as in `encoder`.
     """
     tiers = tuple(sorted(t for t in tiers if t < window)) + (window,)
 
@@ -196,6 +197,6 @@ def pack(
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed at 2048 tokens; the ids of each piece are given as their CRC-32."""
-    return pack(read(spark, sf_dir, "documents"), special=True).select(
+    return pack(read(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group"
     )

@@ -6,12 +6,17 @@ the same surrogate (coreference), and because the map permutes the values of a f
 vowels, upper case upper case, digits digits; given names come from a list of the same gender and script; card
 numbers keep their issuer digit and Luhn validity, IP addresses their class, IBANs their country and checksum.
 `collisions` checks both properties over everything found.
+
+The permutation of a format is one cycle through all its values in a keyed order, and a value is replaced by the next
+one of its kind: so no value keeps itself, unless it is the only one. There is no default key: whoever knows it can
+invert the replacements.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,6 +43,12 @@ ENDINGS = ("ова", "ева", "ина", "ая", "ова", "ska", "ová")
 # Titles before a name.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
 
+# Phrases that a name follows, in the four languages.
+PHRASES = (
+    "My name is", "my name is", "Dear", "Sincerely,", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "Liebe", "Lieber", "je m'appelle", "Je m'appelle",
+    "Cher", "Chère", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "Estimado", "Estimada",
+)
+
 _CLASS = {c: (k, i) for k, letters in enumerate(ALPHABETS) for i, c in enumerate(letters)}
 _FIRST = {name: (where, i) for where, names in GIVEN.items() for i, name in enumerate(names)}
 _CAP = r"[A-ZÀ-ÖØ-ÞŠŽ][a-zß-öø-ÿšž]+|[А-ЯЁ][а-яё]+|[Α-Ω][α-ωά-ώ]+"
@@ -50,29 +61,36 @@ ENTITY = re.compile(
     r"|(?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w))"
     r"|(?P<phone2>(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w))"
-    rf"|(?P<name>(?:\b(?:{'|'.join(TITLES)})\b\.? (?:{_CAP})(?: (?:{_CAP}))?)|(?:\b(?:{'|'.join(sorted(_FIRST))})\b(?: (?:{_CAP}))))"
+    rf"|(?P<name>(?:\b(?:{'|'.join(TITLES)})\b\.? (?:{_CAP})(?: (?:{_CAP}))?)|(?:\b(?:{'|'.join(sorted(_FIRST))})\b(?: (?:{_CAP})))"
+    rf"|(?:{'|'.join(rf'(?<=\b{re.escape(p)} )' for p in PHRASES)})(?:{_CAP})(?: (?:{_CAP}))?)"
 )
-_CUES = {*TITLES, *_FIRST}
+_CUES = {*TITLES, *_FIRST, *(p for p in PHRASES if p.istitle() and p.isalpha())}
+_SAID = tuple(p for p in PHRASES if p not in _CUES)
 _DIGIT, _CAPITAL = re.compile(r"[@0-9]"), re.compile(r"[A-ZÀ-ÞŠŽА-Я][^\W\d_]+")
 
 
 def hinted(text: str) -> bool:
     """Whether the text can hold an entity at all; where not, the long pattern need not run."""
-    return bool(_DIGIT.search(text)) or not _CUES.isdisjoint(_CAPITAL.findall(text))
+    return bool(_DIGIT.search(text)) or not _CUES.isdisjoint(_CAPITAL.findall(text)) or any(p in text for p in _SAID)
 
 
 def permute(key: bytes, tweak: str, sizes: list[int], value: list[int]) -> list[int]:
-    """A keyed permutation of all mixed-radix numbers with digits below `sizes`: ten rounds of an alternating network."""
+    """The mixed-radix number with digits below `sizes` that follows `value` in a keyed order of all of them, the last being
+    followed by the first. The order is given by ten rounds of an alternating network, which are undone after one step."""
     if len(sizes) == 1:
-        sizes, value = [sizes[0], 1], [value[0], 0]
         order = sorted(range(sizes[0]), key=lambda i: _prf(key, tweak, i, 99))
-        return [order[value[0]]]
+        return [order[(order.index(value[0]) + 1) % sizes[0]]]
     half = len(sizes) // 2
-    part = [_number(sizes[:half], value[:half]), _number(sizes[half:], value[half:])]
     modulus = [_product(sizes[:half]), _product(sizes[half:])]
+    part = [_number(sizes[:half], value[:half]), _number(sizes[half:], value[half:])]
     for r in range(10):
         a = r % 2
         part[a] = (part[a] + _prf(key, tweak, part[1 - a], r)) % modulus[a]
+    place = (part[0] * modulus[1] + part[1] + 1) % (modulus[0] * modulus[1])
+    part = list(divmod(place, modulus[1]))
+    for r in reversed(range(10)):
+        a = r % 2
+        part[a] = (part[a] - _prf(key, tweak, part[1 - a], r)) % modulus[a]
     return _digits(sizes[:half], part[0]) + _digits(sizes[half:], part[1])
 
 
@@ -247,29 +265,50 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
     return {"ip": _ip, "iban": _iban, "name": _name}[kind](key, text)
 
 
+def entities(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all entities in order. A family name that occurs in a name is one wherever else it stands alone."""
+    if not hinted(text):
+        return []
+    found = [(m.lastgroup.rstrip("2"), m.start(), m.end()) for m in ENTITY.finditer(text)]
+    family = {w for kind, a, b in found if kind == "name" for w in text[a:b].split(" ") if w.rstrip(".") not in TITLES and w not in _FIRST and len(w) > 2}
+    if not family:
+        return found
+    alone, taken = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(family)))})(?!\w)"), set()
+    for _, a, b in found:
+        taken.update(range(a, b))
+    return sorted([*found, *(("name", m.start(), m.end()) for m in alone.finditer(text) if m.start() not in taken and m.end() - 1 not in taken)], key=lambda e: e[1])
+
+
 def replace(text: str, swap: Callable[[str, str], str]) -> tuple[str, list[tuple[str, int, int, int, int]]]:
     """The text with every entity swapped, and (kind, start, end, new start, new end) of each, in characters."""
-    if not hinted(text):
-        return text, []
     out, found, at, size = [], [], 0, 0
-    for m in ENTITY.finditer(text):
-        kind = m.lastgroup.rstrip("2")
-        new = swap(kind, m[0])
-        size += m.start() - at
-        out += [text[at : m.start()], new]
-        found.append((kind, m.start(), m.end(), size, size + len(new)))
-        at, size = m.end(), size + len(new)
+    for kind, start, stop in entities(text):
+        new = swap(kind, text[start:stop])
+        size += start - at
+        out += [text[at:start], new]
+        found.append((kind, start, stop, size, size + len(new)))
+        at, size = stop, size + len(new)
     return ("".join([*out, text[at:]]) if out else text), found
 
 
 SPANS = "array<struct<kind:string,start:int,stop:int,new_start:int,new_stop:int>>"
 
 
-def surrogates(docs: DataFrame, *, key: str = "quern", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key in the setting `spark.quern.surrogate.key`; where it is unset, one is drawn for the session, so that its
+    replacements agree with one another and can't be undone later."""
+    name = "spark.quern.surrogate.key"
+    if not spark.conf.get(name, ""):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
+
+
+def surrogates(docs: DataFrame, *, key: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `carry` columns, `text` with surrogates for all entities, and their `spans` in the old and the new text.
 
-    A null text stays null and has no spans; row order, repeated rows and null ids are left as they are; an empty
-    table gives no rows; columns not carried are ignored. `key` decides the permutations and must be kept secret.
+    A null text stays null and has no spans; row order, repeated rows and null ids are left as they are; a text of any
+    length is scanned whole; an empty table gives no rows; columns not carried are ignored. `key` decides the permutations
+    and must be kept secret.
     """
     secret = hashlib.sha256(key.encode()).digest()
     rest = tuple(c for c in carry if c != "text")
@@ -290,9 +329,10 @@ def surrogates(docs: DataFrame, *, key: str = "quern", carry: tuple[str, ...] =
     return docs.select(*rest, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def collisions(docs: DataFrame, *, key: str = "quern") -> DataFrame:
+def collisions(docs: DataFrame, *, key: str) -> DataFrame:
     """The check over all entities of `docs`: (kind, surrogate, n_values), a row for each surrogate of several values and
-    for each value that kept itself. No row means that distinctness and replacement hold."""
+    for each value that kept itself. No row means that distinctness and replacement hold. Null texts and empty tables
+    have no entities; other columns are ignored."""
     secret = hashlib.sha256(key.encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +340,9 @@ def collisions(docs: DataFrame, *, key: str = "quern") -> DataFrame:
             rows: set[tuple[str, str, str]] = set()
             for x in batch.column(0):
                 if x.is_valid:
-                    replace(x.as_py(), lambda k, t: rows.add((k, canonical(k, t), canonical(k, surrogate(k, t, secret)))) or t)  # noqa: B023
+                    text = x.as_py()
+                    for kind, a, b in entities(text):
+                        rows.add((kind, canonical(kind, text[a:b]), canonical(kind, surrogate(kind, text[a:b], secret))))
             columns = zip(*sorted(rows), strict=True) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "value", "surrogate"])
 
@@ -309,7 +351,7 @@ def collisions(docs: DataFrame, *, key: str = "quern") -> DataFrame:
     return count.where("n_values > 1 or same").select("kind", "surrogate", "n_values")
 
 
-def report(docs: DataFrame, *, key: str = "quern") -> int:
+def report(docs: DataFrame, *, key: str) -> int:
     """The number of rows of `collisions`, over all documents; where there are any, a warning names them by kind."""
     found = collisions(docs, key=key).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_values") > 1).cast("int")).alias("shared")).collect()
     if found:
@@ -320,9 +362,9 @@ def report(docs: DataFrame, *, key: str = "quern") -> int:
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates: the new text and the number of entities by kind. Collisions are warned of."""
-    docs = need(read(spark, sf_dir, "documents"), doc_id="long", text="string")
-    report(docs)
-    done = surrogates(docs)
+    docs, key = need(read(spark, sf_dir, "documents"), doc_id="long", text="string"), session_key(spark)
+    report(docs, key=key)
+    done = surrogates(docs, key=key)
     kinds = F.transform("spans", lambda s: s["kind"])
     count = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("email", "phone", "card", "ip", "ssn", "iban", "name")]
     return done.select("doc_id", F.size("spans").alias("n_entities"), *count, "text")

@@ -18,7 +18,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 
 
 def canonical(url: Column) -> Column:
-    """An address without scheme, fragment, default port, leading www. and trailing slash, host in lower case, parameters sorted."""
+    """An address without scheme, fragment, default port, leading www. and trailing slash, host in lower case, parameters
+    sorted. Null stays null."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(bare, "^([^/?]*)", 1)), ":(80|443)$", ""), "^www[.]", "")
     path = F.regexp_replace(F.regexp_extract(bare, "^[^/?]*([^?]*)", 1), "/+$", "")
@@ -68,22 +69,34 @@ def resolve(records: DataFrame, *, slices: int = 64) -> DataFrame:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """Crawl records made from `pages`: half of them, by a hash of the address, are revisits; page_id is the time. The etag
-    is that of an address during five hundred pages, so that some revisits meet a changed response."""
-    revisit = F.substring(F.md5(F.concat(F.col("url"), F.lit("|"), F.col("page_id").cast("string"))), 1, 1) < "8"
-    site = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
-    etag = F.substring(F.md5(F.concat(site, F.lit("|"), F.floor(F.col("page_id") / 500).cast("string"))), 1, 12)
-    return pages.select(
-        F.col("page_id").alias("record_id"), site.alias("url"), F.col("page_id").alias("ts"), F.when(revisit, "revisit").otherwise("response").alias("kind"),
-        F.create_map(
-            F.lit("etag"), etag, F.lit("date"), F.col("page_id").cast("string"), F.lit("content-type"), F.lit("text/html"),
-            F.lit("content-length"), F.when(revisit, "0").otherwise(F.length("html").cast("string")),
-        ).alias("headers"),
+    """Crawl records made from `pages`, which hold none: each page is a response at the time page_id; a third are fetched again
+    2000 later with another etag; and half, by a hash, are asked for again up to 5000 later, at an address spelled in
+    another way (host in upper case, default port, parameters turned round, fragment), and answered as not modified. One in
+    eight of these has an etag of its own, so that it meets a changed response."""
+    n = F.conv(F.substring(F.md5(F.concat("url", F.lit("|"), F.col("page_id").cast("string"))), 1, 6), 16, 10).cast("long")
+    site, rest = F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1), F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract("url", "[?]([^#]*)", 1)
+    turned = F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.reverse(F.split(query, "&")), "&")))
+    port = F.when(F.startswith(F.lower("url"), F.lit("https:")), ":443").otherwise(":80")
+    port = F.when(site.rlike(":[0-9]+$"), "").otherwise(port)
+    other = F.concat(F.regexp_extract(site, "^([A-Za-z]+://)", 1), F.upper(F.regexp_extract(site, "://(.*)$", 1)), port, rest, turned, F.lit("#again"))
+    tag = lambda k: F.substring(F.md5(F.concat(canonical(F.col("url")), F.lit(k))), 1, 12)
+
+    def row(number: int, url: Column, ts: Column, kind: str, etag: Column, length: Column) -> Column:
+        headers = F.create_map(F.lit("etag"), etag, F.lit("date"), ts.cast("string"), F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), length.cast("string"))
+        return F.struct((F.col("page_id") * 3 + number).alias("record_id"), url.alias("url"), ts.alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"))
+
+    page = F.col("page_id")
+    made = F.array(
+        row(0, F.col("url"), page, "response", tag("a"), F.length("html")),
+        F.when(n % 3 == 0, row(1, F.col("url"), page + 2000, "response", tag("b"), F.length("html") + 1)),
+        F.when(F.floor(n / 3) % 2 == 0, row(2, other, page + 1 + F.floor(n / 6) % 5000, "revisit", F.when(F.floor(n / 7) % 8 == 0, tag("c")).otherwise(tag("a")), F.lit(0))),
     )
+    return pages.where("url is not null and page_id is not null").select(F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
 
 def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisits made from all pages (see `records`), by site address, with the resolved headers."""
+    """Revisits made from all pages (see `records`), by canonical address, with the resolved headers."""
     done = resolve(records(read(spark, sf_dir, "pages")))
     return done.select(
         "record_id", "address", "refers_to", "status", F.col("headers")["date"].alias("header_date"),
@@ -91,23 +104,28 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OP8_SQL = """
-WITH r AS (
-  SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS site,
-         substr(md5(url || '|' || page_id), 1, 1) < '8' AS revisit, length(html) AS n
+_HOST = "regexp_replace(regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':(80|443)$', ''), '^www[.]', '')"
+_PATH = "regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_QUERY = "regexp_extract(url, '[?]([^#]*)', 1)"
+OP8_SQL = f"""
+WITH p AS (
+  SELECT page_id, length(html) AS n, CAST(('0x' || substr(md5(url || '|' || page_id), 1, 6)) AS BIGINT) AS k,
+         {_HOST} || {_PATH} || CASE WHEN {_QUERY} <> '' THEN '?' || array_to_string(list_sort(string_split({_QUERY}, '&')), '&') ELSE '' END AS address
   FROM pages),
-t AS (
-  SELECT page_id, revisit, n, substr(md5(site || '|' || CAST(floor(page_id / 500) AS BIGINT)), 1, 12) AS etag,
-         regexp_replace(regexp_replace(lower(regexp_replace(site, '^[a-z]+://', '')), ':(80|443)$', ''), '^www[.]', '') AS address
-  FROM r),
-p AS (
-  SELECT *, max(CASE WHEN NOT revisit THEN page_id END)
-            OVER (PARTITION BY address ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
-  FROM t)
-SELECT p.page_id AS record_id, p.address, CASE WHEN f.etag = p.etag THEN p.prev END AS refers_to,
-       CASE WHEN p.prev IS NULL THEN 'no_response' WHEN f.etag = p.etag THEN 'resolved' ELSE 'mismatch' END AS status,
-       CAST(p.page_id AS VARCHAR) AS header_date,
-       CASE WHEN f.etag = p.etag THEN CAST(f.n AS VARCHAR) ELSE '0' END AS header_length, p.etag AS header_etag
-FROM p LEFT JOIN t f ON f.page_id = p.prev
-WHERE p.revisit
+f AS (
+  SELECT page_id * 3 AS id, page_id AS ts, address, substr(md5(address || 'a'), 1, 12) AS etag, n FROM p
+  UNION ALL
+  SELECT page_id * 3 + 1, page_id + 2000, address, substr(md5(address || 'b'), 1, 12), n + 1 FROM p WHERE k % 3 = 0),
+r AS (
+  SELECT page_id * 3 + 2 AS id, page_id + 1 + (k // 6) % 5000 AS ts, address,
+         substr(md5(address || CASE WHEN (k // 7) % 8 = 0 THEN 'c' ELSE 'a' END), 1, 12) AS etag
+  FROM p WHERE (k // 3) % 2 = 0),
+j AS (
+  SELECT r.id, r.ts, r.address, r.etag, f.id AS prev, f.etag AS was, f.n,
+         row_number() OVER (PARTITION BY r.id ORDER BY f.ts DESC NULLS LAST, f.id DESC) AS i
+  FROM r LEFT JOIN f ON f.address = r.address AND f.ts < r.ts)
+SELECT id AS record_id, address, CASE WHEN was = etag THEN prev END AS refers_to,
+       CASE WHEN prev IS NULL THEN 'no_response' WHEN was = etag THEN 'resolved' ELSE 'mismatch' END AS status,
+       CAST(ts AS VARCHAR) AS header_date, CASE WHEN was = etag THEN CAST(n AS VARCHAR) ELSE '0' END AS header_length, etag AS header_etag
+FROM j WHERE i = 1
 """

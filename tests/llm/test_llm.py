@@ -1,7 +1,6 @@
 """Each operator against brute force and its edge cases: nulls, empty and long texts, ties, repeats, empty tables, other columns."""
 
 import hashlib
-import os
 import random
 import re
 import zlib
@@ -68,9 +67,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     rows = [(1, prose(1, 5000)), (2, None), (3, ""), (4, "ein kurzer Text <|endoftext|> é 日本"), (4, "ein kurzer Text <|endoftext|> é 日本"), (None, "no id"), (5, "x" * 300_000)]
+    rows += [(6, "<|endoftext|>"), (7, "a<|endoftext|>b <|endoftext|>"), (8, prose(2, 30_000) + "<|endoftext|>" + prose(3, 30_000) + "<|endoftext|>"), (9, "<|endoftext")]
     rows += [(10 + i, prose(i, 30 + i)) for i in range(60)]
-    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))  # as loaded, with default settings
     want = Counter((i, tuple(t.encode(x or "", add_special_tokens=False).ids) + (1,)) for i, x in rows)
     pieces = packing.pack(frame(spark, rows)).collect()
     by_doc, by_seq = {}, {}
@@ -99,7 +98,7 @@ def test_added_tokens():
     from public_tokenizers import path
     from tokenizers import Tokenizer
 
-    t, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.encoder(special=True)
+    t, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.encoder()
     for x in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny", " <|endoftext", "<|EndOfText|> é 日本", "", prose(1, 300)):
         assert encode(x) == t.encode(x, add_special_tokens=False).ids, x
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
@@ -326,7 +325,8 @@ def test_permutation():
     key = b"k" * 32
     for sizes in ([7], [5, 3], [5, 3, 4]):
         every = list(itertools.product(*map(range, sizes)))
-        assert len({tuple(pii.permute(key, "t", sizes, list(v))) for v in every}) == len(every)
+        new = {v: tuple(pii.permute(key, "t", sizes, list(v))) for v in every}
+        assert len(set(new.values())) == len(every) and all(a != b for a, b in new.items())
 
 
 def test_names_are_a_bijection():
@@ -347,7 +347,7 @@ def test_names_are_a_bijection():
 def test_surrogates(spark):
     text_ = "Mr. John Smith, BOB.x@Mail.com bob.x@mail.com, +1 (988) 555-2485 or 988-555-2485, 4111 1111 1111 1111, 10.1.2.3, 123-45-6789, DE89370400440532013000. Анна Петрова"
     docs = frame(spark, [(1, text_), (2, text_), (2, text_), (3, None), (4, ""), (None, "a@b.com"), (5, prose(1, 5000))])
-    rows = pii.surrogates(docs).collect()
+    rows = pii.surrogates(docs, key="one").collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == 7 and got[1]["text"] == got[2]["text"] and got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == prose(1, 5000)
     new = {text_[s["start"] : s["stop"]]: (s["kind"], got[1]["text"][s["new_start"] : s["new_stop"]]) for s in got[1]["spans"]}
@@ -360,8 +360,22 @@ def test_surrogates(spark):
     assert new["Анна Петрова"][1].split()[0] in pii.GIVEN["cyrillic", "f"] and new["Анна Петрова"][1].endswith("ова")
     assert pii.surrogates(docs, key="other").where("doc_id = 1").first()["text"] != got[1]["text"]
     many = frame(spark, [(i, f"u{i}@h{i % 7}.org {4000000000000000 + i} +1 (200) 555-{i:04d} 1.2.3.{i % 250}") for i in range(2000)])
-    assert pii.collisions(many).count() == 0
-    assert pii.surrogates(frame(spark, [])).count() == 0
+    assert pii.collisions(many, key="one").count() == 0
+    assert pii.surrogates(frame(spark, []), key="one").count() == 0 and pii.collisions(frame(spark, [(1, None)]), key="one").count() == 0
+    assert pii.collisions(frame(spark, [(i, f"Mr {n} Smith") for i, n in enumerate(pii._FIRST)]), key="quern").count() == 0  # none keeps itself
+
+
+def test_names_by_phrases_and_again(spark):
+    """Names after phrases, and family names that stand alone later, get what they got before."""
+    text_ = "my name is Greta Vogel. Dear Quentin, ask Vogel or Frau Vogel. Ich heiße Tamsin Ashgrove; Ashgrove said so. The Vogels weren't asked."
+    row = pii.surrogates(frame(spark, [(1, text_)]), key="one").first()
+    was = [text_[s["start"] : s["stop"]] for s in row["spans"]]
+    new = [row["text"][s["new_start"] : s["new_stop"]] for s in row["spans"]]
+    assert was == ["Greta Vogel", "Quentin", "Vogel", "Frau Vogel", "Tamsin Ashgrove", "Ashgrove"]
+    assert new[0].split()[1] == new[2] == new[3].split()[1] != "Vogel" and new[4].split()[1] == new[5] and new[1] != "Quentin"
+    assert row["text"].endswith("The Vogels weren't asked.")
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
 
 
 # --- revisits
@@ -383,6 +397,18 @@ def test_revisits(spark):
     assert warc.resolve(records.limit(0)).count() == 0
 
 
+def test_revisit_query(spark):
+    """The query's rows against its SQL, with pages that share a canonical address."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM '/root/testdata/sf0.01/pages.parquet'")
+    rows = warc.op8_revisits(spark, "/root/testdata/sf0.01")
+    want = con.execute(f"SELECT {', '.join(rows.columns)} FROM ({warc.OP8_SQL})").fetchall()
+    got = [tuple(r) for r in rows.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[3] for r in got} >= {"resolved", "mismatch"}
+
+
 # --- encoding
 
 
@@ -430,41 +456,73 @@ def clustered(seed, n, d=16):
 BAD = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [float("inf")] * 16), (9005, [1.0, None] * 8), (9006, []), (9007, [1.0])]
 
 
-@pytest.mark.skipif(not os.environ.get("QUERN_SLOW"), reason="takes minutes; set QUERN_SLOW")
-def test_nn_descent(spark):
-    x = clustered(1, 300)
-    rows = [(i * 3, v.tolist()) for i, v in enumerate(x)]
+def linked(x):
+    """Links and least-id components of the rows of x, by brute force."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
     comp = list(range(len(x)))
-    for _ in range(len(x)):
-        new = [min(comp[j] for j in np.flatnonzero(link[i])) for i in range(len(x))]
-        if new == comp:
-            break
+    while (new := [min(comp[j] for j in np.flatnonzero(link[i])) for i in range(len(x))]) != comp:
         comp = new
-    got = {r["vec_id"]: r for r in nndescent.near_vectors(vectors(spark, [*rows, *BAD]), rounds=1, attempts=1).collect()}
+    return link.sum(axis=1) - 1, comp
+
+
+def arcs(seed, n, d=16):
+    """Vectors along an arc, in which each links with its surroundings and the ends are far apart, and a tight bunch beside it."""
+    r = np.random.default_rng(seed)
+    axes = np.linalg.qr(r.normal(size=(d, 3)))[0].T
+    t = np.linspace(0, 2.4, n)
+    x = np.cos(t)[:, None] * axes[0] + np.sin(t)[:, None] * axes[1] + 0.02 * r.normal(size=(n, d))
+    bunch = np.cos(1.0) * axes[0] + np.sin(1.0) * axes[1] + 0.28 * axes[2] + 0.01 * r.normal(size=(40, d))
+    return np.concatenate([x, bunch])
+
+
+@pytest.mark.parametrize("case", ["cluster", "arc"])
+def test_nn_descent(spark, monkeypatch, case):
+    monkeypatch.setattr(nndescent, "CLUSTER", 16)
+    monkeypatch.setattr(nndescent, "GROUP", 2)
+    x = (clustered(1, 300) if case == "cluster" else arcs(1, 200)).astype(np.float32).astype(float)
+    links, comp = linked(x)
+    rows = [(i * 3, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in nndescent.near_vectors(vectors(spark, [*rows, *BAD]), rounds=1).collect()}
     assert len(got) == len(rows) + len(BAD)
-    assert {i * 3: (got[i * 3]["n_links"], got[i * 3]["component_id"]) for i in range(len(x))} == {i * 3: (int(link[i].sum()) - 1, comp[i] * 3) for i in range(len(x))}
+    assert {i: (got[i * 3]["n_links"], got[i * 3]["component_id"]) for i in range(len(x))} == {i: (int(links[i]), comp[i] * 3) for i in range(len(x))}
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i, _ in BAD)
-    assert nndescent.near_vectors(vectors(spark, [])).count() == 0
-    one = nndescent.near_vectors(vectors(spark, [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0])]), rounds=1, attempts=1).collect()
-    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in one) == [(0, 0), (1, 1), (2, 1), (2, 1)]
 
 
-def test_cluster_blocks(spark, monkeypatch):
-    """The enlarged lists with blocks so small that every kind of block pair occurs."""
-    monkeypatch.setattr(nndescent, "CLUSTER", 8)
-    x = clustered(4, 120)[:60]
-    members = spark.createDataFrame([(1, i, 1 + i % 2, v.tolist()) for i, v in enumerate(x)], "c long, u long, n long, v array<double>")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+def test_nn_descent_cases(spark, monkeypatch):
+    assert nndescent.near_vectors(vectors(spark, [])).count() == 0
+    one = nndescent.near_vectors(vectors(spark, [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0])]), rounds=1).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in one) == [(0, 0), (1, 1), (2, 1), (2, 1)]
+    # An id with several vectors joins their components; a pair at the threshold exactly (19, 0 and 19 * 0.95, ...) is linked.
+    some = nndescent.near_vectors(vectors(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]), rounds=1)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in some.collect()} == {(1, 1, 1), (2, 2, 1), (3, 1, 1), (4, 0, 4)}
+    monkeypatch.setattr(nndescent, "_linked", lambda rows, *_: (rows.select("u", F.lit(0).alias("far")), rows.select(F.col("u").alias("id"), F.col("u").alias("component"))))
+    with pytest.raises(RuntimeError, match="audit"):
+        nndescent.near_vectors(vectors(spark, [(i, [1.0, 0.001 * i]) for i in range(9)]), rounds=1, attempts=1)
+
+
+@pytest.mark.parametrize("size", [8, 64])
+def test_cluster_blocks(spark, monkeypatch, size):
+    """Enlarged lists with blocks and groups so small that every kind of pair occurs, and two clusters that links join."""
+    monkeypatch.setattr(nndescent, "CLUSTER", size)
+    monkeypatch.setattr(nndescent, "GROUP", 2)
+    x = np.concatenate([clustered(4, 120)[:60], arcs(2, 60), -clustered(4, 120)[:20]])
     n = np.array([1 + i % 2 for i in range(len(x))])
-    want = ((u @ u.T >= 0.95) @ n - 1).tolist()
-    got = {r["u"]: r["links"] for r in nndescent._enlarge(members, 0.95).collect()}
-    assert [got[i] for i in range(len(x))] == want
+    c = np.array([1 + (i >= 90) + (i >= 160) for i in range(len(x))])
+    members = spark.createDataFrame([(int(c[i]), i, int(n[i]), v.tolist()) for i, v in enumerate(x)], "c long, u long, n long, v array<double>")
+    between = spark.createDataFrame([(1, 2), (1, 3)], "c long, c2 long")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    met = np.isin(c[:, None] * 10 + c[None, :], [11, 22, 33, 12, 21, 13, 31])
+    links, merged = nndescent.enlarge(members, between, 0.95)
+    got = {r["u"]: r["links"] for r in links.collect()}
+    assert [got[i] for i in range(len(x))] == (((u @ u.T >= 0.95) & met) @ n - 1).tolist()
+    joined = {(int(c[i]), int(c[j])) for i, j in zip(*np.nonzero((u @ u.T >= 0.95) & met)) if c[i] < c[j]}
+    assert {(r["a"], r["b"]) for r in merged.collect()} == joined and (1, 2) in joined
 
 
 def test_search(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL", 128)
+    monkeypatch.setattr(ann, "CELL", 64)
+    monkeypatch.setattr(ann, "DEAL", 16)
     x = clustered(2, 900)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     got = {}
@@ -478,11 +536,53 @@ def test_search(spark, monkeypatch):
         assert all(abs(v - s[i]) < 1e-9 for i, v in got[q]) and got[q] == sorted(got[q], key=lambda z: (-z[1], z[0]))
         recall.append(len({i for i, _ in got[q]} & set(order)) / 20)
     assert np.mean(recall) >= 0.9
+    seen = ann.search(vectors(spark, rows), sample=500, parts=6).groupBy("query_id").agg(F.max("probes").alias("p"), F.max("parts").alias("n"), F.min("recall").alias("r")).collect()
+    assert all(1 <= r["p"] <= r["n"] <= 6 and r["r"] >= 0.9 for r in seen)
     few = ann.search(vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (7, [0.5, 0.0])])).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 1, 1.0), (0, 2, 7, 0.5)]
     assert ann.search(vectors(spark, [])).count() == 0
 
 
+def bunches(seed, n, groups=24, d=16):
+    r = np.random.default_rng(seed)
+    return r.normal(size=(groups, d))[r.integers(groups, size=n)] + 0.25 * r.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("leaf", [10**9, 300])
+def test_search_skips_parts(spark, monkeypatch, leaf):
+    """On clustered vectors queries go to a few parts, of one level and of two, at a recall of 0.9 against brute force."""
+    monkeypatch.setattr(ann, "LEAF", leaf)
+    x = bunches(5, 3000)
+    found = ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), sample=1500, parts=8).collect()
+    probes = {r["query_id"]: r["probes"] for r in found}
+    parts = found[0]["parts"]
+    assert np.mean(list(probes.values())) < 0.6 * parts and (parts > 8 or leaf > 3000)
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = []
+    for q in range(0, 3000, 20):
+        s = x.astype(np.float32).astype(float) @ x[q].astype(np.float32)
+        s[q] = -np.inf
+        hit.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hit) >= 0.9
+
+
+def test_search_widens(spark, monkeypatch):
+    """Queries that go to one part only, of vectors without clusters: the audit finds it out, and more parts are searched."""
+    fit = ann.fit
+
+    def narrow(*a, **k):
+        router = fit(*a, **k)
+        router.mass = 0.0
+        return router
+
+    monkeypatch.setattr(ann, "fit", narrow)
+    x = np.random.default_rng(6).normal(size=(400, 16))
+    found = ann.search(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), parts=8).collect()
+    assert min(r["recall"] for r in found) >= 0.9 and np.mean([r["probes"] for r in found]) > 1.5
+
+
 def test_balanced_parts():
     x = clustered(3, 600)
     part = ann.balanced_parts(x, ann.neighbour_graph(x, 8), 6)
