@@ -21,14 +21,23 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject. It is trained on all documents' labels, kept or not."""
+    """Documents that the classifier chain doesn't reject. It is trained on all documents' labels, kept or not.
+
+    Null and empty texts are scored as such, and stay unless the chain rejects them; repeated rows are scored alike; a long
+    text is scored whole; an empty table gives no rows; without labels nothing is rejected; columns besides those of
+    `documents` are dropped.
+    """
     docs = _documents(docs)
     chain = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return toxicity.score(docs, chain, carry=tuple(COLUMNS)).where("not rejected").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of least doc_id."""
+    """One document of each near-duplicate class: that of least doc_id.
+
+    Null and empty texts are no duplicates. Of repeated rows (one doc_id, one text) and of rows without doc_id all stay. A
+    long text is compared whole; an empty table gives no rows; columns besides those of `documents` are dropped.
+    """
     docs = _documents(docs)
     gone = near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -51,15 +60,22 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates for personal data. Collisions are warned of."""
-    pii.report(_documents(docs))
-    done = pii.surrogates(_documents(docs), carry=("doc_id", "lang", "source"))
+    """Texts with surrogates for personal data, by the session's key (see `pii.session_key`). Collisions are warned of.
+
+    Null texts stay null; repeated rows get the same surrogates; a long text is scanned whole; an empty table gives no rows;
+    columns besides those of `documents` are dropped.
+    """
+    docs, key = _documents(docs), pii.session_key(spark)
+    pii.report(docs, key=key)
+    done = pii.surrogates(docs, key=key, carry=("doc_id", "lang", "source"))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences; ids as in the operator."""
-    return packing.pack(_documents(docs), special=True)
+    """Pieces of packed sequences; ids as in the operator. Null texts are packed as empty ones, repeated rows as often as they
+    occur; a long text is cut into windows; an empty table gives no rows; columns besides those of `documents` are ignored.
+    """
+    return packing.pack(_documents(docs))
 
 
 STAGES = [
