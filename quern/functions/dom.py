@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,10 +21,11 @@ SCOPE = frozenset("ul ol dl table div article section body html td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent", "order")
+    __slots__ = ("tag", "attrs", "children", "parent", "order", "_nodes")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None, order: int):
         self.tag, self.attrs, self.children, self.parent, self.order = tag, attrs, [], parent, order
+        self._nodes: list[Node] | None = None
 
     def walk(self) -> Iterator[Node]:
         """This element and all below it, in document order."""
@@ -33,6 +35,12 @@ class Node:
             yield n
             stack += [c for c in reversed(n.children) if isinstance(c, Node)]
 
+    def nodes(self) -> list[Node]:
+        """All elements below this one, in order; the list is kept, as a parsed page doesn't change."""
+        if self._nodes is None:
+            self._nodes = [n for n in self.walk() if n is not self]
+        return self._nodes
+
     def text(self, raw: bool = False) -> str:
         out: list[str] = []
         stack: list[Node | str] = [self]
@@ -105,27 +113,39 @@ _STEP = re.compile(r"(?P<tag>[a-zA-Z][\w-]*|\*)?(?P<rest>(?:[.#][\w-]+|\[[\w:-]+
 _TEST = re.compile(r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w:-]+)(?:(?P<op>[~^$*|]?)=(?P<val>'[^']*'|\"[^\"]*\"|[^\]]*))?\]")
 
 
-def _matches(node: Node, step: str) -> bool:
+@lru_cache(4096)
+def _compiled(step: str) -> tuple[str | None, list[tuple[str, str, str, str | None]]] | None:
+    """(tag or None, tests as (kind, name, operator, value)) of one step of a selector; None if it can't be read."""
     m = _STEP.fullmatch(step)
     if not m:
-        return False
-    if m["tag"] and m["tag"] not in ("*", node.tag):
-        return False
+        return None
+    tests = []
     for t in _TEST.finditer(m["rest"]):
-        if t["cls"]:
-            if t["cls"] not in node.classes():
-                return False
-        elif t["id"]:
-            if node.attrs.get("id") != t["id"]:
-                return False
+        if t["cls"] or t["id"]:
+            tests.append(("class" if t["cls"] else "id", t["cls"] or t["id"], "", None))
+        else:
+            tests.append(("attr", t["attr"].lower(), t["op"] or "", None if t["val"] is None else t["val"].strip("'\"")))
+    return (m["tag"] if m["tag"] != "*" else None), tests
+
+
+_COMPARE = {
+    "": lambda have, want: have == want, "~": lambda have, want: want in have.split(), "^": lambda have, want: have.startswith(want),
+    "$": lambda have, want: have.endswith(want), "*": lambda have, want: want in have, "|": lambda have, want: have == want or have.startswith(want + "-"),
+}
+
+
+def _matches(node: Node, step: str) -> bool:
+    rule = _compiled(step)
+    if rule is None or (rule[0] and rule[0] != node.tag):
+        return False
+    for kind, name, op, want in rule[1]:
+        if kind == "class":
+            ok = name in node.classes()
         else:
-            have, want = node.attrs.get(t["attr"].lower()), (t["val"] or "").strip("'\"")
-            if have is None:
-                return False
-            if t["val"] is not None:
-                ok = {"": have == want, "~": want in have.split(), "^": have.startswith(want), "$": have.endswith(want), "*": want in have, "|": have == want or have.startswith(want + "-")}
-                if not ok[t["op"]]:
-                    return False
+            have = node.attrs.get("id" if kind == "id" else name)
+            ok = have == name if kind == "id" else have is not None and (want is None or _COMPARE[op](have, want))
+        if not ok:
+            return False
     return True
 
 
@@ -136,8 +156,8 @@ def select(root: Node, selector: str) -> list[Node]:
         steps = re.sub(r"\s*>\s*", " > ", part.strip()).split()
         if not steps or not _STEP.fullmatch(steps[-1]):
             continue
-        for n in root.walk():
-            if n is not root and _matches(n, steps[-1]) and _above(n, steps[:-1]):
+        for n in root.nodes():
+            if _matches(n, steps[-1]) and _above(n, steps[:-1]):
                 found[n.order] = n
     return [found[k] for k in sorted(found)]
 

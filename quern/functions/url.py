@@ -6,21 +6,32 @@ A URL is split by one pattern, `scheme://authority/path?query#fragment`; strings
 from __future__ import annotations
 
 import re
+from urllib.parse import urljoin
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Query parameters that only track visits.
 TRACKING = (
-    "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid gclsrc dclid msclkid mc_cid mc_eid "
-    "ref affiliate partner source medium campaign content"
-).split()
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "mc_cid", "mc_eid", "ref",
+    "affiliate", "partner", "source", "medium", "campaign", "content",
+)
 # Beginnings of session parameters.
-SESSION = "session sess sid jsessionid phpsessid aspsessionid cfid cftoken".split()
+SESSION = ("session", "sess", "sid", "jsessionid", "phpsessid", "aspsessionid", "cfid", "cftoken")
 # File endings of resources.
-RESOURCES = "jpg jpeg png gif webp svg ico css js woff woff2 ttf eot pdf doc docx xls xlsx zip tar gz rar mp3 mp4 wav avi mov".split()
+RESOURCES = (
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "woff", "woff2", "ttf", "eot", "pdf", "doc", "docx", "xls", "xlsx", "zip", "tar", "gz", "rar",
+    "mp3", "mp4", "wav", "avi", "mov",
+)
 # Where sites keep their terms of service.
 TERMS_PATHS = ("/terms", "/terms-of-service", "/tos", "/legal/terms", "/terms-and-conditions", "/terms-of-use")
 
+# One-segment addresses that are no sections of a news site.
+NO_SECTIONS = (
+    "video", "videos", "live", "watch", "listen", "account", "login", "signup", "subscribe", "search", "about", "contact", "privacy", "terms", "jobs", "careers",
+    "press", "newsletters", "weather",
+)
+
 Rules = list[tuple[str, str]]  # (label, pattern), the first that matches decides
 
 # Page types by parts of the address.
@@ -110,21 +121,21 @@ def pattern(url: Column) -> Column:
 
 def normalize(url: Column, *, strip_tracking: bool = True, strip_session: bool = True, sort_params: bool = True, lowercase_domain: bool = True,
               remove_trailing_slash: bool = False, remove_default_port: bool = True, remove_fragment: bool = True) -> Column:
-    """Canonical form for deduplication. Values of one parameter stay together in their order; escapes stay as written."""
+    """Canonical form for deduplication. Parameters are decoded, filtered by their decoded names and encoded again, as forms
+    are; values of one parameter stay together in their order."""
     host = F.lower(part(url, 2)) if lowercase_domain else part(url, 2)
     if remove_default_port:
         host = F.when(scheme(url) == "http", F.regexp_replace(host, ":80$", "")).when(scheme(url) == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     p = F.regexp_replace(path(url), "/+", "/")
     if remove_trailing_slash:
         p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
-    key = lambda x: F.regexp_extract(x, "^([^=]*)", 1)
-    params = F.filter(F.split(part(url, 4), "&"), lambda x: x != "")
-    params = F.transform(params, lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))
+    given = F.filter(F.split(part(url, 4), "&"), lambda x: x != "")
+    params = F.transform(given, lambda x: F.struct(unescape(F.regexp_extract(x, "^([^=]*)", 1)).alias("k"), unescape(F.regexp_extract(x, "^[^=]*=?(.*)$", 1)).alias("v")))
     if strip_tracking:
-        params = F.filter(params, lambda x: ~F.lower(key(x)).isin(*TRACKING))
+        params = F.filter(params, lambda x: ~F.lower(x["k"]).isin(*TRACKING))
     if strip_session:
-        params = F.filter(params, lambda x: ~F.lower(key(x)).rlike(f"^({'|'.join(SESSION)})"))
-    keyed = F.transform(params, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
+        params = F.filter(params, lambda x: ~F.lower(x["k"]).rlike(f"^({'|'.join(SESSION)})"))
+    keyed = F.transform(params, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), F.concat(escape(x["k"]), F.lit("="), escape(x["v"])).alias("x")))
     if sort_params:
         keyed = F.array_sort(keyed)
     else:
@@ -135,6 +146,16 @@ def normalize(url: Column, *, strip_tracking: bool = True, strip_session: bool =
     return out if remove_fragment else F.concat(out, F.when(part(url, 5) != "", F.concat(F.lit("#"), part(url, 5))).otherwise(""))
 
 
+def unescape(text: Column) -> Column:
+    """A form value decoded: + is a blank, %xx a byte of UTF-8; a % that no two digits follow stays."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def escape(text: Column) -> Column:
+    """A text as a form value: letters, digits and _.-~ stay, a blank is +, other bytes of UTF-8 are %xx."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def matches(url: Column, patterns: list[str]) -> Column:
     """Whether the path matches one of the patterns: * within a segment, ** across segments, {name} for a segment."""
     out = F.lit(False)
@@ -161,12 +182,52 @@ def classify(url: Column, rules: Rules, default: str) -> Column:
 
 
 def file_name(url: Column) -> Column:
-    """The last path segment, cleaned and cut to 50 characters, with 12 digits of the address's hash."""
-    last = F.element_at(F.split(F.regexp_replace(part(url, 3), "^/+|/+$", ""), "/"), -1)
+    """The last path segment with _ for all but letters and digits, cut to 50 characters, and 12 digits of the address's hash."""
+    last = F.element_at(F.split(F.regexp_replace(path(url), "/+$", ""), "/"), -1)
     last = F.when(last == "", "index").otherwise(last)
-    return F.concat(F.substring(F.regexp_replace(last, r"(?U)[^\p{Alnum}_-]", "_"), 1, 50), F.lit("_"), F.substring(F.md5(url), 1, 12))
+    return F.concat(F.substring(F.regexp_replace(last, r"[^\p{L}\p{N}]", "_"), 1, 50), F.lit("_"), F.substring(F.md5(url), 1, 12))
 
 
 def terms_urls(url: Column) -> Column:
     """Candidate addresses of a site's terms of service."""
     return F.transform(F.array(*[F.lit(p) for p in TERMS_PATHS]), lambda p: F.concat(scheme(url), F.lit("://"), part(url, 2), p))
+
+
+def resolve(base: Column, relative: Column) -> Column:
+    """The absolute address of a link on a page by the standard rules, Arrow-batched; null where either is null or no address."""
+
+    def join(bases: pd.Series, links: pd.Series) -> pd.Series:
+        out = []
+        for b, r in zip(bases, links, strict=True):
+            try:
+                out.append(None if b is None or r is None else urljoin(b, r))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(join, "string")(base, relative)
+
+
+def same_category(rows: DataFrame, column: str, names: dict[str, str], to: str = "category") -> DataFrame:
+    """`rows` whose `column` is a key of the dictionary `names`, with its general name as `to`; others are left out. Keys are
+    case-sensitive. The dictionary is a literal map in the plan: no join, and no more rows than it has keys."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rows.withColumn(to, F.element_at(table, F.col(column))).where(F.col(to).isNotNull())
+
+
+def is_news_category(url: Column) -> Column:
+    """An address of a site's section: one segment of at most twenty letters that isn't a service page."""
+    p = F.regexp_replace(part(url, 3), "^/+|/+$", "")
+    return p.rlike("^[A-Za-z]{1,20}$") & ~p.isin(*NO_SECTIONS)
+
+
+def is_article(url: Column) -> Column:
+    """An address like an article's: a date, five digits or two hyphens, in two segments or more, and no page of a list."""
+    p = F.regexp_replace(part(url, 3), "^/+|/+$", "")
+    marked = p.rlike(r"[0-9]{4}/[0-9]{2}/[0-9]{2}") | p.rlike("[0-9]{5,}") | (hyphens(url) >= 2)
+    return marked & p.contains("/") & ~part(url, 3).rlike("/page/[0-9]+/?$")
+
+
+def hyphens(url: Column) -> Column:
+    p = F.regexp_replace(part(url, 3), "^/+|/+$", "")
+    return F.length(p) - F.length(F.replace(p, F.lit("-"), F.lit("")))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import url as U
 
@@ -74,16 +74,21 @@ def agent_rules(parsed: DataFrame, agent: str) -> DataFrame:
 def rule_regex(pattern: Column) -> Column:
     """A robots pattern as a regular expression: * is any run, a last $ ends the path, else a prefix."""
     ended = pattern.endswith("$")
-    body = F.regexp_replace(F.when(ended, F.expr("substring(pattern, 1, length(pattern) - 1)")).otherwise(pattern), r"([.+?^${}()|\[\]\\])", r"\\$1")
+    body = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
     return F.concat(F.lit("^"), F.regexp_replace(body, r"\*", ".*"), F.when(ended, "$").otherwise(""))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """`urls` (key, domain, path) with `allowed`: the longest matching rule decides, ties by line; none allows."""
-    named = rules.where("pattern is not null").withColumn("regex", rule_regex(F.col("pattern")))
-    hits = urls.join(named, "domain", "left").where(F.col("pattern").isNull() | F.expr("path rlike regex"))
-    best = hits.groupBy("key").agg(F.max_by("allow", F.struct(F.length("pattern"), -F.col("line_no"))).alias("allow"))
-    return urls.join(best, "key", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    """`urls` (key, domain, path) with `allowed`: the longest matching rule decides, ties by line; none allows.
+
+    The rules of a domain are one array in the order in which they decide, and each url takes the first that matches: one
+    join, unique per domain, and no row per rule.
+    """
+    named = rules.where("pattern is not null").select("domain", F.struct((-F.length("pattern")).alias("n"), "line_no", rule_regex(F.col("pattern")).alias("regex"), "allow").alias("r"))
+    ordered = named.groupBy("domain").agg(F.array_sort(F.collect_list("r")).alias("rules"))  # bounded by a robots file
+    hit = F.filter("rules", lambda r: F.regexp_like(F.col("path"), r["regex"]))
+    verdict = F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["allow"])
+    return urls.join(ordered, "domain", "left").withColumn("allowed", F.coalesce(verdict, F.lit(True))).drop("rules")
 
 
 # Prohibitions and concerns in terms of service.
@@ -110,6 +115,22 @@ def blocked_domain(urls: DataFrame, blocklist: DataFrame) -> DataFrame:
     return urls.join(hit.withColumn("blocked", F.lit(True)), "key", "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
+def record_notices(blocklist: DataFrame, notices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocklist with the sites of cease-and-desist `notices` (domain, received, reference), and a record of the latest
+    notice of each site: domain, authorized, basis, received, notes."""
+    given = notices.withColumn("domain", F.lower("domain"))
+    last = given.groupBy("domain").agg(F.max_by(F.struct("received", "reference"), "received").alias("n"))
+    notes = F.when(F.col("n.reference") != "", F.concat(F.lit("Reference: "), F.col("n.reference"))).otherwise("")
+    records = last.select("domain", F.lit(False).alias("authorized"), F.lit("cease_desist").alias("basis"), F.col("n.received").alias("received"), notes.alias("notes"))
+    return blocklist.select(F.lower(F.trim("domain")).alias("domain")).union(records.select("domain")).distinct(), records
+
+
+def read_domains(spark: SparkSession, path: str) -> DataFrame:
+    """A list of domains from text files: one a line, in any case; blank lines and those that start with # don't count."""
+    line = F.lower(F.trim("value"))
+    return spark.read.text(path).select(line.alias("domain")).where((F.col("domain") != "") & ~F.col("domain").startswith("#"))
+
+
 def authorization(blocked: Column, listed: Column, auth: Column, robots_ok: Column, notice: Column, restrictive: Column) -> Column:
     """The basis of the decision, in fixed order; authorized are explicit_permission and public_access."""
     return (
@@ -128,7 +149,9 @@ FRAMEWORKS = [
     'id="root"', 'id="app"', "data-reactroot", "__NEXT_DATA__", 'id="__nuxt"', "data-v-", "ng-app", "ng-view", "_nghost", "svelte-",
     "window.__INITIAL_STATE__", "window.__PRELOADED_STATE__", "application/json",
 ]
+# Bodies that are empty until scripts run.
 MINIMAL = ["<body></body>", "<body>\n</body>", '<div id="root"></div>', '<div id="app"></div>']
+# What pages tell readers without scripts.
 NOSCRIPT = "enable javascript|javascript required|javascript is required"
 
 

@@ -1,11 +1,15 @@
 """Content fingerprints and the Hamming join.
 
-Near-duplicates within Hamming distance d share one of d + 1 bands of the hash (pigeonhole), so an equi-join on bands
-finds every pair; equal hashes are one row before the join.
+Of d + s even blocks of the hash, hashes within Hamming distance d agree in s at least (pigeonhole), so an equi-join on
+every choice of s blocks finds every pair. More spare blocks make longer keys and more tables; s is set by the number of
+hashes, so that buckets stay small as the corpus grows. Equal hashes are one row before the join.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame, functions as F
 
 from quern.functions import text as T
@@ -14,26 +18,40 @@ from quern.functions import text as T
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, simhash, md5, word_count and char_count of the normalized text."""
     rows = docs.select(key, T.normalize(F.col(text)).alias("t")).select(key, "t", T.words(F.col("t")).alias("w"))
-    return rows.select(key, T.simhash(T.shingles(F.col("w"))).alias("simhash"), F.md5("t").alias("md5"), F.size("w").alias("word_count"), F.length("t").alias("char_count"))
+    return rows.select(key, T.simhash(F.col("t")).alias("simhash"), F.md5("t").alias("md5"), F.size("w").alias("word_count"), F.length("t").alias("char_count"))
+
+
+def block_masks(distance: int, spare: int) -> list[int]:
+    """Masks (as signed longs) of all choices of `spare` of the hash's `distance` + `spare` blocks."""
+    n = distance + spare
+    edge = [64 * i // n for i in range(n + 1)]
+    block = [sum(1 << b for b in range(x, y)) for x, y in zip(edge, edge[1:])]
+    masks = [sum(c) for c in combinations(block, spare)]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+
 
+def spare_blocks(distance: int, n: int) -> int:
+    """The spare blocks, one to three, of least cost: rows that tables hold and pairs that buckets of even size compare."""
+    cost = lambda s: comb(distance + s, s) * (20 * n + n * n / 2 ** (64 * s / (distance + s)))
+    return min(range(1, 4), key=cost)
 
-def hamming_pairs(hashes: DataFrame, distance: int) -> DataFrame:
+
+def hamming_pairs(hashes: DataFrame, distance: int, spare: int | None = None) -> DataFrame:
     """Pairs of different hashes (a < b) of `hashes` (simhash) within the distance, with it as `d`. Exact."""
-    bands = distance + 1
-    width = -(-64 // bands)
     one = hashes.select("simhash").distinct()
-    band = [F.struct(F.lit(i).alias("i"), F.call_function("shiftrightunsigned", F.col("simhash"), F.lit(i * width)).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("v")) for i in range(bands) if i * width < 64]
-    keyed = one.select(F.col("simhash").alias("h"), F.explode(F.array(*band)).alias("band"))
-    left, right = keyed.select(F.col("h").alias("a"), "band"), keyed.select(F.col("h").alias("b"), "band")
+    masks = block_masks(distance, spare or spare_blocks(distance, one.count()))
+    keyed = one.select(F.col("simhash").alias("h"), F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    keyed = keyed.select("h", "mask", F.col("h").bitwiseAND(F.col("mask")).alias("v"))
+    left, right = keyed.withColumnRenamed("h", "a"), keyed.withColumnRenamed("h", "b")
     d = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    return left.join(right, "band").where("a < b").select("a", "b", d.alias("d")).where(F.col("d") <= distance).distinct()
+    return left.join(right, ["mask", "v"]).where("a < b").select("a", "b", d.alias("d")).where(F.col("d") <= distance).distinct()
 
 
 def near_duplicates(prints: DataFrame, key: str = "doc_id", least: float = 0.85) -> DataFrame:
     """Classes of equal hashes and the linked hashes of each: key, simhash, copies and n_near (other hashes near it)."""
     distance = int(64 * (1 - least) + 1e-9)
-    pairs = hamming_pairs(prints, distance)
-    near = pairs.select(F.col("a").alias("simhash")).union(pairs.select("b")).groupBy("simhash").agg(F.count(F.lit(1)).alias("n_near"))
     copies = prints.groupBy("simhash").agg(F.count(F.lit(1)).alias("copies"))
+    pairs = hamming_pairs(copies, distance)
+    near = pairs.select(F.col("a").alias("simhash")).union(pairs.select("b")).groupBy("simhash").agg(F.count(F.lit(1)).alias("n_near"))
     out = prints.select(key, "simhash").join(copies, "simhash").join(near, "simhash", "left")
     return out.select(key, "simhash", "copies", F.coalesce("n_near", F.lit(0)).alias("n_near"))

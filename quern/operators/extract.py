@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from urllib.parse import urljoin, urlsplit
 
@@ -78,8 +78,8 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def follow(rows: DataFrame, *, external: bool = False, allowed: tuple[str, ...] = (), exclude: tuple[str, ...] = (), resources: bool = False, nofollow: bool = False) -> DataFrame:
-    """Links a crawler takes: no nofollow, no resources, none of the excluded patterns; external ones only if wanted, and
-    then also of allowed domains."""
+    """Links a crawler takes: no nofollow, no resources, none of the excluded patterns; all external ones if wanted, else those
+    of allowed domains and their subdomains only."""
     ok = F.lit(True)
     if not nofollow:
         ok = ok & ~F.col("nofollow")
@@ -87,38 +87,50 @@ def follow(rows: DataFrame, *, external: bool = False, allowed: tuple[str, ...]
         ok = ok & ~F.col("is_resource")
     for p in exclude:
         ok = ok & ~F.col("url").rlike(p)
-    if external and allowed:
-        suffix = F.lit(False)
+    if not external:
+        inside = ~F.col("is_external")
         for d in allowed:
-            suffix = suffix | (U.domain("url") == d) | U.domain("url").endswith("." + d)
-        ok = ok & (~F.col("is_external") | suffix)
-    elif not external:
-        ok = ok & ~F.col("is_external")
+            inside = inside | (U.domain("url") == d) | U.domain("url").endswith("." + d)
+        ok = ok & inside
     return rows.where(ok)
 
 
+def page_urls(rows: DataFrame, *, external: bool = False, **options) -> DataFrame:
+    """The addresses that a page is said to lead to: of the links taken the internal ones, and external ones only if wanted,
+    whatever domains are allowed."""
+    taken = follow(rows, external=external, **options)
+    return (taken if external else taken.where("not is_external")).select("page_id", "url", "norm_url")
+
+
+# Dates within a text, in ISO form and as Unix time.
+ISO = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})?")
+UNIX = re.compile(r"\b\d{10,13}\b")
+
+
+def _readings(text: str) -> Iterator[Callable[[], datetime | None]]:
+    """Ways to read a text as a date, in order."""
+    yield lambda: dates.parse(text, fuzzy=True, default=datetime(2000, 1, 1))
+    yield lambda: datetime.fromisoformat(m[0].replace("Z", "+00:00")) if (m := ISO.search(text)) else None
+    yield lambda: datetime.fromtimestamp(int(m[0]) / (1000 if len(m[0]) == 13 else 1), timezone.utc) if (m := UNIX.search(text)) else None
+
+
 def parse_date(text: str | None, now: datetime | None = None) -> str | None:
-    """ISO form with zone of a date in free form or Unix seconds; none for dates to come."""
+    """ISO form with zone of a date in free form, within a text, or in Unix seconds or milliseconds: the first reading that
+    isn't later than `now` (the time of the capture, by default the present)."""
     text = (text or "").strip()
-    if not text:
+    if len(text) < 4:
         return None
-    now = now or datetime(2100, 1, 1, tzinfo=timezone.utc)
-    at = None
-    if re.fullmatch(r"\d{10,13}", text):
-        at = datetime.fromtimestamp(int(text[:10]), timezone.utc)
-    else:
+    now = now or datetime.now(timezone.utc)
+    for read in _readings(text):
         try:
-            at = dates.parse(text, fuzzy=True, default=datetime(2000, 1, 1))
-        except (ValueError, OverflowError, TypeError):
-            if m := re.search(r"\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2})?)?", text):
-                try:
-                    at = datetime.fromisoformat(m[0])
-                except ValueError:
-                    return None
-    if at is None:
-        return None
-    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
-    return at.isoformat() if at <= now else None
+            at = read()
+        except (ValueError, OverflowError, TypeError, OSError):
+            continue
+        if at is not None:
+            at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+            if at <= now:
+                return at.isoformat()
+    return None
 
 
 def json_ld(root: dom.Node, key: str) -> str | None:
@@ -145,84 +157,85 @@ def json_ld(root: dom.Node, key: str) -> str | None:
     return None
 
 
-def page_date(root: dom.Node) -> tuple[str | None, float]:
-    """The date of a page and its confidence: meta elements, time elements, elements named like dates, then the text."""
-    nodes = [n for n in root.walk() if n is not root]
+def _dated(nodes: list[dom.Node], text: Callable[[], str]) -> Iterator[tuple[str | None, float]]:
+    """(text, confidence) where a page may give its date, in order of trust: meta elements, time elements, elements named like
+    dates, then the first ten in the text."""
     for name in DATE_META:
-        n = next((n for n in nodes if n.tag == "meta" and n.attrs.get("property") == name), None) or next((n for n in nodes if n.tag == "meta" and n.attrs.get("name") == name), None)
-        if n is not None and (d := parse_date(n.attrs.get("content"))):
-            return d, 0.9
+        for attribute in ("property", "name"):
+            if n := next((n for n in nodes if n.tag == "meta" and n.attrs.get(attribute) == name), None):
+                yield n.attrs.get("content"), 0.9
+                break
     for n in nodes:
         if n.tag == "time":
-            if d := parse_date(n.attrs.get("datetime")):
-                return d, 0.95
-            if d := parse_date(n.text()):
-                return d, 0.9
-    named = [n for what in ("class", "id") for n in nodes if re.search("date|time|publish|posted", n.attrs.get(what, ""), re.I)]
-    for n in named:
-        if d := parse_date(n.text()):
-            return d, 0.75
-    for candidate in DATE_TEXT.findall(root.text())[:10]:
-        if d := parse_date(candidate):
-            return d, 0.6
-    return None, 0.0
+            yield n.attrs.get("datetime"), 0.95
+            yield n.text(), 0.9
+    for what in ("class", "id"):
+        for n in nodes:
+            if re.search("date|time|publish|posted", n.attrs.get(what, ""), re.I):
+                yield n.text(), 0.75
+    for candidate in DATE_TEXT.findall(text())[:10]:
+        yield candidate, 0.6
+
+
+def page_date(root: dom.Node, now: datetime | None = None) -> tuple[str | None, float]:
+    """The date of a page and its confidence."""
+    return next(((d, sure) for t, sure in _dated(root.nodes(), root.text) if (d := parse_date(t, now))), (None, 0.0))
 
 
-def value(root: dom.Node, sel: str, method: str = "text", attribute: str | None = None) -> str | None:
+def value(root: dom.Node, sel: str, method: str = "text", attribute: str | None = None, now: datetime | None = None) -> str | None:
     """The values of all elements of a selector, distinct and in document order, between blank lines; those of date
-    selectors are parsed, and the earliest counts."""
-    out = []
+    selectors, and of the attribute 'date', are parsed, and the earliest counts."""
+    dated, out = attribute == "date" or bool(re.search("date|time", sel)), []
     for n in dom.select(root, sel):
-        if method == "attribute" and attribute:
+        if dated:
+            v = parse_date(n.attrs.get("datetime") or n.attrs.get("content") or n.text(), now)
+        elif method == "attribute" and attribute:
             v = n.attrs.get(attribute)
         elif method == "html":
             v = n.html()
-        elif n.tag == "meta":
-            v = n.attrs.get("content")
         else:
-            v = n.text()
-        if re.search("date|time", sel):
-            v = parse_date(n.attrs.get("datetime") or v)
+            v = n.attrs.get("content") if n.tag == "meta" else n.text()
         if v:
             out.append(v)
-    if out and re.search("date|time", sel):
-        return min(out)
-    return "\n\n".join(dict.fromkeys(out)) or None
+    return (min(out) if dated and out else "\n\n".join(dict.fromkeys(out))) or None
 
 
-def rule_value(root: dom.Node, rule: dict, key: str | None = None) -> tuple[str | None, float]:
+def rule_value(root: dom.Node, rule: dict, key: str | None = None, now: datetime | None = None) -> tuple[str | None, float]:
     """A rule's value: JSON-LD if it has the key, the primary selector, then fallbacks at 0.9 of the confidence each."""
     if key and (v := json_ld(root, key)):
         return v, 0.95
     confidence = rule.get("confidence", 1.0)
     for i, sel in enumerate([rule["primary"], *rule.get("fallbacks", [])]):
-        if v := value(root, sel, rule.get("method", "text"), rule.get("attribute")):
+        if v := value(root, sel or "", rule.get("method") or "text", rule.get("attribute"), now):
             return v, confidence * 0.9**i
     return None, 0.0
 
 
-def infer(html: str | None, least: float = 0.5) -> dict[str, tuple[str, float]]:
-    """The best selector of each field: a pattern's confidence, times 0.9 for two or three matches and 0.7 for more, halved
-    for content under a hundred characters; earlier patterns win ties."""
-    root = dom.parse(html)
-    out: dict[str, tuple[str, float]] = {}
-    for field, patterns in FIELDS.items():
-        best = ("", 0.0)
-        for sel, confidence in patterns:
-            if found := dom.select(root, sel):
-                score = confidence * (1.0 if len(found) == 1 else 0.9 if len(found) <= 3 else 0.7)
-                if field == "content" and len(found[0].text()) < 100:
-                    score *= 0.5
-                if score > best[1]:
-                    best = (sel, score)
-        if best[1] >= least:
-            out[field] = best
-    return out
+def best_selector(root: dom.Node, field: str) -> tuple[str, float] | None:
+    """The best pattern of a field: its confidence, times 0.9 for two or three matches and 0.7 for more, halved for content
+    under a hundred characters; earlier patterns win ties."""
+    best = None
+    for sel, confidence in FIELDS.get(field, ()):
+        if found := dom.select(root, sel):
+            score = confidence * (1.0 if len(found) == 1 else 0.9 if len(found) <= 3 else 0.7)
+            if field == "content" and len(found[0].text()) < 100:
+                score *= 0.5
+            if best is None or score > best[1]:
+                best = (sel, score)
+    return best
+
+
+def infer(page: str | dom.Node | None, least: float = 0.5) -> dict[str, tuple[str, float]]:
+    """The best selector of each field, with its confidence, where that is `least` or more."""
+    root = page if isinstance(page, dom.Node) else dom.parse(page)
+    found = ((field, best_selector(root, field)) for field in FIELDS)
+    return {field: best for field, best in found if best and best[1] >= least}
 
 
 def adapt(old: dict[str, tuple[str, float]], html: str | None) -> dict[str, tuple[str, float]]:
     """A strategy for a changed page: selectors that still match at 0.95 of their confidence, else new ones at 0.8."""
-    root, fresh = dom.parse(html), infer(html)
+    root = dom.parse(html)
+    fresh = infer(root)
     out = {f: (s, c * 0.95) for f, (s, c) in old.items() if value(root, s)}
     return out | {f: (s, c * 0.8) for f, (s, c) in fresh.items() if f not in out}
 
@@ -238,12 +251,12 @@ EXTRACTION = (
 )
 
 
-def extract(html: str | None, base: str, strategy: dict[str, tuple[str, float]] | None = None) -> dict:
+def extract(html: str | None, base: str, strategy: dict[str, tuple[str, float]] | None = None, now: datetime | None = None) -> dict:
     """A page's content by a strategy (by default its own inferred one). A page without a date can still succeed."""
     root = dom.parse(html)
-    strategy = infer(html) if strategy is None else strategy
-    got = {f: rule_value(root, {"primary": s, "confidence": c}, {"title": "headline", "author": "author"}.get(f)) for f, (s, c) in strategy.items()}
-    date, sure = page_date(root)
+    strategy = infer(root) if strategy is None else strategy
+    got = {f: rule_value(root, {"primary": s, "confidence": c}, {"title": "headline", "author": "author"}.get(f), now) for f, (s, c) in strategy.items()}
+    date, sure = page_date(root, now)
     title, content = (got.get(f, (None, 0.0))[0] for f in ("title", "content"))
     errors = [f"missing {f}" for f in ("title", "content") if not got.get(f, (None,))[0]]
     warnings = [w for w, bad in (("short title", title and len(title) < 5), ("short content", content and len(content) < 100), ("no date", not date)) if bad]
@@ -256,14 +269,17 @@ def extract(html: str | None, base: str, strategy: dict[str, tuple[str, float]]
     }
 
 
-def extractions(pages: DataFrame) -> DataFrame:
-    """The extraction of every page (page_id, url, html)."""
+def extractions(pages: DataFrame, captured: str | None = None) -> DataFrame:
+    """The extraction of every page (page_id, url, html). Dates later than the capture are refused: `captured` names the
+    column of its time; without it that is the present."""
+    at = F.unix_seconds(F.col(captured).cast("timestamp")) if captured else F.lit(None).cast("long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([{"page_id": i, **extract(h, u or "")} for i, u, h in zip(b["page_id"], b["url"], b["html"], strict=True)])
+            now = [None if pd.isna(t) else datetime.fromtimestamp(int(t), timezone.utc) for t in b["at"]]
+            yield pd.DataFrame([{"page_id": i, **extract(h, u or "", now=t)} for i, u, h, t in zip(b["page_id"], b["url"], b["html"], now, strict=True)])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, EXTRACTION)
+    return pages.select("page_id", "url", "html", at.alias("at")).mapInPandas(run, EXTRACTION)
 
 
 def validity(rows: DataFrame, least: float = 0.5) -> DataFrame:

@@ -51,10 +51,21 @@ def admit(links: DataFrame, seen: DataFrame, *, max_depth: int, allowed: list[st
     return pop(first, cap).drop("rank")
 
 
+def shared_cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the cluster's shared folder; the session must have one (spark.checkpoint.dir)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def crawl(seeds: DataFrame, links: DataFrame, max_depth: int, cut) -> DataFrame:
     """Breadth-first reach over an edge table (url, target): (url, depth) of everything within max_depth of the seeds.
 
-    Each level joins only the newest addresses; `cut` breaks the lineage (a checkpoint on a cluster).
+    Each level joins only the newest addresses; `cut` breaks the lineage (`shared_cut` on a cluster).
     """
     done = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     front = done

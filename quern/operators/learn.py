@@ -39,6 +39,28 @@ def train(rows: DataFrame, label: str, kind: str = "logistic", folds: int = 0) -
     return PipelineModel([fitted, names]), accuracy
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """A trained model under a path, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def importances(model: PipelineModel) -> list[float]:
+    """What each dimension counts in a model: a forest's importances, or the mean size of a regression's weights."""
+    fitted = model.stages[0]
+    if hasattr(fitted, "featureImportances"):
+        return fitted.featureImportances.toArray().tolist()
+    return abs(fitted.coefficientMatrix.toArray()).mean(axis=0).tolist()
+
+
+def train_changes(pairs: DataFrame, label: str, kind: str = "logistic") -> tuple[PipelineModel, float]:
+    """A classifier of what a change does, from pairs of embeddings (old, new) and a label."""
+    return train(change_features(pairs), label, kind)
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """`rows` with `predicted` and `confidence`."""
     out = model.transform(rows.withColumn("features", array_to_vector("embedding")))

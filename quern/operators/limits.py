@@ -43,7 +43,8 @@ def throttle(alerts: DataFrame, minutes: int) -> DataFrame:
 
 
 def replay(requests: DataFrame, default: float = 1.0, least: float = 0.5, most: float = 60.0, factor: float = 2.0) -> DataFrame:
-    """(event_id, domain, ts, failed, limited, ms) with the seconds waited and the delay in force after each request.
+    """(event_id, domain, ts, failed, limited, ms) with the seconds waited and the delay in force after each request. A column
+    crawl_delay, if there is one, overrides the delay where it isn't null, down to `least`; backoff applies on top.
 
     A request waits until the delay since the last one has passed; the delay doubles per consecutive error (at most five
     times) and for good when limited; at most once a minute it shrinks by a tenth under fast answers (mean of the last
@@ -51,8 +52,9 @@ def replay(requests: DataFrame, default: float = 1.0, least: float = 0.5, most:
     """
 
     def step(s, r):
-        now = max(r["ts"].timestamp(), s["last"] or 0)
-        delay = min(s["delay"] * factor ** min(s["errors"], 5), most) if s["errors"] else s["delay"]
+        now, own = max(r["ts"].timestamp(), s["last"] or 0), r.get("crawl_delay")
+        base = s["delay"] if own is None or own != own else max(own, least)
+        delay = min(base * factor ** min(s["errors"], 5), most) if s["errors"] else base
         wait = max(0.0, delay - (now - s["last"])) if s["last"] is not None else 0.0
         s["last"] = now + wait
         if r["failed"] or r["limited"]:
@@ -87,3 +89,30 @@ def bucket(requests: DataFrame, rate: float, capacity: int) -> DataFrame:
         return (tokens - 1, now), (r["event_id"], 0.0)
 
     return fold(requests, "domain", ["ts", "event_id"], lambda: (float(capacity), None), step, "event_id long, wait double")
+
+
+def interval(runs: DataFrame, start: float = 1440.0, least: float = 5.0, most: float = 10080.0) -> DataFrame:
+    """(user_id, minutes): how long to wait after the whole history (user_id, seq, changed) of each key. A change halves the
+    interval, three visits without one lengthen it by half, within `least` and `most`. One state per key, whatever its history."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, minutes, quiet, out = None, start, 0, []
+        for b in batches:
+            for key, changed in zip(b["user_id"], b["changed"], strict=True):
+                if key != at:
+                    if at is not None:
+                        out.append((at, minutes))
+                    at, minutes, quiet = key, start, 0
+                if changed:
+                    minutes, quiet = max(minutes * 0.5, least), 0
+                elif quiet >= 2:
+                    minutes, quiet = min(minutes * 1.5, most), 0
+                else:
+                    quiet += 1
+            yield pd.DataFrame(out, columns=["user_id", "minutes"])
+            out = []
+        if at is not None:
+            yield pd.DataFrame([(at, minutes)], columns=["user_id", "minutes"])
+
+    rows = runs.repartition("user_id").sortWithinPartitions("user_id", "seq").select("user_id", "changed")
+    return rows.mapInPandas(run, "user_id long, minutes double")

@@ -97,9 +97,12 @@ def matches(docs: DataFrame, key: str = "doc_id", kinds: tuple[str, ...] = tuple
     return docs.select(key, "text").mapInPandas(run, f"{key} long, pii_type string, value string, start int, end int, confidence double, category string")
 
 
-def processed(docs: DataFrame, how: str, key: str = "doc_id", kinds: tuple[str, ...] = tuple(PATTERNS), salt: str = "quern", merge: bool = False, alert_on_sensitive: bool = True) -> DataFrame:
+def processed(docs: DataFrame, how: str, key: str = "doc_id", kinds: tuple[str, ...] = tuple(PATTERNS), salt: str | None = None, merge: bool = False, alert_on_sensitive: bool = True) -> DataFrame:
     """key, text, n_matches, categories and `excluded`. `how`: redact, pseudonymize, flag (text as it is) or exclude. A page
-    with sensitive categories is excluded if alerts are on, also when its text is redacted."""
+    with sensitive categories is excluded if alerts are on, also when its text is redacted. Pseudonyms need a `salt`, which
+    must be kept secret: values can be guessed by whoever knows it."""
+    if how == "pseudonymize" and not salt:
+        raise ValueError("pseudonyms need a salt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quern.functions import text as T
+
 
 def save(store: DataFrame, rows: DataFrame, key: list[str], keep: int | None = None) -> DataFrame:
     """`store` (key, version, captured_at, ...) with `rows` (no version) added as next versions in time order; at most the
@@ -43,11 +45,33 @@ def unexpired(store: DataFrame, at: str, seconds: int, now: Column) -> DataFrame
 
 def stats(store: DataFrame, by: list[str]) -> DataFrame:
     """Rows per value of each column of `by`, and in all, in one pass; `level` names the column."""
-    sets = " , ".join(f"({c})" for c in by)
-    store.createOrReplaceTempView("_quern_store")
-    level = " ".join(f"WHEN grouping({c}) = 0 THEN '{c}'" for c in by)
-    name = ", ".join(f"CAST({c} AS STRING)" for c in by)
-    return store.sparkSession.sql(f"SELECT CASE {level} ELSE 'all' END AS level, coalesce({name}, '') AS value, count(*) AS n FROM _quern_store GROUP BY GROUPING SETS ({sets}, ())")
+    level = F.lit("all")
+    for c in reversed(by):
+        level = F.when(F.grouping(c) == 0, c).otherwise(level)
+    sets = store.groupingSets([[c] for c in by] + [[]], *by)
+    return sets.agg(level.alias("level"), F.count(F.lit(1)).alias("n")).select(
+        "level", F.coalesce(*[F.when(F.col("level") == c, F.col(c).cast("string")) for c in by], F.lit("")).alias("value"), "n")
+
+
+def variant_stats(rows: DataFrame) -> DataFrame:
+    """Variants of each key: `rows` (domain, page_type, variant_id) with `variants`, a row per domain and type."""
+    return rows.groupBy("domain", "page_type").agg(F.count_distinct("variant_id").alias("variants"))
+
+
+def save_baselines(saved: DataFrame | None, rows: DataFrame, at: str) -> DataFrame:
+    """One baseline per domain and page_type: the latest of `rows` by `at`, in place of what was saved before."""
+    key = ["domain", "page_type"]
+    rest = [c for c in rows.columns if c not in key]
+    new = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias("_r")).select(*key, "_r.*").select(rows.columns)
+    return new if saved is None else saved.join(new, key, "left_anti").select(new.columns).union(new)
+
+
+def drift(current: DataFrame, baselines: DataFrame, key: list[str], least: float = 0.85) -> DataFrame:
+    """`current` with score, the cosine to the baseline of its key, and status ok, drifted, or error where there is none."""
+    pairs = current.join(baselines.select(*key, F.col("embedding").alias("_base")), key, "left")
+    score = F.round(T.cosine(F.col("_base"), F.col("embedding")), 6)
+    status = F.when(F.col("score").isNull(), "error").when(F.col("score") < least, "drifted").otherwise("ok")
+    return pairs.withColumn("score", F.when(F.col("_base").isNotNull(), score)).drop("_base").withColumn("status", status)
 
 
 def signature(tags: Column, classes: Column, marks: Column) -> Column:

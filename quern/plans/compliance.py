@@ -52,7 +52,7 @@ def _allowed(rules: str) -> str:
       FROM (SELECT page_id, string_split(domain, '.')[-1] AS tld, path FROM (SELECT page_id, {PARTS} FROM pages)) p LEFT JOIN {rules} ON r.domain = p.tld AND regexp_matches(p.path, r.regex)) WHERE k = 1"""
 
 
-def _decided(spark: SparkSession, sf: str) -> DataFrame:
+def decided(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("key"), "url", U.domain("url").alias("domain"))
     block = spark.createDataFrame([("www.example.com",), (" EXAMPLE.org ",)], "domain string")
     ok = robots_allowed(spark, sf).withColumnRenamed("page_id", "key")
@@ -63,11 +63,11 @@ def _decided(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def authorization(spark: SparkSession, sf: str) -> DataFrame:
-    return _decided(spark, sf).select(F.col("key").alias("page_id"), "basis", F.col("basis").isin("explicit_permission", "public_access").alias("authorized"))
+    return decided(spark, sf).select(F.col("key").alias("page_id"), "basis", F.col("basis").isin("explicit_permission", "public_access").alias("authorized"))
 
 
 def fetch_gate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _decided(spark, sf)
+    rows = decided(spark, sf)
     return rows.groupBy(C.gate(U.is_private("url"), F.col("basis"), F.col("allowed")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 

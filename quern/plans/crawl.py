@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import schedule as S, url as U
 from quern.operators import frontier as R
-from quern.plans.urls import NORMAL, PARTS
+from quern.plans.urls import NORMAL, PARTS, case
 from quern.sources.tables import table
 
 
-def _frontier(spark: SparkSession, sf: str) -> DataFrame:
+def frontier_rows(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", "url", U.domain("url").alias("domain"), U.depth("url").alias("depth"), U.normalize("url").alias("norm_url"))
     boost = [F.col("url").contains("/en/"), F.col("url").contains("page=2")]
     return p.withColumn("priority", R.discovered_priority(F.col("url"), F.col("depth"), boost)).withColumn("score", R.pop_score(F.col("priority"), F.col("depth")))
@@ -23,25 +23,25 @@ PRIO = """(SELECT *, -priority + 0.001::DOUBLE * depth AS score FROM (SELECT *,
 
 
 def frontier_scores(spark: SparkSession, sf: str) -> DataFrame:
-    f = _frontier(spark, sf)
+    f = frontier_rows(spark, sf)
     return f.select("page_id", F.round("priority", 9).alias("priority"), F.round("score", 9).alias("score"), F.round(R.claim_score(F.col("priority"), F.col("depth"), F.col("page_id")), 6).alias("claim"), F.round(R.retry_priority(F.col("priority"), F.col("page_id") % 4), 9).alias("retry"))
 
 
 def frontier_pop(spark: SparkSession, sf: str) -> DataFrame:
-    f = _frontier(spark, sf).withColumn("score", F.round("score", 9))
+    f = frontier_rows(spark, sf).withColumn("score", F.round("score", 9))
     return R.pop(f, 2).select("domain", "rank", "page_id")
 
 
 def discovered_admission(spark: SparkSession, sf: str) -> DataFrame:
     """Second-level addresses that pass admission, those of the first fifty pages seen already."""
-    f = _frontier(spark, sf).withColumn("score", F.round("score", 9))
+    f = frontier_rows(spark, sf).withColumn("score", F.round("score", 9))
     seen = f.where("page_id < 50")
     out = R.admit(f, seen, max_depth=2, allowed=["example.com", "example.net"], cap=3)
     return out.select("domain", "norm_url")
 
 
 def queue_stats(spark: SparkSession, sf: str) -> DataFrame:
-    f = _frontier(spark, sf)
+    f = frontier_rows(spark, sf)
     return f.groupBy("domain").agg(F.count(F.lit(1)).alias("queued"), F.count_distinct("norm_url").alias("added"), F.round(F.max("priority"), 9).alias("best"))
 
 
@@ -59,7 +59,8 @@ def cron_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cron_next_run(spark: SparkSession, sf: str) -> DataFrame:
-    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("after")).where("user_id < 20")
+    """The next run of every schedule after each user's last event."""
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("after"))
     rows = last.join(F.broadcast(_crons(spark)), F.lit(True)).withColumn("target", F.concat_ws("-", "target", F.col("user_id").cast("string")))
     return S.next_run(rows).select("target", "next_run")
 
@@ -94,9 +95,12 @@ def _cron_sql(minute: str, hour: str, dom: str, month: str, dow: str) -> str:
 
 
 _MATCH = " UNION ALL ".join(f"SELECT '{k}' AS target, ts FROM (SELECT ts, ts AS t FROM events) WHERE {_cron_sql(*c.split())}" for k, c in SCHEDULES)
-_NEXT = " UNION ALL ".join(
-    f"SELECT '{k}-' || user_id AS target, coalesce((SELECT min(t) FROM range(date_trunc('minute', after) + INTERVAL 1 MINUTE, date_trunc('minute', after) + INTERVAL 366 DAY, INTERVAL 1 MINUTE) r(t) WHERE {_cron_sql(*c.split())}), after + INTERVAL 1 DAY) AS next_run FROM (SELECT user_id, max(ts) AS after FROM events WHERE user_id < 20 GROUP BY 1)"
-    for k, c in SCHEDULES)
+_NEXT = f"""WITH u AS (SELECT user_id, max(ts) AS after FROM events GROUP BY 1), m AS (SELECT t FROM range((SELECT date_trunc('minute', min(after)) FROM u), (SELECT max(after) FROM u) + INTERVAL 366 DAY, INTERVAL 1 MINUTE) r(t)),
+  hits AS ({" UNION ALL ".join(f"SELECT '{k}' AS k, t FROM m WHERE {_cron_sql(*c.split())}" for k, c in SCHEDULES)}),
+  x AS (SELECT user_id, after, date_trunc('minute', after) AS floor, k FROM u, (SELECT unnest({[k for k, _ in SCHEDULES]}) AS k) n),
+  found AS (SELECT x.*, hits.t FROM x ASOF LEFT JOIN hits ON x.k = hits.k AND x.floor < hits.t)
+  SELECT concat(k, '-', user_id) AS target, CASE WHEN t <= floor + INTERVAL 525600 MINUTE THEN t ELSE after + INTERVAL 1 DAY END AS next_run FROM found"""
+TYPED = f"(SELECT domain, page_id, {case(U.PAGE_TYPES, 'general', 'page_type')} FROM (SELECT page_id, url, {PARTS} FROM pages))"
 QUERIES = {f.__name__: f for f in (frontier_scores, frontier_pop, discovered_admission, queue_stats, cron_match, cron_next_run, due_schedules, changefreq_schedule)}
 ORACLE_SQL = {
     "frontier_scores": f"SELECT page_id, round(priority, 9) AS priority, round(score, 9) AS score, round((1 - priority) * 1e6 + depth * 1000 + page_id, 6) AS claim, round(priority * pow(0.5, page_id % 4), 9) AS retry FROM {PRIO}",

@@ -109,12 +109,8 @@ def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
 
 def adaptive_interval(spark: SparkSession, sf: str) -> DataFrame:
     """Recrawl minutes after a user's whole history: halved by a change, 1.5 times after three visits without one, 5 to 10080."""
-    runs = _events(spark, sf).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") == "purchase").alias("c")))).alias("h"))
-    step = F.aggregate(
-        "h", F.struct(F.lit(1440.0).alias("m"), F.lit(0).alias("n")),
-        lambda s, e: F.when(e["c"], F.struct(F.greatest(s["m"] * 0.5, F.lit(5.0)).alias("m"), F.lit(0).alias("n")))
-        .when(s["n"] >= 2, F.struct(F.least(s["m"] * 1.5, F.lit(10080.0)).alias("m"), F.lit(0).alias("n"))).otherwise(F.struct(s["m"].alias("m"), (s["n"] + 1).alias("n"))))
-    return runs.select("user_id", F.round(step["m"], 6).alias("minutes"))
+    runs = _events(spark, sf).select("user_id", F.struct("ts", "event_id").alias("seq"), (F.col("event_type") == "purchase").alias("changed"))
+    return limits.interval(runs).select("user_id", F.round("minutes", 6).alias("minutes"))
 
 
 EV = "(SELECT *, event_type = 'error' AS failed FROM events)"
@@ -122,6 +118,20 @@ THROTTLE = f"""WITH RECURSIVE e AS (SELECT event_id, concat_ws(':', event_type,
   r AS (SELECT event_id, key, ts AS last, k, true AS sent FROM e WHERE k = 1 UNION ALL
     SELECT e.event_id, e.key, CASE WHEN e.ts - r.last < INTERVAL 360 MINUTE THEN r.last ELSE e.ts END, e.k, NOT (e.ts - r.last < INTERVAL 360 MINUTE) FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
   SELECT event_id, key, sent FROM r"""
+BUCKET = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  r AS (SELECT event_id, user_id, k, 1.0::DOUBLE AS tokens, t AS at, 0.0::DOUBLE AS wait FROM e WHERE k = 1 UNION ALL
+    SELECT event_id, user_id, k, CASE WHEN n < 1 THEN 0.0 ELSE n - 1 END, CASE WHEN n < 1 THEN now + (1 - n) / 0.0002 ELSE now END, CASE WHEN n < 1 THEN (1 - n) / 0.0002 ELSE 0.0 END FROM (
+      SELECT e.event_id, e.user_id, e.k, greatest(e.t, r.at) AS now, least(2.0, r.tokens + (greatest(e.t, r.at) - r.at) * 0.0002::DOUBLE) AS n FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1))
+  SELECT event_id, round(wait, 6) AS wait FROM r"""
+WAITS = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, event_type = 'error' AS failed, event_type = 'purchase' AS limited, value AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+  s AS (SELECT event_id, user_id, 0::BIGINT AS k, NULL::DOUBLE AS last, 1.0::DOUBLE AS delay, 0 AS errors, []::DOUBLE[] AS times, NULL::DOUBLE AS adjusted, 0.0::DOUBLE AS wait FROM e WHERE k = 1 UNION ALL
+    SELECT event_id, user_id, k, last, CASE WHEN limited THEN least(delay * 2, 60.0) WHEN failed OR NOT turn THEN delay WHEN list_avg(times) < 100 THEN greatest(delay * 0.9::DOUBLE, 0.5) WHEN list_avg(times) > 2000 THEN least(delay * 1.2::DOUBLE, 60.0) ELSE delay END,
+      CASE WHEN failed OR limited THEN errors + 1 ELSE 0 END, times, CASE WHEN failed OR limited OR NOT turn THEN adjusted ELSE last END, wait FROM (
+      SELECT *, adjusted IS NULL OR last - adjusted >= 60 AS turn FROM (
+        SELECT event_id, user_id, k, failed, limited, delay, errors, adjusted, CASE WHEN failed OR limited THEN times ELSE list_append(times, ms)[-20:] END AS times, now + w AS last, w AS wait FROM (
+          SELECT *, CASE WHEN last IS NULL THEN 0.0 ELSE greatest(0.0, CASE WHEN errors > 0 THEN least(delay * pow(2.0, least(errors, 5)), 60.0) ELSE delay END - (now - last)) END AS w FROM (
+            SELECT e.event_id, e.user_id, e.k, e.failed, e.limited, e.ms, s.last, s.delay, s.errors, s.times, s.adjusted, greatest(e.t, coalesce(s.last, 0)) AS now FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))))
+  SELECT event_id, round(wait, 6) AS wait, round(delay, 6) AS delay FROM s WHERE k > 0"""
 QUERIES = {f.__name__: f for f in (
     fetch_counters, latency_histogram, rolling_mean20, error_streak_backoff, domain_stats, crawler_stats, state_counts, alert_throttle, alert_summaries, alert_gate,
     stale_claims, active_workers, job_status, run_history, rate_limit_waits, token_bucket, adaptive_interval)}
@@ -134,7 +144,7 @@ ORACLE_SQL = {
     "domain_stats": f"SELECT user_id, count(*) AS requests, count(*) FILTER (failed) AS errors, round(avg(value), 6) AS mean_value, max(ts) AS last_request, count(*) FILTER (event_type = 'click') AS clicks FROM {EV} GROUP BY 1",
     "crawler_stats": f"SELECT count(*) FILTER (NOT failed) AS crawled, count(*) FILTER (failed) AS failed, count(DISTINCT user_id) AS domains, round(sum(value), 4) AS bytes, round(avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 6) AS mean_k FROM {EV}",
     "state_counts": "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY ROLLUP (event_type, CAST(ts AS DATE))",
-    "alert_throttle": THROTTLE,
+    "alert_throttle": THROTTLE, "token_bucket": BUCKET, "rate_limit_waits": WAITS,
     "alert_summaries": f"SELECT key, count(*) AS n FROM ({THROTTLE}) WHERE NOT sent GROUP BY 1 HAVING count(*) > 1",
     "alert_gate": f"SELECT CASE WHEN failed THEN CASE WHEN value > 100 THEN 'critical' ELSE 'error' END WHEN event_type = 'purchase' THEN 'warning' ELSE 'info' END AS severity, count(*) AS n, bool_or(failed OR event_type = 'purchase') AS passes FROM {EV} GROUP BY 1",
     "stale_claims": "SELECT user_id, max(ts) AS claimed_at, arg_max(event_type, {'t': ts, 'i': event_id}) AS state FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 300 SECOND",

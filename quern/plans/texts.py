@@ -8,7 +8,7 @@ from quern.functions import text as T
 from quern.operators import dedup, vectors
 from quern.sources.tables import table
 
-NORM = r"""regexp_replace(trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g')), '\s+', ' ', 'g')), '[^\p{L}\p{N}\p{M}_\s]', '', 'g')"""
+NORM = r"""regexp_replace(trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')), '\s+', ' ', 'g')), '[^\p{L}\p{N}\p{M}_\s]', '', 'g')"""
 WORDS = "list_filter(string_split(t, ' '), lambda w: w <> '')"
 PRINTS = f"""SELECT doc_id, md5(t) AS md5, len(w) AS word_count, length(t) AS char_count,
   CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END AS parts
@@ -32,13 +32,13 @@ def exact_dups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.near_duplicates(dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash").persist())
+    return dedup.near_duplicates(dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash"))
 
 
 def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents against the benchmark: equal text or similarity of 0.9 or more."""
-    docs = dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash").persist()
-    items = dedup.fingerprints(table(spark, sf, "benchmark"), "item_id").select("item_id", "simhash").persist()
+    docs = dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash")
+    items = dedup.fingerprints(table(spark, sf, "benchmark"), "item_id").select("item_id", "simhash")
     pairs = dedup.hamming_pairs(docs.select("simhash").union(items.select("simhash")), 6)
     links = pairs.select("a", "b").union(pairs.select("b", "a")).union(docs.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).distinct())
     hits = links.join(items.select("item_id", F.col("simhash").alias("b")), "b").groupBy("a").agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"))
@@ -46,17 +46,20 @@ def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by twenty, among all."""
     e = table(spark, sf, "embeddings")
-    return vectors.top_k(e.orderBy("vec_id").limit(10), e, 5)
+    return vectors.top_k(e.where("vec_id % 20 = 0"), e, 5)
 
 
 def similar_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to ten vectors of a cosine of 0.2 or more, of every vector whose id is divisible by twenty."""
     e = table(spark, sf, "embeddings")
-    return vectors.top_k(e.orderBy("vec_id").limit(10), e, 10, 0.2)
+    return vectors.top_k(e.where("vec_id % 20 = 0"), e, 10, 0.2)
 
 
 def _baseline(e: DataFrame) -> DataFrame:
-    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).where("label < 9")
+    """The first vector of each label is its baseline."""
+    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
 
 
 def drift_from_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,16 +72,14 @@ def drift_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean cosine between the baselines of labels, one column per label."""
-    b = _baseline(table(spark, sf, "embeddings"))
-    pairs = b.select(F.col("label").alias("a"), F.col("embedding").alias("x")).join(F.broadcast(b.select(F.col("label").alias("b"), F.col("embedding").alias("y"))))
-    return pairs.groupBy("a").pivot("b", list(range(3))).agg(F.round(F.sum(T.cosine(F.col("x"), F.col("y"))), 6)).selectExpr("a", "`0` as l0", "`1` as l1", "`2` as l2")
+    """Cosines between the baselines of all labels, a row and a column for each of the ten labels."""
+    return vectors.matrix(_baseline(table(spark, sf, "embeddings")), "label", list(range(10)), "l")
 
 
 def similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Training pairs of the label baselines: 1 within a type (the parity of the label), else 0."""
     b = _baseline(table(spark, sf, "embeddings")).select("label")
-    pairs = b.select(F.col("label").alias("a")).join(F.broadcast(b.select(F.col("label").alias("b"))), F.expr("a < b"))
+    pairs = vectors.pairs(b, "label").where("a < b")
     return pairs.select("a", "b", F.when(F.expr("a % 2 = b % 2"), 1.0).otherwise(0.0).alias("target"))
 
 
@@ -89,8 +90,8 @@ def label_distribution(spark: SparkSession, sf: str) -> DataFrame:
 
 COS = "coalesce(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 0)"
 TOPK = f"""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT query_id, vec_id, round({COS}, 6) AS score FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings ORDER BY vec_id LIMIT 10) WHERE vec_id <> query_id))"""
-BASE = "(SELECT label, arg_min(embedding, vec_id) AS q FROM embeddings WHERE label < 9 GROUP BY label)"
+  SELECT query_id, vec_id, round({COS}, 6) AS score FROM embeddings, (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0) WHERE vec_id <> query_id))"""
+BASE = "(SELECT label, arg_min(embedding, vec_id) AS q FROM embeddings GROUP BY label)"
 DRIFT = f"""SELECT vec_id, label, score, CASE WHEN score IS NULL THEN 'error' WHEN score < 0.85 THEN 'drifted' ELSE 'ok' END AS status
   FROM (SELECT e.vec_id, e.label, CASE WHEN q IS NOT NULL THEN round({COS}, 6) END AS score FROM embeddings e LEFT JOIN {BASE} b USING (label))"""
 
@@ -110,7 +111,7 @@ ORACLE_SQL = {
     "similar_threshold": TOPK.replace("WHERE vec_id <> query_id))", "WHERE vec_id <> query_id) WHERE score >= 0.2)") + " WHERE rank <= 10",
     "drift_from_baseline": DRIFT,
     "drift_totals": f"SELECT status, count(*) AS n FROM ({DRIFT}) GROUP BY 1",
-    "label_matrix": f"""SELECT a, max(s) FILTER (b = 0) AS l0, max(s) FILTER (b = 1) AS l1, max(s) FILTER (b = 2) AS l2 FROM (
+    "label_matrix": f"""SELECT a, {', '.join(f'max(s) FILTER (b = {i}) AS l{i}' for i in range(10))} FROM (
       SELECT x.label AS a, y.label AS b, round(list_cosine_similarity(CAST(x.q AS DOUBLE[]), CAST(y.q AS DOUBLE[])), 6) AS s FROM {BASE} x, {BASE} y) GROUP BY 1""",
     "similarity_pairs": f"SELECT x.label AS a, y.label AS b, CASE WHEN x.label % 2 = y.label % 2 THEN 1.0::DOUBLE ELSE 0.0 END AS target FROM {BASE} x, {BASE} y WHERE x.label < y.label",
     "label_distribution": "SELECT quality, toxic, count(*) AS n, count(*) >= 10 AS enough FROM labels GROUP BY ALL",

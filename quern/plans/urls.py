@@ -60,9 +60,9 @@ def _normal(spark: SparkSession, sf: str) -> DataFrame:
 NORMAL = f"""SELECT page_id, domain, concat(scheme, '://', CASE scheme WHEN 'http' THEN regexp_replace(domain, ':80$', '') WHEN 'https' THEN regexp_replace(domain, ':443$', '') ELSE domain END,
   regexp_replace(path, '/+', '/', 'g'), CASE WHEN q <> '' THEN concat('?', q) ELSE '' END) AS norm_url
 FROM (SELECT *, coalesce(array_to_string(list_transform(list_sort(list_transform(list_filter(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''),
-  lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END),
-  lambda x: NOT list_contains({U.TRACKING!r}, lower(string_split(x, '=')[1])) AND NOT regexp_matches(lower(x), '^({'|'.join(U.SESSION)})')),
-  lambda x, i: {{'k': string_split(x, '=')[1], 'i': i, 'x': x}})), lambda e: e.x), '&'), '') AS q FROM (SELECT page_id, {PARTS} FROM pages))"""
+  lambda x: {{'k': url_decode(replace(string_split(x, '=')[1], '+', ' ')), 'v': url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' '))}}),
+  lambda x: NOT list_contains({list(U.TRACKING)!r}, lower(x.k)) AND NOT regexp_matches(lower(x.k), '^({'|'.join(U.SESSION)})')),
+  lambda x, i: {{'k': x.k, 'i': i, 'x': replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')}})), lambda e: e.x), '&'), '') AS q FROM (SELECT page_id, {PARTS} FROM pages))"""
 
 
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,19 +94,16 @@ def url_keys(spark: SparkSession, sf: str) -> DataFrame:
         F.size(U.terms_urls(URL)).alias("n_terms"), F.element_at(U.terms_urls(URL), 3).alias("tos_url"))
 
 
-URL_KEYS = f"""SELECT page_id, md5(url) AS url_key, substr(md5(url), 1, 12) AS target_hash, concat(substr(regexp_replace(CASE WHEN l = '' THEN 'index' ELSE l END, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), 1, 50), '_', substr(md5(url), 1, 12)) AS file_name,
+URL_KEYS = f"""SELECT page_id, md5(url) AS url_key, substr(md5(url), 1, 12) AS target_hash, concat(substr(regexp_replace(CASE WHEN l = '' THEN 'index' ELSE l END, '[^\\p{{L}}\\p{{N}}]', '_', 'g'), 1, 50), '_', substr(md5(url), 1, 12)) AS file_name,
   6 AS n_terms, concat(lower(regexp_extract(url, {S}, 1)), '://', regexp_extract(url, {S}, 2), '/tos') AS tos_url
-FROM (SELECT page_id, url, string_split(trim(regexp_extract(url, {S}, 3), '/'), '/')[-1] AS l FROM pages)"""
+FROM (SELECT page_id, url, string_split(rtrim(path, '/'), '/')[-1] AS l FROM (SELECT page_id, url, {PARTS} FROM pages))"""
 
 
 def url_predicates(spark: SparkSession, sf: str) -> DataFrame:
     """Pattern matching, article-like and category-like addresses, substring search."""
-    p = F.regexp_replace(U.part(URL, 3), "^/+|/+$", "")
-    article = (p.rlike(r"[0-9]{4}/[0-9]{2}/[0-9]{2}") | p.rlike("[0-9]{5,}") | (F.length(p) - F.length(F.replace(p, F.lit("-"), F.lit(""))) >= 2)) & p.contains("/")
-    category = p.rlike("^[A-Za-z]{1,20}$") & ~p.isin("video", "videos", "live", "watch", "listen", "account", "login", "signup", "subscribe", "search", "about", "contact", "privacy", "terms", "jobs", "careers", "press", "newsletters", "weather")
     return table(spark, sf, "pages").select(
-        "page_id", U.matches(URL, ["/*/{n}", "/en/**", "/[bad"]).alias("matches"), (article & ~U.part(URL, 3).rlike("/page/[0-9]+/?$")).alias("article_like"),
-        category.alias("category_like"), F.lower(URL).contains("example.net").alias("found"),
+        "page_id", U.matches(URL, ["/*/{n}", "/en/**", "/[bad"]).alias("matches"), U.is_article(URL).alias("article_like"),
+        U.is_news_category(URL).alias("category_like"), F.lower(URL).contains("example.net").alias("found"),
         U.same_domain(URL, F.lit("http://www.example.com/"), True).alias("same_base"))
 
 
@@ -116,8 +113,50 @@ URL_PREDICATES = f"""SELECT page_id, regexp_matches(path, '^/[^/]+/[^/]+$') OR r
   contains(lower(url), 'example.net') AS found, array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') = 'example.com' AS same_base
 FROM (SELECT page_id, url, {PARTS}, regexp_extract(url, {S}, 3) AS raw, trim(regexp_extract(url, {S}, 3), '/') AS p FROM pages)"""
 
-QUERIES = {f.__name__: f for f in (url_parts, url_pattern, page_types, url_normalize, url_normalize_dedup, url_depth_hist, url_keys, url_predicates)}
+def url_form_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses that carry what people wrote, escaped in one of three ways, back in one form."""
+    t = table(spark, sf, "conversations")
+    raw = F.substring(F.regexp_replace("text", r"[\x00-\x1f]", " "), 1, 60)
+    by_plus, by_hex = U.escape(raw), F.replace(U.escape(raw), F.lit("+"), F.lit("%20"))
+    written = F.when(F.col("turn") % 3 == 0, by_plus).when(F.col("turn") % 3 == 1, by_hex).otherwise(F.regexp_replace(by_hex, "%2[cC]", ","))
+    url = F.concat(F.lit("HTTP://Www.Example.com:80//s;v=1?q="), written, F.lit("&utm%5Fsource=mail&b=&a=1&a=0&SID9=x#top"))
+    return t.select("conv_id", "turn", U.normalize(url).alias("norm_url"))
+
+
+def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Links in several relative forms on every page, made absolute."""
+    forms = F.explode(F.array(*[F.lit(x) for x in ("/a/b", "?x=1", "//cdn.example.org/c.js", "https://other.example.org/", "#part")])).alias("link")
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"), forms)
+    return p.select("page_id", "link", U.resolve(F.col("url"), F.col("link")).alias("resolved"))
+
+
+def article_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The five addresses of each site that look most like articles: longest paths of digits or hyphens first."""
+    p = table(spark, sf, "pages").where(U.part(URL, 3).rlike("[0-9]{3}")).select("page_id", U.domain(URL).alias("domain"), (U.hyphens(URL)).alias("hyphens"), URL)
+    order = Window.partitionBy("domain").orderBy(F.desc("hyphens"), URL, "page_id")
+    return p.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("domain", "rank", "page_id")
+
+
+#: Names of sections that sites use, and the general ones they stand for.
+SECTIONS = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "EN": "never"}
+
+
+def section_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages by the general name of their first path segment; segments that the dictionary lacks are left out."""
+    p = table(spark, sf, "pages").select(F.regexp_extract(U.path(URL), "^/([^/]*)", 1).alias("section"))
+    return U.same_category(p, "section", SECTIONS).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SECTION_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in SECTIONS.items())
+FORMS = r"""SELECT conv_id, turn, concat('http://www.example.com/s?a=1&a=0&b=&q=', replace(url_encode(substr(regexp_replace(text, '[\x00-\x1f]', ' ', 'g'), 1, 60)), '%20', '+')) AS norm_url FROM conversations"""
+QUERIES = {f.__name__: f for f in (
+    url_parts, url_pattern, page_types, url_normalize, url_normalize_dedup, url_depth_hist, url_keys, url_predicates, url_form_values, resolved_links, article_links, section_names)}
 ORACLE_SQL = {
     "url_parts": URL_PARTS, "url_pattern": URL_PATTERN, "page_types": PAGE_TYPES, "url_normalize": NORMAL, "url_normalize_dedup": DEDUP,
-    "url_depth_hist": DEPTH, "url_keys": URL_KEYS, "url_predicates": URL_PREDICATES,
+    "url_depth_hist": DEPTH, "url_keys": URL_KEYS, "url_predicates": URL_PREDICATES, "url_form_values": FORMS,
+    "resolved_links": """SELECT page_id, link, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '//%' THEN concat(regexp_extract(u, '^([a-z]+:)', 1), link) WHEN link LIKE '/%' THEN concat(regexp_extract(u, '^([a-z]+://[^/]+)', 1), link)
+      ELSE concat(u, link) END AS resolved FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, unnest(['/a/b', '?x=1', '//cdn.example.org/c.js', 'https://other.example.org/', '#part']) AS link FROM pages)""",
+    "article_links": f"""SELECT domain, rank, page_id FROM (SELECT domain, page_id, row_number() OVER (PARTITION BY domain ORDER BY length(p) - length(replace(p, '-', '')) DESC, url, page_id) AS rank
+      FROM (SELECT page_id, url, {PARTS}, trim(regexp_extract(url, {S}, 3), '/') AS p FROM pages) WHERE regexp_matches(regexp_extract(url, {S}, 3), '[0-9]{{3}}')) WHERE rank <= 5""",
+    "section_names": f"SELECT category, count(*) AS n FROM (SELECT regexp_extract(path, '^/([^/]*)', 1) AS section FROM (SELECT {PARTS} FROM pages)) JOIN (VALUES {_SECTION_ROWS}) v(section, category) USING (section) GROUP BY 1",
 }

@@ -27,8 +27,12 @@ def write_state(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def shape(rows: DataFrame, column: str) -> str:
-    """The schema of the JSON texts of a column."""
-    return rows.sparkSession.read.json(rows.select(column).rdd.map(lambda r: r[0])).schema.simpleString()
+    """The schema that holds all JSON texts of a column, as the JVM merges it; texts that aren't JSON don't count."""
+    return rows.select(F.schema_of_variant_agg(F.try_parse_json(F.col(column))).alias("s")).first()["s"]
+
+
+#: Parts of the YAML form whose entries are options.
+SECTIONS = ("crawl", "rate_limit", "pii", "structure", "robots", "fetch", "render", "alerts")
 
 
 @dataclass(frozen=True)
@@ -43,23 +47,42 @@ class Options:
     allowed_domains: tuple[str, ...] = ()
     exclude_patterns: tuple[str, ...] = ()
     priority_boost_patterns: tuple[str, ...] = ()
+    extract_resources: bool = False
+    follow_external: bool = False
+    follow_nofollow: bool = False
+    respect_robots: bool = True
+    respect_crawl_delay: bool = True
+    adaptive: bool = True
     default_delay: float = 1.0
     min_delay: float = 0.5
     max_delay: float = 60.0
     backoff_multiplier: float = 2.0
     user_agent: str = "quern"
     pii_action: str = "redact"
+    min_confidence: float = 0.5
+    alert_on_sensitive: bool = True
+    breaking_threshold: float = 0.70
+    variant_threshold: float = 0.85
+    structure_ttl: int = 604_800
+    robots_ttl: int = 86_400
+    max_versions: int = 10
+    timeout: float = 30.0
+    max_content_size: int = 10_485_760
+    render_wait: str = "networkidle"
+    block_resources: tuple[str, ...] = ("image", "media", "font")
+    alert_min_severity: str = "warning"
+    alert_throttle_minutes: int = 60
     extra: dict = field(default_factory=dict)
 
     @classmethod
-    def load(cls, text: str) -> Options:
+    def load(cls, text: str, **own) -> Options:
+        """Options from YAML; those given as arguments win."""
         data = yaml.safe_load(text) or {}
-        crawl = data.get("crawl", {})
-        if missing := [k for k in ("seed_urls", "output_dir") if not crawl.get(k)]:
+        flat = {k: v for name in SECTIONS for k, v in (data.get(name) or {}).items()} | own
+        if missing := [k for k in ("seed_urls", "output_dir") if not flat.get(k)]:
             raise ValueError(f"missing: {', '.join(missing)}")
         known = {f.name for f in fields(cls)} - {"extra"}
-        flat = crawl | data.get("rate_limit", {}) | data.get("pii", {})
-        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in known}, extra={k: v for k, v in data.items() if k not in ("crawl", "rate_limit", "pii")})
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in known}, extra={k: v for k, v in data.items() if k not in SECTIONS})
 
     def save(self) -> str:
         own = {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if k != "extra"}

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import schedule as S, url as U
 
@@ -57,12 +57,16 @@ def discover(sites: DataFrame, responses: DataFrame) -> DataFrame:
     return hit.groupBy("url").agg(F.min_by("candidate", "rank").alias("sitemap_url"))
 
 
-def follow(starts: DataFrame, parsed: DataFrame, levels: int = 5) -> DataFrame:
-    """Page entries reachable from `starts` (url) over index files among `parsed` entries, each file once."""
-    front, seen = starts.select("url").distinct(), starts.select("url").distinct()
+def follow(starts: DataFrame, parsed: DataFrame, levels: int = 100, cut=lambda df: df) -> DataFrame:
+    """Page entries reachable from `starts` (url) over index files among `parsed` entries, each file once, until no new file
+    is found or `levels` are. `cut` breaks the lineage of a level."""
+    index = parsed.where("kind = 'sitemap'").select("sitemap_url", F.col("loc").alias("url"))
+    seen = front = cut(starts.select("url").distinct())
     for _ in range(levels):
-        step = parsed.where("kind = 'sitemap'").join(front.select(F.col("url").alias("sitemap_url")), "sitemap_url").select(F.col("loc").alias("url")).distinct()
-        front = step.join(seen, "url", "left_anti")
+        step = index.join(front.select(F.col("url").alias("sitemap_url")), "sitemap_url").select("url").distinct()
+        front = cut(step.join(seen, "url", "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.union(front)
     return parsed.where("kind = 'url'").join(seen.select(F.col("url").alias("sitemap_url")).distinct(), "sitemap_url")
 
@@ -75,3 +79,12 @@ def keep(priority: Column, modified: Column, least: float, since: Column | None)
     """The filter of sitemap entries: a priority of 0 or none passes, as does an unknown date."""
     ok = priority.isNull() | (priority == 0) | (priority >= least)
     return ok if since is None else ok & (modified.isNull() | (modified >= since))
+
+
+def page_urls(spark: SparkSession, path: str, domain: str | None = None, limit: int = 50_000) -> DataFrame:
+    """The page entries of the sitemap files under a path (XML or gzip), of one domain if it is named: at most `limit` per file,
+    in the order of the file's addresses."""
+    rows = entries(spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "content")).where("kind = 'url'")
+    rows = rows if domain is None else of_domain(rows, domain)
+    first = Window.partitionBy("sitemap_url").orderBy("loc")
+    return rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")

@@ -33,17 +33,23 @@ def test_simhash(spark, text):
 
 
 def test_normalized_text(spark):
-    t = spark.createDataFrame([("<b>A</b> - b",), (None,)], "t string").select(T.normalize(F.col("t")))
-    assert [r[0] for r in t.collect()] == ["a  b", ""]
+    t = spark.createDataFrame([("<b>A</b> - b",), (None,), ("<p>one</p><p>two</p>",)], "t string").select(T.normalize(F.col("t")))
+    assert [r[0] for r in t.collect()] == ["a  b", "", "one two"]
 
 
 def test_hamming_pairs_are_all(spark):
     hashes = [0, 1, 3, 0xFF, 1 << 63, -1, -2, 0x3FF, 0x7FF]
     hashes = [h - (1 << 64) if h >= 1 << 63 else h for h in hashes]
     df = spark.createDataFrame([(h,) for h in hashes], "simhash long")
-    got = {(r["a"], r["b"]) for r in dedup.hamming_pairs(df, 9).collect()}
     want = {(a, b) for a in hashes for b in hashes if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 9}
-    assert got == want
+    for spare in (None, 1, 2, 3):
+        assert {(r["a"], r["b"]) for r in dedup.hamming_pairs(df, 9, spare).collect()} == want
+
+
+def test_hamming_tables_grow_with_the_corpus():
+    assert [dedup.spare_blocks(9, n) for n in (1_000, 1_000_000, 10**9)] == [1, 3, 3] or dedup.spare_blocks(9, 1_000) < dedup.spare_blocks(9, 10**9)
+    masks = dedup.block_masks(9, 2)
+    assert len(masks) == len(set(masks)) == 55 and all(bin(m & (1 << 64) - 1).count("1") in range(10, 14) for m in masks)
 
 
 def test_similarities(spark):
@@ -114,7 +120,7 @@ def test_dom_repair():
 def test_structure(spark):
     s = structure.analyze(PAGE)
     assert s["tag_counts"]["p"] == 2 and s["parent_child_pairs"]["article>p"] == 2 and s["semantic_landmarks"]["nav"] == "nav.menu"
-    assert s["content_regions"][0] == {"name": "article", "primary_selector": "article.post", "confidence": 0.9} and s["pagination"] is None
+    assert s["content_regions"][0] == {"name": "article", "primary_selector": "article", "fallback_selectors": ["main", ".content", "#content"], "confidence": 0.9} and s["pagination"] is None
     pages = spark.createDataFrame([(1, PAGE), (2, PAGE), (3, "<body><div>x</div></body>"), (4, None)], "page_id long, html string")
     rows = structure.structures(pages)
     pairs = rows.where("page_id = 1").select(F.struct(*rows.columns).alias("old")).join(rows.select(F.struct(*rows.columns).alias("new")))
