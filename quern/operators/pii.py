@@ -4,32 +4,42 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The patterns of each kind, its base confidence and the words nearby that raise it.
 PATTERNS = {
-    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0, 0.85, "email contact mail e-mail".split()),
-    "phone": (r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b", 0, 0.7, "phone tel call mobile cell fax".split()),
+    "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0, 0.85, ["email", "contact", "mail", "e-mail"]),
+    "phone": (r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)?\d{3}[-.\s]?\d{4}\b", 0, 0.7, ["phone", "tel", "call", "mobile", "cell", "fax"]),
     "ssn": (r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", 0, 0.85, ["ssn", "social security", "social-security", "ss#"]),
-    "credit_card": (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", 0, 0.9, "card credit payment cc visa mastercard".split()),
+    "credit_card": (r"\b(?:\d{4}[-\s]?){3}\d{4}\b", 0, 0.9, ["card", "credit", "payment", "cc", "visa", "mastercard"]),
     "ip_address": (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0, 0.7, []),
-    "date_of_birth": (r"\b(?:born|dob|birth\s*date|date\s*of\s*birth|birthday)[:\s]*(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\w+\s+\d{1,2},?\s+\d{4})\b", re.I, 0.8, "born birthday dob age".split()),
-    "name": (r"\b(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+)?(?:[A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)\b", 0, 0.5, "name customer user member subscriber".split()),
-    "address": (r"\b\d+\s+(?:[A-Za-z]+\s+){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct|Circle|Cir)\.?(?:\s*,?\s*(?:Apt|Suite|Unit|#)\s*\d+)?\b", re.I, 0.6, "address location residence home mailing".split()),
+    "date_of_birth": (r"\b(?:born|dob|birth\s*date|date\s*of\s*birth|birthday)[:\s]*(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\w+\s+\d{1,2},?\s+\d{4})\b", re.I, 0.8, ["born", "birthday", "dob", "age"]),
+    "name": (r"\b(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+)?(?:[A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)\b", 0, 0.5, ["name", "customer", "user", "member", "subscriber"]),
+    "address": (r"\b\d+\s+(?:[A-Za-z]+\s+){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Drive|Dr|Lane|Ln|Way|Court|Ct|Circle|Cir)\.?(?:\s*,?\s*(?:Apt|Suite|Unit|#)\s*\d+)?\b", re.I, 0.6, ["address", "location", "residence", "home", "mailing"]),
     "passport": (r"\b(?:passport\s*(?:no|number|#)?[:\s]*)?[A-Z]{1,2}\d{6,9}\b", re.I, 0.75, ["passport", "travel document"]),
-    "driver_license": (r"\b(?:driver'?s?\s*(?:license|lic)\s*(?:no|number|#)?[:\s]*)?[A-Z]{0,2}\d{5,12}\b", re.I, 0.7, "driver license dmv driving".split()),
+    "driver_license": (r"\b(?:driver'?s?\s*(?:license|lic)\s*(?:no|number|#)?[:\s]*)?[A-Z]{0,2}\d{5,12}\b", re.I, 0.7, ["driver", "license", "dmv", "driving"]),
     "national_id": (r"\b(?:national\s*id|id\s*(?:no|number|#))[:\s]*[A-Z0-9]{6,15}\b", re.I, 0.7, []),
-    "health_info": (r"\b(?:diagnosis|diagnosed|patient|medical\s*record|prescription|medication|treatment|condition|blood\s*type|allergy|allergies|disease|disorder|symptoms?|chronic|health\s*(?:condition|issue|problem))[:\s]+[A-Za-z0-9\s,.-]{3,50}\b", re.I, 0.75, "medical health patient doctor hospital".split()),
-    "financial": (r"\b(?:account\s*(?:no|number|#)|routing\s*(?:no|number)|bank\s*account|iban|swift|bic)[:\s]*[A-Z0-9]{8,34}\b", re.I, 0.8, "bank account routing wire transfer".split()),
+    "health_info": (r"\b(?:diagnosis|diagnosed|patient|medical\s*record|prescription|medication|treatment|condition|blood\s*type|allergy|allergies|disease|disorder|symptoms?|chronic|health\s*(?:condition|issue|problem))[:\s]+[A-Za-z0-9\s,.-]{3,50}\b", re.I, 0.75, ["medical", "health", "patient", "doctor", "hospital"]),
+    "financial": (r"\b(?:account\s*(?:no|number|#)|routing\s*(?:no|number)|bank\s*account|iban|swift|bic)[:\s]*[A-Z0-9]{8,34}\b", re.I, 0.8, ["bank", "account", "routing", "wire", "transfer"]),
     "biometric": (r"\b(?:fingerprint|retina|iris|facial\s*recognition|voice\s*print|dna|biometric)\s*(?:id|data|scan|sample)[:\s]+[A-Za-z0-9-]{5,}\b", re.I, 0.8, []),
 }
+# The category of each sensitive kind, and pairs of capitalized words that are places, not names.
 SENSITIVE = {"ssn": "identity", "credit_card": "financial", "health_info": "health", "biometric": "biometric", "national_id": "identity", "passport": "identity", "driver_license": "identity", "financial": "financial"}
 PLACES = {"New York", "Los Angeles", "San Francisco", "San Diego", "United States", "North America", "South America"}
 _COMPILED = {k: re.compile(p, f) for k, (p, f, _, _) in PATTERNS.items()}
 
+#: What a text must hold for a kind to match at all, by its pattern: digits in a row, and one of some words (in lower case).
+GUARDS: dict[str, tuple[int, tuple[str, ...]]] = {
+    "email": (0, ("@",)), "phone": (4, ()), "ssn": (4, ()), "credit_card": (4, ()), "ip_address": (1, (".",)), "date_of_birth": (1, ("born", "dob", "birth")), "name": (0, ()),
+    "address": (1, ("st", "ave", "road", "rd", "boulevard", "blvd", "dr", "lane", "ln", "way", "c")), "passport": (6, ()), "driver_license": (5, ()), "national_id": (0, ("id",)),
+    "health_info": (0, ("diagnos", "patient", "medical", "prescription", "medication", "treatment", "condition", "blood", "allerg", "disease", "disorder", "symptom", "chronic", "health")),
+    "financial": (0, ("account", "routing", "iban", "swift", "bic")), "biometric": (0, ("fingerprint", "retina", "iris", "facial", "voice", "dna", "biometric")),
+}
+
 
 def luhn(number: str) -> bool:
     d = [int(c) for c in number if c.isdigit()]
@@ -38,34 +48,56 @@ def luhn(number: str) -> bool:
     return (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0
 
 
-def plausible(kind: str, value: str, text: str, start: int, end: int) -> bool:
-    """Whether a match passes the rules of its kind."""
-    digits = re.sub(r"\D", "", value)
-    if kind == "phone":
-        return len(digits) >= 7 and not re.fullmatch(r"\d{4}[-/]\d{2}[-/]\d{2}|\d+\.\d+\.\d+", value)
-    if kind == "ip_address":
-        return all(int(p) <= 255 for p in value.split(".")) and not re.search(r"version|v\d|\.jar|\.dll", text[max(0, start - 20) : start], re.I)
-    if kind == "ssn":
-        return len(digits) == 9 and digits[:3] not in ("000", "666") and digits[:3] < "900"
-    if kind == "credit_card":
-        return luhn(value)
-    if kind == "name":
-        return value not in PLACES
-    if kind == "address":
-        return len(value) >= 15
-    near = text[max(0, start - 50) : end + 50].lower()
-    if kind == "driver_license":
-        return "license" in near or "driver" in near
-    return kind != "passport" or "passport" in near
+@dataclass(frozen=True)
+class Found:
+    """A match in its text."""
+
+    value: str
+    text: str
+    start: int
+    end: int
+
+    @property
+    def digits(self) -> str:
+        return "".join(c for c in self.value if c.isdigit())
+
+    def before(self, n: int) -> str:
+        return self.text[max(0, self.start - n) : self.start].lower()
+
+    def around(self, n: int) -> str:
+        return self.text[max(0, self.start - n) : self.end + n].lower()
+
+
+# Forms that look like a phone number and aren't one, words before versions, and areas that no SSN has.
+NOT_PHONES = re.compile(r"\d{4}[-/]\d{2}[-/]\d{2}|\d+\.\d+\.\d+")
+VERSIONS = re.compile(r"version|v\d|\.jar|\.dll")
+NO_AREAS = ("000", "666", *map(str, range(900, 1000)))
+#: The rule of each kind that has one; a match must pass it.
+RULES: dict[str, Callable[[Found], bool]] = {
+    "phone": lambda m: len(m.digits) >= 7 and not NOT_PHONES.fullmatch(m.value),
+    "ip_address": lambda m: max(map(int, m.value.split("."))) < 256 and not VERSIONS.search(m.before(20)),
+    "ssn": lambda m: len(m.digits) == 9 and not m.digits.startswith(NO_AREAS),
+    "credit_card": lambda m: luhn(m.value),
+    "name": lambda m: m.value not in PLACES,
+    "address": lambda m: len(m.value) >= 15,
+    "driver_license": lambda m: any(w in m.around(50) for w in ("license", "driver")),
+    "passport": lambda m: "passport" in m.around(50),
+}
+
+
+def possible(text: str, kinds: tuple[str, ...]) -> list[str]:
+    """The kinds that a text can hold by their guards."""
+    run, low = max(map(len, re.findall(r"\d+", text)), default=0), text.lower()
+    return [k for k in kinds if run >= GUARDS[k][0] and (not GUARDS[k][1] or any(w in low for w in GUARDS[k][1]))]
 
 
 def detect(text: str, kinds: tuple[str, ...] = tuple(PATTERNS), least: float = 0.5, window: int = 30) -> list[tuple[str, str, int, int, float]]:
     """(kind, value, start, end, confidence) of all matches, by kind and place; a word nearby raises confidence once."""
     out = []
-    for kind in kinds:
+    for kind in possible(text, kinds):
         _, _, base, words = PATTERNS[kind]
         for m in _COMPILED[kind].finditer(text):
-            if plausible(kind, m[0], text, m.start(), m.end()):
+            if kind not in RULES or RULES[kind](Found(m[0], text, m.start(), m.end())):
                 near = text[max(0, m.start() - window) : m.end() + window].lower()
                 confidence = min(1.0, base + 0.15) if any(w in near for w in words) else base
                 if confidence >= least:
@@ -118,7 +150,18 @@ def processed(docs: DataFrame, how: str, key: str = "doc_id", kinds: tuple[str,
 
 
 def counts(docs: DataFrame, key: str = "doc_id", kinds: tuple[str, ...] = tuple(PATTERNS)) -> DataFrame:
-    """Raw matches of each kind, as native expressions."""
-    def java(k: str) -> str:
-        return ("(?i)" if PATTERNS[k][1] else "") + PATTERNS[k][0]
-    return docs.select(key, *[F.regexp_count("text", F.lit(java(k))).alias(k) for k in kinds])
+    """Raw matches of each kind, as native expressions; a pattern runs only over texts that pass its guard."""
+    low = F.lower("text")
+
+    def count(k: str) -> Column:
+        digits, words = GUARDS[k]
+        guard = F.col("text").rlike(rf"\d{{{digits}}}") if digits else F.lit(True)
+        if words:
+            some = F.lit(False)
+            for w in words:
+                some = some | F.contains(low, F.lit(w))
+            guard = guard & some
+        found = F.regexp_count("text", F.lit(("(?i)" if PATTERNS[k][1] else "") + PATTERNS[k][0]))
+        return F.when(guard, found).when(F.col("text").isNotNull(), F.lit(0)).alias(k)
+
+    return docs.select(key, *[count(k) for k in kinds])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import url as U
-from quern.operators import lifecycle, store, strategies, structure
+from quern.operators import compliance, lifecycle, store, strategies, structure
 from quern.plans.pages import paired
 from quern.plans.urls import PARTS, case
 from quern.sources.tables import table
@@ -68,6 +68,28 @@ def structure_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("page_id", (structure.to_json(structure.from_json(F.col("json"))) == F.col("json")).alias("same"))
 
 
+def signature_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a page's signature differs from that of the page before on its site; landmarks don't count."""
+    pairs = paired(spark, sf)
+    sig = lambda s: store.signature(F.col(f"{s}.tag_counts"), F.map_keys(f"{s}.css_class_map"), F.col(f"{s}.semantic_landmarks"))
+    both = pairs.select("page_id", sig("old").alias("a"), sig("new").alias("b"))
+    return both.select("page_id", (~store.same_signature(F.col("a"), F.col("b"))).alias("has_changed"))
+
+
+def cached_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each user's answers the latest, where it isn't older than a day at a fixed time: a cache with expiry."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    rows = e.where(F.col("ts") <= now).groupBy("user_id", "ts").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    return compliance.latest_valid(rows, "user_id", "ts", now, 86_400).select("user_id", "event_type")
+
+
+def unexpired_structures(spark: SparkSession, sf: str) -> DataFrame:
+    """Structures saved within the last two minutes of a day of page ids, by site."""
+    p = table(spark, sf, "pages").select(U.domain("url").alias("domain"), F.timestamp_seconds("page_id").alias("captured_at"))
+    return store.unexpired(p, "captured_at", 120, F.timestamp_seconds(F.lit(240))).groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
+
 def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Variants (here address patterns) of each site and type, and in all."""
     p = table(spark, sf, "pages").select(U.domain("url").alias("domain"), U.classify(F.col("url"), U.PAGE_TYPES, "general").alias("page_type"), U.pattern(F.col("url")).alias("variant_id"))
@@ -181,7 +203,7 @@ def _side(k: str, c: str | None, a: str, b: str) -> str:
 
 _RECORDS = "(" + " UNION ALL ".join(f"SELECT page_id, domain AS key, round(similarity, 9) < 0.7 AS relearn, '{kind}' AS change_type, '{name}' AS component, {k} AS s, {_side(k, c, '', '0')} AS added, {_side(k, c, '0', '')} AS removed FROM {_SIMS} WHERE {k} < 0.9" for k, kind, name, c in _KINDS) + ")"
 QUERIES = {f.__name__: f for f in (
-    change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, variant_stats, strategy_apply, strategy_adapt,
+    change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, signature_changes, cached_responses, unexpired_structures, variant_stats, strategy_apply, strategy_adapt,
     strategy_validate, strategy_override, structure_strategies, baselines, baseline_drift)}
 ORACLE_SQL = {
     "change_detect": f"""SELECT page_id, p AS previous_id, round(similarity, 9) AS similarity, {_CLASS} AS change_class, array_to_string(list_filter([{', '.join(f"CASE WHEN {k} < 0.9 THEN '{k}' END" for k, *_ in _KINDS)}], lambda x: x IS NOT NULL), ',') AS changed FROM {_SIMS}""",
@@ -191,6 +213,9 @@ ORACLE_SQL = {
     "structure_compare": f"SELECT page_id, round(list_avg(list_filter([{_jaccard('tags', 'NULL')}, {_jaccard('classes', 'NULL')}, {_jaccard('marks', 'NULL')}], lambda x: x IS NOT NULL)), 9) AS similarity FROM {_PAIRS}",
     "version_compare": f"""SELECT page_id, hash = hash0 AS same_hash, round(t, 9) AS tag_similarity, round(c, 9) AS class_similarity, round((t + c) / 2, 9) AS overall_similarity, {_minus('tags', 'tags0')} AS tags_added,
       {_minus('tags0', 'tags')} AS tags_removed, {_minus('classes', 'classes0')} AS classes_added, {_minus('classes0', 'classes')} AS classes_removed FROM (SELECT *, {_jaccard('tags', '1.0')} AS t, {_jaccard('classes', '1.0')} AS c FROM {_PAIRS})""",
+    "signature_changes": f"SELECT page_id, NOT (list_sort(l) = list_sort(l0) AND classes = classes0) AS has_changed FROM {_MULTI} WHERE p IS NOT NULL",
+    "cached_responses": "SELECT user_id, event_type FROM (SELECT user_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-30 12:00:00') WHERE k = 1 AND ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-30 12:00:00'",
+    "unexpired_structures": f"SELECT domain, count(*) AS n FROM (SELECT page_id, {PARTS} FROM pages) WHERE page_id + 120 > 240 GROUP BY 1",
     "structure_round_trip": "SELECT page_id, true AS same FROM pages",
     "page_descriptions": f"""SELECT page_id, concat_ws(' ', 'type:' || page_type, CASE WHEN n > 1000 THEN 'size:large' WHEN n > 200 THEN 'size:medium' ELSE 'size:small' END, CASE WHEN list_contains(tags, 'article') THEN 'has:article' END,
         CASE WHEN list_contains(tags, 'table') THEN 'has:tables' END, CASE WHEN list_contains(tags, 'form') THEN 'has:forms' END, CASE WHEN len(list_filter(list_, lambda t: t = 'nav')) > 2 THEN 'has:complex-nav' END,
