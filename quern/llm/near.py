@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.llm.common import components, cut, few, lookup, need, read
-from quern.llm.text import mix, normal, parts, shingles
+from quern.llm.text import mix, normal, parts, shingles, weighted_shingles
 
 #: Texts in a block of a bucket, and their bytes (a longer text is a block of its own).
 BLOCK, BYTES = 256, 1 << 23
@@ -82,15 +82,27 @@ def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, k:
     return out
 
 
-def sketch(docs: DataFrame, bands: int, rows: int, width: int, *carry: str) -> DataFrame:
-    """Band keys of each document's words: `docs` has the `carry` columns, then `words` as `normal` gives them."""
+def elements(texts: list[bytes], width: int, counts: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of texts as (text, element). With `counts` the i-th occurrence of a shingle is an element of its own, so
+    that set similarity of elements is weighted similarity of shingles."""
+    if not counts:
+        return shingles(texts, width)
+    doc, item, n = weighted_shingles(texts, width)
+    of = np.repeat(np.arange(len(doc)), n)
+    i = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    return doc[of], item[of] ^ mix(i) * (i > 0)
+
+
+def sketch(docs: DataFrame, bands: int, rows: int, width: int, *carry: str, counts: bool = False) -> DataFrame:
+    """Band keys of each document's words: `docs` has the `carry` columns, then `words` as `normal` gives them. A shingle weighs
+    one, or with `counts` as much as it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
         for batch in batches:
             for first, texts in parts(batch.column(len(carry))):
-                doc, item = shingles(texts, width)
-                sig = signatures(doc, item, np.ones(len(item)), len(texts), bands * rows).reshape(len(texts), bands, rows)
+                doc, item, n = weighted_shingles(texts, width)
+                sig = signatures(doc, item, n.astype(float) if counts else np.ones(len(item)), len(texts), bands * rows).reshape(len(texts), bands, rows)
                 key = np.zeros((len(texts), bands), dtype=np.uint64) + salt
                 for r in range(rows):
                     key = mix(key ^ sig[:, :, r])
@@ -105,7 +117,7 @@ def sketch(docs: DataFrame, bands: int, rows: int, width: int, *carry: str) -> D
     return docs.select(*carry, "words").mapInArrow(run, schema)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, counts: bool = False) -> DataFrame:
     """The pairs (a, b) whose texts have a Jaccard similarity of `threshold` or more; `texts` has (h, words), h unique."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +126,12 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float, width: int) ->
             a, b, wa, wb = (batch.column(i) for i in range(4))
             keep = []
             for first, texts_b in parts(wb):
-                doc, item = shingles(texts_b, width)
+                doc, item = elements(texts_b, width, counts)
                 edge = np.searchsorted(doc, np.arange(len(texts_b) + 1))
                 for i in range(len(texts_b)):
                     name = a[first + i].as_py()
                     if held[0] != name:
-                        held = (name, shingles([wa[first + i].as_py().encode()], width)[1])
+                        held = (name, elements([wa[first + i].as_py().encode()], width, counts)[1])
                     y = item[edge[i] : edge[i + 1]]
                     both = len(np.intersect1d(held[1], y, assume_unique=True))
                     keep.append(both >= threshold * (len(held[1]) + len(y) - both) and both > 0)
@@ -172,7 +184,7 @@ def _bridges(sets: list[np.ndarray], labels: list, right: np.ndarray, threshold:
     return out
 
 
-def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
+def _compare(rows: DataFrame, threshold: float, width: int, counts: bool = False) -> DataFrame:
     """Links (a, b) within the groups g of (g, h, c, side, words) that join what any links between texts of different c would
     join. Texts of a group are compared with one another, or where `side` marks some, the others with those. Groups are
     of bounded size, by the caller."""
@@ -193,7 +205,7 @@ def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
             kind, found = batch.schema.types[1], []
             rest = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
             for first, words in parts(batch.column(4)):
-                doc, item = shingles(words, width)
+                doc, item = elements(words, width, counts)
                 edge = np.searchsorted(doc, np.arange(len(words) + 1))
                 for k in range(len(words)):
                     if rest[first + k][0] != g:
@@ -210,7 +222,7 @@ def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+def across(named: DataFrame, texts: DataFrame, threshold: float, width: int, counts: bool = False) -> DataFrame:
     """Links (a, b) that join whatever pairs of (bucket, h, size, c) with a bucket in common and different c join.
 
     The texts of a bucket are dealt to blocks and blocks compared with blocks, each pair of blocks in a task of its own
@@ -231,7 +243,7 @@ def across(named: DataFrame, texts: DataFrame, threshold: float, width: int) ->
     cells = cut(cells.select("bucket", "block", "block2", F.xxhash64("bucket", "block", "block2").alias("g")))
     sides = cells.select("bucket", "block", "g", F.lit(False).alias("side"))
     sides = sides.union(cells.where("block <> block2").select("bucket", "block2", "g", F.lit(True)))
-    return _compare(dealt.join(sides, ["bucket", "block"]).select("g", "h", "c", "side").join(texts.select("h", "words"), "h"), threshold, width)
+    return _compare(dealt.join(sides, ["bucket", "block"]).select("g", "h", "c", "side").join(texts.select("h", "words"), "h"), threshold, width, counts)
 
 
 def open_buckets(keys: DataFrame) -> DataFrame:
@@ -243,7 +255,7 @@ def open_buckets(keys: DataFrame) -> DataFrame:
     return cut(keys.join(one, "bucket"))
 
 
-def link_buckets(members: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+def link_buckets(members: DataFrame, texts: DataFrame, threshold: float, width: int, counts: bool = False) -> DataFrame:
     """Verified links (a, b) that join all texts of each bucket that links between its texts would join.
 
     `members` are as `open_buckets` gives them; `texts` has (h, words) of all their h. A bucket of at most BLOCK texts and
@@ -252,36 +264,36 @@ def link_buckets(members: DataFrame, texts: DataFrame, threshold: float, width:
     """
     small = (F.col("n") <= BLOCK) & (F.col("bytes") <= BYTES)
     groups = members.where(small).select(F.xxhash64("bucket").alias("g"), "h", F.col("h").alias("c"), F.lit(False).alias("side"))
-    links = cut(_compare(groups.join(texts.select("h", "words"), "h"), threshold, width))
+    links = cut(_compare(groups.join(texts.select("h", "words"), "h"), threshold, width, counts))
     large = cut(members.where(~small).select("bucket", "h", "size"))
     if large.isEmpty():
         return links
     least = large.groupBy("bucket").agg(F.min("h").alias("a"))
     pairs = large.join(least, "bucket").where("a <> h").select("a", F.col("h").alias("b")).distinct()
-    links = cut(links.union(verify(pairs, texts, threshold, width)))
+    links = cut(links.union(verify(pairs, texts, threshold, width, counts)))
     named = large.join(components(links).withColumnRenamed("id", "h"), "h", "left")
     named = named.select("bucket", "h", "size", F.coalesce("component", "h").alias("c"))
-    return cut(links.union(across(named, texts, threshold, width)))
+    return cut(links.union(across(named, texts, threshold, width, counts)))
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, counts: bool = False) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (it is that document).
 
     Two texts link at a Jaccard similarity of `threshold` or more (0.8 itself included) on `width`-word shingles of their
-    lower-case words. Texts equal in words always share a class, save texts without words: each of those is a class of its
+    lower-case words; with `counts` at such a weighted similarity, a shingle's weight being how often it occurs. Texts equal in words always share a class, save texts without words: each of those is a class of its
     own. A null text has no words. A null doc_id is kept as a row, never leads a class that has another id, and shares its
     text's class. Repeated rows stay rows. Shorter texts are one shingle; very long ones are hashed whole, in parts of
     2 MB at a time. An empty table gives no rows. Other columns are ignored.
     """
     docs = need(docs, doc_id="long", text="string").select("doc_id", normal("text").alias("words"))
     keyed = docs.select("doc_id", F.unhex(F.md5("words")).alias("h"), F.length("words").alias("size"), "words")
-    names = cut(sketch(keyed, bands, rows, width, "doc_id", "h", "size"))
+    names = cut(sketch(keyed, bands, rows, width, "doc_id", "h", "size", counts=counts))
     some = names.where("some")
     one = some.groupBy("h").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     keys = one.select("h", "size", F.posexplode("keys").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "h", "size")
     members = open_buckets(keys)
     texts = cut(keyed.join(few(members.select("h").distinct()), "h").dropDuplicates(["h"]).select("h", "words"))
-    label = components(link_buckets(members, texts, threshold, width))
+    label = components(link_buckets(members, texts, threshold, width, counts))
     # Per text first, so that no class and no text's copies have to meet in one task.
     per = some.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = per.join(label.withColumnRenamed("id", "h"), "h", "left").select("h", "least", "n", F.coalesce("component", "h").alias("c"))

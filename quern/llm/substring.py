@@ -194,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 400, most: int = 1024, carry
     One row per row of `docs`: doc_id, the `carry` columns, n_bytes, n_removed, n_spans (maximal removed runs), kept (the
     remaining bytes) and text (the remaining characters: a run is narrowed to whole characters). Texts are UTF-8 bytes, a
     null text is empty, and matches never cross rows. Repeated rows count as occurrences of each other, also with null
-    doc_id. Overlapping occurrences count; repetition is judged on the input. An empty table gives no rows.
+    doc_id. A text of any length is read whole, in steps. Overlapping occurrences count; repetition is judged on the input. An empty table gives no rows.
     """
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("x"),

@@ -188,7 +188,12 @@ def fit(texts: list[bytes], labels: np.ndarray, categories: tuple[str, ...], *,
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1000, negatives: int = 2000) -> Chain:
-    """The chain low quality -> toxic from documents and labels (doc_id, quality, toxic); rows with nulls don't count."""
+    """The chain low quality -> toxic from documents and labels (doc_id, quality, toxic); rows with nulls don't count.
+
+    Of several labels of a document the worst counts in each category, of several texts of an id the least. The `positives`
+    toxic and `negatives` other labelled documents of least hash are the sample that is fitted. Without labels, or with too few
+    of a kind, a model is the kind's base rate; an empty table gives a chain that rejects nothing.
+    """
     known = need(labels, doc_id="long", quality="int", toxic="int").dropna().where("quality in (0, 1) and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low"), F.max("toxic").alias("toxic"))
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -211,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = 1000, negative
 def score(docs: DataFrame, chain: Chain, *, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `carry` columns of each row with p_<category> of every category and `rejected` (the last is over its threshold).
 
-    A null or empty text has no n-grams and gets the models' base probability. Rows are scored one by one: repeated
+    A null or empty text has no n-grams and gets the models' base probability; a text of any length is read whole. Rows are scored one by one: repeated
     rows get equal scores, no row is lost, an empty table gives no rows, and columns not carried are ignored.
     """
     names = [f"p_{c}" for c in chain.categories]

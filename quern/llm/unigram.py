@@ -16,6 +16,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -136,13 +137,15 @@ class Model:
         return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of a list of ids; unknown and control pieces have none."""
+        """The text of a list of ids; unknown and control pieces have none, and null or an id that the model lacks is one
+        replacement character."""
         if not hasattr(self, "_raw"):
             special = {self.unknown, *(i for i, p in enumerate(self.pieces) if p not in self.score)} - set(self.byte_id)
             self._raw = [b"" if i in special else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
             for b, i in enumerate(self.byte_id):
                 self._raw[i] = bytes([b])
-        text = b"".join([self._raw[i] for i in ids]).decode(errors="replace")
+        n = len(self._raw)
+        text = b"".join([self._raw[i] if i is not None and 0 <= i < n else b"\xef\xbf\xbd" for i in ids]).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -150,7 +153,7 @@ def encode(docs: DataFrame, *, model: str | None = None, carry: tuple[str, ...]
     """The `carry` columns with `ids` (array<int>) of the text and `same`: whether decoding gives the text back.
 
     A null text has null ids and null `same`; an empty one has no ids. The mark itself, written in a text, decodes as
-    a space. Rows are encoded one by one: repeated rows alike; an empty table gives no rows; other columns are ignored.
+    a space. Rows are encoded one by one: repeated rows alike, a text of any length whole; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +164,9 @@ def encode(docs: DataFrame, *, model: str | None = None, carry: tuple[str, ...]
                 part = batch.slice(at, 2000)
                 texts = part.column(len(carry)).to_pylist()
                 split = [None if t is None else m.words(t) for t in texts]
-                if len(known) > KEPT:
-                    known.clear()
+                if len(known) > KEPT:  # the words known longest go
+                    for w in list(islice(known, len(known) // 2)):
+                        del known[w]
                 known.update(m.encode_words(sorted({w for ws in split if ws for w in ws} - known.keys())))
                 ids = [None if ws is None else [i for w in ws for i in known[w]] for ws in split]
                 same = [None if t is None else m.decode(i) == t for t, i in zip(texts, ids, strict=True)]
@@ -174,7 +178,8 @@ def encode(docs: DataFrame, *, model: str | None = None, carry: tuple[str, ...]
 
 
 def decode(rows: DataFrame, *, model: str | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `carry` columns with the `text` of `ids`; null ids give a null text."""
+    """The `carry` columns with the `text` of `ids`; a null list gives a null text. Repeated rows are decoded alike, an empty
+    table gives no rows, and other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.load(model)

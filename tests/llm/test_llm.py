@@ -205,6 +205,30 @@ def test_near_duplicates_of_a_family(spark, monkeypatch):
     assert got == {i: rows[c][0] for (i, _), c in zip(rows, classes)}
 
 
+def test_weighted_near_duplicates(spark):
+    """With counts, texts that repeat their shingles differ from those that don't; against multisets, by brute force."""
+    base = [prose(800 + i, 60, 5000) for i in range(8)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, f"{t} {t}") for i, t in enumerate(base[:4])] + [(200 + i, f"{t} {' '.join(t.split()[:9])}") for i, t in enumerate(base)]
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append(Counter(" ".join(w[j : j + 5]) for j in range(len(w) - 4)))
+    similar = lambda a, b: sum((a & b).values()) / sum((a | b).values())
+    want = {i: min(j for (j, _), b in zip(rows, sets) if similar(a, b) >= 0.8) for (i, _), a in zip(rows, sets)}
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(frame(spark, rows), counts=True).collect()}
+    assert got == want and got[100] == 100 and got[200] == 0
+    assert near.near_duplicates(frame(spark, rows)).where("doc_id = 100").first()["class_id"] == 0  # as sets they are alike
+
+
+def test_pairs_at_the_threshold(spark):
+    """Nine shingles of which eight are shared: 8 of 10 in all, a similarity of 0.8 exactly, is a link."""
+    a = " ".join(f"w{i}" for i in range(13))
+    b = " ".join([*(f"w{i}" for i in range(12)), "other"])
+    assert jaccard_classes([(1, a), (2, b)]) == [0, 0]
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicates(frame(spark, [(1, a), (2, b)])).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     item = text.mix(np.arange(400, dtype=np.uint64))
@@ -306,6 +330,15 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, []), chain).count() == 0
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Trained on the labels of half of the documents, the chain finds the toxic ones among the others."""
+    rows, labels = labelled(800)
+    chain = toxicity.train(frame(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 8 < 4], "doc_id long, quality int, toxic int"))
+    by = {r["doc_id"]: r["rejected"] for r in toxicity.score(frame(spark, rows), chain).collect()}
+    held = [(by[i], t == 1) for i, _, t in labels if i % 8 >= 4]
+    assert len(held) == 400 and sum(t for _, t in held) == 100 and sum(a == b for a, b in held) >= 390
+
+
 def test_threshold_stands_for_all_labels():
     """The threshold has the best F1 over all labelled rows, of which the sample holds a tenth of the clean ones."""
     r = random.Random(3)
@@ -435,7 +468,9 @@ def test_viterbi(spark):
     assert all(r["same"] is (None if r["doc_id"] == 2 else True) for r in got.collect())
     back = {r["doc_id"]: r["text"] for r in unigram.decode(got).collect()}
     assert back == dict(rows)
-    assert unigram.encode(frame(spark, [])).count() == 0
+    assert unigram.encode(frame(spark, [])).count() == 0 and unigram.decode(got.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, [-1, 10**9, None]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in unigram.decode(odd).collect()} == {1: "\ufffd" * 3, 2: "", 3: None}
 
 
 # --- vectors

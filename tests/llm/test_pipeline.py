@@ -1,11 +1,14 @@
 """The pipeline's stages against what was planted, and its columns."""
 
+import hashlib
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_llm import edited, prose
+from quern.llm import packing, pii
+from tests.llm.test_llm import edited, jaccard_classes, prose
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +53,59 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def rows_of(spark, rows):
+    """Documents with a clashing extra column, in several partitions."""
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in rows], DOCS + ", words string").repartition(3)
+
+
+def brute_repeats(texts, least):
+    """What is left of ASCII texts without the strings of `least` bytes that start elsewhere too."""
+    count = Counter(t[j : j + least] for t in texts for j in range(len(t) - least + 1))
+    out = []
+    for t in texts:
+        cover = bytearray(len(t))
+        for j in range(len(t) - least + 1):
+            if count[t[j : j + least]] > 1:
+                cover[j : j + least] = b"\1" * least
+        out.append("".join(c for c, x in zip(t, cover) if not x))
+    return out
+
+
+def test_stages_by_brute_force(spark, folder):
+    """Near-duplicates, repeated strings and surrogates against plain loops, over passages of the driver's own benchmark."""
+    bench = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
+    bench = [t for t in bench if len(t.split()) > 50 and t.isascii()]
+    assert bench and max(map(len, bench)) < 400
+    rows = [(i, f"{prose(2000 + i, 30, 5000)} {bench[i % len(bench)]} {prose(3000 + i, 30, 5000)}") for i in range(6 * len(bench))]
+    rows += [(500 + i, edited(prose(4000 + i // 5, 120, 5000), i, i % 4)) for i in range(40)] + [(600, "short"), (601, "short"), (602, "Mail Dr. John Smith at j.smith@example.org, please"), (603, "")]
+    docs, d = rows_of(spark, rows), folder[0]
+    classes = jaccard_classes(rows)
+    one = corpus_pipeline.drop_near_duplicates(spark, docs, d)
+    kept = sorted((i, t) for k, (i, t) in enumerate(rows) if classes[k] == k)
+    assert sorted((r["doc_id"], r["text"]) for r in one.collect()) == kept
+    short = corpus_pipeline.drop_repeats(spark, one, d)
+    want = dict(zip((i for i, _ in kept), brute_repeats([t for _, t in kept], corpus_pipeline.REPEAT_BYTES)))
+    got = {r["doc_id"]: r for r in short.collect()}
+    assert {i: r["text"] for i, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    assert not any(p in r["text"] for p in bench for r in got.values()) and want[600] == "short"  # passages of 300 to 394 bytes are gone
+    safe = {r["doc_id"]: r["text"] for r in corpus_pipeline.replace_private(spark, short, d).collect()}
+    key = hashlib.sha256(pii.session_key(spark).encode()).digest()
+    assert safe == {i: pii.replace(t, lambda kind, x: pii.surrogate(kind, x, key))[0] for i, t in want.items()} and "j.smith@" not in safe[602]
+    pieces = corpus_pipeline.pack_sequences(spark, corpus_pipeline.replace_private(spark, short, d), d).groupBy("doc_id").sum("length").collect()
+    encode = packing.encoder()
+    assert {r[0]: r[1] for r in pieces} == {i: len(encode(t)) + 1 for i, t in safe.items()}
+
+
+def test_odd_rows(spark, folder):
+    """Each stage with nulls, empty texts, repeated rows, a very long text, and an empty table."""
+    long = " ".join(prose(k, 3000, 9000) for k in range(12))
+    rows = [(1, None), (2, ""), (3, long), (None, "no id"), (None, "no id"), (4, "twice the same row"), (4, "twice the same row"), (5, " \n ")]
+    docs, d = rows_of(spark, rows), folder[0]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, d)
+        assert got.columns == list(corpus_pipeline.COLUMNS) and stage(spark, docs.limit(0), d).count() == 0, name
+        texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+        assert texts == sorted((i or 0, t or "") for i, t in rows), name  # clean documents stay, and so do rows without an id
+    assert corpus_pipeline.pack_sequences(spark, docs, d).count() > 0 and corpus_pipeline.pack_sequences(spark, docs.limit(0), d).count() == 0
