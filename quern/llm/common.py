@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, was)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read again: like `cut`, and smaller where columns compress well."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def need(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast to the types given; other columns, however named, are left behind."""
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in types.items()])

@@ -21,13 +21,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quern.llm.common import components, cut, few, lookup, need, read
+from quern.llm.common import components, cut, few, lookup, need, read, written
 from quern.llm.near import link_buckets, open_buckets
 from quern.llm.text import Words, mix, passages
 
 # Characters of scripts written without spaces (kana, Han, Thai, Lao, Khmer, Burmese); each is a word.
 UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f"
 _ONE, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+#: Rows of single numbers, and of single hashes, that may be broadcast: some 100 MB.
+NUMBERS, HASHES = 1 << 22, 1 << 20
 #: Bytes of texts that are hashed at once; a longer text is hashed alone.
 PART = 1 << 21
 
@@ -62,7 +64,7 @@ def _parted(texts: list[str]) -> Iterator[tuple[int, list[bytes]]]:
 
 def _sketch(docs: DataFrame, bands: int, rows: int, width: int, reach: int) -> DataFrame:
     """The paragraphs of (d, x, text): d, x, pos (first word, from 0), len (words), h (128-bit hash of its words), size (bytes)
-    and keys (its bands)."""
+    and keys (its `bands`, none of them if `bands` is 0)."""
     salt = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,17 +74,19 @@ def _sketch(docs: DataFrame, bands: int, rows: int, width: int, reach: int) -> D
                 start, stop = passages(w, reach)
                 if not len(start):
                     continue
-                size = np.maximum(stop - start - width + 1, 1)  # a paragraph shorter than a shingle is one shingle
-                low = np.cumsum(size) - size
-                i = np.repeat(start - low, size) + np.arange(int(size.sum()))
-                item = w.hashes(i, np.minimum(i + width, np.repeat(stop, size)) - 1)
                 key = np.zeros((len(start), bands), dtype=np.uint64)
-                for j, s in enumerate(salt):
-                    key[:, j // rows] = mix(key[:, j // rows] * np.uint64(31) + np.minimum.reduceat(mix(item * s), low) + s)
-                key = mix(key + np.arange(bands, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+                if bands:
+                    size = np.maximum(stop - start - width + 1, 1)  # a paragraph shorter than a shingle is one shingle
+                    low = np.cumsum(size) - size
+                    i = np.repeat(start - low, size) + np.arange(int(size.sum()))
+                    item = w.hashes(i, np.minimum(i + width, np.repeat(stop, size)) - 1)
+                    for j, s in enumerate(salt):
+                        key[:, j // rows] = mix(key[:, j // rows] * np.uint64(31) + np.minimum.reduceat(mix(item * s), low) + s)
+                    key = mix(key + np.arange(bands, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
                 raw, b, e = w.buf.tobytes(), w.begin[start].tolist(), w.end[stop - 1].tolist()
                 h = [xxhash.xxh3_128_digest(raw[y:z]) for y, z in zip(b, e, strict=True)]
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64()))
+                edge = pa.array(np.arange(len(start) + 1, dtype=np.int32) * bands)
+                keys = pa.ListArray.from_arrays(edge, pa.array(key.view(np.int64).ravel(), pa.int64()))
                 of = w.owner[start]
                 rest = [c.slice(at, len(texts)).take(pa.array(of)) for c in batch.columns[:2]]
                 first = w.last[of] - w.count[of]
@@ -114,19 +118,25 @@ def _texts(docs: DataFrame, names: DataFrame, wanted: DataFrame) -> DataFrame:
 def paragraph_classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, reach: int = 7, recall: float = 0.995) -> DataFrame:
     """The paragraphs of (d, x, text) whose class has others: d, x, pos, len, class_d, class_pos, kept."""
     bands, rows = tune(threshold, recall)
-    names = cut(_sketch(docs, bands, rows, width, reach))
-    keys = names.select(F.explode("keys").alias("bucket"), "h", "size")
-    # A bucket of one paragraph, however often it occurs, is settled by two combinable numbers.
-    seen = keys.groupBy("bucket").agg(F.min(F.xxhash64("h")).alias("lo"), F.max(F.xxhash64("h")).alias("hi")).where("lo <> hi").select("bucket")
-    members = open_buckets(keys.join(few(seen), "bucket").dropDuplicates(["bucket", "h"]))
-    texts = cut(_texts(docs, names, few(members.select("h").distinct())))
+    names = written(_sketch(docs, 0, rows, width, reach).drop("keys"))
+    # Bands are made twice rather than written: they are most of what a paragraph's row would hold.
+    keys = _sketch(docs, bands, rows, width, reach).select(F.explode("keys").alias("bucket"), "h", "size")
+    # A bucket of one paragraph, however often it occurs, is settled by one combinable number: each of 16 bits of the hash sets
+    # one of two bits, so that different hashes set more than 16 together.
+    x = F.hash("h").bitwiseAND(F.lit(0xFFFF)).cast("long")  # an int with its sign bit set would count as 32 bits more
+    code = F.shiftleft(x, 16).bitwiseOR(x.bitwiseXOR(F.lit(0xFFFF).cast("long")))
+    seen = keys.groupBy("bucket").agg(F.bit_or(code).alias("bits")).where(F.bit_count("bits") > 16).select("bucket")
+    members = open_buckets(keys.join(few(seen, NUMBERS), "bucket").dropDuplicates(["bucket", "h"]))
+    texts = cut(_texts(docs, names, few(members.select("h").distinct(), HASHES)))
     label = components(link_buckets(members, texts, threshold, width))
-    per = names.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "x", "pos")).alias("first"))
-    linked = cut(per.join(few(label.withColumnRenamed("id", "h")), "h", "left").where("n > 1 or component is not null")
-                 .select("h", F.col("n").alias("copies"), "first", F.coalesce("component", "h").alias("c")))
+    label = few(label.withColumnRenamed("id", "h"))
+    copied = names.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    some = cut(names.select("d", "x", "pos", "len", "h").join(few(copied.union(label.select("h")).distinct(), HASHES), "h"))
+    per = some.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("d", "x", "pos")).alias("first"))
+    linked = cut(per.join(label, "h", "left").select("h", "copies", "first", F.coalesce("component", "h").alias("c")))
     classes = linked.groupBy("c").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n"))
     table = lookup(linked.select("h", "copies", "c"), classes, "c").select("h", F.col("copies").alias("n"), "class")
-    out = lookup(names.select("d", "x", "pos", "len", "h"), table, "h").where("class is not null")
+    out = lookup(some, table, "h").where("class is not null")
     same = (F.col("d") == F.col("class.d")) & (F.col("x") == F.col("class.x")) & (F.col("pos") == F.col("class.pos"))
     return out.select("d", "x", "pos", "len", F.col("class.d").alias("class_d"), F.col("class.pos").alias("class_pos"), same.alias("kept"))
 
