@@ -3,7 +3,8 @@
 Rows are numbered in their group by a range partitioning and sums over partitions, so that no group has to fit one
 task. The trees are then built in Pregel-style supersteps over RDDs: children send their hashes to their parents, and a
 parent that has all its children hashes them and sends on. Supersteps in reverse send each parent's path, lengthened by
-the siblings, down to its children. No node waits for more than `FANOUT` messages; nothing passes through the driver.
+the siblings, down to its children. A superstep climbs a block of `LEVELS` levels, whose vertex waits for at most `SPAN`
+messages, so that few of them are shuffled and paths are short where they are; nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from quern.llm.common import need, read, written
 
 #: Children of a node.
 FANOUT = 3
+#: Levels of a block, which one superstep climbs: a message to a parent in the same block stays in its task. A block has at
+#: most SPAN lowest nodes.
+LEVELS = 4
+SPAN = FANOUT**LEVELS
 #: Nodes of one level in a task, at most; and at least, where fewer tasks than cores would do.
 MOST, LEAST = 100_000, 5_000
 
@@ -59,12 +64,17 @@ def up(width: int) -> int:
     return -(-width // FANOUT)
 
 
-def height(width: int) -> int:
-    """Supersteps until one node is left. A lone leaf takes one, too, in which it is passed on as it is."""
-    steps = 1
-    while (width := up(width)) > 1:
-        steps += 1
-    return steps
+def climbed(width: int, hashes: list[bytes]) -> tuple[list[list[bytes]], int]:
+    """The levels of a block from its lowest nodes to its top, and how many nodes the tree has at the height of the top.
+
+    `width` is that of the lowest level in the whole tree. Each run of children gives its hash to its parent, LEVELS times or until
+    the tree has one node.
+    """
+    levels = [hashes]
+    while width > 1 and len(levels) <= LEVELS:
+        levels.append([combined(levels[-1][k : k + FANOUT]) for k in range(0, len(levels[-1]), FANOUT)])
+        width = up(width)
+    return levels, width
 
 
 def _tasks(sc, nodes: int) -> int:
@@ -72,10 +82,10 @@ def _tasks(sc, nodes: int) -> int:
 
 
 def _ascend(messages: RDD, nodes: int, widest: int) -> tuple[list[RDD], RDD]:
-    """Supersteps up. Messages are ((tree, parent), (slot, width, hash, load)); width is that of the children's level.
+    """Supersteps up. Messages are ((tree, block), (slot, width, hash, load)); width is that of the sender's level.
 
-    Returns the parents of each superstep, as ((tree, place), (width, [(hash, load) of its children])), and (tree, (width
-    of the last step, hash)) of each tree's root.
+    Returns the blocks of each superstep, as ((tree, place), (width, [(hash, load) of its lowest nodes])), and (tree,
+    (superstep, hash)) of each tree's root.
     """
 
     def ordered(got) -> tuple:
@@ -83,44 +93,47 @@ def _ascend(messages: RDD, nodes: int, widest: int) -> tuple[list[RDD], RDD]:
         return got[0][1], [(x[2], x[3]) for x in got]
 
     def hashed(item) -> tuple:
-        (tree, place), (width, children) = item
-        return tree, place, up(width), combined([c[0] for c in children]) if width > 1 else children[0][0]
+        (tree, place), (width, lowest) = item
+        levels, width = climbed(width, [x[0] for x in lowest])
+        return tree, place, width, levels[-1][0]
 
     def sent(x) -> tuple:
         tree, place, width, made = x
-        return (tree, place // FANOUT), (place % FANOUT, width, made, None)
+        return (tree, place // SPAN), (place % SPAN, width, made, None)
 
-    levels, roots = [], []
+    steps, roots = [], []
     while True:
-        nodes, widest = max(1, up(nodes)), up(widest)
-        parents = messages.groupByKey(_tasks(messages.ctx, nodes)).mapValues(ordered)
-        levels.append(parents)
-        made = parents.map(hashed)
-        roots.append(made.filter(lambda x: x[2] == 1).map(lambda x: (x[0], x[3])))
+        nodes, widest = max(1, -(-nodes // SPAN)), -(-widest // SPAN)
+        blocks = messages.groupByKey(_tasks(messages.ctx, nodes * SPAN)).mapValues(ordered)
+        steps.append(blocks)
+        made = blocks.map(hashed)
+        roots.append(made.filter(lambda x: x[2] == 1).map(lambda x, k=len(steps): (x[0], (k, x[3]))))
         if widest == 1:
-            return levels, messages.ctx.union(roots)
+            return steps, messages.ctx.union(roots)
         messages = made.filter(lambda x: x[2] > 1).map(sent)
 
 
-def _descend(levels: list[RDD], starts: RDD, emit: Callable) -> RDD:
-    """Supersteps down. `starts` are (tree, (height, path, seal)); a path lists the siblings from the lowest level up.
+def _descend(steps: list[RDD], starts: RDD, emit: Callable) -> RDD:
+    """Supersteps down. `starts` are (tree, (superstep, path, seal)); a path lists the siblings from the lowest level up.
 
     Returns what `emit` gives for (tree, place, width, hash, load, path, seal) of each leaf.
     """
 
     def below(item) -> Iterator[tuple]:
-        (tree, place), ((width, children), (path, seal)) = item
-        for slot, (own, load) in enumerate(children):
-            beside = b"".join([c[0] for k, c in enumerate(children) if k != slot])
-            yield tree, place * FANOUT + slot, width, own, load, beside + path, seal
+        (tree, place), ((width, lowest), (path, seal)) = item
+        levels, _ = climbed(width, [x[0] for x in lowest])
+        paths = [path]
+        for hashes in reversed(levels[:-1]):
+            runs = [hashes[k : k + FANOUT] for k in range(0, len(hashes), FANOUT)]
+            paths = [b"".join(run[:k] + run[k + 1 :]) + above for run, above in zip(runs, paths) for k in range(len(run))]
+        for slot, ((own, load), path) in enumerate(zip(lowest, paths)):
+            yield tree, place * SPAN + slot, width, own, load, path, seal
 
     arriving = None
-    for k in range(len(levels), 0, -1):
+    for k in range(len(steps), 0, -1):
         new = starts.filter(lambda x, k=k: x[1][0] == k).map(lambda x: ((x[0], 0), x[1][1:]))
-        parents = levels[k - 1]
-        n = parents.getNumPartitions()
         arriving = new if arriving is None else arriving.union(new)
-        told = parents.join(arriving, n).flatMap(below)
+        told = steps[k - 1].join(arriving, steps[k - 1].getNumPartitions()).flatMap(below)
         arriving = told.map(lambda x: ((x[0], x[1]), x[5:]))
     return told.map(emit)
 
@@ -147,15 +160,11 @@ def manifest(leaves: DataFrame, *, group: str = "source", order: str = "doc_id",
         return spark.createDataFrame([], schema)
     count = size["trees"]
     places = numbered(rows, ["named", "of"], ["by", "leaf", "row"], trees.select("named", "of", "tree"))
-    first = places.select("tree", "place", "width", "leaf", "load").rdd.map(lambda r: ((r[0], r[1] // FANOUT), (r[1] % FANOUT, r[2], bytes(r[3]), tuple(r[4])[:-1])))
-    levels, subroots = _ascend(first, size["n"], size["widest"])
-    widths = trees.select("tree", "rows").rdd.map(lambda r: (r[0], r[1]))
-    over, root = _ascend(subroots.map(lambda x: ((0, x[0] // FANOUT), (x[0] % FANOUT, count, x[1], None))), count, count)
-    top = height(count)
-    begin = root.map(lambda x: (x[0], (top, b"", x[1])))
-    known = _descend(over, begin, lambda x: (x[1], (x[5], x[3], x[6])))  # tree: path, subroot, root
-    starts = known.join(widths, _tasks(widths.ctx, count)).mapValues(lambda v: (height(v[1]), v[0][0], v[0][1:]))
-    done = _descend(levels, starts, lambda x: (*x[4], x[3], x[6][0], x[6][1], x[5], x[1], x[2], x[0], count))
+    first = places.select("tree", "place", "width", "leaf", "load").rdd.map(lambda r: ((r[0], r[1] // SPAN), (r[1] % SPAN, r[2], bytes(r[3]), tuple(r[4])[:-1])))
+    steps, subroots = _ascend(first, size["n"], size["widest"])
+    over, root = _ascend(subroots.map(lambda x: ((0, x[0] // SPAN), (x[0] % SPAN, count, x[1][1], x[1][0]))), count, count)
+    starts = _descend(over, root.map(lambda x: (x[0], (x[1][0], b"", x[1][1]))), lambda x: (x[1], (x[4], x[5], (x[3], x[6]))))
+    done = _descend(steps, starts, lambda x: (*x[4], x[3], x[6][0], x[6][1], x[5], x[1], x[2], x[0], count))
     return spark.createDataFrame(done, schema, verifySchema=False)
 
 
@@ -164,7 +173,7 @@ def folded(places: DataFrame, leaf: str, name: str = "folded_root") -> DataFrame
     `leaf` leads to by the proof; null where the hash is."""
     keep = places.schema
 
-    def climbed(own: bytes, place: int, width: int, proof: bytes, at: int) -> tuple[bytes, int]:
+    def folded_up(own: bytes, place: int, width: int, proof: bytes, at: int) -> tuple[bytes, int]:
         while width > 1:
             start = place - place % FANOUT
             beside = min(FANOUT, width - start) - 1
@@ -178,8 +187,8 @@ def folded(places: DataFrame, leaf: str, name: str = "folded_root") -> DataFrame
             out = []
             for own, place, width, tree, trees, proof in zip(*[batch.column(c).to_pylist() for c in (leaf, "place", "width", "tree", "trees", "proof")]):
                 if own is not None:
-                    own, at = climbed(own, place, width, proof, 0)
-                    own, _ = climbed(own, tree, trees, proof, at)
+                    own, at = folded_up(own, place, width, proof, 0)
+                    own, _ = folded_up(own, tree, trees, proof, at)
                 out.append(own)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, name])
 
