@@ -277,12 +277,13 @@ def link_buckets(members: DataFrame, texts: DataFrame, threshold: float, width:
 
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, counts: bool = False) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (it is that document).
+    """One row per document: doc_id, class_id (least doc_id of its class), class_size, kept (it is that document), words_md5.
 
     Two texts link at a Jaccard similarity of `threshold` or more (0.8 itself included) on `width`-word shingles of their
     lower-case words; with `counts` at such a weighted similarity, a shingle's weight being how often it occurs. Texts equal in words always share a class, save texts without words: each of those is a class of its
     own. A null text has no words. A null doc_id is kept as a row, never leads a class that has another id, and shares its
-    text's class. Repeated rows stay rows. Shorter texts are one shingle; very long ones are hashed whole, in parts of
+    text's class. Repeated rows stay rows. One id may have several texts: each is in the class of its words, and where the least id
+    of a class has several texts in it, that of least words_md5 (MD5 of `normal` text) is kept. Shorter texts are one shingle; very long ones are hashed whole, in parts of
     2 MB at a time. An empty table gives no rows. Other columns are ignored.
     """
     docs = need(docs, doc_id="long", text="string").select("doc_id", normal("text").alias("words"))
@@ -298,14 +299,16 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     per = some.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = per.join(label.withColumnRenamed("id", "h"), "h", "left").select("h", "least", "n", F.coalesce("component", "h").alias("c"))
     linked = cut(linked)
-    classes = linked.groupBy("c").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n")).where("class_size > 1")
+    lead = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h")).alias("lead")
+    classes = linked.groupBy("c").agg(lead, F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n")).where("class_size > 1")
     sizes = linked.withColumnRenamed("n", "copies")
-    table = lookup(sizes, classes, "c").where("class_size is not null").select("h", F.col("copies").alias("n"), "class_id", "class_size")
+    table = lookup(sizes, classes, "c").where("class_size is not null").select("h", F.col("copies").alias("n"), F.col("lead.least").alias("class_id"), F.col("lead.h").alias("leader"), "class_size")
     rows_ = some.select("doc_id", "h")
-    out = lookup(rows_, table, "h").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-    alone = names.where("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    out = lookup(rows_, table, "h").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("leader", "h").alias("leader"), "h")
+    alone = names.where("not some").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("h").alias("leader"), "h")
+    kept = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("leader")), F.lit(False))
+    return out.unionByName(alone).select("doc_id", "class_id", "class_size", kept.alias("kept"), F.col("h").alias("words_md5"))
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("words_md5")

@@ -109,3 +109,19 @@ def test_odd_rows(spark, folder):
         texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
         assert texts == sorted((i or 0, t or "") for i, t in rows), name  # clean documents stay, and so do rows without an id
     assert corpus_pipeline.pack_sequences(spark, docs, d).count() > 0 and corpus_pipeline.pack_sequences(spark, docs.limit(0), d).count() == 0
+
+
+def test_one_id_with_several_texts(spark, folder):
+    """Every stage keeps the texts that its own decisions don't concern, whatever else has their id."""
+    one, two, far = prose(7001, 90, 5000), prose(7002, 90, 5000), prose(7003, 90, 5000)
+    rows = [(0, one), (1, one), (1, far), (2, edited(one, 5, 1)), (2, two), (2, ""), (3, far), (3, edited(far, 6, 1)), (4, prose(7004, 90, 5000)), (4, None)]
+    docs, d = rows_of(spark, rows), folder[0]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, d).collect())
+    classes = jaccard_classes([(k, t or "") for k, (_, t) in enumerate(rows)])
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(classes[k] if t else ("own", k), []).append((i, hashlib.md5(" ".join((t or "").lower().split()).encode()).digest(), t or ""))
+    assert kept == sorted((min(g)[0], min(g)[2]) for g in groups.values()) and (1, far) in kept and (2, two) in kept
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_repeats, corpus_pipeline.replace_private):
+        got = sorted((r["doc_id"], len(r["text"] or "")) for r in stage(spark, rows_of(spark, [(1, one), (1, far), (2, two), (2, None)]), d).collect())
+        assert got == sorted([(1, len(one)), (1, len(far)), (2, len(two)), (2, 0)]), stage
