@@ -35,12 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: that of least doc_id.
 
-    Null and empty texts are no duplicates. Of repeated rows (one doc_id, one text) and of rows without doc_id all stay. A
-    long text is compared whole; an empty table gives no rows; columns besides those of `documents` are dropped.
+    Null and empty texts are no duplicates. Of repeated rows (one doc_id, one text) and of rows without doc_id all stay; of an
+    id with several texts each is judged by itself. A long text is compared whole; an empty table gives no rows; columns
+    besides those of `documents` are dropped.
     """
-    docs = _documents(docs)
-    gone = near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = _documents(docs).withColumn("words_md5", F.unhex(F.md5(near.normal("text"))))
+    gone = near.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id", "words_md5").distinct()
+    return docs.join(gone, ["doc_id", "words_md5"], "left_anti").select(*COLUMNS)
 
 
 #: Bytes of a repeated string. A passage of over fifty words is longer (fifty words of four letters have 250 bytes); lines of
