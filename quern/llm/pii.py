@@ -295,9 +295,9 @@ SPANS = "array<struct<kind:string,start:int,stop:int,new_start:int,new_stop:int>
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key in the setting `spark.quern.surrogate.key`; where it is unset, one is drawn for the session, so that its
+    """The key in the setting `spark.quern.surrogate.secret` (Spark redacts settings of such names in lists); where it is unset, one is drawn for the session, so that its
     replacements agree with one another and can't be undone later."""
-    name = "spark.quern.surrogate.key"
+    name = "spark.quern.surrogate.secret"
     if not spark.conf.get(name, ""):
         spark.conf.set(name, secrets.token_hex(32))
     return spark.conf.get(name)

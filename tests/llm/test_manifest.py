@@ -184,3 +184,11 @@ def test_queries(spark, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) >= 200
+
+
+def test_the_key_is_not_listed(spark):
+    from quern.llm import pii
+
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    assert not any(key in str(tuple(r)) for q in ("SET", "SET -v", "SET spark.quern.surrogate.secret") for r in spark.sql(q).collect())
