@@ -45,29 +45,47 @@ def life_cycle(rows: DataFrame, *, least: float = 0.85, breaking: float = 0.70,
     return fold(rows.select(*cols), "key", ["seq"], list, step, "key string, page_id long, variant_id string, action string, similarity double, version int")
 
 
-def monitor(rows: DataFrame, *, breaking: float = 0.70) -> DataFrame:
-    """(key, page_id, change_type, similarity, previous_hash, current_hash, version) for each visit that finds a change, of
-    `rows` (key, seq, page_id, hash and the structure's columns).
+def visits(rows: DataFrame, *, breaking: float = 0.70) -> DataFrame:
+    """What a monitor makes of each visit, and what it knows afterwards: key, page_id, change_type (null where nothing changed),
+    similarity, previous_hash, current_hash, version, stored (the row whose structure is stored) and n (the visit's number).
 
-    A visit with the hash of the last one finds none. Else the first is new_content; a similarity to the stored structure
-    under `breaking` is structure_changed, and the page is stored as its next version; anything else is content_updated.
+    `rows` are (key, seq, row, page_id, hash, known_version and the structure's columns). A row of null seq is what is known of its
+    key from before: the stored page, its structure and version, and the hash of the last visit; it is no visit, and n is 0.
     """
 
     def step(s: dict, r: dict) -> tuple[dict, tuple]:
+        if r["known_version"]:
+            s = {"hash": r["hash"], "stored": {c: r[c] for c in COLUMNS}, "row": r["row"], "version": int(r["known_version"]), "n": 0}
+            return s, (r["key"], r["page_id"], None, None, r["hash"], r["hash"], s["version"], r["row"], 0)
+        n = s.get("n", 0) + 1
         if s.get("hash") == r["hash"]:
-            return s, (r["key"], r["page_id"], None, None, s["hash"], r["hash"], s["version"])
+            return s | {"n": n}, (r["key"], r["page_id"], None, None, s["hash"], r["hash"], s["version"], s["row"], n)
         now, kind, same, before = {c: r[c] for c in COLUMNS}, "new_content", 1.0, s.get("hash")
         stored, version = s.get("stored"), s.get("version", 1)
         if stored is not None:
             same = round(change_similarity(stored, now), 9)
             kind = "structure_changed" if same < breaking else "content_updated"
             version += kind == "structure_changed"
-        keep = now if kind != "content_updated" else stored
-        return {"hash": r["hash"], "stored": keep, "version": version}, (r["key"], r["page_id"], kind, same, before, r["hash"], version)
+        keep, at = (now, r["row"]) if kind != "content_updated" else (stored, s["row"])
+        return {"hash": r["hash"], "stored": keep, "row": at, "version": version, "n": n}, (r["key"], r["page_id"], kind, same, before, r["hash"], version, at, n)
+
+    cols = ["key", "seq", "row", "page_id", "hash", "known_version", *COLUMNS]
+    schema = "key string, page_id long, change_type string, similarity double, previous_hash string, current_hash string, version int, stored long, n long"
+    return fold(rows.select(*cols), "key", ["seq", "row"], dict, step, schema)
+
+
+RECORD = ("key", "page_id", "change_type", "similarity", "previous_hash", "current_hash", "version")
 
-    cols = ["key", "seq", "page_id", "hash", *COLUMNS]
-    schema = "key string, page_id long, change_type string, similarity double, previous_hash string, current_hash string, version int"
-    return fold(rows.select(*cols), "key", ["seq"], dict, step, schema).where(F.col("change_type").isNotNull())
+
+def monitor(rows: DataFrame, *, breaking: float = 0.70) -> DataFrame:
+    """(key, page_id, change_type, similarity, previous_hash, current_hash, version) for each visit that finds a change, of
+    `rows` (key, seq, page_id, hash and the structure's columns).
+
+    A visit with the hash of the last one finds none. Else the first is new_content; a similarity to the stored structure
+    under `breaking` is structure_changed, and the page is stored as its next version; anything else is content_updated.
+    """
+    done = visits(rows.withColumn("known_version", F.lit(0)).withColumn("row", F.col("page_id")), breaking=breaking)
+    return done.where(F.col("change_type").isNotNull()).select(*RECORD)
 
 
 def with_strategy(structures: DataFrame, strategies: DataFrame, key: list[str]) -> DataFrame:
