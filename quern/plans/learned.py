@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import schedule as S
 from quern.operators import learn, structure
 from quern.plans import events as E
-from quern.sources import sitemap
+from quern.sources import shared, sitemap
 from quern.sources.tables import table
 from quern.streaming import stateful
 
@@ -75,24 +73,16 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("failed", F.col("event_type") == "error")
 
 
-def _collected(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The whole output of a stream that ends with what is there now."""
-    name = f"quern_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
 def stream_alert_throttle(spark: SparkSession, sf: str) -> DataFrame:
     """The batch query's result, from a stream."""
     alerts = _stream(spark, sf).select("event_id", F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("key"), "ts")
-    return _collected(spark, stateful.throttle(alerts, 360), "append")
+    return shared.drained(stateful.throttle(alerts, 360))
 
 
 def stream_domain_health(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly windows that the watermark has closed."""
     e = _stream(spark, sf).select(F.col("user_id").cast("string").alias("domain"), "ts", "failed", F.col("value").alias("ms"))
-    return _collected(spark, stateful.health(e), "append").select("domain", "start", "requests", "errors", F.round("mean_ms", 6).alias("mean_ms"))
+    return shared.drained(stateful.health(e)).select("domain", "start", "requests", "errors", F.round("mean_ms", 6).alias("mean_ms"))
 
 
 QUERIES = {f.__name__: f for f in (classifier_predict, description_embedding, sitemap_urls, sitemap_discovery, lastmod_parse, stream_alert_throttle, stream_domain_health)}

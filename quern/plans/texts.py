@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import text as T
 from quern.operators import dedup, vectors
+from quern.sources import shared
 from quern.sources.tables import table
 
 NORM = r"""regexp_replace(trim(regexp_replace(lower(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')), '\s+', ' ', 'g')), '[^\p{L}\p{N}\p{M}_\s]', '', 'g')"""
@@ -31,14 +32,18 @@ def exact_dups(spark: SparkSession, sf: str) -> DataFrame:
     return t.groupBy("md5").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
 
 
+def _hashes(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """The fingerprints of a table, computed once: joins on them read what is written."""
+    return shared.written(dedup.fingerprints(table(spark, sf, name), key).select(key, "simhash"))
+
+
 def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.near_duplicates(dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash"))
+    return dedup.near_duplicates(_hashes(spark, sf, "documents", "doc_id"))
 
 
 def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents against the benchmark: equal text or similarity of 0.9 or more."""
-    docs = dedup.fingerprints(table(spark, sf, "documents")).select("doc_id", "simhash")
-    items = dedup.fingerprints(table(spark, sf, "benchmark"), "item_id").select("item_id", "simhash")
+    docs, items = _hashes(spark, sf, "documents", "doc_id"), _hashes(spark, sf, "benchmark", "item_id")
     pairs = dedup.hamming_pairs(docs.select("simhash").union(items.select("simhash")), 6)
     links = pairs.select("a", "b").union(pairs.select("b", "a")).union(docs.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).distinct())
     hits = links.join(items.select("item_id", F.col("simhash").alias("b")), "b").groupBy("a").agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"))
