@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quern.functions import url as U
 from quern.operators import store, structure
+from quern.plans import crawl
 from quern.plans.urls import PARTS, case
+from quern.sources import archive, shared
 from quern.sources.tables import table
 
 
@@ -56,11 +58,32 @@ def conversation_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _P = f"(SELECT domain, page_id, {case(U.PAGE_TYPES, 'general', 'page_type')} FROM (SELECT page_id, url, {PARTS} FROM pages))"
-QUERIES = {f.__name__: f for f in (store_versions, store_latest, store_stats, structure_signatures, schedule_upsert, conversation_json)}
+def stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages, written to a WARC archive in two commits and read again."""
+    archive.register(spark)
+    at, p = shared.fresh(spark, "pages"), table(spark, sf, "pages").withColumn("fetched_at", F.timestamp_seconds("page_id"))
+    for part in ("page_id % 2 = 0", "page_id % 2 <> 0 OR page_id IS NULL"):
+        p.where(part).write.format("quern_pages").mode("append").save(at)
+    done = spark.read.format("quern_pages").load(at)
+    return done.select("page_id", "url", F.unix_seconds("fetched_at").alias("seconds"), "status_code", F.md5("html").alias("html_md5"), "status")
+
+
+def stored_frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """The frontier of all pages, written as a version and read again."""
+    archive.register(spark)
+    at = shared.fresh(spark, "frontier")
+    crawl.frontier_rows(spark, sf).withColumn("state", F.lit("queued")).withColumn("attempts", F.lit(0)).write.format("quern_frontier").mode("append").save(at)
+    done = spark.read.format("quern_frontier").load(at)
+    return done.select("url", "domain", "depth", F.round("priority", 9).alias("priority"), F.round("score", 9).alias("score"), "state", "attempts")
+
+
+QUERIES = {f.__name__: f for f in (store_versions, store_latest, store_stats, structure_signatures, schedule_upsert, conversation_json, stored_pages, stored_frontier)}
 ORACLE_SQL = {
     "store_versions": f"SELECT domain, page_type, version, page_id FROM (SELECT *, row_number() OVER (PARTITION BY domain, page_type ORDER BY page_id) AS version, row_number() OVER (PARTITION BY domain, page_type ORDER BY page_id DESC) AS age FROM {_P}) WHERE age <= 5",
     "store_latest": f"SELECT domain, page_type, count(*) AS version, max(page_id) AS page_id FROM {_P} GROUP BY ALL",
     "store_stats": f"SELECT 'domain' AS level, domain AS value, count(*) AS n FROM {_P} GROUP BY 2 UNION ALL SELECT 'page_type', page_type, count(*) FROM {_P} GROUP BY 2 UNION ALL SELECT 'all', '', count(*) FROM {_P}",
     "schedule_upsert": "SELECT user_id, arg_max(event_type, {'t': ts, 'i': event_id}) AS event_type, arg_max(event_type, {'t': ts, 'i': event_id}) <> 'error' AS enabled FROM events GROUP BY 1",
     "conversation_json": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role END AS role_back, turn % 2 = 0 AS parsed FROM conversations",
+    "stored_pages": "SELECT page_id, url, page_id AS seconds, 200 AS status_code, md5(html) AS html_md5, 'success' AS status FROM pages",
+    "stored_frontier": f"SELECT url, domain, depth, round(priority, 9) AS priority, round(score, 9) AS score, 'queued' AS state, 0 AS attempts FROM {crawl.PRIO}",
 }
