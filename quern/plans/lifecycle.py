@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quern.functions import url as U
-from quern.operators import compliance, lifecycle, store, strategies, structure
+from quern.operators import compliance, lifecycle, setjoin, store, strategies, structure
 from quern.plans.pages import paired
 from quern.plans.urls import PARTS, case
 from quern.sources.tables import table
@@ -202,10 +202,20 @@ def _side(k: str, c: str | None, a: str, b: str) -> str:
 
 
 _RECORDS = "(" + " UNION ALL ".join(f"SELECT page_id, domain AS key, round(similarity, 9) < 0.7 AS relearn, '{kind}' AS change_type, '{name}' AS component, {k} AS s, {_side(k, c, '', '0')} AS added, {_side(k, c, '0', '')} AS removed FROM {_SIMS} WHERE {k} < 0.9" for k, kind, name, c in _KINDS) + ")"
+def structure_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each page, how many have the same tags as often, how many others are alike in them at 0.9, and the best of other tags."""
+    shapes = structure.structures(table(spark, sf, "pages")).select("page_id", "tag_counts")
+    return setjoin.similar(shapes, "page_id", "tag_counts", 0.9).select("page_id", "copies", "n_similar", F.round("best", 9).alias("best"))
+
+
 QUERIES = {f.__name__: f for f in (
-    change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, signature_changes, cached_responses, unexpired_structures, variant_stats, strategy_apply, strategy_adapt,
+    structure_similar, change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, signature_changes, cached_responses, unexpired_structures, variant_stats, strategy_apply, strategy_adapt,
     strategy_validate, strategy_override, structure_strategies, baselines, baseline_drift)}
 ORACLE_SQL = {
+    "structure_similar": f"""WITH t AS (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all({_TAGS}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL), s AS (SELECT page_id, sum(n) AS n FROM t GROUP BY 1),
+      low AS (SELECT a.page_id AS a, b.page_id AS b, sum(least(a.n, b.n)) AS low FROM t a JOIN t b USING (tag) WHERE a.page_id <> b.page_id GROUP BY ALL),
+      sim AS (SELECT a, b, low = x.n AND low = y.n AS same, low / (x.n + y.n - low) AS s FROM low JOIN s x ON x.page_id = a JOIN s y ON y.page_id = b)
+      SELECT page_id, 1 + count(*) FILTER (same) AS copies, count(*) FILTER (s >= 0.9) AS n_similar, round(max(s) FILTER (NOT same AND s >= 0.9), 9) AS best FROM pages LEFT JOIN sim ON a = page_id GROUP BY 1""",
     "change_detect": f"""SELECT page_id, p AS previous_id, round(similarity, 9) AS similarity, {_CLASS} AS change_class, array_to_string(list_filter([{', '.join(f"CASE WHEN {k} < 0.9 THEN '{k}' END" for k, *_ in _KINDS)}], lambda x: x IS NOT NULL), ',') AS changed FROM {_SIMS}""",
     "change_class_counts": f"SELECT {_CLASS} AS change_class, count(*) AS n FROM {_SIMS} GROUP BY 1",
     "change_records": f"SELECT page_id, relearn, bool_or(s < 0.7) OVER (PARTITION BY page_id) AS has_breaking, change_type, component, s < 0.7 AS breaking, round(s, 9) AS similarity, round(1 - s, 9) AS confidence, added, removed FROM {_RECORDS}",
