@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from quern.operators import ranking
 
 
 def task_states(log: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -26,14 +28,15 @@ def claim(tasks: DataFrame, workers: DataFrame, at) -> DataFrame:
     """`tasks` (url, state, attempts, score) with the first queued ones, by score and then url, claimed by the `workers`
     (worker, slots): as many as there are slots, in order of the workers' names. attempts counts the claim.
 
-    Slots are numbered, tasks are ranked, and equal numbers meet; workers are few, and so are the ranks that can meet one.
+    Workers' slots are numbered by a running sum, the first tasks are ranked, and equal numbers meet: neither the queue nor the
+    slots are ever one partition, and nothing is broadcast for being thought small.
     """
-    slot = workers.select("worker", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("i")).withColumn("rank", F.row_number().over(Window.orderBy("worker", "i")))
-    slots = workers.agg(F.sum("slots")).first()[0] or 0
-    first = tasks.where("state = 'queued'").orderBy("score", "url").limit(slots)  # as many rows as slots
-    ranked = first.select("url", F.row_number().over(Window.orderBy("score", "url")).alias("rank"))
-    got = ranked.join(slot.select("rank", "worker"), "rank").select("url", "worker")
-    out = tasks.drop("worker", "claimed_at").join(F.broadcast(got), "url", "left")
+    ends = ranking.numbered(workers.where("slots > 0"), ["worker"], "last", F.col("slots"))
+    slot = ends.select("worker", F.explode(F.sequence(F.col("last") - F.col("slots") + 1, "last")).alias("rank"))
+    slots = workers.where("slots > 0").agg(F.sum("slots")).first()[0] or 0
+    first = ranking.leading(tasks.where("state = 'queued'").select("url", "score"), slots, ["score", "url"])
+    got = first.join(slot, "rank").select("url", "worker")
+    out = tasks.drop("worker", "claimed_at").join(got, "url", "left")
     mine = F.col("worker").isNotNull()
     return out.withColumn("attempts", F.col("attempts") + mine.cast("int")).withColumn("state", F.when(mine, "processing").otherwise(F.col("state"))).withColumn("claimed_at", F.when(mine, at))
 

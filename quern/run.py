@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern import plugins
 from quern.functions import url as U
-from quern.operators import compliance, extract, frontier, metrics, pii, structure
+from quern.operators import compliance, extract, frontier, metrics, pii, ranking, structure
 from quern.sources import sinks
 from quern.sources.sinks import Options
 
@@ -45,7 +45,7 @@ def reach(pages: DataFrame, options: Options, cut: Callable[[DataFrame], DataFra
     if options.max_pages_per_domain:
         got = frontier.pop(got, options.max_pages_per_domain).drop("rank")
     if options.max_pages:
-        got = got.orderBy("depth", "url").limit(options.max_pages)
+        got = ranking.leading(got, options.max_pages, ["depth", "url"]).drop("rank")
     return got.drop("score")
 
 
