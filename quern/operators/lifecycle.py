@@ -6,10 +6,13 @@ key. State is a key's variants, or one page, never its history.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, functions as F
 
 from quern.operators.limits import fold
 from quern.operators.structure import change_similarity, variant_similarity
+from quern.operators.variants import Variants
 
 #: What a structure must carry for the comparisons.
 COLUMNS = (
@@ -26,23 +29,26 @@ def life_cycle(rows: DataFrame, *, least: float = 0.85, breaking: float = 0.70,
     `seconds` before is an orphan and is learned anew. A page that matches none is learned as a new variant.
     """
 
-    def step(variants: list, r: dict) -> tuple[list, tuple]:
+    def step(state: tuple[Variants, Counter], r: dict) -> tuple[tuple, tuple]:
+        variants, names = state
         now = {c: r[c] for c in COLUMNS} | {"id": r["fingerprint"], "version": 1, "at": r["at"]}
-        near, i = max(((variant_similarity(v, now), -k) for k, v in enumerate(variants)), default=(0.0, 0))
-        if near < least:
-            taken = sum(v["id"].split("~")[0] == now["id"] for v in variants)  # a fingerprint that another variant has
+        _, i = variants.best(now)
+        if i is None:
+            taken = names[r["fingerprint"]]  # a fingerprint that another variant has
+            names[r["fingerprint"]] += 1
             now["id"] += f"~{taken}" if taken else ""
-            variants.append(now)
-            return variants, (r["key"], r["page_id"], now["id"], "learned", None, 1)
-        v = variants[-i]
+            variants.add(now)
+            return state, (r["key"], r["page_id"], now["id"], "learned", None, 1)
+        v = variants.items[i]
         same = change_similarity(v, now)
         action = "relearned" if seconds is not None and r["at"] - v["at"] > seconds else "adapted" if round(same, 9) < breaking else "matched"
         if action != "matched":
-            variants[-i] = v = now | {"id": v["id"], "version": v["version"] + 1}
-        return variants, (r["key"], r["page_id"], v["id"], action, round(same, 9), v["version"])
+            v = now | {"id": v["id"], "version": v["version"] + 1}
+            variants.replace(i, v)
+        return state, (r["key"], r["page_id"], v["id"], action, round(same, 9), v["version"])
 
     cols = ["key", "seq", "at", "page_id", "fingerprint", *COLUMNS]
-    return fold(rows.select(*cols), "key", ["seq"], list, step, "key string, page_id long, variant_id string, action string, similarity double, version int")
+    return fold(rows.select(*cols), "key", ["seq"], lambda: (Variants(least, variant_similarity), Counter()), step, "key string, page_id long, variant_id string, action string, similarity double, version int")
 
 
 def visits(rows: DataFrame, *, breaking: float = 0.70) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions import dom, text as T
+from quern.operators.variants import Variants
 
 SCHEMA = (
     "page_id long, tag_counts map<string,int>, depth_distribution map<int,int>, parent_child_pairs map<string,int>, css_class_map map<string,int>, "
@@ -291,22 +292,19 @@ def variant_similarity(a: dict, b: dict) -> float:
 def assign_variants(rows: DataFrame, least: float = 0.85) -> DataFrame:
     """`rows` (key, seq, page_id, the structure's columns, fingerprint): each page in order joins the most similar variant
     of its key (at `least` or more) or starts one named by its fingerprint. Sequential within a key; the state is the
-    key's variants, not its pages."""
+    key's variants with their index, not its pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, variants = None, []
+        at, known = None, None
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                if r["key"] != at:
-                    at, variants = r["key"], []
-                best = max(((variant_similarity(v, r), -i) for i, v in enumerate(variants)), default=(0.0, 0))
-                if best[0] >= least:
-                    v = variants[-best[1]]
-                else:
-                    v = {k: r[k] for k in ("tag_counts", "content_regions", "semantic_landmarks", "pagination", "navigation_selectors", "fingerprint")}
-                    variants.append(v)
-                out.append((r["key"], r["page_id"], v["fingerprint"], best[0] < least))
+                if known is None or r["key"] != at:
+                    at, known = r["key"], Variants(least, variant_similarity)
+                _, i = known.best(r)
+                if i is None:
+                    known.add({k: r[k] for k in ("tag_counts", "content_regions", "semantic_landmarks", "pagination", "navigation_selectors", "fingerprint")})
+                out.append((r["key"], r["page_id"], known.items[-1 if i is None else i]["fingerprint"], i is None))
             yield pd.DataFrame(out, columns=["key", "page_id", "variant_id", "started"])
 
     cols = ["key", "seq", "page_id", "tag_counts", "content_regions", "semantic_landmarks", "pagination", "navigation_selectors", "fingerprint"]
