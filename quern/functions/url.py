@@ -90,17 +90,73 @@ def is_valid(url: Column) -> Column:
     return scheme(url).isin("http", "https") & (part(url, 2) != "")
 
 
-def is_private(url: Column) -> Column:
-    """A private, loopback, link-local or reserved IPv4 address, or a local name; the port is cut at the first colon."""
-    host = F.substring_index(domain(url), ":", 1)
-    octet = lambda i: F.regexp_extract(host, r"^(\d{1,3})[.](\d{1,3})[.](\d{1,3})[.](\d{1,3})$", i).try_cast("int")
+def _private4(text: Column) -> Column:
+    """Whether a text is a private, loopback, link-local or reserved IPv4 address; null if it is none."""
+    octet = lambda i: F.regexp_extract(text, r"^(\d{1,3})[.](\d{1,3})[.](\d{1,3})[.](\d{1,3})$", i).try_cast("int")
     a, b, c, d = (octet(i) for i in (1, 2, 3, 4))
     good = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    private = (
+    return F.when(good, (
         a.isin(0, 10, 127) | (a >= 240) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
         | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    )
-    return (host == "localhost") | F.coalesce(good & private, F.lit(False))
+    ))
+
+
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _dotted(text: Column) -> Column:
+    """An IPv4 address at the end of a text as two groups of hexadecimal digits; null if it has a number over 255."""
+
+    def groups(octets: Column) -> Column:
+        pair = lambda i: F.lower(F.lpad(F.hex(octets[i] * 256 + octets[i + 1]), 4, "0"))
+        return F.when(~F.exists(octets, lambda o: o > 255), F.concat(pair(0), F.lit(":"), pair(2)))
+
+    four = F.regexp_extract(text, r":(\d{1,3}[.]\d{1,3}[.]\d{1,3}[.]\d{1,3})$", 1)
+    done = _let(F.transform(F.split(four, "[.]"), lambda o: o.try_cast("int")), groups)
+    return F.when(text.rlike(r":\d{1,3}([.]\d{1,3}){3}$"), F.concat(F.regexp_replace(text, "[0-9.]+$", ""), done)).otherwise(text)
+
+
+def _digits(text: Column) -> Column:
+    groups = lambda t: F.filter(F.split(t, ":"), lambda g: g != "")
+
+    def filled(sides: Column) -> Column:
+        missing = 8 - F.size(sides["left"]) - F.size(sides["right"])
+        return F.when(missing >= 1, F.concat(sides["left"], F.array_repeat(F.lit("0"), missing), sides["right"]))
+
+    sides = F.struct(groups(F.substring_index(text, "::", 1)).alias("left"), groups(F.substring_index(text, "::", -1)).alias("right"))
+    whole = text.rlike("^[0-9a-f]{1,4}(:[0-9a-f]{1,4}){7}$")
+    short = text.rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$")
+    all_ = F.when(whole, F.split(text, ":")).when(short, _let(sides, filled))
+    return F.array_join(F.transform(all_, lambda g: F.lpad(g, 4, "0")), "")
+
+
+def ipv6(host: Column) -> Column:
+    """The 32 hexadecimal digits of a bracketed IPv6 address, with or without port, zone and `::`, or an IPv4 address at its
+    end; null for anything else."""
+    text = F.regexp_replace(F.regexp_extract(F.lower(host), r"(?:^|@)\[([^\]]*)\](?::\d*)?$", 1), "%.*$", "")
+    return F.when(F.contains(host, F.lit("[")), _let(text, lambda t: _let(_dotted(t), _digits)))
+
+
+def _private6(digits: Column) -> Column:
+    """Whether an address is private or reserved: all but global unicast (2000::/3), multicast and site-local ones, and of global
+    unicast what is set aside for protocols, documentation and 6to4. A mapped IPv4 address counts as that."""
+    at = lambda p: digits.startswith(p)
+    # Ranges inside 2001::/23 that are global after all.
+    open_ = digits.isin("20010001" + "0" * 23 + "1", "20010001" + "0" * 23 + "2") | at("20010003") | at("200100040112") | at("2001002") | at("2001003")
+    set_aside = ((at("20010") & F.substring(digits, 6, 1).isin("0", "1")) & ~open_) | at("20010db8") | at("2002") | at("3fff0")
+    octet = lambda i: F.conv(F.substring(digits, i, 2), 16, 10)
+    mapped = F.concat_ws(".", *[octet(i) for i in (25, 27, 29, 31)])
+    elsewhere = ~F.substring(digits, 1, 1).isin("2", "3") & ~at("ff") & ~F.substring(digits, 1, 3).between("fec", "fef")
+    return F.when(at("0" * 20 + "ffff"), _private4(mapped)).otherwise(set_aside | elsewhere)
+
+
+def is_private(url: Column) -> Column:
+    """A private, loopback, link-local or reserved IPv4 or bracketed IPv6 address, or a local name; of other hosts the port is
+    cut at the first colon."""
+    host = F.substring_index(domain(url), ":", 1)
+    return (host == "localhost") | F.coalesce(_private4(host), _let(ipv6(domain(url)), _private6), F.lit(False))
 
 
 def depth(url: Column) -> Column:

@@ -116,7 +116,7 @@ FROM (SELECT page_id, url, {PARTS}, regexp_extract(url, {S}, 3) AS raw, trim(reg
 def url_form_values(spark: SparkSession, sf: str) -> DataFrame:
     """Addresses that carry what people wrote, escaped in one of three ways, back in one form."""
     t = table(spark, sf, "conversations")
-    raw = F.substring(F.regexp_replace("text", r"[\x00-\x1f]", " "), 1, 60)
+    raw = F.regexp_replace("text", r"[\x00-\x1f]", " ")
     by_plus, by_hex = U.escape(raw), F.replace(U.escape(raw), F.lit("+"), F.lit("%20"))
     written = F.when(F.col("turn") % 3 == 0, by_plus).when(F.col("turn") % 3 == 1, by_hex).otherwise(F.regexp_replace(by_hex, "%2[cC]", ","))
     url = F.concat(F.lit("HTTP://Www.Example.com:80//s;v=1?q="), written, F.lit("&utm%5Fsource=mail&b=&a=1&a=0&SID9=x#top"))
@@ -148,12 +148,45 @@ def section_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SECTION_ROWS = ", ".join(f"('{k}', '{v}')" for k, v in SECTIONS.items())
-FORMS = r"""SELECT conv_id, turn, concat('http://www.example.com/s?a=1&a=0&b=&q=', replace(url_encode(substr(regexp_replace(text, '[\x00-\x1f]', ' ', 'g'), 1, 60)), '%20', '+')) AS norm_url FROM conversations"""
+FORMS = r"""SELECT conv_id, turn, concat('http://www.example.com/s?a=1&a=0&b=&q=', replace(url_encode(regexp_replace(text, '[\x00-\x1f]', ' ', 'g')), '%20', '+')) AS norm_url FROM conversations"""
+#: Leading digits of the addresses below: inside and beside the ranges that are set aside.
+_LEADS = ("", "fe80", "fec0", "febf", "fc", "fd00", "ff02", "20010db8", "20010db9", "2001002", "200101", "200102", "2002", "3fff0", "3fff1", "2", "3", "0" * 20 + "ffff", "0" * 31, "0064ff9b", "4", "200100040112", "200100040113")
+
+
+def private_ipv6(spark: SparkSession, sf: str) -> DataFrame:
+    """IPv6 addresses made from all events, written in full, shortened, or with port and zone, and whether they are private."""
+    k = F.col("event_id")
+    lead = F.element_at(F.array(*[F.lit(x) for x in _LEADS]), (k % len(_LEADS) + 1).cast("int"))
+    digits = F.concat(lead, F.substr(F.md5(k.cast("string")), F.length(lead) + 1))
+    digits = F.when(k % 4 == 1, F.concat(F.substring(digits, 1, 12), F.lit("0" * 16), F.substring(F.md5(k.cast("string")), 1, 4))).otherwise(digits)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+    full = F.array_join(groups, ":")
+    short = F.concat(F.array_join(F.slice(groups, 1, 3), ":"), F.lit("::"), groups[7])
+    url = F.when(k % 4 == 1, F.concat(F.lit("http://["), short, F.lit("]/a"))).when(k % 4 == 2, F.concat(F.lit("https://u@["), F.upper(full), F.lit("%eth0]:8080/"))).otherwise(F.concat(F.lit("http://["), full, F.lit("]:80")))
+    return table(spark, sf, "events").select("event_id", url.alias("url")).select("event_id", U.is_private("url").alias("private"))
+
+
+def _ranges() -> str:
+    """Rows of (first, last, private) of IPv6 networks, narrow ones to come before wide ones, with the length of the prefix."""
+    import ipaddress
+
+    nets = [("::/0", True), ("2000::/3", False), ("ff00::/8", False), ("fec0::/10", False), ("2001::/23", True), ("2001:1::1/128", False), ("2001:1::2/128", False), ("2001:3::/32", False), ("2001:4:112::/48", False),
+            ("2001:20::/28", False), ("2001:30::/28", False), ("2001:db8::/32", True), ("2002::/16", True), ("3fff::/20", True), ("::ffff:0:0/96", False)]
+    four = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "240.0.0.0/4", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "192.0.0.0/24", "192.0.2.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24"]
+    nets += [(f"::ffff:{n.split('/')[0]}/{96 + int(n.split('/')[1])}", True) for n in four]
+    rows = [(ipaddress.ip_network(n), p) for n, p in nets]
+    return ", ".join(f"('{int(n[0]):032x}', '{int(n[-1]):032x}', {n.prefixlen}, {str(p).lower()})" for n, p in rows)
+
+
+PRIVATE6 = f"""WITH a AS (SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS m, {list(_LEADS)}[event_id % {len(_LEADS)} + 1] AS lead FROM events),
+  d AS (SELECT event_id, CASE WHEN event_id % 4 = 1 THEN substr(lead || substr(m, length(lead) + 1), 1, 12) || repeat('0', 16) || substr(m, 1, 4) ELSE lead || substr(m, length(lead) + 1) END AS digits FROM a)
+  SELECT event_id, arg_max(private, bits) AS private FROM d JOIN (VALUES {_ranges()}) r(first, last, bits, private) ON digits BETWEEN first AND last GROUP BY 1"""
+
 QUERIES = {f.__name__: f for f in (
-    url_parts, url_pattern, page_types, url_normalize, url_normalize_dedup, url_depth_hist, url_keys, url_predicates, url_form_values, resolved_links, article_links, section_names)}
+    url_parts, url_pattern, page_types, url_normalize, url_normalize_dedup, url_depth_hist, url_keys, url_predicates, url_form_values, resolved_links, article_links, section_names, private_ipv6)}
 ORACLE_SQL = {
     "url_parts": URL_PARTS, "url_pattern": URL_PATTERN, "page_types": PAGE_TYPES, "url_normalize": NORMAL, "url_normalize_dedup": DEDUP,
-    "url_depth_hist": DEPTH, "url_keys": URL_KEYS, "url_predicates": URL_PREDICATES, "url_form_values": FORMS,
+    "url_depth_hist": DEPTH, "url_keys": URL_KEYS, "url_predicates": URL_PREDICATES, "url_form_values": FORMS, "private_ipv6": PRIVATE6,
     "resolved_links": """SELECT page_id, link, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '//%' THEN concat(regexp_extract(u, '^([a-z]+:)', 1), link) WHEN link LIKE '/%' THEN concat(regexp_extract(u, '^([a-z]+://[^/]+)', 1), link)
       ELSE concat(u, link) END AS resolved FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, unnest(['/a/b', '?x=1', '//cdn.example.org/c.js', 'https://other.example.org/', '#part']) AS link FROM pages)""",
     "article_links": f"""SELECT domain, rank, page_id FROM (SELECT domain, page_id, row_number() OVER (PARTITION BY domain ORDER BY length(p) - length(replace(p, '-', '')) DESC, url, page_id) AS rank

@@ -1,3 +1,6 @@
+import ipaddress
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +54,26 @@ def test_matches(spark):
     assert one(spark, "http://h/a/b/c", lambda c: U.matches(c, ["/a/*"])) is False
     assert one(spark, "http://h/a/b/c", lambda c: U.matches(c, ["/a/**"])) is True
     assert one(spark, "http://h/a", lambda c: U.matches(c, ["/[a"])) is False
+
+
+def test_ipv6_against_the_standard_library(spark):
+    """Random addresses inside and beside the ranges, in all spellings; and what only looks like one."""
+    r = random.Random(6)
+    leads = ["", "fe8", "febf", "fec0", "fc", "fd", "ff02", "20010db8", "2001000", "200101ff", "20010200", "2002", "3fff0", "3fff1", "2", "3", "0" * 20 + "ffff", "0" * 31, "0064ff9b" + "0" * 16, "4", "2001002", "2001003", "2001004", "200100040112", "20010003"]
+    texts = []
+    for _ in range(600):
+        lead = r.choice(leads)
+        d = (lead + "".join(r.choice("0123456789abcdef0000") for _ in range(32)))[:32]
+        a = ipaddress.IPv6Address(int(d, 16))
+        texts.append(r.choice([a.exploded, a.compressed, a.compressed.upper(), f"{a.compressed}%25en0"]))
+    texts += ["::ffff:10.1.2.3", "::ffff:8.8.8.8", "::8.8.8.8", "64:ff9b::1.2.3.4", "2600::1:1.2.3.4", "::1", "::", "2001:1::1", "2001:1::2", "2001:1::3", "1::2:3:4:5:6:7"]
+    urls = [f"http://{r.choice(['', 'u:p@'])}[{t}]{r.choice(['', ':8080'])}/p" for t in texts]
+    bad = ["[::1", "[1:2:3]", "[1::2::3]", "[12345::]", "[g::1]", "[::1.2.3.999]", "[1:2:3:4:5:6:7:8:9]", "[1:2:3:4:5:6:7::8:9]", "[]", "[:]", "[:::]", "[1:2:3:4:5:6:7:]", "::1"]
+    rows = spark.createDataFrame([(u,) for u in urls] + [(f"http://{b}/p",) for b in bad], "url string")
+    got = {x["url"]: (x["d"], x["p"]) for x in rows.select("url", U.ipv6(U.domain("url")).alias("d"), U.is_private("url").alias("p")).collect()}
+    for t, u in zip(texts, urls):
+        a = ipaddress.IPv6Address(t.split("%")[0])
+        b = a.ipv4_mapped or a
+        want = b.is_private or b.is_loopback or b.is_reserved or b.is_link_local or a in ipaddress.ip_network("3fff::/20")  # a later range for documentation
+        assert got[u] == (f"{int(a):032x}", want), u
+    assert all(got[f"http://{b}/p"] == (None, False) for b in bad)
