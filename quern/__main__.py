@@ -64,8 +64,10 @@ def predicted(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
 
 def training_pairs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    """Pairs of sites' types, alike or not: a row per two types of the pages, which are few."""
-    return vectors.pairs(structures(spark, a).select("page_type").distinct(), "page_type").where("a < b").withColumn("target", F.lit(0.0))
+    """Pairs of the sites' page types, which are few: target 1 where the types are one, else 0."""
+    shapes = structures(spark, a).select("domain", "page_type").distinct().withColumn("shape", F.concat_ws("|", "domain", "page_type"))
+    both = vectors.pairs(shapes, "shape").where("a < b")
+    return both.select("a", "b", F.when(F.col("x_page_type") == F.col("y_page_type"), 1.0).otherwise(0.0).alias("target"))
 
 
 def set_baselines(spark: SparkSession, a: argparse.Namespace) -> DataFrame:

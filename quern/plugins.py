@@ -8,6 +8,7 @@ import logging
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.operators import learn, store, structure
@@ -130,7 +131,9 @@ class Store:
             new = self.embed(new.withColumn("description", self.describe.page(F.col("domain"), F.col("page_type"))), "description")
         try:
             old = self.rows()
-        except Exception:  # noqa: BLE001 - no table yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             old = new.where("false").withColumn("version", F.lit(0))
         return store.save(old, new, list(self.KEY), self.keep)
 

@@ -7,7 +7,7 @@ DataFrames, not rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,13 +29,27 @@ class Crawl:
     totals: DataFrame
 
 
+#: Options of a fetcher, a renderer, an alerter or a store, which a crawl of stored pages hasn't.
+WITHOUT_EFFECT = (
+    "priority_boost_patterns", "respect_crawl_delay", "adaptive", "default_delay", "min_delay", "max_delay", "backoff_multiplier", "min_confidence", "breaking_threshold", "variant_threshold",
+    "structure_ttl", "robots_ttl", "max_versions", "timeout", "render_wait", "block_resources", "alert_min_severity", "alert_throttle_minutes",
+)
+
+
+def refuse(options: Options) -> None:
+    """An error that names the options that were set but would do nothing."""
+    defaults = {f.name: f.default for f in fields(Options)}
+    if idle := [n for n in WITHOUT_EFFECT if getattr(options, n) != defaults[n]]:
+        raise ValueError(f"without effect on stored pages: {', '.join(idle)}")
+
+
 def reach(pages: DataFrame, options: Options, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The pages that links lead to from the seeds, with depth; per site at most max_pages_per_domain, in all max_pages, nearest
     first. Pages with one normalized address are one page, that of the least id."""
     named = pages.withColumn("norm_url", U.normalize(F.col("url")))
     one = named.groupBy("norm_url").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("norm_url", "p.*")
     links = extract.page_links(one)
-    taken = extract.follow(links, allowed=options.allowed_domains, exclude=options.exclude_patterns)
+    taken = extract.follow(links, external=options.follow_external, allowed=options.allowed_domains, exclude=options.exclude_patterns, resources=options.extract_resources, nofollow=options.follow_nofollow)
     edges = taken.join(one.select("page_id", F.col("norm_url").alias("from")), "page_id").select(F.col("from").alias("url"), F.col("norm_url").alias("target"))
     edges = cut(edges.join(one.select(F.col("norm_url").alias("target")), "target", "left_semi").distinct())
     spark = pages.sparkSession
@@ -69,7 +83,7 @@ def gated(pages: DataFrame, robots: DataFrame | None, blocklist: DataFrame | Non
 
 def _private(extractions: DataFrame, options: Options, salt: str | None) -> DataFrame:
     """Extractions with personal data in their content treated as the options say; excluded pages are left out."""
-    safe = pii.processed(extractions.select("page_id", F.col("content").alias("text")), options.pii_action, key="page_id", salt=salt, alert_on_sensitive=False)
+    safe = pii.processed(extractions.select("page_id", F.col("content").alias("text")), options.pii_action, key="page_id", salt=salt, alert_on_sensitive=options.alert_on_sensitive)
     return extractions.drop("content").join(safe.where("not excluded").select("page_id", F.col("text").alias("content"), "n_matches"), "page_id")
 
 
@@ -77,8 +91,11 @@ def crawl(
     spark: SparkSession, pages: DataFrame, options: Options, *, robots: DataFrame | None = None, blocklist: DataFrame | None = None, salt: str | None = None,
     cut: Callable[[DataFrame], DataFrame] = frontier.shared_cut,
 ) -> Crawl:
-    """The tables of a crawl of `pages` from the options' seeds."""
-    rows = cut(gated(reach(pages, options, cut), robots, blocklist, options.user_agent))
+    """The tables of a crawl of `pages` from the options' seeds. Options that stored pages give no meaning are refused."""
+    refuse(options)
+    rows = gated(reach(pages, options, cut), robots if options.respect_robots else None, blocklist, options.user_agent)
+    large = (F.col("status") == "success") & (F.octet_length("html") > options.max_content_size)
+    rows = cut(rows.withColumn("status", F.when(large, "error_content_too_large").otherwise(F.col("status"))))
     good = rows.where("status = 'success'")
     got = extract.extractions(good.select("page_id", "url", "html")).join(good.select("page_id", "url", "domain", "depth"), "page_id")
     shapes = structure.structures(good).join(good.select("page_id", "domain", U.classify(F.col("url"), U.PAGE_TYPES, "general").alias("page_type")), "page_id")

@@ -270,3 +270,43 @@ def test_plugins(spark, tmp_path):
     assert kept["version"] == 1 and len(kept["embedding"]) == 384 and kept["description"].startswith("Page with")
     with pytest.raises(ValueError):
         plugins.Store(spark, "x", "other")
+
+
+def test_options_take_effect_or_are_refused(spark):
+    """Each option that a crawl of stored pages knows changes what it gives; each other one is an error if it is set."""
+    link = lambda *a: "".join(f"<a {x}>x</a>" for x in a)
+    rows = [
+        (1, "http://h.org/", "<p>" + link('href="/a"', 'href="http://o.org/b"', 'href="/c" rel="nofollow"', 'href="/d.pdf"', 'href="/big"')), (2, "http://h.org/a", "<html><body><article><h1>t</h1><p>" + "some words of a text " * 30 + "my SSN is 123-45-6789</p></article></body></html>"), (3, "http://o.org/b", "<p>b"),
+        (4, "http://h.org/c", "<p>c"), (5, "http://h.org/d.pdf", "<p>d"), (6, "http://h.org/big", "<p>" + "x" * 5000)]
+    pages_ = spark.createDataFrame(rows, "page_id long, url string, html string")
+    robots = spark.createDataFrame([("h.org", "User-agent: *\nDisallow: /a", 200)], "domain string, content string, status int")
+
+    def crawl(**own):
+        got = run.crawl(spark, pages_, sinks.Options(seed_urls=("http://h.org/",), output_dir="o", **own), robots=robots)
+        return {r["page_id"]: r["status"] for r in got.pages.collect()}, {r["page_id"] for r in got.extractions.collect()}
+
+    status, kept = crawl()
+    assert set(status) == {1, 2, 6} and status[2].startswith("blocked") and kept == {1, 6}
+    assert set(crawl(follow_external=True)[0]) == {1, 2, 3, 6} and set(crawl(follow_nofollow=True)[0]) == {1, 2, 4, 6} and set(crawl(extract_resources=True)[0]) == {1, 2, 5, 6}
+    status, kept = crawl(respect_robots=False)
+    assert status[2] == "success" and kept == {1, 6}  # its sensitive data exclude it
+    assert crawl(respect_robots=False, alert_on_sensitive=False)[1] == {1, 2, 6}
+    assert crawl(max_content_size=4000)[0][6] == "error_content_too_large"
+    for own in ({"default_delay": 2.0}, {"timeout": 1.0}, {"priority_boost_patterns": ("x",)}, {"alert_throttle_minutes": 1}):
+        with pytest.raises(ValueError, match=next(iter(own))):
+            crawl(**own)
+
+
+def test_training_pairs(spark, site, capsys):
+    path, out = site
+    assert cli.main(["ml", "pairs", "--pages", path, "--output", f"{out}/pairs"], spark) == 0
+    got = spark.read.parquet(f"{out}/pairs").collect()
+    assert got and all(r["a"] < r["b"] and r["target"] == float(r["a"].split("|")[1] == r["b"].split("|")[1]) for r in got)
+
+
+def test_a_store_that_cannot_be_read_is_no_empty_one(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_text("not a Parquet file")
+    shapes = spark.createDataFrame([("h.org", "article", 1)], "domain string, page_type string, captured_at long")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        plugins.Store(spark, str(tmp_path)).save(shapes).collect()
+    assert plugins.Store(spark, f"{tmp_path}/none").save(shapes).count() == 1
