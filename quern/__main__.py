@@ -139,7 +139,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
         p.add_argument("--describe", default="rules", choices=sorted(plugins.DESCRIPTIONS))
         p.add_argument("--page", type=int, help="the page to compare with")
         p.add_argument("-k", type=int, default=10)
-        p.add_argument("--model", default="logistic", choices=["logistic", "forest"])
+        p.add_argument("--model", default="logistic", choices=["logistic", "forest", "boosted"])
         p.add_argument("--folds", type=int, default=0)
         p.add_argument("--path", help="where a model or baselines are kept")
         p.add_argument("--text", help="what to search for")

@@ -310,3 +310,17 @@ def test_a_store_that_cannot_be_read_is_no_empty_one(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)parquet"):
         plugins.Store(spark, str(tmp_path)).save(shapes).collect()
     assert plugins.Store(spark, f"{tmp_path}/none").save(shapes).count() == 1
+
+
+def test_boosted_trees(spark, tmp_path):
+    """Classes that no line parts: held-out rows, out-of-fold accuracy, importances, and a model saved and loaded."""
+    r = __import__("random").Random(8)
+    rows = [(i, f"c{(x > 0.5) ^ (y > 0.5)}" if x < 0.8 else "edge", [x, y, r.random()]) for i in range(400) for x, y in [(r.random(), r.random())]]
+    df = spark.createDataFrame(rows, "i long, label string, embedding array<double>").coalesce(2)
+    model, accuracy = learn.train(df.where("i < 300"), "label", "boosted", folds=2, rounds=6)
+    assert accuracy > 0.8
+    learn.save(model, f"{tmp_path}/m")
+    got = learn.predict(learn.load(f"{tmp_path}/m"), df.where("i >= 300")).collect()
+    assert sum(x["label"] == x["predicted"] for x in got) > 85 and all(1 / 3 <= x["confidence"] <= 1 for x in got)
+    weights = learn.importances(model)
+    assert len(weights) == 3 and min(weights[:2]) > weights[2]
