@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quern.functions import url as U
+from quern.functions import tables, url as U
 from quern.operators import extract, pii, structure
 from quern.plans.urls import PARTS
 from quern.sources.tables import table
@@ -121,8 +121,28 @@ def pii_strong(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("doc_id", "pii_type").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.min("value").alias("first_value"))
 
 
+def pii_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """The matches of `pii_matches`, by the table function in SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, m.* FROM {docs} d, LATERAL quern_pii(d.text) m", docs=table(spark, sf, "documents"))
+
+
+def links_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of each page by kind, by the table function in SQL."""
+    tables.register(spark)
+    return spark.sql(
+        "SELECT p.page_id, l.link_type, count(*) AS n, count_if(l.is_external) AS n_external FROM {pages} p, LATERAL quern_links(p.url, p.html) l GROUP BY ALL", pages=table(spark, sf, "pages"))
+
+
+def page_lateral(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles by the page function, in SQL: a page's first heading, its content's size class and whether it is a success."""
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, x.success, md5(x.title) AS title_md5, x.author FROM {pages} p, LATERAL quern_page(p.url, p.html) x", pages=table(spark, sf, "pages"))
+
+
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
-    d = pii.processed(table(spark, sf, "documents"), "redact", kinds=("email",), alert_on_sensitive=False)
+    """Texts without what any of the fourteen kinds finds; overlapping matches are replaced one after another."""
+    d = pii.processed(table(spark, sf, "documents"), "redact", alert_on_sensitive=False)
     return d.select("doc_id", "n_matches", F.md5("text").alias("text_md5"))
 
 
@@ -132,7 +152,7 @@ def pii_pseudonymize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.processed(table(spark, sf, "documents"), "redact", kinds=("credit_card", "email")).where("excluded").select("doc_id", F.array_join("categories", ",").alias("categories"))
+    return pii.processed(table(spark, sf, "documents"), "redact").where("excluded").select("doc_id", F.array_join("categories", ",").alias("categories"))
 
 
 EMAIL = pii.PATTERNS["email"][0]
@@ -144,11 +164,49 @@ def _count(k: str) -> str:
     return f"len(regexp_extract_all(text, '{p}')) AS {k}"
 
 
-_CARD = f"""SELECT doc_id, text, v0 AS value, regexp_replace(v0, '[^0-9]', '', 'g') AS v FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{pii.PATTERNS['credit_card'][0]}')) AS v0 FROM documents)"""
+# The rules of `pii.RULES` and the windows of `pii.detect` in SQL, over a match `value` at `s` to `e` of `text`, its digits `v`.
+_AROUND = "lower(substr(text, greatest(s - %d, 0) + 1, least(s, %d) + (e - s) + %d))"
+_BEFORE = "lower(substr(text, greatest(s - 20, 0) + 1, least(s, 20)))"
+_RULES = {
+    "phone": r"length(v) >= 7 AND NOT regexp_full_match(value, '\d{4}[-/]\d{2}[-/]\d{2}|\d+\.\d+\.\d+')",
+    "ip_address": rf"list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INT))) < 256 AND NOT regexp_matches({_BEFORE}, 'version|v\d|\.jar|\.dll')",
+    "ssn": "length(v) = 9 AND left(v, 3) NOT IN ('000', '666') AND left(v, 1) <> '9'", "credit_card": LUHN, "address": "length(value) >= 15",
+    "name": f"value NOT IN ({', '.join(repr(p) for p in sorted(pii.PLACES))})",
+    "driver_license": f"regexp_matches({_AROUND % (50, 50, 50)}, 'license|driver')", "passport": f"contains({_AROUND % (50, 50, 50)}, 'passport')",
+}
+#: RE2's \b knows ASCII only, so other letters stand as _ where matches are looked for; values come from the text itself.
+_FLAT = "regexp_replace(text, '[ªµºÀ-ÖØ-öø-ʯͰ-ͳͶ-ϿЀ-ҁҊ-ԯ]', '_', 'g')"
+
+
+def _found(kind: str, source: str) -> str:
+    """SQL for the matches of a kind in `source` (id, text, t): what lies between them gives their places."""
+    p = (("(?i)" if pii.PATTERNS[kind][1] else "") + pii.PATTERNS[kind][0]).replace("'", "''")
+    base, words, number = pii.PATTERNS[kind][2], pii.PATTERNS[kind][3], list(pii.PATTERNS).index(kind)
+    near = " OR ".join(f"contains({_AROUND % (30, 30, 30)}, '{w}')" for w in words) or "false"
+    category = f"'{pii.SENSITIVE[kind]}'" if kind in pii.SENSITIVE else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT id, {number} AS k, '{kind}' AS pii_type, value, s, e, CAST(CASE WHEN {near} THEN {min(1.0, round(base + 0.15, 6))} ELSE {base} END AS DOUBLE) AS confidence, {category} AS category FROM (
+      SELECT id, text, s, s + length(m) AS e, substr(text, s + 1, length(m)) AS value, regexp_replace(m, '[^0-9]', '', 'g') AS v FROM (
+        SELECT id, text, m, CAST(sum(length(gap)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM (
+          SELECT id, text, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(string_split_regex(t, '{p}')) AS gap, unnest(range(len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM {source}) WINDOW w AS (PARTITION BY id ORDER BY i)) WHERE m IS NOT NULL)
+      WHERE {_RULES.get(kind, 'true')}"""
+
+
+def _matches(table_: str, key: str, kinds: tuple[str, ...] = tuple(pii.PATTERNS)) -> str:
+    """SQL for common tables `d` (id, text, t) and `f`, the matches of `kinds` in it."""
+    return f"d AS (SELECT {key} AS id, text, {_FLAT} AS t FROM {table_}), f AS ({' UNION ALL '.join(_found(k, 'd') for k in kinds)})"
+
+
+def _replaced(mark: str) -> str:
+    """SQL for the texts of `d` with every match of `f` replaced by `mark`, from the right."""
+    return f"""(SELECT id, coalesce(n, 0) AS n_matches, CASE WHEN n IS NULL THEN text ELSE struct_extract(list_reduce(ms, lambda a, x: {{t: substr(a.t, 1, x.s) || x.t || substr(a.t, x.e + 1), s: x.s, e: x.e}}, {{t: text, s: 0::BIGINT, e: 0::BIGINT}}), 't') END AS new
+      FROM d LEFT JOIN (SELECT id, count(*) AS n, list({{t: {mark}, s: s, e: e}} ORDER BY s DESC, e DESC, k) AS ms FROM f GROUP BY 1) USING (id))"""
+
+
+_PII_MATCHES = f"""WITH {_matches('documents', 'doc_id')} SELECT id AS doc_id, pii_type, value, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", confidence, category FROM f"""
 _LAG = "SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), '<([a-z][a-z0-9]*)', 1) AS t, domain, lag(page_id) OVER (PARTITION BY domain ORDER BY page_id) AS prev FROM (SELECT page_id, html, %s FROM pages)" % PARTS
 QUERIES = {f.__name__: f for f in (
     tag_counts, class_counts, content_hash, page_structures, landmarks, links, link_domains, change_detect, tag_similarity, change_class_counts, variant_assign, structure_history,
-    strategy_infer, extract_content, extraction_validity, pii_counts, pii_matches, pii_strong, pii_redact, pii_pseudonymize, pii_excluded)}
+    strategy_infer, extract_content, extraction_validity, pii_counts, pii_matches, pii_lateral, links_lateral, page_lateral, pii_strong, pii_redact, pii_pseudonymize, pii_excluded)}
 ORACLE_SQL = {
     "tag_counts": f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, lower(unnest(regexp_extract_all({BODY}, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM pages) GROUP BY 1",
     "class_counts": "SELECT class, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[a-z][^>]* class=\"([^\" ]+)\"', 1)) AS class FROM pages) GROUP BY 1",
@@ -161,6 +219,11 @@ ORACLE_SQL = {
       SELECT p.page_id, coalesce(s.similarity, 1.0) AS similarity FROM p LEFT JOIN (SELECT page_id, round(sum(least(x, y)) / sum(greatest(x, y)), 9) AS similarity FROM j GROUP BY 1) s USING (page_id) WHERE p.prev IS NOT NULL""",
     "links": "SELECT page_id, count(DISTINCT h) AS n_links, count(DISTINCT h) FILTER (regexp_matches(h, '^https?://')) AS n_external FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1)) AS h FROM pages) GROUP BY 1",
     "pii_counts": f"SELECT doc_id, {', '.join(_count(k) for k in SIMPLE)} FROM documents",
-    "pii_redact": f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}')) AS n_matches, md5(regexp_replace(text, '{EMAIL}', '[REDACTED:email]', 'g')) AS text_md5 FROM documents",
-    "pii_excluded": f"SELECT DISTINCT doc_id, 'financial' AS categories FROM ({_CARD}) WHERE length(v) = 16 AND {LUHN}",
+    "pii_matches": _PII_MATCHES,
+    "pii_lateral": _PII_MATCHES,
+    "links_lateral": "SELECT page_id, 'anchor' AS link_type, count(DISTINCT h) AS n, count(DISTINCT h) FILTER (regexp_matches(h, '^https?://')) AS n_external FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1)) AS h FROM pages) GROUP BY 1",
+    "pii_strong": f"WITH {_matches('documents', 'doc_id', ('email', 'credit_card', 'ip_address'))} SELECT id AS doc_id, pii_type, count(*) AS n, max(confidence) AS confidence, min(value) AS first_value FROM f GROUP BY ALL",
+    "pii_redact": f"WITH {_matches('documents', 'doc_id')} SELECT id AS doc_id, n_matches, md5(new) AS text_md5 FROM {_replaced("'[REDACTED:' || pii_type || ']'")}",
+    "pii_pseudonymize": f"WITH {_matches('conversations', 'conv_id * 1000 + turn')} SELECT id AS turn_id, n_matches, md5(new) AS text_md5 FROM {_replaced("'[' || pii_type || ':' || left(sha256('a salt for tests:' || pii_type || ':' || value), 8) || ']'")}",
+    "pii_excluded": f"WITH {_matches('documents', 'doc_id')} SELECT id AS doc_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM f WHERE category IS NOT NULL GROUP BY 1",
 }
