@@ -135,9 +135,9 @@ def links_lateral(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_lateral(spark: SparkSession, sf: str) -> DataFrame:
-    """Titles by the page function, in SQL: a page's first heading, its content's size class and whether it is a success."""
+    """Titles and contents by the page function, in SQL."""
     tables.register(spark)
-    return spark.sql("SELECT p.page_id, x.success, md5(x.title) AS title_md5, x.author FROM {pages} p, LATERAL quern_page(p.url, p.html) x", pages=table(spark, sf, "pages"))
+    return spark.sql("SELECT p.page_id, x.success, md5(x.title) AS title_md5, md5(x.content) AS content_md5 FROM {pages} p, LATERAL quern_page(p.url, p.html) x", pages=table(spark, sf, "pages"))
 
 
 def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,6 +202,17 @@ def _replaced(mark: str) -> str:
       FROM d LEFT JOIN (SELECT id, count(*) AS n, list({{t: {mark}, s: s, e: e}} ORDER BY s DESC, e DESC, k) AS ms FROM f GROUP BY 1) USING (id))"""
 
 
+# Texts of elements of the test pages, and what the extractor's default selectors choose on them.
+def _text(x: str) -> str:
+    x = f"regexp_replace(regexp_replace(regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', '', 'g')"
+    for name, char in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+_EXTRACTED = f"""(SELECT *, title <> '' AND content IS NOT NULL AS success, ((CASE WHEN title <> '' THEN 0.85 ELSE 0 END) + coalesce(sure, 0)) / ((title <> '')::INT + (sure IS NOT NULL)::INT) AS confidence FROM (
+  SELECT page_id, title, CASE WHEN length(art) >= 100 THEN art WHEN length(body) >= 100 THEN body END AS content, CASE WHEN length(art) >= 100 THEN 'article' WHEN length(body) >= 100 THEN 'body' END AS sel, CASE WHEN length(art) >= 100 THEN 0.9 WHEN length(body) >= 100 THEN 0.75 END AS sure FROM (
+    SELECT page_id, {_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS title, {_text("regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)")} AS art, {_text("regexp_extract(html, '(?is)<body[^>]*>(.*)', 1)")} AS body FROM pages)))"""
 _PII_MATCHES = f"""WITH {_matches('documents', 'doc_id')} SELECT id AS doc_id, pii_type, value, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", confidence, category FROM f"""
 _LAG = "SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), '<([a-z][a-z0-9]*)', 1) AS t, domain, lag(page_id) OVER (PARTITION BY domain ORDER BY page_id) AS prev FROM (SELECT page_id, html, %s FROM pages)" % PARTS
 QUERIES = {f.__name__: f for f in (
@@ -219,6 +230,10 @@ ORACLE_SQL = {
       SELECT p.page_id, coalesce(s.similarity, 1.0) AS similarity FROM p LEFT JOIN (SELECT page_id, round(sum(least(x, y)) / sum(greatest(x, y)), 9) AS similarity FROM j GROUP BY 1) s USING (page_id) WHERE p.prev IS NOT NULL""",
     "links": "SELECT page_id, count(DISTINCT h) AS n_links, count(DISTINCT h) FILTER (regexp_matches(h, '^https?://')) AS n_external FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1)) AS h FROM pages) GROUP BY 1",
     "pii_counts": f"SELECT doc_id, {', '.join(_count(k) for k in SIMPLE)} FROM documents",
+    "extract_content": f"SELECT page_id, success, title, length(content) AS n_content, md5(content) AS content_md5, CAST(NULL AS VARCHAR) AS date, round(CAST(confidence AS DOUBLE), 6) AS confidence FROM {_EXTRACTED}",
+    "strategy_infer": f"SELECT field, selector, count(*) AS n, round(avg(c), 6) AS confidence FROM (SELECT 'title' AS field, 'article h1' AS selector, 0.85::DOUBLE AS c FROM {_EXTRACTED} WHERE title <> '' UNION ALL SELECT 'content', sel, CAST(sure AS DOUBLE) FROM {_EXTRACTED} WHERE sel IS NOT NULL) GROUP BY ALL",
+    "extraction_validity": f"SELECT success, success AND length(title) >= 5 AND length(content) >= 100 AND confidence >= 0.5 AS valid, count(*) AS n, round(avg(CAST(confidence AS DOUBLE)), 6) AS confidence FROM {_EXTRACTED} GROUP BY ALL",
+    "page_lateral": f"SELECT page_id, success, md5(title) AS title_md5, md5(content) AS content_md5 FROM {_EXTRACTED}",
     "pii_matches": _PII_MATCHES,
     "pii_lateral": _PII_MATCHES,
     "links_lateral": "SELECT page_id, 'anchor' AS link_type, count(DISTINCT h) AS n, count(DISTINCT h) FILTER (regexp_matches(h, '^https?://')) AS n_external FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"#]+)\"', 1)) AS h FROM pages) GROUP BY 1",
