@@ -38,9 +38,21 @@ def robots_allowed_other(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("key").alias("page_id"), "allowed")
 
 
+def _site_robots(spark: SparkSession, sf: str) -> DataFrame:
+    """A robots file for each site of `pages`: its addresses' first parts disallowed, a delay of as many seconds as it has pages,
+    and a sitemap for each of its languages."""
+    p = table(spark, sf, "pages").select("page_id", U.domain("url").alias("domain"), F.concat(F.lit("/"), F.split_part(U.path("url"), F.lit("/"), F.lit(2))).alias("part"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
+    lines = lambda c, form: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: F.format_string(form, x)), "\n")
+    site = p.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), lines("part", "Disallow: %s").alias("rules"), lines("lang", "Sitemap: https://maps.example.com/%s.xml").alias("maps"))
+    content = F.concat_ws("\n", F.lit("User-agent: *"), F.format_string("Crawl-delay: %d", "n"), "rules", F.lit("User-agent: other"), F.lit("Disallow: /"), "maps")
+    return C.robots(site.select("domain", content.alias("content"), F.lit(200).alias("status")))
+
+
 def robots_delays(spark: SparkSession, sf: str) -> DataFrame:
-    rules = C.agent_rules(_robots(spark), "someone").groupBy("domain").agg(F.max("crawl_delay").alias("crawl_delay"), F.count("pattern").alias("n_rules"))
-    return rules.join(_robots(spark).select("domain", F.size("sitemaps").alias("n_sitemaps")), "domain")
+    """Delay, rules and sitemaps of each site's robots file."""
+    parsed = _site_robots(spark, sf)
+    rules = C.agent_rules(parsed, "someone").groupBy("domain").agg(F.max("crawl_delay").alias("crawl_delay"), F.count("pattern").alias("n_rules"))
+    return rules.join(parsed.select("domain", F.size("sitemaps").alias("n_sitemaps")), "domain")
 
 
 RULES_OWN = "(VALUES ('com', 8, '/en/', false, '^/en/'), ('com', 9, '/en/2', true, '^/en/2'), ('net', 2, '/es', false, '^/es'), ('net', 3, '/es/4', true, '^/es/4'), ('org', 0, '/', false, '^/')) r(domain, line_no, pattern, allow, regex)"
@@ -117,7 +129,8 @@ ROUTE = f"""SELECT page_id, CASE WHEN regexp_matches(url, '[.]org') THEN 'http'
 QUERIES = {f.__name__: f for f in (robots_allowed, robots_allowed_other, robots_delays, authorization, fetch_gate, terms_analysis, js_required, fetch_route)}
 ORACLE_SQL = {
     "robots_allowed": _allowed(RULES_OWN), "robots_allowed_other": _allowed(RULES_STAR),
-    "robots_delays": "SELECT * FROM (VALUES ('com', 2.0::DOUBLE, 3, 1), ('net', NULL, 2, 0), ('org', NULL, 1, 0)) t(domain, crawl_delay, n_rules, n_sitemaps)",
+    "robots_delays": f"""SELECT domain, CAST(count(*) AS DOUBLE) AS crawl_delay, count(DISTINCT string_split(path, '/')[2]) AS n_rules, count(DISTINCT regexp_extract(html, '<html lang="([a-z]+)"', 1)) AS n_sitemaps
+      FROM (SELECT html, {PARTS} FROM pages) GROUP BY 1""",
     "authorization": f"SELECT page_id, basis, basis IN ('explicit_permission', 'public_access') AS authorized FROM ({AUTH})",
     "fetch_gate": f"SELECT CASE WHEN basis NOT IN ('explicit_permission', 'public_access') THEN 'blocked_legal' WHEN NOT allowed THEN 'blocked_robots' ELSE 'success' END AS status, count(*) AS n FROM ({AUTH}) GROUP BY 1",
     "terms_analysis": TERMS, "js_required": JS, "fetch_route": ROUTE,

@@ -130,9 +130,16 @@ def strategy_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def strategy_override(spark: SparkSession, sf: str) -> DataFrame:
-    """Strategies with titles set by hand for every site that has them, one row per rule."""
-    edits = spark.createDataFrame([("en", "title", "h1.big"), ("fr", "title", "h2"), ("fr", "author", ".by"), ("xx", "title", "h1")], "key string, field string, selector string")
-    o = strategies.overridden(_strategies(spark), edits).select("key", "version", "source", F.explode("rules").alias("field", "rule"))
+    """Each site's strategy (a version for each of its pages, the last one counts: titles, and content where it has an article
+    page) after edits by hand: titles of the sites of an even number of pages, authors of those with at least five."""
+    p = table(spark, sf, "pages").select("page_id", U.domain("url").alias("key"), F.contains("html", F.lit("<article")).alias("article"))
+    rule = lambda sel, c: F.struct(F.lit(sel).alias("primary"), F.array().cast("array<string>").alias("fallbacks"), F.lit("text").alias("method"), F.lit(None).cast("string").alias("attribute"), F.lit(c).alias("confidence"))
+    some = F.when(F.col("article"), F.create_map(F.lit("title"), rule("h1", 0.8), F.lit("content"), rule("article", 0.9))).otherwise(F.create_map(F.lit("title"), rule("h1", 0.8)))
+    known = p.select("key", F.row_number().over(Window.partitionBy("key").orderBy("page_id")).alias("version"), F.lit("learned").alias("source"), some.alias("rules"))
+    size = p.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    edit = lambda field, sel: F.struct(F.lit(field).alias("field"), F.lit(sel).alias("selector"))
+    wanted = F.array_compact(F.array(F.when(F.col("n") % 2 == 0, edit("title", "h1.big")), F.when(F.col("n") >= 5, edit("author", ".by"))))
+    o = strategies.overridden(known, size.select("key", F.inline(wanted))).select("key", "version", "source", F.explode("rules").alias("field", "rule"))
     return o.select("key", "version", "source", "field", "rule.primary", F.array_join("rule.fallbacks", ",").alias("fallbacks"), F.round("rule.confidence", 9).alias("confidence"))
 
 
@@ -241,8 +248,9 @@ ORACLE_SQL = {
     "strategy_adapt": f"""SELECT page_id, 3 AS version, 'title' AS field, 'article h1' AS primary, 0.68::DOUBLE AS confidence FROM {_LANG} WHERE key = 'en' AND {_H1} <> '' UNION ALL SELECT page_id, 3, 'content', 'article', 0.855 FROM {_LANG} WHERE key = 'en'
       UNION ALL SELECT page_id, 5, 'title', 'article h1', 0.76 FROM {_LANG} WHERE key = 'de' AND {_H1} <> '' UNION ALL SELECT page_id, 5, 'lang', 'html', 0.855 FROM {_LANG} WHERE key = 'de' UNION ALL SELECT page_id, 2, 'title', 'h1', 0.95 FROM {_LANG} WHERE key = 'fr' AND {_H1} <> ''""",
     "strategy_validate": f"SELECT page_id, key = 'en' AS valid, CASE key WHEN 'de' THEN 'images' WHEN 'fr' THEN 'date' ELSE '' END AS failed FROM {_LANG} WHERE key IN ('en', 'de', 'fr')",
-    "strategy_override": """SELECT * FROM (VALUES ('en', 3, 'manual', 'title', 'h1.big', '.headline', 1.0::DOUBLE), ('en', 3, 'manual', 'links', 'aside a', 'nav a', 0.9), ('en', 3, 'manual', 'content', 'article', '', 0.9), ('fr', 2, 'manual', 'title', 'h2', 'h1', 1.0),
-      ('fr', 2, 'manual', 'author', '.by', '', 1.0), ('fr', 2, 'manual', 'date', 'time', '', 0.9)) t(key, version, source, field, "primary", fallbacks, confidence)""",
+    "strategy_override": f"""WITH s AS (SELECT domain AS key, count(*) AS n, arg_max(contains(html, '<article'), page_id) AS article FROM (SELECT page_id, html, {PARTS} FROM pages) GROUP BY 1 HAVING count(*) % 2 = 0 OR count(*) >= 5)
+      SELECT key, CAST(n + 1 AS INT) AS version, 'manual' AS source, field, "primary", fallbacks, confidence FROM (SELECT key, n, 'title' AS field, CASE n % 2 WHEN 0 THEN 'h1.big' ELSE 'h1' END AS "primary", CASE n % 2 WHEN 0 THEN 'h1' ELSE '' END AS fallbacks, CASE n % 2 WHEN 0 THEN 1.0::DOUBLE ELSE 0.8 END AS confidence FROM s
+        UNION ALL SELECT key, n, 'author', '.by', '', 1.0 FROM s WHERE n >= 5 UNION ALL SELECT key, n, 'content', 'article', '', 0.9 FROM s WHERE article)""",
     "structure_strategies": f"SELECT page_id, key, CASE key WHEN 'en' THEN 2 WHEN 'de' THEN 4 WHEN 'fr' THEN 1 END AS version, CASE key WHEN 'en' THEN 3 WHEN 'de' THEN 3 WHEN 'fr' THEN 2 END AS n_rules FROM {_LANG}",
     "baselines": """SELECT domain, page_type, coalesce(max(vec_id) FILTER (vec_id % 2 = 1), max(vec_id)) AS vec_id FROM (SELECT CAST(label AS VARCHAR) AS domain, CASE WHEN vec_id % 3 = 0 THEN 'article' ELSE 'listing' END AS page_type, vec_id FROM embeddings) WHERE domain <> '3' GROUP BY ALL""",
     "baseline_drift": """WITH e AS (SELECT vec_id, CAST(label AS VARCHAR) AS domain, CASE WHEN vec_id % 3 = 0 THEN 'article' ELSE 'listing' END AS page_type, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), b AS (SELECT domain, page_type, arg_max(v, vec_id) AS q FROM e WHERE domain <> '7' GROUP BY ALL)
