@@ -1,8 +1,9 @@
 """Embedding near-duplicates by NN-descent.
 
 Equal vectors are one vertex. A first neighbour graph comes from buckets of equal sign patterns under random
-directions, in so many tables that a pair at the threshold shares a bucket with a fixed probability at every size; then
-rounds join each vertex's neighbours and reverse neighbours with one another, and pairs nearer than what a list holds
+directions, in so many tables that a pair at the threshold shares a bucket with a fixed probability at every size. Where a
+bucket is crowded (vectors in a narrow cone), those of its vertices that haven't enough links yet go to longer patterns in
+more tables, level by level. Then rounds join each vertex's neighbours and reverse neighbours with one another, and pairs nearer than what a list holds
 replace its last entries, until few entries change. Near pairs are checked in double precision.
 
 A list whose every entry is over the threshold is saturated: it may be too short. The components of saturated vertices
@@ -10,11 +11,13 @@ are enlarged to whole clusters: each is dealt to blocks, and its blocks, also th
 bucket, are compared with one another. Centres and radii settle most block pairs (angles obey the triangle inequality),
 first for groups of blocks, then for blocks; the rest is counted by matrix products. Counts, not pairs, are returned,
 and a link between two components merges them. An audit compares a bounded set of vertices with all others, vertex by
-vertex; while it finds too little, the work is repeated with more tables and longer lists, and at last refused.
+vertex; most of them are known to have links by tables of their own, so that it measures something where links are rare.
+While it finds too little, the work is repeated with more tables and longer lists, and at last refused.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,28 +27,43 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quern.llm.common import components, cut, few, lookup, read
 from quern.llm.vectors import distinct, lists, matrix, valid
 
+log = logging.getLogger("quern")
 #: Vertices in a bucket block of the first graph, in a block of a cluster, and blocks in a group.
 BLOCK, CLUSTER, GROUP = 256, 1024, 64
+#: Signs of the longest patterns, and by how many those of a level are longer than those of the one before.
+LONGEST, LONGER = 24, 5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(points: DataFrame, dims: int, bits: int, tables: int) -> DataFrame:
-    """(u, code) for each table: the signs of `bits` random projections."""
-    planes = np.random.default_rng(17).normal(size=(tables, dims, bits))
+def _tables(bits: int, least: float, collide: float) -> int:
+    """In how many tables a pair of cosine `least` shares a bucket of so many signs with probability `collide`."""
+    return int(np.ceil(np.log(1 - collide) / np.log(1 - (1 - np.arccos(least) / np.pi) ** bits)))
+
+
+def _codes(points: DataFrame, dims: int, bits: int, tables: int, level: int = 0) -> DataFrame:
+    """(u, code) for each table: the signs of `bits` random projections; each level has directions of its own."""
+    planes = np.random.default_rng(17 + level).normal(size=(tables, dims, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1))
             if len(x):
-                code = np.stack([((x @ p > 0) @ (1 << np.arange(bits, dtype=np.int64))) | t << 40 for t, p in enumerate(planes)], axis=1)
+                code = np.stack([((x @ p > 0) @ (1 << np.arange(bits, dtype=np.int64))) | (t | level << 16) << 40 for t, p in enumerate(planes)], axis=1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code.tolist(), pa.list_(pa.int64()))], ["u", "codes"])
 
     return points.select("u", "w").mapInArrow(run, "u long, codes array<long>").select("u", F.explode("codes").alias("code"))
 
 
+def _dealt(codes: DataFrame) -> DataFrame:
+    """(g, u, n): the vertices of each bucket of several, n, in groups of about BLOCK."""
+    size = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    block = lookup(codes, size.withColumn("many", F.col("n")), "code", n="many").where("n is not null")
+    return block.select(F.xxhash64("code", F.pmod(F.xxhash64("u", "code"), F.ceil(F.col("n") / BLOCK))).alias("g"), "u", "n")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.Table]:
     """Tables of whole runs of equal first-column values, of about `most` rows; groups are small by construction."""
     held: list[pa.RecordBatch] = []
@@ -106,14 +124,35 @@ def _lists(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.groupBy("u").agg(top.alias("near"))
 
 
-def neighbour_lists(points: DataFrame, codes: DataFrame, *, k: int, rounds: int, settled: float = 0.01) -> DataFrame:
-    """NN-descent over (u, w), w unit vectors: (u, near). Of a vertex that more than 4 k lists hold, 4 k by hash count."""
+def first_lists(points: DataFrame, dims: int, *, bits: int, least: float, collide: float, k: int, more: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The first graph over (u, w) as (u, near), and the codes (u, code) of its buckets, in 2^`more` times the tables.
+
+    A vertex of a crowded bucket (over BLOCK vertices, which are dealt to blocks) whose list holds less than k links goes to
+    the next level, of patterns LONGER signs longer, up to LONGEST. Vertices with k links have whole clusters compared later."""
+    near = codes = None
+    some, level = points, 0
+    while True:
+        new = cut(_codes(some, dims, bits, _tables(bits, least, collide) << more, level))
+        block = cut(_dealt(new))
+        first = block.select("g", "u").join(points, "u").select("g", "u", "w", F.lit(-1.0).alias("least")).repartition("g")
+        found = _best(first, k)
+        if near is not None:
+            found = found.union(near.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"), F.col("e.s").alias("s")))
+        near = cut(_lists(found, k))
+        codes = new if codes is None else codes.union(new)
+        if bits >= LONGEST:
+            return near, codes
+        full = near.where((F.size("near") >= k) & (F.element_at("near", -1)["s"] >= least)).select("u")
+        crowd = cut(block.where(F.col("n") > BLOCK).select("u").distinct().join(full, "u", "left_anti"))
+        if crowd.isEmpty():
+            return near, codes
+        some, bits, level = cut(points.join(crowd, "u", "left_semi")), min(bits + LONGER, LONGEST), level + 1
+
+
+def neighbour_lists(points: DataFrame, near: DataFrame, *, k: int, rounds: int, settled: float = 0.01) -> DataFrame:
+    """NN-descent over (u, w), w unit vectors, from a first graph: (u, near). Of a vertex that more than 4 k lists hold, 4 k by
+    hash count."""
     total = points.count()
-    size = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block = lookup(codes, size.withColumn("many", F.col("n")), "code", n="many").where("n is not null")
-    block = block.select(F.xxhash64("code", F.pmod(F.xxhash64("u", "code"), F.ceil(F.col("n") / BLOCK))).alias("g"), "u")
-    first = block.join(points, "u").select("g", "u", "w", F.lit(-1.0).alias("least")).repartition("g")
-    near = cut(_lists(_best(first, k), k))
     for r in range(rounds):
         edges = near.select("u", F.explode("near").alias("e")).select("u", F.col("e.v").alias("v"))
         order = Window.partitionBy("v").orderBy(F.xxhash64("u", "v", F.lit(r)))
@@ -236,11 +275,34 @@ def _renamed(dealt: DataFrame) -> DataFrame:
     return dealt.select("c", "block", F.col("u").alias("ub"), F.col("n").alias("nb"), F.col("v").alias("vb"))
 
 
-def audit(rows: DataFrame, links: DataFrame, least: float, some: int, short: int) -> float:
-    """The recall of `links` (u, far) over the `some` vertices of least hash, each compared with all rows: the mean over
-    vertices that have links of the share found, or that mean over those of at most `short` links, if it is less."""
-    asked = rows.select("u", "v").orderBy(F.xxhash64("u", F.lit(1)), "u").limit(some).collect()
-    names, q = np.array([r["u"] for r in asked], dtype=np.int64), _unit(np.array([r["v"] for r in asked]))
+def witnesses(points: DataFrame, dims: int, least: float, bits: int, tables: int) -> DataFrame:
+    """(u, n): vertices that have links, by buckets of directions that the graph doesn't use, and the most in one bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            g, u, x = t["g"].to_numpy(), t["u"].to_numpy(), matrix(t["w"])
+            edge = np.append(np.flatnonzero(np.append(True, g[1:] != g[:-1])), len(g))
+            hits = np.concatenate([(x[a:b] @ x[a:b].T >= least + 1e-6).sum(axis=1) - 1 for a, b in zip(edge[:-1], edge[1:], strict=True)] or [np.zeros(0, int)])
+            yield pa.RecordBatch.from_arrays([pa.array(u[hits > 0]), pa.array(hits[hits > 0].astype(np.int64))], ["u", "n"])
+
+    block = _dealt(cut(_codes(points, dims, bits, tables, 7))).select("g", "u")
+    rows = block.join(points, "u").select("g", "u", "w").repartition("g").sortWithinPartitions("g")
+    return rows.mapInArrow(run, "u long, n long").groupBy("u").agg(F.max("n").alias("n"))
+
+
+def asked(rows: DataFrame, seen: DataFrame, some: int, short: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names and unit vectors of at most `some` vertices for the audit, by least hash: half of them among `seen` (u, n) with less
+    than `short` links, a quarter among the others seen, the rest among all."""
+    least = lambda df, n: df.select("u").orderBy(F.xxhash64("u", F.lit(1)), "u").limit(n)
+    names = least(seen.where(F.col("n") < short), some // 2).union(least(seen.where(F.col("n") >= short), some // 4)).union(least(rows, some - some // 2 - some // 4)).distinct()
+    got = rows.join(few(names), "u").select("u", "v").collect()
+    return np.array([r["u"] for r in got], dtype=np.int64), _unit(np.array([r["v"] for r in got]))
+
+
+def audit(rows: DataFrame, links: DataFrame, least: float, names: np.ndarray, q: np.ndarray, short: int) -> tuple[float, int]:
+    """The recall of `links` (u, far) over the vertices `names` of vectors `q`, each compared with all rows, and how many of them
+    have links: the mean over these of the share found, or that mean over those of at most `short` links, if it is less. Without
+    any, nothing is measured, and the recall is given as 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = np.zeros(len(names), dtype=np.int64)
@@ -252,8 +314,8 @@ def audit(rows: DataFrame, links: DataFrame, least: float, some: int, short: int
     truth = rows.select("v", "n").mapInArrow(run, "u long, truth long").groupBy("u").agg(F.sum("truth").alias("truth"))
     both = truth.join(rows.select("u", "n"), "u").join(links.select("u", "far"), "u", "left").select((F.col("truth") - F.col("n")).alias("truth"), F.coalesce("far", F.lit(0)).alias("far"))
     share = F.when(F.col("truth") > 0, F.least(F.col("far") / F.col("truth"), F.lit(1.0)))
-    got = both.select(F.avg(share).alias("every"), F.avg(F.when(F.col("truth") <= short, share)).alias("low")).first()
-    return min(x for x in (got["every"], got["low"], 1.0) if x is not None)
+    got = both.select(F.avg(share).alias("every"), F.avg(F.when(F.col("truth") <= short, share)).alias("low"), F.count(share).alias("n")).first()
+    return min(x for x in (got["every"], got["low"], 1.0) if x is not None), got["n"]
 
 
 def near_vectors(
@@ -264,7 +326,8 @@ def near_vectors(
 
     `collide` is the probability that a pair at the threshold shares a bucket of the first graph. The audit compares
     `audited` vertices with all; where less than `recall` of their links was found, the next attempt has twice the tables
-    and lists. After `attempts` the result is refused with an error. A pair is linked if its cosine in double precision
+    and lists. After `attempts` the result is refused with an error. The log says what was measured, over how many linked
+    vertices, or that no link was seen by which to measure. A pair is linked if its cosine in double precision
     is `least` or more, `least` itself included.
 
     Null or zero vectors, null or non-finite components and vectors of another length than most link with nothing and
@@ -288,12 +351,14 @@ def near_vectors(
         scaled = rows.select("u", F.transform("v", lambda x: x / big).alias("v"))
         points = cut(scaled.select("u", F.transform("v", lambda x: (x / norm).cast("float")).alias("w")))
         bits = int(np.clip(np.ceil(np.log2(max(2, total) / 24)), 2, 30))
-        tables = int(np.ceil(np.log(1 - collide) / np.log(1 - (1 - np.arccos(least) / np.pi) ** bits)))
+        seen = cut(witnesses(points, top["d"], least, bits, _tables(bits, least, collide)))
+        names, q = asked(rows, seen, audited, k)
         for attempt in range(attempts):
-            codes = cut(_codes(points, top["d"], bits, tables << attempt))
-            near = neighbour_lists(points, codes, k=k << attempt, rounds=rounds + attempt)
+            near, codes = first_lists(points, top["d"], bits=bits, least=least, collide=collide, k=k << attempt, more=attempt)
+            near = neighbour_lists(points, near, k=k << attempt, rounds=rounds + attempt)
             links, label = _linked(rows, codes, near, least, k << attempt)
-            found = audit(rows, links, least, audited, k << attempt)
+            found, n = audit(rows, links, least, names, q, k << attempt)
+            log.info("recall %s over %d linked vertices of %d", f"{found:.4f}" if n else "unmeasured", n, len(names))
             if found >= recall:
                 break
         else:
@@ -315,11 +380,11 @@ def near_vectors(
 
 
 def _between(codes: DataFrame, within: DataFrame) -> DataFrame:
-    """Pairs (c, c2) of different clusters of `within` (c, u) that share a bucket; buckets of many clusters are dealt to
-    groups of about 32."""
+    """Pairs (c, c2) of different clusters of `within` (c, u) that share a bucket; buckets of over BLOCK clusters are dealt to
+    groups of about that many."""
     spot = cut(codes.join(within, "u").select("code", "c").distinct())
     many = spot.groupBy("code").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumn("n", F.col("m"))
-    spot = lookup(spot, many, "code").where("m is not null").withColumn("g", F.pmod(F.xxhash64("c", "code"), F.ceil(F.col("m") / 32)))
+    spot = lookup(spot, many, "code").where("m is not null").withColumn("g", F.pmod(F.xxhash64("c", "code"), F.ceil(F.col("m") / BLOCK)))
     sets = spot.groupBy("code", "g").agg(F.collect_set("c").alias("cs"))
     pairs = F.flatten(F.transform("cs", lambda x: F.transform(F.filter("cs", lambda y: y > x), lambda y: F.struct(x.alias("c"), y.alias("c2")))))
     return sets.select(F.explode(pairs).alias("p")).select("p.c", "p.c2").distinct()

@@ -536,6 +536,44 @@ def test_nn_descent_cases(spark, monkeypatch):
         nndescent.near_vectors(vectors(spark, [(i, [1.0, 0.001 * i]) for i in range(9)]), rounds=1, attempts=1)
 
 
+def rare_pairs(r, x, n, c):
+    """Rows of x, and others at the cosine c from the first n of them."""
+    a = x[:n] / np.linalg.norm(x[:n], axis=1, keepdims=True)
+    z = r.normal(size=a.shape)
+    z -= (z * a).sum(axis=1, keepdims=True) * a
+    return np.concatenate([x, c * a + np.sqrt(1 - c * c) * z / np.linalg.norm(z, axis=1, keepdims=True)])
+
+
+@pytest.mark.parametrize("case", ["rare", "cone", "bunches"])
+def test_nn_descent_audit(spark, monkeypatch, caplog, case):
+    """Few links among many vectors, few in a narrow cone with crowded buckets, and 50 clusters in one cone: what the audit says
+    holds to 0.01, and it has linked vertices to go by."""
+    monkeypatch.setattr(nndescent, "BLOCK", 64)
+    r = np.random.default_rng(1)
+    one = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(r.normal(size=(n, 48)))
+    if case == "rare":
+        x = rare_pairs(r, one(1500), 60, 0.953)
+    elif case == "cone":
+        x = rare_pairs(r, one(1) + 0.6 * one(1200), 60, 0.953)
+    else:
+        x = np.concatenate([c + 0.1 * one(12) for c in one(1) + 0.6 * one(50)])
+    x = x.astype(np.float32).astype(float)
+    links, _ = linked(x)
+    assert (links > 0).sum() >= 120
+    with caplog.at_level("INFO", logger="quern"):
+        got = {r["vec_id"]: r["n_links"] for r in nndescent.near_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    said, over = re.search(r"recall ([0-9.]+) over (\d+) linked", caplog.messages[-1]).groups()
+    share = np.mean([got[i] / links[i] for i in range(len(x)) if links[i]])
+    assert all(got[i] <= links[i] for i in range(len(x))) and abs(share - float(said)) <= 0.01 and float(said) >= 0.98 and int(over) >= 50
+
+
+def test_nn_descent_unmeasured(spark, caplog):
+    """Without any link the audit says that it measured nothing."""
+    with caplog.at_level("INFO", logger="quern"):
+        got = nndescent.near_vectors(vectors(spark, [(i, v.tolist()) for i, v in enumerate(np.eye(40))])).collect()
+    assert all(r["n_links"] == 0 and r["kept"] for r in got) and "unmeasured over 0" in caplog.messages[-1]
+
+
 @pytest.mark.parametrize("size", [8, 64])
 def test_cluster_blocks(spark, monkeypatch, size):
     """Enlarged lists with blocks and groups so small that every kind of pair occurs, and two clusters that links join."""
