@@ -202,3 +202,20 @@ def test_crawl(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "url string, target string")
     got = frontier.crawl(spark.createDataFrame([("a",)], "url string"), links, 2, lambda d: d.cache())
     assert {(r["url"], r["depth"]) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_table_functions(spark):
+    """Null texts and pages give no matches and no links, and a page row that isn't a success; kinds are chosen by name; a second
+    registration changes nothing."""
+    from quern.functions import tables
+
+    tables.register(spark)
+    tables.register(spark)
+    docs = spark.createDataFrame([(1, "write to a@b.org or 10.1.2.3"), (2, None), (3, "")], "id int, text string")
+    rows = spark.sql("SELECT d.id, m.pii_type, m.start FROM {d} d, LATERAL quern_pii(d.text) m WHERE m.pii_type IN ('email', 'ip_address')", d=docs).collect()
+    assert sorted(map(tuple, rows)) == [(1, "email", 9), (1, "ip_address", 20)]
+    assert [tuple(r) for r in spark.sql("SELECT d.id, m.value FROM {d} d, LATERAL quern_pii(d.text, 'ip_address') m", d=docs).collect()] == [(1, "10.1.2.3")]
+    pages = spark.createDataFrame([(1, "http://a.org/", "<a href='/x'>x</a><img src='http://b.org/i.png'>"), (2, None, None)], "id int, url string, html string")
+    found = spark.sql("SELECT p.id, l.target, l.link_type, l.is_external FROM {p} p, LATERAL quern_links(p.url, p.html) l", p=pages).collect()
+    assert sorted(map(tuple, found)) == [(1, "http://a.org/x", "anchor", False), (1, "http://b.org/i.png", "image", True)]
+    assert [r["success"] for r in spark.sql("SELECT x.success FROM {p} p, LATERAL quern_page(p.url, p.html) x", p=pages).collect()] == [False, False]
