@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quern.operators.limits import fold
 from quern.operators.structure import change_similarity, variant_similarity
@@ -20,17 +20,24 @@ COLUMNS = (
 )
 
 
-def life_cycle(rows: DataFrame, *, least: float = 0.85, breaking: float = 0.70, seconds: int | None = None) -> DataFrame:
+def life_cycle(rows: DataFrame, *, known: DataFrame | None = None, least: float = 0.85, breaking: float = 0.70, seconds: int | None = None) -> DataFrame:
     """(key, page_id, variant_id, action, similarity, version) for each of `rows` (key, seq, at, page_id, fingerprint and the
     structure's columns), seq the order and at the time in seconds.
 
     A page whose most similar variant reaches `least` matches it. The stored structure is compared: under `breaking` the
     strategy is adapted and the page becomes the variant's next version; else nothing is saved. A variant saved more than
-    `seconds` before is an orphan and is learned anew. A page that matches none is learned as a new variant.
+    `seconds` before is an orphan and is learned anew. A page that matches none is learned as a new variant. `known` are the variants
+    of earlier calls in their newest versions, as `stored` gives them; with them the result is that of one call over
+    all rows, where later calls have the later seqs.
     """
 
     def step(state: tuple[Variants, Counter], r: dict) -> tuple[tuple, tuple]:
         variants, names = state
+        if r["saved"] is not None:
+            base, _, n = r["saved"].partition("~")
+            names[base] = max(names[base], int(n or 0) + 1)
+            variants.add({c: r[c] for c in COLUMNS} | {"id": r["saved"], "version": int(r["saved_version"]), "at": r["at"]})
+            return state, (r["key"], r["page_id"], r["saved"], "known", None, int(r["saved_version"]))
         now = {c: r[c] for c in COLUMNS} | {"id": r["fingerprint"], "version": 1, "at": r["at"]}
         _, i = variants.best(now)
         if i is None:
@@ -48,7 +55,37 @@ def life_cycle(rows: DataFrame, *, least: float = 0.85, breaking: float = 0.70,
         return state, (r["key"], r["page_id"], v["id"], action, round(same, 9), v["version"])
 
     cols = ["key", "seq", "at", "page_id", "fingerprint", *COLUMNS]
-    return fold(rows.select(*cols), "key", ["seq"], lambda: (Variants(least, variant_similarity), Counter()), step, "key string, page_id long, variant_id string, action string, similarity double, version int")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.select(*cols, none("string").alias("saved"), none("int").alias("saved_version"), none("bigint").alias("place"))
+    if known is not None:
+        seq = none(rows.schema["seq"].dataType)
+        both = both.unionByName(known.select("key", seq.alias("seq"), "at", "page_id", none("string").alias("fingerprint"), *COLUMNS, F.col("variant_id").alias("saved"), F.col("version").alias("saved_version"), "place"))
+    schema = "key string, page_id long, variant_id string, action string, similarity double, version int"
+    return fold(both, "key", ["seq", "place", "saved"], lambda: (Variants(least, variant_similarity), Counter()), step, schema).where("action <> 'known'")
+
+
+VERSION = ("key", "variant_id", "version", "place", "at", "page_id", *COLUMNS)
+
+
+def versions(life: DataFrame, rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """What a store keeps of `life`, the life cycle of `rows`: a row (VERSION) for each version that was learned or adapted, with the
+    page's structure. `place` orders a key's variants by their start: the seq (a number) of a variant's first page, after the places of the known ones."""
+    changed = life.where("action <> 'matched'").select("key", "page_id", "variant_id", "version")
+    new = changed.join(rows.select("key", "page_id", "at", F.col("seq").cast("bigint").alias("place"), *COLUMNS), ["key", "page_id"])
+    first = new.groupBy("key", "variant_id").agg(F.min("place").alias("place"))
+    if known is not None:
+        of_key = known.groupBy("key").agg(F.max("place").alias("last"))
+        old = known.select("key", "variant_id", F.col("place").alias("was"))
+        first = first.join(old, ["key", "variant_id"], "left").join(of_key, "key", "left")
+        low = F.min("place").over(Window.partitionBy("key"))
+        first = first.select("key", "variant_id", F.coalesce("was", F.col("place") - low + F.col("last") + 1, "place").alias("place"))
+    return new.drop("place").join(first, ["key", "variant_id"]).select(*VERSION)
+
+
+def stored(versions: DataFrame) -> DataFrame:
+    """The newest version of each variant."""
+    rest = [c for c in VERSION if c not in ("key", "variant_id")]
+    return versions.groupBy("key", "variant_id").agg(F.max_by(F.struct(*rest), "version").alias("_r")).select("key", "variant_id", "_r.*")
 
 
 def visits(rows: DataFrame, *, breaking: float = 0.70) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions import dom
 from quern.operators import extract as X
+from quern.operators.limits import fold
 
 RULE = "struct<primary:string,fallbacks:array<string>,method:string,attribute:string,confidence:double>"
 STRATEGY = f"key string, version int, source string, rules map<string,{RULE}>"
@@ -65,6 +66,20 @@ def apply(pages: DataFrame, strategies: DataFrame, now: datetime | None = None)
     return _joined(pages, strategies).select("page_id", "html", "rules").mapInPandas(run, f"page_id long, found {FOUND}")
 
 
+def _adapt(root: dom.Node, rules: dict[str, dict]) -> dict[str, dict]:
+    new = {}
+    for field, rule in rules.items():
+        if dom.select(root, rule["primary"] or ""):
+            new[field] = {**rule, "confidence": rule["confidence"] * 0.95}
+        elif best := X.best_selector(root, field):
+            new[field] = _rule(best[0], best[1] * 0.8)
+    return new
+
+
+def _rule(primary: str, confidence: float) -> dict:
+    return {"primary": primary, "fallbacks": [], "method": "text", "attribute": None, "confidence": confidence}
+
+
 def adapted(pages: DataFrame, strategies: DataFrame) -> DataFrame:
     """Each page's strategy as adapted to it: a rule whose primary selector still matches stays at 0.95 of its confidence,
     another gives way to the best pattern of its field at 0.8, or is dropped; one version on, source 'adaptation'. A row per
@@ -74,18 +89,43 @@ def adapted(pages: DataFrame, strategies: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for i, key, html, version, rules in b.itertuples(index=False, name=None):
-                root, new = dom.parse(html), {}
-                for field, rule in _rules(rules).items():
-                    if dom.select(root, rule["primary"] or ""):
-                        new[field] = {**rule, "confidence": rule["confidence"] * 0.95}
-                    elif best := X.best_selector(root, field):
-                        new[field] = {"primary": best[0], "fallbacks": [], "method": "text", "attribute": None, "confidence": best[1] * 0.8}
-                out.append((i, key, version + 1, "adaptation", new))
+                out.append((i, key, version + 1, "adaptation", _adapt(dom.parse(html), _rules(rules))))
             yield pd.DataFrame(out, columns=["page_id", "key", "version", "source", "rules"])
 
     return _joined(pages, strategies).mapInPandas(run, f"page_id long, {STRATEGY}")
 
 
+def of_variant() -> Column:
+    """The key of a variant's strategy, of a row's key and variant_id."""
+    return F.concat_ws("#", "key", "variant_id")
+
+
+def lived(life: DataFrame, pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The strategies that a life cycle (`life`: key, page_id, variant_id, action, version) leads to, by variant (`of_variant`) and
+    version: inferred from the page where a variant is learned or learned anew, else the variant's last one adapted to the page.
+
+    `known` are strategies of earlier calls; a variant without one has it inferred. Only pages that change a variant are read and
+    parsed, in the order of versions; a variant's are one task's, and its rules are all that is held.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = life.where("action <> 'matched'").join(pages.select("page_id", "html"), "page_id")
+    rows = rows.select(of_variant().alias("key"), "version", "action", "html", none(f"map<string,{RULE}>").alias("rules"))
+    if known is not None:
+        newest = known.groupBy("key").agg(F.max_by("rules", "version").alias("rules"))
+        rows = rows.unionByName(newest.join(rows.select("key").distinct(), "key", "left_semi").select("key", F.lit(0).alias("version"), F.lit("known").alias("action"), none("string").alias("html"), "rules"))
+
+    def step(rules: dict | None, r: dict) -> tuple[dict, tuple]:
+        if r["action"] == "known":
+            new, source = _rules(r["rules"]), "known"
+        elif r["action"] == "adapted" and rules is not None:
+            new, source = _adapt(dom.parse(r["html"]), rules), "adaptation"
+        else:
+            new, source = {f: _rule(*best) for f, best in X.infer(r["html"]).items()}, "learned"
+        return new, (r["key"], int(r["version"]), source, new)
+
+    return fold(rows, "key", ["version"], lambda: None, step, STRATEGY).where("source <> 'known'")
+
+
 def validated(pages: DataFrame, strategies: DataFrame) -> DataFrame:
     """(page_id, valid, fields): whether every rule of the page's strategy gives something, and for each field."""
 

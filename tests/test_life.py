@@ -98,6 +98,56 @@ def test_life_cycle(spark):
     assert {w[0] for w in want.values()} >= {"learned", "matched", "relearned"} and len(set(ids)) == len(ids)
 
 
+def test_life_cycle_goes_on(spark):
+    """Three calls that hand on what is stored give the rows of one, and the strategies of a plain loop."""
+    titled = lambda x, tag: x.replace("<nav", f"<{tag}>A title</{tag.split()[0]}><nav", 1)
+    html = [titled(x, tag) for x, tag in ((MANY, "h1"), (MANY, "h1"), (RIGHT, "h1"), (MORE, "h1"), (MANY, "h1"), (RIGHT, "h1"), (LEFT, "h1"), (MORE, "h1 class='headline'"))]
+    rows = _rows(spark, *html).cache()
+    at_once = {r["page_id"]: tuple(r) for r in lifecycle.life_cycle(rows, breaking=0.99, seconds=25).collect()}
+    known = kept = rules = None
+    got, made = {}, []
+    for low, high in ((1, 3), (4, 4), (5, 8)):
+        part = rows.where(f"seq between {low} and {high}")
+        life = lifecycle.life_cycle(part, known=known, breaking=0.99, seconds=25).cache()
+        got |= {r["page_id"]: tuple(r) for r in life.collect()}
+        new = lifecycle.versions(life, part, known)
+        made += strategies.lived(life, pages(spark, *html), rules).collect()
+        kept = new if kept is None else kept.union(new)
+        known = lifecycle.stored(kept)
+        rules = spark.createDataFrame(made, strategies.STRATEGY)
+    assert got == at_once and {r[3] for r in got.values()} >= {"learned", "matched", "relearned", "adapted"}
+    want, state = {}, {}
+    for i in sorted(at_once):
+        key, _, variant, action, _, version = at_once[i]
+        if action == "matched":
+            continue
+        root = dom.parse(html[i - 1])
+        if action == "adapted":
+            state[variant] = {f: r for f, (sel, c) in state[variant].items() if (r := (sel, c * 0.95) if dom.select(root, sel) else (lambda b: b and (b[0], b[1] * 0.8))(extract.best_selector(root, f)))}
+        else:
+            state[variant] = extract.infer(root)
+        want[f"{key}#{variant}", version] = ("adaptation" if action == "adapted" else "learned", {f: (sel, round(c, 9)) for f, (sel, c) in state[variant].items()})
+    assert {(r["key"], r["version"]): (r["source"], {f: (x["primary"], round(x["confidence"], 9)) for f, x in r["rules"].items()}) for r in made} == want
+    none = rows.where("false")
+    assert lifecycle.life_cycle(none, known=known).count() == 0 and strategies.lived(lifecycle.life_cycle(none), pages(spark, *html), rules).count() == 0
+
+
+def test_crawls_learn(spark, site):
+    """A second crawl of the same pages learns nothing, one of broken pages adapts, one after the lifetime learns anew."""
+    path, out = site
+    one = spark.read.parquet(path)
+    crawl = lambda p, n, **own: run.run_crawl(spark, p, ["http://h.org/"], f"{out}/{n}", store=f"{out}/store", **own)
+    first, again = crawl(one, "o1", at=1000), crawl(one, "o2", at=2000)
+    assert first["structures_learned"] >= 1 and (again["structures_learned"], again["structures_adapted"]) == (0, 0)
+    changed = one.withColumn("html", F.regexp_replace("html", "<h1>(.*?)</h1>", "<h2 class='headline'>$1</h2><table><tr><td>1</td></tr></table>"))
+    third = crawl(changed, "o3", at=3000, breaking_threshold=0.99, variant_threshold=0.3)
+    assert third["structures_adapted"] >= 1
+    kept = run.Learned.load(spark, f"{out}/store")
+    assert kept.strategies.where("source = 'adaptation'").count() == third["structures_adapted"] and kept.variants.count() == kept.strategies.count()
+    assert crawl(changed, "o4", at=10_000_000, structure_ttl=60, variant_threshold=0.3)["structures_learned"] >= 1
+    assert run.Learned.load(spark, f"{out}/nothing") is None
+
+
 def test_monitor(spark):
     got = [(r["page_id"], r["change_type"], r["version"]) for r in lifecycle.monitor(_rows(spark, MANY, MANY.replace("x", "y"), MORE, RIGHT, RIGHT, LEFT)).orderBy("page_id").collect()]
     assert got[0] == (1, "new_content", 1) and got[1][0] == 3 and got[2][:2] == (4, "structure_changed") and [g[0] for g in got] == [1, 3, 4, 6]
