@@ -131,6 +131,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     c.add_argument("--blocklist", help="text file of blocked domains")
     c.add_argument("--pii", dest="pii_action", choices=["redact", "pseudonymize", "flag", "exclude"])
     c.add_argument("--salt")
+    c.add_argument("--html", action="store_true", help="also write the pages")
     c.add_argument("--store", help="folder of the variants and strategies that crawls have learned")
     for name, table in (("ml", ML), ("inspect", INSPECT)):
         p = kinds.add_parser(name)
@@ -174,7 +175,7 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> i
             known = {k: v for k, v in vars(o).items() if k not in ("seed_urls", "output_dir")}
             robots = spark.read.parquet(a.robots) if a.robots and not a.ignore_robots else None
             block = compliance.read_domains(spark, a.blocklist) if a.blocklist else None
-            print(run.run_crawl(spark, spark.read.parquet(a.pages), list(o.seed_urls), o.output_dir, robots=robots, blocklist=block, salt=a.salt, store=a.store, **known))
+            print(run.run_crawl(spark, spark.read.parquet(a.pages), list(o.seed_urls), o.output_dir, robots=robots, blocklist=block, salt=a.salt, store=a.store, html=a.html, **known))
             return 0
         out = {"ml": ML, "inspect": INSPECT}[a.kind][a.what](spark, a)
         if a.output:

@@ -159,14 +159,17 @@ def crawl(
 
 def run_crawl(
     spark: SparkSession, pages: DataFrame, seed_urls: list[str], output_dir: str, *, robots: DataFrame | None = None, blocklist: DataFrame | None = None, salt: str | None = None,
-    store: str | None = None, at: int | None = None, on_pages_crawled: Callable[[DataFrame], object] | None = None, on_error: Callable[[DataFrame], object] | None = None, **options,
+    store: str | None = None, at: int | None = None, html: bool = False, on_pages_crawled: Callable[[DataFrame], object] | None = None, on_error: Callable[[DataFrame], object] | None = None, **options,
 ) -> dict:
     """Crawls `pages` and writes extractions (JSON, a folder per site), structures, log and totals under `output_dir`; returns the
-    totals. Variants and strategies are read from `store` and their new versions added there, if it is given. Hooks get the written extractions and the log of what was blocked; what they raise is logged."""
+    totals. Variants and strategies are read from `store` and their new versions added there, if it is given;
+    `html` also keeps the pages fetched. Hooks get the written extractions and the log of what was blocked; what they raise is logged."""
     known = Options(seed_urls=tuple(seed_urls), output_dir=output_dir, **options)
     done = crawl(spark, pages, known, robots=robots, blocklist=blocklist, salt=salt, learned=Learned.load(spark, store) if store else None, at=at)
     sinks.write_pages(done.extractions, f"{output_dir}/extracted")
     sinks.write_state({"structures": done.structures, "log": done.log, "totals": done.totals}, output_dir)
+    if html:
+        sinks.write_html(done.pages.where("status = 'success'"), f"{output_dir}/html")
     if store:
         Learned.keep(done, store)
     plugins.guarded(on_pages_crawled, spark.read.json(f"{output_dir}/extracted"))

@@ -12,8 +12,17 @@ from quern.functions import url as U
 
 def write_pages(extractions: DataFrame, path: str) -> None:
     """Extractions (url, ...) as JSON, a folder per domain, with the file name each page would have."""
-    rows = extractions.withColumn("domain", U.domain("url")).withColumn("file_name", U.file_name(F.col("url")))
-    rows.repartition("domain").write.mode("overwrite").partitionBy("domain").json(path)
+    _by_domain(extractions).write.mode("overwrite").partitionBy("domain").json(path)
+
+
+def write_html(pages: DataFrame, path: str) -> None:
+    """Pages (page_id, url, html) as Parquet, a folder per domain, with the same file names; a file for each page would be too many."""
+    _by_domain(pages.select("page_id", "url", "html")).write.mode("overwrite").partitionBy("domain").parquet(path)
+
+
+def _by_domain(rows: DataFrame) -> DataFrame:
+    """`rows` with domain and file_name, domains together; adaptive execution splits a large one and merges small ones by size."""
+    return rows.withColumn("domain", U.domain("url")).withColumn("file_name", U.file_name(F.col("url"))).hint("rebalance", "domain")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

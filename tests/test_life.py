@@ -137,7 +137,9 @@ def test_crawls_learn(spark, site):
     path, out = site
     one = spark.read.parquet(path)
     crawl = lambda p, n, **own: run.run_crawl(spark, p, ["http://h.org/"], f"{out}/{n}", store=f"{out}/store", **own)
-    first, again = crawl(one, "o1", at=1000), crawl(one, "o2", at=2000)
+    first, again = crawl(one, "o1", at=1000, html=True), crawl(one, "o2", at=2000)
+    kept = {r["url"]: r for r in spark.read.parquet(f"{out}/o1/html").collect()}
+    assert len(kept) == first["pages_crawled"] and {(u, r["html"]) for u, r in kept.items()} <= {(r["url"], r["html"]) for r in one.collect()} and all(r["domain"] == "h.org" and r["file_name"] for r in kept.values())
     assert first["structures_learned"] >= 1 and (again["structures_learned"], again["structures_adapted"]) == (0, 0)
     changed = one.withColumn("html", F.regexp_replace("html", "<h1>(.*?)</h1>", "<h2 class='headline'>$1</h2><table><tr><td>1</td></tr></table>"))
     third = crawl(changed, "o3", at=3000, breaking_threshold=0.99, variant_threshold=0.3)
