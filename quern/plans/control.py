@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quern.functions import url as U
-from quern.operators import alerts, control, pii, structure
+from quern.operators import alerts, control, pii, recrawl, structure
 from quern.plans import compliance, lifecycle, pages
 from quern.sources.tables import table
 
@@ -25,6 +25,16 @@ def schedule_control(spark: SparkSession, sf: str) -> DataFrame:
     return control.schedules(e, ["ts", "event_id"])
 
 
+def recrawl_round(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' schedules at a midnight and the plans after a round six hours later: purchases meanwhile are changes, users with an error fail."""
+    start, now = F.lit("2024-01-15").cast("timestamp"), F.lit("2024-01-15 06:00:00").cast("timestamp")
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("target"), "ts", "event_id", "event_type", _command(SCHEDULE), F.when(F.col("event_id") % 2 == 0, "0 * * * *").otherwise("0 0 * * *").alias("cron"))
+    plans = recrawl.merged(None, control.schedules(e.where(F.col("ts") < start), ["ts", "event_id"]), start)
+    news = e.where((F.col("ts") >= start) & (F.col("ts") < now)).groupBy("target").agg(F.bool_or(F.col("event_type") == "purchase").alias("changed"), F.max(F.when(F.col("event_type") == "error", "fetch failed")).alias("error"))
+    done, runs = recrawl.run(plans, now, lambda due: due.select("target").join(news, "target", "left"))
+    return done.join(runs.select("target", "error"), "target", "left").select("target", "enabled", "next_run", "last_run", "last_change", "runs", "failures", "error")
+
+
 def job_control(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's job after all commands: signups create it, clicks start, views pause and errors cancel it, purchases add addresses."""
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", _command(JOB), F.floor("value").alias("n_urls"))
@@ -61,11 +71,18 @@ def alerts_blocked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _EV = "(SELECT *, {'t': ts, 'i': event_id} AS o FROM events)"
+_BEFORE = "(SELECT *, {'t': ts, 'i': event_id} AS o FROM events WHERE ts < TIMESTAMP '2024-01-15')"
 _LAST = "SELECT user_id, arg_max(event_type, o) AS c, max(o) AS o, arg_max(event_id, o) AS i FROM {0} WHERE event_type IN ({1}) GROUP BY 1"
-QUERIES = {f.__name__: f for f in (schedule_control, job_control, alerts_structure, alerts_complete, alerts_personal, alerts_blocked)}
+QUERIES = {f.__name__: f for f in (schedule_control, recrawl_round, job_control, alerts_structure, alerts_complete, alerts_personal, alerts_blocked)}
 ORACLE_SQL = {
     "schedule_control": f"""SELECT CAST(l.user_id AS VARCHAR) AS target, CASE WHEN l.i % 2 = 0 THEN '0 * * * *' ELSE '0 0 * * *' END AS cron, NOT coalesce(w.o > l.o AND w.c = 'view', false) AS enabled
       FROM ({_LAST.format(_EV, "'signup', 'error'")}) l LEFT JOIN ({_LAST.format(_EV, "'view', 'click'")}) w USING (user_id) WHERE l.c = 'signup'""",
+    "recrawl_round": f"""WITH p AS (SELECT l.user_id, l.i % 2 = 0 AS hourly, NOT coalesce(w.o > l.o AND w.c = 'view', false) AS enabled FROM ({_LAST.format(_BEFORE, "'signup', 'error'")}) l LEFT JOIN ({_LAST.format(_BEFORE, "'view', 'click'")}) w USING (user_id) WHERE l.c = 'signup'),
+      n AS (SELECT user_id, bool_or(event_type = 'purchase') AS changed, bool_or(event_type = 'error') AS failed FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-15 06:00:00' GROUP BY 1),
+      d AS (SELECT p.*, enabled AND hourly AS due, coalesce(failed, false) AS failed, coalesce(changed, false) AS changed FROM p LEFT JOIN n USING (user_id))
+      SELECT CAST(user_id AS VARCHAR) AS target, enabled, CASE WHEN due THEN TIMESTAMP '2024-01-15 07:00:00' WHEN hourly THEN TIMESTAMP '2024-01-15 01:00:00' ELSE TIMESTAMP '2024-01-16' END AS next_run,
+        CASE WHEN due THEN TIMESTAMP '2024-01-15 06:00:00' END AS last_run, CASE WHEN due AND changed AND NOT failed THEN TIMESTAMP '2024-01-15 06:00:00' END AS last_change,
+        CAST(due AS BIGINT) AS runs, CAST(due AND failed AS BIGINT) AS failures, CASE WHEN due AND failed THEN 'fetch failed' END AS error FROM d""",
     "job_control": f"""SELECT CAST(e.user_id AS VARCHAR) AS job_id, CASE arg_max(event_type, e.o) FILTER (event_type <> 'purchase') WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'view' THEN 'paused' ELSE 'cancelled' END AS state,
       CAST(coalesce(sum(CAST(floor(value) AS BIGINT)) FILTER (event_type IN ('signup', 'purchase')), 0) AS BIGINT) AS n_urls, bool_or(event_type = 'click') AS started, arg_max(event_type, e.o) FILTER (event_type <> 'purchase') = 'error' AS ended
       FROM {_EV} e JOIN (SELECT user_id, max(o) AS born FROM {_EV} WHERE event_type = 'signup' GROUP BY 1) b ON b.user_id = e.user_id AND e.o >= born GROUP BY e.user_id""",

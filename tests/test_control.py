@@ -2,11 +2,12 @@
 
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import alerts, control
+from quern.operators import alerts, control, recrawl
 
 LOG = "target string, job_id string, command string, cron string, n_urls long, ts long, seq long"
 
@@ -75,3 +76,31 @@ def test_alerts(spark):
     assert alerts.passing(every).count() == 3 and alerts.passing(every, "error").count() == 1 and alerts.passing(every, "info").count() == 5
     with pytest.raises(ValueError):
         alerts.passing(every, "loud")
+
+
+def test_recrawl(spark):
+    """Three rounds with a function that changes, fails or finds nothing; plans are removed, added and given another cron between them."""
+    def call(target, plan):
+        if target == "bad":
+            raise ValueError("gone")
+        assert plan["cron"]
+        return target == "news"
+
+    at = lambda h, m=0: F.lit(f"2024-03-01 {h:02}:{m:02}:00").cast("timestamp")
+    plans = lambda *rows: spark.createDataFrame(rows, "target string, cron string, enabled boolean")
+    hourly = "0 * * * *"
+    first = plans(("news", hourly, True), ("same", hourly, True), ("bad", hourly, True), ("off", hourly, False), ("daily", "0 0 * * *", True), ("none", None, True))
+    known = recrawl.merged(None, first, at(0, 30))
+    known, runs = recrawl.run(known, at(3), recrawl.by_target(call), cut=lambda df: df.cache())
+    got = {r["target"]: r for r in known.collect()}
+    assert {(r["target"], r["success"], r["changed"], r["error"]) for r in runs.collect()} == {("news", True, True, None), ("same", True, False, None), ("bad", False, False, "ValueError: gone")}
+    three, four = datetime(2024, 3, 1, 3), datetime(2024, 3, 1, 4)
+    assert [(got[t]["runs"], got[t]["failures"], got[t]["last_run"], got[t]["last_change"], got[t]["next_run"]) for t in ("news", "same", "bad")] == [(1, 0, three, three, four), (1, 0, three, None, four), (1, 1, three, None, four)]
+    assert got["off"]["runs"] == got["daily"]["runs"] == got["none"]["runs"] == 0 and got["off"]["next_run"] == datetime(2024, 3, 1, 1) and got["daily"]["next_run"] == datetime(2024, 3, 2) and got["none"]["next_run"] is None
+    assert recrawl.run(known, at(3, 30), recrawl.by_target(call), cut=lambda df: df.cache())[1].count() == 0
+    known = recrawl.merged(known, plans(("news", "30 * * * *", True), ("same", hourly, True), ("off", hourly, True), ("new", hourly, True)), at(3, 40))
+    got = {r["target"]: r for r in known.collect()}
+    assert {t: (r["runs"], r["next_run"].hour, r["next_run"].minute) for t, r in got.items()} == {"news": (1, 4, 30), "same": (1, 4, 0), "off": (0, 1, 0), "new": (0, 4, 0)}
+    known, runs = recrawl.run(known, at(4), lambda due: due.where("target <> 'new'").selectExpr("target", "false AS changed", "CAST(NULL AS STRING) AS error"), cut=lambda df: df.cache())
+    assert {(r["target"], r["error"]) for r in runs.collect()} == {("same", None), ("off", None), ("new", "no answer")}
+    assert recrawl.run(known.where("false"), at(9), recrawl.by_target(call), cut=lambda df: df.cache())[1].count() == 0
