@@ -58,6 +58,14 @@ def variant_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("domain", "page_type").agg(F.count_distinct("variant_id").alias("variants"))
 
 
+def variant_totals(rows: DataFrame) -> DataFrame:
+    """Of `rows` (domain, page_type, variant_id) in all: variants, keys (domain and type), keys and domains with several variants
+    (a domain, in one of its types). Nothing is 0 and one row."""
+    several = F.col("variants") > 1
+    return variant_stats(rows).agg(
+        F.coalesce(F.sum("variants"), F.lit(0)).alias("variants"), F.count(F.lit(1)).alias("keys"), F.count_if(several).alias("keys_with_several"), F.count_distinct(F.when(several, F.col("domain"))).alias("domains_with_several"))
+
+
 def save_baselines(saved: DataFrame | None, rows: DataFrame, at: str) -> DataFrame:
     """One baseline per domain and page_type: the latest of `rows` by `at`, in place of what was saved before."""
     key = ["domain", "page_type"]

@@ -96,6 +96,14 @@ def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
     return store.variant_stats(p)
 
 
+def variant_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The variants of structures that all pages have, by site and type, in numbers."""
+    rows = _keyed(spark, sf).withColumnRenamed("key", "domain").withColumn("key", F.concat(F.coalesce("domain", F.lit("")), F.lit("/"), "page_type")).withColumn("fingerprint", structure.fingerprint()).withColumn("seq", F.col("page_id"))
+    found = structure.assign_variants(rows).select("key", "variant_id").distinct()
+    parts = F.split("key", "/")
+    return store.variant_totals(found.select(parts[0].alias("domain"), parts[1].alias("page_type"), "variant_id"))
+
+
 def _strategies(spark: SparkSession) -> DataFrame:
     """Strategies by language of the page: a selector that pages lack with one that they have, and some that always work."""
     rule = lambda p, *f, a=None, c=0.9: (p, list(f), "attribute" if a else "text", a, c)
@@ -216,7 +224,7 @@ def structure_similar(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    structure_similar, change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, signature_changes, cached_responses, unexpired_structures, variant_stats, strategy_apply, strategy_adapt,
+    structure_similar, change_records, change_counters, structure_compare, version_compare, life_cycle, monitor_changes, page_descriptions, structure_round_trip, signature_changes, cached_responses, unexpired_structures, variant_stats, variant_totals, strategy_apply, strategy_adapt,
     strategy_validate, strategy_override, structure_strategies, baselines, baseline_drift)}
 ORACLE_SQL = {
     "structure_similar": f"""WITH t AS (SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all({_TAGS}, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL), s AS (SELECT page_id, sum(n) AS n FROM t GROUP BY 1),

@@ -3,9 +3,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from quern.functions import url as U
+from quern.operators import store, structure
 from quern.operators.structure import variant_similarity
 from quern.operators.variants import Variants
+from quern.plans import lifecycle
 
 TAGS = [f"t{i}" for i in range(60)]
 
@@ -74,3 +78,17 @@ def test_a_large_key_is_linear():
     fresh = indexed([page(r) for _ in range(1500)], 0.85)[1]  # every page a shape of its own
     n = len(fresh.items)
     assert fresh.compared < 0.6 * n * n / 2
+
+
+def test_totals(spark):
+    """The totals of all pages against a loop over their structures, and of nothing."""
+    sf, keys = "/root/testdata/sf0.001", {}
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html", U.domain("url").alias("d"), U.classify(F.col("url"), U.PAGE_TYPES, "general").alias("t"))
+    for r in p.orderBy("page_id").collect():
+        keys.setdefault((r["d"], r["t"]), []).append(structure.analyze(r["html"]))
+    n = {k: len(set(loop(pages, 0.85))) for k, pages in keys.items()}
+    got = lifecycle.variant_totals(spark, sf).first()
+    assert tuple(got) == (sum(n.values()), len(n), sum(v > 1 for v in n.values()), len({d for (d, _), v in n.items() if v > 1}))
+    rows = [("a", "x", "1"), ("a", "x", "2"), ("a", "x", "2"), ("a", "y", "1"), ("b", "x", "1"), ("a", "z", "1"), ("a", "z", "3")]  # the pages have one variant of each key
+    assert tuple(store.variant_totals(spark.createDataFrame(rows, "domain string, page_type string, variant_id string")).first()) == (6, 4, 2, 1)
+    assert [tuple(r) for r in store.variant_totals(spark.createDataFrame([], "domain string, page_type string, variant_id string")).collect()] == [(0, 0, 0, 0)]
