@@ -44,8 +44,7 @@ def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
 def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents against the benchmark: equal text or similarity of 0.9 or more."""
     docs, items = _hashes(spark, sf, "documents", "doc_id"), _hashes(spark, sf, "benchmark", "item_id")
-    pairs = dedup.hamming_pairs(docs.select("simhash").union(items.select("simhash")), 6)
-    links = pairs.select("a", "b").union(pairs.select("b", "a")).union(docs.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).distinct())
+    links = dedup.hamming_pairs(docs, 6, others=items)
     hits = links.join(items.select("item_id", F.col("simhash").alias("b")), "b").groupBy("a").agg(F.count_distinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"))
     return docs.select("doc_id", F.col("simhash").alias("a")).join(hits, "a").select("doc_id", "n_items", "first_item")
 

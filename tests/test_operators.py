@@ -32,6 +32,15 @@ def test_simhash(spark, text):
     assert row["simhash"] == simhash(text)
 
 
+def test_simhash_in_pieces(monkeypatch):
+    """A long text's votes are added piece by piece: no piece holds more shingles than allowed."""
+    text, sizes, whole = " ".join(f"w{i % 97}" for i in range(1000)), [], T.np.unpackbits
+    monkeypatch.setattr(T, "AT_ONCE", 64)
+    monkeypatch.setattr(T.np, "unpackbits", lambda a, axis: sizes.append(len(a)) or whole(a, axis=axis))
+    assert list(T._votes(T.pd.Series([text, "", "a b", text]), 3)) == [simhash(text), 0, simhash("a b"), simhash(text)]
+    assert max(sizes) == 64
+
+
 def test_normalized_text(spark):
     t = spark.createDataFrame([("<b>A</b> - b",), (None,), ("<p>one</p><p>two</p>",)], "t string").select(T.normalize(F.col("t")))
     assert [r[0] for r in t.collect()] == ["a  b", "", "one two"]
@@ -46,6 +55,21 @@ def test_hamming_pairs_are_all(spark):
         assert {(r["a"], r["b"]) for r in dedup.hamming_pairs(df, 9, spare).collect()} == want
 
 
+def test_hamming_pairs_are_not_broadcast(spark):
+    """The exploded rows are many times what the optimizer takes them for; each pair comes once."""
+    df = spark.range(300).select((F.col("id") * 3).alias("simhash"))
+    pairs = dedup.hamming_pairs(df, 9, 3)
+    assert "Broadcast" not in pairs._jdf.queryExecution().toString()
+    near = sum(bin(3 * i ^ 3 * j).count("1") <= 9 for i in range(300) for j in range(i))
+    assert pairs.count() == pairs.distinct().count() == near
+    few = spark.createDataFrame([(0,), (7,), (7,), (None,)], "simhash long")
+    want = {(3 * i, b, bin(3 * i ^ b).count("1")) for i in range(300) for b in (0, 7) if bin(3 * i ^ b).count("1") <= 2}
+    for small in (dedup.SMALL, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(dedup, "SMALL", small)
+            assert sorted(tuple(r) for r in dedup.hamming_pairs(df, 2, others=few).collect()) == sorted(want)
+
+
 def test_hamming_tables_grow_with_the_corpus():
     assert [dedup.spare_blocks(9, n) for n in (1_000, 1_000_000, 10**9)] == [1, 3, 3] or dedup.spare_blocks(9, 1_000) < dedup.spare_blocks(9, 10**9)
     masks = dedup.block_masks(9, 2)
