@@ -26,22 +26,25 @@ def shingles(ws: Column, width: int = 3) -> Column:
     return F.when(n < width, ws).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, width), " ")))
 
 
+#: Shingles whose digests and bits are held at once.
+AT_ONCE = 16384
+
+
+def _vote(text: str, width: int) -> int:
+    """The hash of a text; its shingles vote in pieces, so that memory doesn't grow with them."""
+    ws = text.split()
+    if not ws:
+        return 0
+    width = width if len(ws) >= width else 1
+    n, votes = len(ws) - width + 1, np.zeros(64, dtype=np.int64)
+    for low in range(0, n, AT_ONCE):
+        digests = b"".join(hashlib.md5(" ".join(ws[i : i + width]).encode()).digest()[8:] for i in range(low, min(n, low + AT_ONCE)))
+        votes += np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > n).view(">i8")[0])
+
+
 def _votes(texts: pd.Series, width: int) -> pd.Series:
-    """The hash of each text; all shingles of a batch vote in one matrix of bits."""
-    count, digests = [], []
-    for t in texts:
-        ws = t.split()
-        parts = ws if len(ws) < width else [" ".join(ws[i : i + width]) for i in range(len(ws) - width + 1)]
-        count.append(len(parts))
-        digests += [hashlib.md5(p.encode()).digest()[8:] for p in parts]
-    some = np.array(count) > 0
-    out = np.zeros(len(count), dtype=np.int64)
-    if digests:
-        bits = np.unpackbits(np.frombuffer(b"".join(digests), dtype=np.uint8).reshape(-1, 8), axis=1)
-        first = (np.cumsum(count) - count)[some]
-        set_ = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > np.array(count)[some][:, None]
-        out[some] = np.packbits(set_, axis=1).view(">i8").ravel()
-    return pd.Series(out)
+    return pd.Series([_vote(t, width) for t in texts], dtype="int64")
 
 
 def simhash(normal: Column, width: int = 3) -> Column:
