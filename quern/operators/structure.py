@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quern.functions import dom, text as T
+from quern.operators.pieces import pieces
 from quern.operators.variants import Variants
 
 SCHEMA = (
@@ -128,7 +129,7 @@ def structures(pages: DataFrame) -> DataFrame:
     """The structure of every page (page_id, html), parsed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             yield pd.DataFrame([{"page_id": i, **analyze(h)} for i, h in zip(b["page_id"], b["html"], strict=True)], columns=[c.split()[0] for c in _top(SCHEMA)])
 
     return pages.select("page_id", "html").mapInPandas(run, SCHEMA)
