@@ -1,5 +1,5 @@
 import hashlib
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,11 +130,78 @@ def test_next_run(spark):
     assert got == {"a": datetime(2024, 1, 2, 6, 30), "b": datetime(2024, 1, 2)}
 
 
+def test_next_runs_by_search(spark):
+    """Against a search minute by minute; fields are read once a row, not once a day."""
+    crons = ["* * * * *", "*/7 3-5 * * *", "0 0 31 * *", "5,50 23 29 2 *", "0 12 13 * 4", "59 23 1,15 */5 6", "0 0 * * 7", "30 6", "x * * * *", " 0  0 1 1 * ", "*/0 * * * *"]
+    starts = [datetime(2023, 12, 31, 23, 59, 30), datetime(2024, 2, 29, 23, 49), datetime(2024, 5, 13, 12, 0)]
+    rows = spark.createDataFrame([(f"{i}-{j}", c, a) for i, c in enumerate(crons) for j, a in enumerate(starts)], "target string, cron string, after timestamp")
+
+    def fits(p, v):
+        if p == "*":
+            return True
+        if p.startswith("*/"):
+            return int(p[2:]) > 0 and v % int(p[2:]) == 0
+        low, _, high = p.partition("-")
+        return str(v) in p.split(",") if not high else int(low) <= v <= int(high)
+
+    def search(cron, after):
+        p, at = cron.split(), after.replace(second=0) + timedelta(minutes=1)
+        for i in range(367 * (len(p) == 5)):
+            day = at.replace(hour=0, minute=0) + timedelta(days=i)
+            if fits(p[2], day.day) and fits(p[3], day.month) and fits(p[4], day.weekday()):
+                for m in range(1440):
+                    t = day + timedelta(minutes=m)
+                    if t >= at and fits(p[1], t.hour) and fits(p[0], t.minute):
+                        return t
+        return after + timedelta(days=1)
+
+    out = S.next_run(rows)
+    assert {r["target"]: r["next_run"] for r in out.collect()} == {f"{i}-{j}": search(c, a) for i, c in enumerate(crons) for j, a in enumerate(starts)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sequence") < 20
+
+
 PAGE = """<html><head><title>A page</title><meta property="og:published_time" content="2024-01-15T10:00:00Z"></head><body><header><nav class="menu"><a href="/a">A</a></nav></header>
 <article class="post"><h1 class="title">The long title</h1><div class="author">Jo</div><p>one sentence that is long enough to count as the content of a page of this kind, and then some words more<p>two <b>bold</p><ul><li>x<li>y</ul><img src="i.png"><a href="http://o.org/z" rel="nofollow">z</a></article>
 <script>var a = "</p>";</script></body></html>"""
 
 
+def test_references_need_semicolons():
+    """As libxml2 reads them, and the SQL of the page queries."""
+    root = dom.parse("<h1 title='a&amp;b&ampc'>x &amp; y&amp</h1><a href='/?a=1&copy=2'>&ampfoo; &copy &#65; &nope;</a><script>a&amp&amp;b</script>")
+    assert dom.select(root, "h1")[0].text() == "x & y&amp" and dom.select(root, "h1")[0].attrs["title"] == "a&b&ampc"
+    assert dom.select(root, "a")[0].attrs["href"] == "/?a=1&copy=2" and dom.select(root, "a")[0].text() == "&ampfoo; &copy A &nope;"
+    assert dom.select(root, "script")[0].text(raw=True) == "a&amp&amp;b"
+    assert dom.parse("\ue000&lt").text() == "\ue000&lt"
+
+
+def test_counts_have_the_words_of_sql(spark):
+    """Letters beyond ASCII end a word, and a vertical tab is no white space, as in the query's SQL."""
+    import duckdb
+
+    from quern.plans import pages
+
+    texts = ["7794 eine st\u00df illp", "\u00e912345678", "\u00fca@b.org\u00e9 x@y.com", "born\x0b1/2/2000 dob 3/4/2001\u00e4", "12 Main\x0bStreet 12 Main Street", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(pages.ORACLE_SQL["pii_counts"]).fetchall()
+    assert sorted(tuple(r) for r in pii.counts(df, kinds=pages.SIMPLE).collect()) == sorted(want)
+
+
+def test_batches_are_handed_on_in_pieces(monkeypatch):
+    """What a task makes of a long batch is not held as a whole."""
+
+    class Frame:
+        select = lambda self, *columns: self
+        mapInPandas = lambda self, run, schema: run
+
+    batch = T.pd.DataFrame({"page_id": range(600), "html": ["<body><p>x</p></body>"] * 600, "doc_id": range(600), "text": ["a@b.org"] * 600})
+    for run in (structure.structures(Frame()), pii.matches(Frame()), pii.processed(Frame(), "redact")):
+        sizes = [len(b) for b in run(iter([batch, batch[:0]]))]
+        assert sum(sizes) == 600 and max(sizes) <= 256
+
+
 def test_dom_repair():
     root = dom.parse(PAGE)
     assert [len(dom.select(root, s)) for s in ("p", "li", "article p", "article > h1", "h1.title", "[rel='nofollow']", "div, header", "nav a", "#none")] == [2, 2, 2, 1, 1, 1, 2, 1, 0]
