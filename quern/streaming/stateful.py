@@ -8,29 +8,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quern.streaming import timers
 
-def throttle(alerts: DataFrame, minutes: int) -> DataFrame:
-    """A stream of (event_id, key, ts) with `sent`. State is the time of a key's last alert; it leaves with event time."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+def throttle(alerts: DataFrame, minutes: int) -> DataFrame:
+    """A stream of (event_id, key, ts) with `sent`. State is the times of the last alerts of a bucket of keys; each leaves with
+    event time."""
+    width = minutes * 60_000_000
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*state.get)) if state.exists else {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values(["key", "ts", "event_id"])
+            keys, sent = rows["key"].tolist(), []
+            for key, at in zip(keys, rows["ts"].astype("datetime64[us]").astype("int64").tolist()):
+                go = key not in last or at - last[key] >= width
+                if go:
+                    last[key] = at
+                sent.append(go)
+            yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "key": keys, "sent": sent})
+        now = state.getCurrentWatermarkMs()
+        last = {k: at for k, at in last.items() if (at + width) // 1000 >= now}
+        if last:
+            state.update((list(last), list(last.values())))
+            state.setTimeoutTimestamp(max((min(last.values()) + width) // 1000, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        sent = []
-        for ts in rows["ts"]:
-            at = int(ts.timestamp() * 1e6)
-            go = last is None or at - last >= minutes * 60_000_000
-            last = at if go else last
-            sent.append(go)
-        state.update((last,))
-        ahead = max(last // 1000 + minutes * 60_000, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(ahead)
-        yield pd.DataFrame({"event_id": rows["event_id"], "key": key[0], "sent": sent})
 
-    return alerts.withWatermark("ts", f"{minutes} minutes").groupBy("key").applyInPandasWithState(
-        step, "event_id long, key string, sent boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return alerts.withColumn("bucket", timers.bucket("key")).withWatermark("ts", f"{minutes} minutes").groupBy("bucket").applyInPandasWithState(
+        step, "event_id long, key string, sent boolean", "keys array<string>, last array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def health(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
