@@ -90,20 +90,23 @@ def is_valid(url: Column) -> Column:
     return scheme(url).isin("http", "https") & (part(url, 2) != "")
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _private4(text: Column) -> Column:
     """Whether a text is a private, loopback, link-local or reserved IPv4 address; null if it is none."""
-    octet = lambda i: F.regexp_extract(text, r"^(\d{1,3})[.](\d{1,3})[.](\d{1,3})[.](\d{1,3})$", i).try_cast("int")
-    a, b, c, d = (octet(i) for i in (1, 2, 3, 4))
-    good = (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
-    return F.when(good, (
-        a.isin(0, 10, 127) | (a >= 240) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
-        | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
-    ))
 
+    def reserved(octets: Column) -> Column:
+        a, b, c = octets[0], octets[1], octets[2]
+        return F.when(~F.exists(octets, lambda o: o > 255), (
+            a.isin(0, 10, 127) | (a >= 240) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254))
+            | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+        ))
 
-def _let(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    numbers = lambda t: F.when(t.rlike(r"^\d{1,3}([.]\d{1,3}){3}$"), F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)"), 1), lambda o: o.cast("int")))
+    return _let(text, lambda t: _let(numbers(t), reserved))
 
 
 def _dotted(text: Column) -> Column:
@@ -155,8 +158,12 @@ def _private6(digits: Column) -> Column:
 def is_private(url: Column) -> Column:
     """A private, loopback, link-local or reserved IPv4 or bracketed IPv6 address, or a local name; of other hosts the port is
     cut at the first colon."""
-    host = F.substring_index(domain(url), ":", 1)
-    return (host == "localhost") | F.coalesce(_private4(host), _let(ipv6(domain(url)), _private6), F.lit(False))
+
+    def private(name: Column) -> Column:
+        host = F.substring_index(name, ":", 1)
+        return (host == "localhost") | F.coalesce(_private4(host), _let(ipv6(name), _private6), F.lit(False))
+
+    return _let(domain(url), private)
 
 
 def depth(url: Column) -> Column:

@@ -159,7 +159,7 @@ def private_ipv6(spark: SparkSession, sf: str) -> DataFrame:
     lead = F.element_at(F.array(*[F.lit(x) for x in _LEADS]), (k % len(_LEADS) + 1).cast("int"))
     digits = F.concat(lead, F.substr(F.md5(k.cast("string")), F.length(lead) + 1))
     digits = F.when(k % 4 == 1, F.concat(F.substring(digits, 1, 12), F.lit("0" * 16), F.substring(F.md5(k.cast("string")), 1, 4))).otherwise(digits)
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+    groups = F.transform(F.regexp_extract_all(digits, F.lit("[0-9a-f]{4}"), F.lit(0)), lambda g: F.regexp_replace(g, "^0{1,3}", ""))  # digits are made once, not once a group
     full = F.array_join(groups, ":")
     short = F.concat(F.array_join(F.slice(groups, 1, 3), ":"), F.lit("::"), groups[7])
     url = F.when(k % 4 == 1, F.concat(F.lit("http://["), short, F.lit("]/a"))).when(k % 4 == 2, F.concat(F.lit("https://u@["), F.upper(full), F.lit("%eth0]:8080/"))).otherwise(F.concat(F.lit("http://["), full, F.lit("]:80")))

@@ -77,3 +77,11 @@ def test_ipv6_against_the_standard_library(spark):
         want = b.is_private or b.is_loopback or b.is_reserved or b.is_link_local or a in ipaddress.ip_network("3fff::/20")  # a later range for documentation
         assert got[u] == (f"{int(a):032x}", want), u
     assert all(got[f"http://{b}/p"] == (None, False) for b in bad)
+
+
+def test_an_address_is_taken_apart_once(spark):
+    """`is_private` reads the host once, however many rules look at it, and numbers over 255 are no address."""
+    df = spark.createDataFrame([(u,) for u in ("http://10.0.0.1:80/", "http://256.0.0.1/", "http://172.31.0.9/", "http://172.32.0.9/", "http://[::ffff:10.0.0.1]/", "http://[::ffff:8.8.8.8]:80/", "http://localhost/", "", None)], "url string")
+    out = df.select(U.is_private("url").alias("private"))
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract(url") == 1
+    assert [r[0] for r in out.collect()] == [True, False, True, False, True, False, True, False, False]
