@@ -153,7 +153,11 @@ def top_classes(s: str, n: int = 50) -> Column:
 
 
 def region_names(s: str) -> Column:
-    return F.transform(f"{s}.content_regions", lambda r: r["name"])
+    return region_names_of(f"{s}.content_regions")
+
+
+def region_names_of(regions: str) -> Column:
+    return F.transform(regions, lambda r: r["name"])
 
 
 def changes(pairs: DataFrame, breaking: float = 0.70) -> DataFrame:
@@ -290,14 +294,20 @@ def variant_similarity(a: dict, b: dict) -> float:
     return sum(s * w for s, w in got) / sum(w for _, w in got)
 
 
-def assign_variants(rows: DataFrame, least: float = 0.85) -> DataFrame:
-    """`rows` (key, seq, page_id, the structure's columns, fingerprint): each page in order joins the most similar variant
-    of its key (at `least` or more) or starts one named by its fingerprint. Sequential within a key; the state is the
-    key's variants with their index, not its pages."""
+def _compared(rows: DataFrame) -> DataFrame:
+    """`rows` with what the similarity of variants looks at, and `shape`, a digest of it: names of regions and landmarks, whether
+    there is pagination, and how much navigation; the rest of a structure isn't sent along."""
+    names = region_names_of("content_regions")
+    shape = F.struct(F.array_sort(F.map_entries("tag_counts")), F.array_sort(F.array_distinct(names)), F.array_sort(F.map_keys("semantic_landmarks")), F.col("pagination").isNull(), F.size("navigation_selectors"))
+    return rows.select(
+        "key", "seq", "page_id", "tag_counts", F.transform(names, lambda n: F.struct(n.alias("name"))).alias("content_regions"), F.transform_values("semantic_landmarks", lambda k, v: F.lit("")).alias("semantic_landmarks"),
+        F.when(F.col("pagination").isNotNull(), "").alias("pagination"), F.transform("navigation_selectors", lambda n: F.lit("")).alias("navigation_selectors"), "fingerprint", F.md5(F.to_json(shape)).alias("shape"))
 
+
+def _assigned(rows: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, known = None, None
-        for b in batches:
+        for b in pieces(batches):
             out = []
             for r in b.to_dict("records"):
                 if known is None or r["key"] != at:
@@ -308,8 +318,23 @@ def assign_variants(rows: DataFrame, least: float = 0.85) -> DataFrame:
                 out.append((r["key"], r["page_id"], known.items[-1 if i is None else i]["fingerprint"], i is None))
             yield pd.DataFrame(out, columns=["key", "page_id", "variant_id", "started"])
 
-    cols = ["key", "seq", "page_id", "tag_counts", "content_regions", "semantic_landmarks", "pagination", "navigation_selectors", "fingerprint"]
-    return rows.select(*cols).repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, "key string, page_id long, variant_id string, started boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, "key string, page_id long, variant_id string, started boolean")
+
+
+def assign_variants(rows: DataFrame, least: float = 0.85) -> DataFrame:
+    """`rows` (key, seq, page_id, the structure's columns, fingerprint): each page in order joins the most similar variant
+    of its key (at `least` or more) or starts one named by its fingerprint. Sequential within a key; the state is the
+    key's variants with their index, not its pages."""
+    return _assigned(_compared(rows), least)
+
+
+def started_variants(rows: DataFrame, least: float = 0.85) -> DataFrame:
+    """The variants (key, page_id, variant_id) that pages start in `assign_variants`. A page shaped as an earlier one of its key
+    finds at least the variant that the earlier one joined or started, so only first pages of a shape go through the key's one task."""
+    rows = _compared(rows)
+    rest = [c for c in rows.columns if c not in ("key", "shape")]
+    first = rows.groupBy("key", "shape").agg(F.min_by(F.struct(*rest), F.struct("seq", "page_id")).alias("_r")).select("key", "shape", "_r.*")
+    return _assigned(first, least).where("started").drop("started")
 
 
 def describe() -> Column:

@@ -18,8 +18,8 @@ SHAPES = 20_000
 
 
 def _shape(page: dict) -> tuple:
-    """All that the similarity looks at."""
-    return (
+    """All that the similarity looks at, or the page's own digest of it."""
+    return page.get("shape") or (
         frozenset(dict(page["tag_counts"]).items()), frozenset(r["name"] for r in page["content_regions"]), frozenset(dict(page["semantic_landmarks"])),
         page["pagination"] is None, len(page["navigation_selectors"]),
     )

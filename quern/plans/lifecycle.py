@@ -99,7 +99,7 @@ def variant_stats(spark: SparkSession, sf: str) -> DataFrame:
 def variant_totals(spark: SparkSession, sf: str) -> DataFrame:
     """The variants of structures that all pages have, by site and type, in numbers."""
     rows = _keyed(spark, sf).withColumnRenamed("key", "domain").withColumn("key", F.concat(F.coalesce("domain", F.lit("")), F.lit("/"), "page_type")).withColumn("fingerprint", structure.fingerprint()).withColumn("seq", F.col("page_id"))
-    found = structure.assign_variants(rows).select("key", "variant_id").distinct()
+    found = structure.started_variants(rows).select("key", "variant_id").distinct()
     parts = F.split("key", "/")
     return store.variant_totals(found.select(parts[0].alias("domain"), parts[1].alias("page_type"), "variant_id"))
 

@@ -92,3 +92,17 @@ def test_totals(spark):
     rows = [("a", "x", "1"), ("a", "x", "2"), ("a", "x", "2"), ("a", "y", "1"), ("b", "x", "1"), ("a", "z", "1"), ("a", "z", "3")]  # the pages have one variant of each key
     assert tuple(store.variant_totals(spark.createDataFrame(rows, "domain string, page_type string, variant_id string")).first()) == (6, 4, 2, 1)
     assert [tuple(r) for r in store.variant_totals(spark.createDataFrame([], "domain string, page_type string, variant_id string")).collect()] == [(0, 0, 0, 0)]
+
+
+def test_only_first_pages_of_a_shape_start_variants(spark, monkeypatch):
+    """`started_variants` gives what `assign_variants` starts, and takes pages of one shape once, however many there are."""
+    r = random.Random(5)
+    names = {"header": "<header>h</header>", "main": "<main>m</main>", "nav": "<nav><a href=x>n</a></nav>", "table": "<table><tr><td>1</table>", "form": "<form></form>", "aside": "<aside>a</aside>", "p": "<p>a<p>b<p>c", "article": "<article>z</article>"}
+    bodies = ["".join(names[k] for k in r.sample(sorted(names), r.randrange(1, 6))) for _ in range(30)]
+    pages = spark.createDataFrame([(i, f"http://s{i % 3}.org/", f"<body>{bodies[(i * i) % 30]}</body>") for i in range(400)], "page_id long, url string, html string")
+    rows = structure.structures(pages).join(pages.select("page_id", U.domain("url").alias("key")), "page_id").withColumn("fingerprint", structure.fingerprint()).withColumn("seq", F.col("page_id"))
+    want = sorted(map(tuple, structure.assign_variants(rows).where("started").drop("started").collect()))
+    seen, through = [], structure._assigned
+    monkeypatch.setattr(structure, "_assigned", lambda first, least: seen.append(first.count()) or through(first, least))
+    assert sorted(map(tuple, structure.started_variants(rows).collect())) == want and len(want) > 10
+    assert seen[0] <= 90
