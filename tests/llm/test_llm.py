@@ -154,6 +154,33 @@ def test_substring(spark, most):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [1024, 2])
+def test_substring_passages(spark, most):
+    """Passages of over 50 words but under 400 bytes are counted, not removed; what is removed is as without the count."""
+    passage, other = prose(21, 75), prose(22, 300)
+    assert 240 < len(passage) < 400 and len(passage.split()) > 50
+    rows = [(i, f"{prose(400 + i, 30)} {passage} {prose(430 + i, 50)}") for i in range(7)] + [(10, passage), (11, prose(460, 60) + passage), (12, passage[:239]), (13, prose(461, 300))]
+    rows += [(20 + i, f"{prose(470 + i, 20)} {other[200 * i :]}") for i in range(4)] + [(30, "b" * 300), (31, "é" * 210), (32, None), (33, ""), (34, other[:399]), (35, other[5:404]), (36, other[:400])]
+    rows += [(40, prose(480, 55)), (40, prose(480, 55)), (None, prose(481, 200)), (None, prose(481, 200))]
+    done = substring.remove_repeats(frame(spark, rows), floor=240, most=most)
+    got = Counter(tuple(r) for r in done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256), "n_repeated").collect())
+    texts = [(t or "").encode() for _, t in rows]
+    both = zip(rows, windows(texts, 400), windows(texts, 240), strict=True)
+    assert got == Counter((i, *w, short[1]) for (i, _), w, short in both)
+    counted = {r["doc_id"]: r for r in done.collect()}
+    assert all(counted[i]["n_removed"] == 0 and counted[i]["n_repeated"] >= len(passage) for i in [*range(7), 10, 11])
+
+
+def test_substring_query_columns(spark, tmp_path):
+    """The query's five columns of the contract come first, the count of repeated passages after them."""
+    passage = prose(21, 75)
+    frame(spark, [(1, f"{prose(1, 40)} {passage}"), (2, f"{passage} {prose(2, 40)}"), (3, prose(3, 90))]).write.parquet(f"{tmp_path}/documents.parquet")
+    done = substring.op2_suffix_array(spark, str(tmp_path))
+    assert done.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+    got = collected(done, "doc_id")
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [0, 0, 0] and [got[i]["n_repeated"] >= len(passage) for i in (1, 2, 3)] == [True, True, False]
+
+
 # --- near duplicates
 
 
